@@ -1,16 +1,62 @@
-"""Corpus pipeline: language ID, near-dedup, decontamination, PII, mixing."""
+"""Corpus pipeline over documents: each stage reads what the one before it kept.
+
+language    drops documents whose language is unknown ('und') or doubtful (score under LEAST_SCORE)
+near_dedup  keeps the document with the smallest doc_id of each near-duplicate class
+benchmark   drops documents that hold a benchmark window
+pii         puts each span of personal data as its kind in brackets, and counts n_chars anew
+mixing      chooses documents by the weights of domain, language and source; adds its columns
+
+Stages but the last return the columns that they were given. Rows with a null doc_id, or with one
+doc_id and several texts, are judged row by row.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillmere.llm import decontam, langid, mixing, near_dup, pii
+from quillmere.llm.shared import table, written
+
+LEAST_SCORE = 0.5
+
+
+def _where(docs: DataFrame, verdicts: DataFrame, condition: str) -> DataFrame:
+    """Rows of docs whose doc_id has a verdict that meets the condition; verdicts has a row for each row."""
+    kept = verdicts.where(condition).select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi")
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _where(docs, langid.trained_on(docs).predict(docs), f"lang_pred <> 'und' and score >= {LEAST_SCORE}")
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _where(docs, near_dup.classes(docs), "kept")
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _where(docs, decontam.contamination(docs, table(spark, sf_dir, "benchmark")), "not contaminated")
+
+
+def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = pii.found_spans(docs, pii.SpanClassifier().fit(docs))
+    text = F.when(F.size("pii_spans") > 0, pii.redacted(F.col("text"), F.col("pii_spans"))).otherwise(F.col("text"))
+    out = found.withColumn("text", text).withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
+    return out.select(*docs.columns)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mix(docs)
+
 
-STAGES: list = []
-#: Language models and an EM-trained classifier decide which rows stay: SQL cannot express them.
+STAGES = [("language", language), ("near_dedup", near_dedup), ("benchmark", benchmark), ("pii", private), ("mixing", mixture)]
+#: Trained language and span models decide which rows stay and what they hold: SQL cannot express them.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

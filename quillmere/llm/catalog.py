@@ -2,13 +2,27 @@
 
 from __future__ import annotations
 
-from . import near_dup
+from . import decontam, fertility, langid, mixing, near_dup, pii, quality, substring, token_counts, warc
 from .shared import Query
 
 QUERIES: dict[str, Query] = {
     "op1_minhash_near_dedup": near_dup.op1_minhash_near_dedup,
+    "op2_token_counts": token_counts.op2_token_counts,
+    "op3_source_mixing": mixing.op3_source_mixing,
+    "op4_substring_dedup": substring.op4_substring_dedup,
+    "op5_quality_rules": fertility.op5_quality_rules,
+    "op6_pii": pii.op6_pii,
+    "op7_decontamination": decontam.op7_decontamination,
+    "op8_warc": warc.op8_warc,
+    "op9_language_id": langid.op9_language_id,
+    "op10_quality_classifier": quality.op10_quality_classifier,
 }
 
+#: Models and tokenizer files (2, 5, 6, 9, 10) are beyond SQL; tests hold them against brute force.
 SQL: dict[str, str] = {
     "op1_minhash_near_dedup": near_dup.OP1_SQL,
+    "op3_source_mixing": mixing.OP3_SQL,
+    "op4_substring_dedup": substring.OP4_SQL,
+    "op7_decontamination": decontam.OP7_SQL,
+    "op8_warc": warc.OP8_SQL,
 }

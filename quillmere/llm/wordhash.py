@@ -101,8 +101,8 @@ def chunks(offsets: np.ndarray, limit: int = CHUNK_BYTES, rows: int = 65_000) ->
         i = j
 
 
-def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, limit: int = SLICE_BYTES) -> Words:
-    """Words of the texts data[offsets[i]:offsets[i + 1]]; spans are positions in data."""
+def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, limit: int = SLICE_BYTES, gaps: np.ndarray = SPACE) -> Words:
+    """Words of the texts data[offsets[i]:offsets[i + 1]]; spans are positions in data. gaps marks the bytes between words."""
     first, last = int(offsets[0]), int(offsets[-1])
     starts, ends, hashes = [], [], []
     pos = first
@@ -111,17 +111,17 @@ def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, limit: int =
         if stop < last:
             k = int(offsets[np.searchsorted(offsets, stop, "right") - 1])
             if k <= pos:  # inside one text: cut at its last white space, or after a word longer than a slice
-                gap = np.flatnonzero(SPACE[data[pos:stop]])
+                gap = np.flatnonzero(gaps[data[pos:stop]])
                 k = pos + int(gap[-1]) + 1 if len(gap) else 0
                 while not k:
                     text_end = int(offsets[np.searchsorted(offsets, pos, "right")])
                     more = min(stop + limit, text_end)
-                    gap = np.flatnonzero(SPACE[data[stop:more]])
+                    gap = np.flatnonzero(gaps[data[stop:more]])
                     k = stop + int(gap[0]) if len(gap) else (text_end if more == text_end else 0)
                     stop = more
             stop = k
         part = data[pos:stop]
-        inside = ~SPACE[part]
+        inside = ~gaps[part]
         begin, final = inside.copy(), inside.copy()
         begin[1:] &= ~inside[:-1]
         final[:-1] &= ~inside[1:]
