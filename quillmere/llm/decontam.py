@@ -33,16 +33,13 @@ def item_words(text: Column) -> Column:
 
 def _shingles(words: Column, sizes: list[int]) -> Column:
     """Array of (size, 0-based place, hash) of all runs of the given sizes."""
-    runs = [
-        F.when(
-            F.size(words) >= s,
-            F.transform(
-                F.sequence(F.lit(1), F.size(words) - (s - 1)),
-                lambda i, s=s: F.struct((i - 1).alias("place"), F.xxhash64(F.lit(s), *(F.get(words, i - 1 + k) for k in range(s))).alias("h")),
-            ),
-        ).otherwise(F.array().cast("array<struct<place:int,h:bigint>>"))
-        for s in sizes
-    ]
+
+    def of(size: int) -> Column:
+        one = lambda i: F.struct((i - 1).alias("place"), F.xxhash64(F.lit(size), *(F.get(words, i + (k - 1)) for k in range(size))).alias("h"))
+        none = F.array().cast("array<struct<place:int,h:bigint>>")
+        return F.when(F.size(words) >= size, F.transform(F.sequence(F.lit(1), F.size(words) - (size - 1)), one)).otherwise(none)
+
+    runs = [of(s) for s in sizes]
     return runs[0] if len(runs) == 1 else F.concat(*runs)
 
 

@@ -6,10 +6,11 @@ functions instead of 2 * ROWS * SIDE * SIDE. Texts with equal shingle sets are f
 one representative (its smallest doc_id), so groups of copies never enter a table.
 
 Candidates: (1) in each bucket, each member with the bucket's first and with the member before it;
-what is confirmed gives first classes; (2) pairs of one bucket whose classes still differ. Pairs
-inside one class are never made: they could not change the result. Both kinds pass a length bound
-and a bound on a 256-bit one-bit-MinHash sketch (a true link fails it about once in 10,000 times),
-and every link is confirmed on the full shingle sets of both texts.
+what is confirmed gives first classes; (2) pairs of one bucket whose classes still differ, each made
+only in the first table that its two members share. Pairs inside one class are never made: they could
+not change the result. Both kinds pass a length bound and a bound on a sketch of 1,024 one-bit
+MinHashes, made for bucket members alone (a true link fails it about once in 100,000 times), and every
+link is confirmed on the full shingle sets of both texts.
 
 Defined cases: a null or empty text, or one of white space alone, has no shingles, is linked with
 nothing and is its own class. A null doc_id keeps its row, with a null class if no other text has
@@ -31,13 +32,15 @@ from . import wordhash as wh
 from .shared import components, prepare, table, written
 
 SHINGLE, SIDE, ROWS, PERCENT = 5, 12, 3, 75
-SKETCH_LONGS = 4
-#: Of 256 one-bit MinHashes, those that a pair at the least similarity has in common less 4.4 standard deviations.
-SKETCH_LEAST = 201
+SKETCH_LONGS = 16
+#: Of 1,024 one-bit MinHashes, those that a pair at the least similarity has in common less 4.4 standard deviations.
+SKETCH_LEAST = 849
 _TABLE = wh.byte_table(101, fold=True)
 _SEEDS = wh.mix(np.arange(1, 2 * SIDE * ROWS + 64 * SKETCH_LONGS + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
 _ODD = wh.mix(_SEEDS) | np.uint64(1)
-_SKETCH = "doc_id long, n_shingles long, sig_a long, sig_b long, halves binary, s0 long, s1 long, s2 long, s3 long"
+_SETS = "doc_id long, n_shingles long, sig_a long, sig_b long, halves array<long>"
+_BITS = [f"s{k}" for k in range(SKETCH_LONGS)]
+_MARKS = ", ".join(f"{x} long" for x in ("rep", *_BITS))
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
@@ -64,26 +67,36 @@ def _minima(sets: list[np.ndarray], k: slice) -> np.ndarray:
     return out
 
 
-def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    n_half = 2 * SIDE * ROWS
+def _some_sets(batch: pa.RecordBatch, most: int = 200_000) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """Parts of a batch with the shingle sets of their texts, about most shingles at a time."""
+    sets_of, row = shingle_sets(*wh.text_buffer(batch.column("text"))), 0
+    while row < batch.num_rows:
+        sets, total = [], 0
+        while row + len(sets) < batch.num_rows and total < most:
+            sets.append(next(sets_of))
+            total += len(sets[-1])
+        yield batch.slice(row, len(sets)), sets
+        row += len(sets)
+
+
+def _hashed_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Size, signature and half-bands of each text's set."""
     for batch in batches:
-        data, offsets = wh.text_buffer(batch.column("text"))
-        ids = batch.column("doc_id")
-        sets_of, row = shingle_sets(data, offsets), 0
-        while row < len(ids):
-            sets, total = [], 0
-            while row + len(sets) < len(ids) and total < 200_000:
-                sets.append(next(sets_of))
-                total += len(sets[-1])
-            n = np.array([len(s) for s in sets], np.int64)
-            low = _minima(sets, slice(0, n_half)).reshape(len(sets), 2 * SIDE, ROWS)
-            halves = wh.mix(wh.mix(wh.mix(low[:, :, 0]) + low[:, :, 1]) + low[:, :, 2])
-            bits = wh.mix(_minima(sets, slice(n_half, None))) & np.uint64(1)
-            packed = np.packbits(bits.astype(np.uint8), axis=1).reshape(len(sets), SKETCH_LONGS, 8).copy().view(np.int64)[:, :, 0]
+        for part, sets in _some_sets(batch):
+            low = _minima(sets, slice(0, 2 * SIDE * ROWS)).reshape(len(sets), 2 * SIDE, ROWS)
+            halves = wh.mix(wh.mix(wh.mix(low[:, :, 0]) + low[:, :, 1]) + low[:, :, 2]).view(np.int64)
             sig = [np.array([np.add.reduce(wh.mix(s + np.uint64(c))) if len(s) else 0 for s in sets], np.uint64).view(np.int64) for c in (7, 77)]
-            blob = pa.array([h.tobytes() for h in halves], pa.binary())
-            yield pa.RecordBatch.from_arrays([ids.slice(row, len(sets)), pa.array(n), *map(pa.array, sig), blob, *(pa.array(packed[:, c]) for c in range(SKETCH_LONGS))], names=[x.split()[0] for x in _SKETCH.split(", ")])
-            row += len(sets)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * 2 * SIDE, pa.int32()), pa.array(halves.reshape(-1)))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.array([len(s) for s in sets], np.int64)), *map(pa.array, sig), lists], names=[x.split()[0] for x in _SETS.split(", ")])
+
+
+def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The one-bit MinHashes of each text's set."""
+    for batch in batches:
+        for part, sets in _some_sets(batch):
+            bits = wh.mix(_minima(sets, slice(2 * SIDE * ROWS, None))) & np.uint64(1)
+            packed = np.packbits(bits.astype(np.uint8), axis=1).reshape(len(sets), SKETCH_LONGS, 8).copy().view(np.int64)[:, :, 0]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(packed[:, c]) for c in range(SKETCH_LONGS))], names=["rep", *_BITS])
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,33 +105,33 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 1000):
             part = batch.slice(at, 1000)
-            half = np.frombuffer(b"".join(part.column("halves").to_pylist()), np.uint64).reshape(-1, 2, SIDE)
+            half = part.column("halves").flatten().to_numpy().view(np.uint64).reshape(-1, 2, SIDE)
             key = wh.mix(wh.mix(half[:, 0, :, None] + cell) + half[:, 1, None, :])
             rep = np.repeat(part.column("rep").to_numpy(), SIDE * SIDE)
-            yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), pa.array(rep)], names=["key", "rep"])
+            cells = np.tile(np.arange(SIDE * SIDE, dtype=np.int32), len(part))
+            yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), pa.array(cells), pa.array(rep)], names=["key", "cell", "rep"])
 
 
 def _shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by key, those whose key has another row; holds one batch and one row."""
-    held: tuple[int, int] | None = None
+    held: pa.RecordBatch | None = None
     held_used = False
     for batch in batches:
         if not batch.num_rows:
             continue
-        key, rep = batch.column("key").to_numpy(), batch.column("rep").to_numpy()
         if held is not None:
-            key, rep = np.concatenate([[held[0]], key]), np.concatenate([[held[1]], rep])
+            batch = pa.concat_batches([held, batch])
+        key = batch.column("key").to_numpy()
         same = key[1:] == key[:-1]
         used = np.zeros(len(key), bool)
         used[1:] |= same
         used[:-1] |= same
         used[0] |= held_used
-        out = used.copy()
-        out[-1] = False
-        held, held_used = (int(key[-1]), int(rep[-1])), bool(used[-1])
-        yield pa.RecordBatch.from_arrays([pa.array(key[out]), pa.array(rep[out])], names=["key", "rep"])
+        held, held_used = batch.slice(len(key) - 1), bool(used[-1])
+        used[-1] = False
+        yield batch.filter(pa.array(used))
     if held is not None and held_used:
-        yield pa.RecordBatch.from_arrays([pa.array([held[0]], pa.int64()), pa.array([held[1]], pa.int64())], names=["key", "rep"])
+        yield held
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,48 +144,56 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(hit)), batch.column("b").filter(pa.array(hit))], names=["u", "v"])
 
 
-def _possible(pairs: DataFrame) -> DataFrame:
-    """Pairs of sides a_* and b_* that pass the bounds on length and sketch."""
-    differ = " + ".join(f"bit_count(a.s{k} ^ b.s{k})" for k in range(SKETCH_LONGS))
-    return pairs.where(F.expr(f"100 * least(a.n, b.n) >= {PERCENT} * greatest(a.n, b.n) and {64 * SKETCH_LONGS} - ({differ}) >= {SKETCH_LEAST}")).select(F.least("a.rep", "b.rep").alias("a"), F.greatest("a.rep", "b.rep").alias("b")).where("a <> b").distinct()
+def _alike() -> str:
+    """The bounds on length and sketch of a pair a, b."""
+    differ = " + ".join(f"bit_count(a.{x} ^ b.{x})" for x in _BITS)
+    return f"100 * least(a.n, b.n) >= {PERCENT} * greatest(a.n, b.n) and {64 * SKETCH_LONGS} - ({differ}) >= {SKETCH_LEAST}"
+
+
+def _first_table() -> str:
+    """Whether no table before this one, in rows and columns of the grid of tables, holds both a and b."""
+    apart = "not exists(zip_with(slice(a.halves, {0}, {1}), slice(b.halves, {0}, {1}), (p, q) -> p = q), r -> r)"
+    return f"{apart.format('1', f'cast(cell div {SIDE} as int)')} and {apart.format(SIDE + 1, f'cast(cell % {SIDE} as int)')}"
 
 
 def classes(docs: DataFrame) -> DataFrame:
     """documents (doc_id, text) -> (doc_id, n_shingles, component_id, kept), one row per input row."""
     prepare(docs.sparkSession)
     docs = docs.select("doc_id", "text")
-    sketch = written(docs.mapInArrow(_sketches, _SKETCH), "sketch")
+    sets = written(docs.mapInArrow(_hashed_sets, _SETS), "sets")
     sig = ["sig_a", "sig_b", "n_shingles"]
-    groups = sketch.where("n_shingles > 0 and doc_id is not null").groupBy(*sig).agg(F.min(F.struct("doc_id", "halves", "s0", "s1", "s2", "s3")).alias("x"))
-    groups = written(groups.select(*sig, F.col("x.doc_id").alias("rep"), F.col("n_shingles").alias("n"), "x.halves", *(f"x.s{k}" for k in range(SKETCH_LONGS))), "representatives")
-    keyed = groups.select("rep", "halves").mapInArrow(_keys, "key long, rep long")
-    keyed = keyed.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(_shared_keys, "key long, rep long")
-    bucket = written(keyed, "buckets")
-    side = groups.select("rep", "n", *(f"s{k}" for k in range(SKETCH_LONGS)))
-    bucket = written(bucket.join(side, "rep").select("key", F.struct("rep", "n", *(f"s{k}" for k in range(SKETCH_LONGS))).alias("m")), "members")
-    texts = written(docs.join(bucket.select(F.col("m.rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), "texts")
+    groups = sets.where("n_shingles > 0 and doc_id is not null").groupBy(*sig).agg(F.min(F.struct("doc_id", "halves")).alias("x"))
+    groups = written(groups.select(*sig, F.col("x.doc_id").alias("rep"), F.col("n_shingles").alias("n"), "x.halves"), "representatives")
+    row = "key long, cell int, rep long"
+    keyed = groups.select("rep", "halves").mapInArrow(_keys, row)
+    bucket = written(keyed.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(_shared_keys, row), "buckets")
+    texts = written(docs.join(bucket.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), "texts")
+    marks = written(texts.mapInArrow(_marks, _MARKS).join(groups.select("rep", "n", "halves"), "rep"), "marks")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         a = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
         both = a.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
         return both.select("a", "b", "text_a", "text_b").mapInArrow(_confirm, "u long, v long")
 
-    order = Window.partitionBy("key").orderBy("m")
-    near = bucket.select("m", F.first("m").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("f"), F.lag("m").over(order).alias("p"))
-    tried = written(_possible(near.where("p is not null").select(F.col("m").alias("a"), F.explode(F.array_distinct(F.array("f", "p"))).alias("b"))), "first-pairs")
+    order = Window.partitionBy("key").orderBy("rep")
+    near = bucket.select("rep", F.first("rep").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("f"), F.lag("rep").over(order).alias("p"))
+    pairs = near.where("p is not null").select(F.explode(F.array_distinct(F.array("f", "p"))).alias("x"), F.col("rep").alias("y")).where("x <> y").distinct()
+    sized = marks.drop("halves")
+    tried = pairs.join(sized.alias("a"), F.col("x") == F.col("a.rep")).join(sized.alias("b"), F.col("y") == F.col("b.rep")).where(_alike())
+    tried = written(tried.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "first-pairs")
     links = written(confirmed(tried), "links")
     first = components(links)
-    labelled = bucket.join(first, bucket["m.rep"] == first["node"], "left").select("key", "m", F.coalesce("root", "m.rep").alias("c"))
+    labelled = bucket.join(first, bucket["rep"] == first["node"], "left").select("key", "cell", "rep", F.coalesce("root", "rep").alias("c"))
     mixed = labelled.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-    open_ = written(labelled.join(mixed, "key", "left_semi"), "open")
-    x, y = open_.select("key", F.col("m").alias("a"), F.col("c").alias("ca")), open_.select("key", F.col("m").alias("b"), F.col("c").alias("cb"))
-    differ = " + ".join(f"bit_count(a.s{k} ^ b.s{k})" for k in range(SKETCH_LONGS))
-    met = x.join(y, (x["key"] == y["key"]) & F.expr(f"ca < cb and 100 * least(a.n, b.n) >= {PERCENT} * greatest(a.n, b.n) and {64 * SKETCH_LONGS} - ({differ}) >= {SKETCH_LEAST}"))
+    open_ = labelled.join(mixed, "key", "left_semi")
+    side = lambda x: open_.join(marks, "rep").select("key", *(["cell"] if x == "a" else []), F.struct("rep", "n", "halves", *_BITS).alias(x), F.col("c").alias(f"c{x}"))
+    a, b = side("a"), side("b")
+    met = a.join(b, (a["key"] == b["key"]) & F.expr("ca < cb and " + _alike() + " and " + _first_table()))
     rest = met.select(F.least("a.rep", "b.rep").alias("a"), F.greatest("a.rep", "b.rep").alias("b")).distinct()
     more = confirmed(rest.join(tried, ["a", "b"], "left_anti"))
     last = components(links.unionByName(more))
     named = groups.select(*sig, "rep").join(last, groups["rep"] == last["node"], "left").select(*sig, F.coalesce("root", "rep").alias("class_id"))
-    out = sketch.select("doc_id", *sig).join(named, sig, "left")
+    out = sets.select("doc_id", *sig).join(named, sig, "left")
     alone = F.col("n_shingles") == 0
     return out.select("doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
