@@ -1,0 +1,39 @@
+"""Structured Streaming over the trace table: windows with watermarks, sessions, deduplication, sinks."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from ..operators.observability import window_stats
+
+
+def trace_stream(spark: SparkSession, path: str, schema: object, files_per_trigger: int | None = None) -> DataFrame:
+    """A folder of parquet files as a stream; ts without a zone is read as UTC of the session."""
+    reader = spark.readStream.schema(schema)
+    if files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    return reader.parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def windowed_stats(traces: DataFrame, length: str = "15 minutes", slide: str | None = "1 minute", late: str = "10 minutes") -> DataFrame:
+    return window_stats(traces.withWatermark("ts", late), length, slide)
+
+
+def sessions(traces: DataFrame, key: str, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
+    """(key, start, end, events): runs of events without a pause of gap."""
+    s = traces.withWatermark("ts", late) if traces.isStreaming else traces
+    g = s.groupBy(F.session_window("ts", gap).alias("w"), key).agg(F.count("*").alias("events"))
+    return g.select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "events")
+
+
+def distinct_traces(traces: DataFrame, key: str = "trace_id", late: str = "10 minutes") -> DataFrame:
+    return traces.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
+
+
+def run_available(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
+    """Writes what is there to parquet files, once, exactly once over restarts."""
+    q = df.writeStream.outputMode(mode).format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return q
