@@ -1,18 +1,23 @@
 """Quality rules: plain counts of a text, and the fertility of a public tokeniser on it.
 
 Each word of a text is encoded on its own with a public byte-fallback vocabulary (a word's pieces
-never cross white space there). Measured per text: code points per token, share of byte-fallback
-tokens, and entropy of the token distribution as a share of the most that so many tokens could have.
-A text is kept if it passes the plain rules and lies within the bands of its script; texts with under
-MIN_TOKENS tokens are too short for the bands on entropy and keep the others. The script is that of
-most letters, by UTF-8 lead bytes.
-
-One map-side pass without an exchange; the file of the vocabulary is read on the driver and broadcast
-(its size is fixed). Words are encoded once for each chunk of rows, so memory is bounded by a chunk:
-a few MB of text, or one longer text.
+never cross white space there). Measured per text: code points per token, tokens per word, share of
+byte-fallback tokens, and entropy of the token distribution as a share of the most that so many tokens, ENTROPY_CAP
+at most, could have. A text is kept if it passes the plain rules and lies within two kinds of bands:
+fixed ones for its script (that of most letters, by UTF-8 lead bytes), and ones for its language,
+around the median of all texts of that language, some robust standard deviations wide (from
+histograms over all texts of at least MIN_TOKENS tokens) and wider for short texts, by the square root
+of 1 + SHORT / tokens. Languages with fewer than MIN_TEXTS such texts, and texts of fewer tokens, have
+the fixed bands alone.
+
+Texts are read once, map-side; the measures, a hundred bytes a text, go to a table in the shared
+folder, and counts by language and histogram bin are all that is exchanged and reaches the driver
+(BINS bins a measure and language). The vocabulary's file is read on the driver and broadcast (its
+size is fixed). Words are encoded once for each chunk of rows, so memory is bounded by a chunk: a few
+MB of text, or one longer text.
 
 Defined cases: null and white-space texts have no words, so base_failed is true and kept false, with
-measures null. Rows are independent: repeated ids and other columns change nothing.
+measures null. A null language is one of its own. Repeated ids and other columns change nothing.
 """
 
 from __future__ import annotations
@@ -25,28 +30,33 @@ import public_tokenizers
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import wordhash as wh
-from .shared import prepare, table
+from .shared import prepare, table, written
 
 VOCABULARY = "piece_bpe_32k.model"
 MIN_WORDS, MAX_REPEAT_PERCENT, REPEAT_WINDOW, MIN_TOKENS = 20, 30, 8, 100
 SYMBOLS = "#*$%&|<>"
+ENTROPY_CAP, SHORT, MIN_TEXTS, BINS = 512, 300, 100, 2000
 #: Per script: least and most code points per token, most byte-fallback share, least and most entropy share.
 BANDS: dict[str, tuple[float, float, float, float, float]] = {
-    "latin": (1.35, 5.5, 0.05, 0.55, 0.985),
-    "cyrillic": (1.0, 5.0, 0.10, 0.55, 0.985),
-    "greek": (0.8, 4.0, 0.20, 0.50, 0.985),
-    "cjk": (0.4, 2.5, 0.60, 0.45, 0.995),
-    "other": (0.3, 5.0, 0.80, 0.40, 0.995),
+    "latin": (1.35, 6.5, 0.05, 0.45, 1.0),
+    "cyrillic": (1.0, 6.0, 0.10, 0.45, 1.0),
+    "greek": (0.8, 5.0, 0.20, 0.40, 1.0),
+    "cjk": (0.4, 3.0, 0.60, 0.35, 1.0),
+    "other": (0.3, 6.0, 0.80, 0.35, 1.0),
 }
+#: Measures with a band by language: the width of a histogram bin, the half-width of the band in robust
+#: standard deviations, and its least half-width.
+LEARNED = {"chars_per_token": (0.005, 6.0, 0.1), "tokens_per_word": (0.005, 6.0, 0.25), "entropy_share": (0.001, 4.0, 0.05)}
 _TABLE = wh.byte_table(505, fold=False)
 _SCRIPT = np.full(256, -1, np.int8)
 for _range, _code in ((range(65, 91), 0), (range(97, 123), 0), (range(0xC3, 0xCB), 0), (range(0xD0, 0xD5), 1), (range(0xCD, 0xD0), 2), (range(0xE3, 0xEE), 3), (range(0xD5, 0xE3), 4), (range(0xEE, 0xF5), 4)):
     _SCRIPT[list(_range)] = _code
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(SYMBOLS.encode())] = True
-_OUT = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, script string, chars_per_token double, byte_share double, entropy_share double"
+_OUT = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, in_script boolean, script string, n_tokens long, chars_per_token double, tokens_per_word double, byte_share double, entropy_share double"
 
 
 class Encoder:
@@ -145,24 +155,63 @@ def _rules(batches: Iterator[pa.RecordBatch], model: object, bands: dict) -> Ite
             some = tokens > 0
             per = np.divide(chars, tokens, out=np.zeros(j - i), where=some)
             share = np.divide(fallback, tokens, out=np.zeros(j - i), where=some)
-            ratio = np.divide(entropy, np.log2(np.maximum(tokens, 2)), out=np.zeros(j - i), where=some)
+            ratio = np.divide(entropy, np.log2(np.clip(tokens, 2, ENTROPY_CAP)), out=np.zeros(j - i), where=some)
             failed = (n_words < MIN_WORDS) | (100 * repeat > MAX_REPEAT_PERCENT * n_words)
             lim = limits[script]
             good = (per >= lim[:, 0]) & (per <= lim[:, 1]) & (share <= lim[:, 2]) & ((tokens < MIN_TOKENS) | ((ratio >= lim[:, 3]) & (ratio <= lim[:, 4])))
-            measures = [pa.array(x, mask=~some) for x in (per, share, ratio)]
+            measures = [pa.array(x, mask=~some) for x in (per, tokens / np.maximum(n_words, 1), share, ratio)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").slice(i, j - i), *map(pa.array, (n_words, chars, _by_text(_SYMBOL[part], own), lines, repeat, failed, ~failed & good)), pa.array([names[k] if s else None for k, s in zip(script, some, strict=True)], pa.string()), *measures],
+                [batch.column("doc_id").slice(i, j - i), batch.column("lang").slice(i, j - i), *map(pa.array, (n_words, chars, _by_text(_SYMBOL[part], own), lines, repeat, failed, good)), pa.array([names[k] if s else None for k, s in zip(script, some, strict=True)], pa.string()), pa.array(tokens), *measures],
                 names=[x.split()[0] for x in _OUT.split(", ")],
             )
 
 
+def _around(counts: dict[int, int], width: float, spread: float, least: float) -> tuple[float, float]:
+    """Median and half-width of the band of a histogram."""
+
+    def median(c: list[tuple[float, int]]) -> float:
+        total, seen = sum(n for _, n in c), 0
+        for x, n in sorted(c):
+            seen += n
+            if 2 * seen >= total:
+                return x
+        return 0.0
+
+    centre = median([((b + 0.5) * width, n) for b, n in counts.items()])
+    deviation = 1.4826 * median([(abs((b + 0.5) * width - centre), n) for b, n in counts.items()])
+    return centre, max(spread * deviation, least)
+
+
+def language_bands(measured: DataFrame) -> DataFrame:
+    """(band_lang, then centre and half-width of each learned measure), from histograms over all texts."""
+    enough = measured.where(F.col("n_tokens") >= MIN_TOKENS).select(F.coalesce("lang", F.lit("")).alias("lang"), *LEARNED)
+    rows: dict[str, list] = {}
+    for name, (width, spread, least) in LEARNED.items():
+        bin_ = F.least(F.floor(F.col(name) / width), F.lit(BINS - 1)).cast("int")
+        found: dict[str, dict[int, int]] = {}
+        for lang, b, n in enough.groupBy("lang", bin_.alias("b")).count().collect():
+            found.setdefault(lang, {})[b] = n
+        for lang, counts in found.items():
+            if sum(counts.values()) >= MIN_TEXTS:
+                rows.setdefault(lang, [lang]).extend(_around(counts, width, spread, least))
+    schema = ", ".join(["band_lang string", *(f"{n}_mid double, {n}_half double" for n in LEARNED)])
+    return measured.sparkSession.createDataFrame([tuple(r) for r in rows.values()], schema)
+
+
 def quality_rules(docs: DataFrame, vocabulary: str | None = None, bands: dict | None = None) -> DataFrame:
-    """documents (doc_id, text) -> a row per document with the counts, the measures and the verdict."""
+    """documents (doc_id, text, lang) -> a row per document with the counts, the measures and the verdict."""
     spark = docs.sparkSession
     prepare(spark)
     with open(vocabulary or public_tokenizers.path(VOCABULARY), "rb") as f:
         model = spark.sparkContext.broadcast(f.read())
-    return docs.select("doc_id", "text").mapInArrow(partial(_rules, model=model, bands=bands or BANDS), _OUT)
+    measured = written(docs.select("doc_id", "text", "lang").mapInArrow(partial(_rules, model=model, bands=bands or BANDS), _OUT), "measures")
+    met = measured.join(language_bands(measured), F.coalesce("lang", F.lit("")) == F.col("band_lang"), "left")
+    near = F.lit(True)
+    for name in LEARNED:
+        near = near & F.coalesce(F.abs(F.col(name) - F.col(f"{name}_mid")) <= F.col(f"{name}_half") * F.sqrt(1 + SHORT / F.col("n_tokens")), F.lit(True))
+    kept = ~F.col("base_failed") & F.col("in_script") & ((F.col("n_tokens") < MIN_TOKENS) | near)
+    counts = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    return met.select(*counts, kept.alias("kept"), "script", "n_tokens", "chars_per_token", "tokens_per_word", "byte_share", "entropy_share")
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
