@@ -116,7 +116,7 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: str | None =
     """old with rows of new put in by key: the last row of a key wins; columns in keep stay as they were."""
     w = Window.partitionBy(*keys).orderBy(F.desc(order) if order else F.lit(0))
     last = new.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n") if order else new.dropDuplicates(keys)
-    both = old.alias("o").join(last.alias("n"), keys, "full_outer")
-    there = F.coalesce(*(F.col(f"n.{c}") for c in new.columns if c not in keys)).isNotNull()
+    both = old.alias("o").join(last.withColumn("_new", F.lit(True)).alias("n"), keys, "full_outer")
+    there = F.coalesce("_new", F.lit(False))
     pick = lambda c: F.coalesce(f"o.{c}", f"n.{c}") if c in keep else F.when(there, F.col(f"n.{c}")).otherwise(F.col(f"o.{c}"))
     return both.select(*keys, *(pick(c).alias(c) for c in old.columns if c not in keys))
