@@ -6,8 +6,8 @@ benchmark   drops documents that hold a benchmark window
 pii         puts each span of personal data as its kind in brackets, and counts n_chars anew
 mixing      chooses documents by the weights of domain, language and source; adds its columns
 
-Stages but the last return the columns that they were given. Rows with a null doc_id, or with one
-doc_id and several texts, are judged row by row.
+Stages but the last return the columns that they were given. Rows of one doc_id (null is one) stay
+together, if any of them is to stay. Empty tables give empty tables.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ LEAST_SCORE = 0.5
 
 
 def _where(docs: DataFrame, verdicts: DataFrame, condition: str) -> DataFrame:
-    """Rows of docs whose doc_id has a verdict that meets the condition; verdicts has a row for each row."""
+    """Rows of docs whose doc_id has a verdict that meets the condition; null is a doc_id like others."""
     kept = verdicts.where(condition).select(F.col("doc_id").alias("_id")).distinct()
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi")
 

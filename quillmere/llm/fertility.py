@@ -208,7 +208,7 @@ def quality_rules(docs: DataFrame, vocabulary: str | None = None, bands: dict |
     met = measured.join(language_bands(measured), F.coalesce("lang", F.lit("")) == F.col("band_lang"), "left")
     near = F.lit(True)
     for name in LEARNED:
-        near = near & F.coalesce(F.abs(F.col(name) - F.col(f"{name}_mid")) <= F.col(f"{name}_half") * F.sqrt(1 + SHORT / F.col("n_tokens")), F.lit(True))
+        near = near & F.coalesce(F.abs(F.col(name) - F.col(f"{name}_mid")) <= F.col(f"{name}_half") * F.sqrt(1 + SHORT / F.greatest(F.col("n_tokens"), F.lit(1))), F.lit(True))
     kept = ~F.col("base_failed") & F.col("in_script") & ((F.col("n_tokens") < MIN_TOKENS) | near)
     counts = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
     return met.select(*counts, kept.alias("kept"), "script", "n_tokens", "chars_per_token", "tokens_per_word", "byte_share", "entropy_share")
