@@ -9,7 +9,7 @@ are counted over all candidates of all texts, at most a few thousand distinct co
 all that reaches the driver. Expectation-maximisation (two classes, one reliability for each labeler
 and class, silent labelers left out) turns votes into probabilities; these weigh a naive Bayes
 classifier over the span's features, which judges each candidate. Base spans always stay; a candidate
-that overlaps one is dropped.
+that lies within one is dropped.
 
 Patterns are possessive and start at the end of the last match or at the start of a run, which finds
 the same matches as the plain ones without going over a long run again from each of its characters.
@@ -178,17 +178,19 @@ class SpanClassifier:
         post, self.rates = estimate([(dict(zip(votes, k, strict=True)), n) for k, n in combos.items()])
         chance = dict(zip(combos, post, strict=True))
         total = [PRIOR, PRIOR]
-        seen: dict[str, dict[int, list[float]]] = {k: {} for k in feats}
+        seen: dict[str, dict[int, list[float]]] = {k: {r[f"f_{k}"]: [PRIOR, PRIOR] for r in rows} for k in feats}
         for r in rows:
             p, n = chance[tuple(r[f"v_{k}"] for k in votes)], r["count"]
             total[0] += n * (1 - p)
             total[1] += n * p
             for k in feats:
-                cell = seen[k].setdefault(r[f"f_{k}"], [PRIOR, PRIOR])
+                cell = seen[k][r[f"f_{k}"]]
                 cell[0] += n * (1 - p)
                 cell[1] += n * p
         self.bias = math.log(total[1] / total[0])
-        self.weights = {k: {v: math.log(b / total[1]) - math.log(a / total[0]) for v, (a, b) in sorted(x.items())} for k, x in seen.items()}
+        for k, x in seen.items():
+            none, some = (sum(c[i] for c in x.values()) for i in (0, 1))
+            self.weights[k] = {v: math.log(b / some) - math.log(a / none) for v, (a, b) in sorted(x.items())}
         return self
 
     def accepts(self, m: Column, before: Column) -> Column:
@@ -209,7 +211,7 @@ def found_spans(docs: DataFrame, model: SpanClassifier, text: str = "text") -> D
     """docs plus pii_spans, a sorted array of (start, k, end), k counting KINDS; code points, end exclusive."""
     body = F.coalesce(F.col(text), F.lit(""))
     base = docs.withColumn("_base", F.concat(*(_tagged(base_spans(body, k), k) for k in KINDS[:4])))
-    more = F.filter(candidates(body), lambda s: model.accepts(s["m"], s["before"]) & ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    more = F.filter(candidates(body), lambda s: model.accepts(s["m"], s["before"]) & ~F.exists("_base", lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"])))
     return base.withColumn("pii_spans", F.array_sort(F.concat("_base", _tagged(more, "secret")))).drop("_base")
 
 
