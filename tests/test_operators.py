@@ -17,7 +17,8 @@ def one(spark, column):
 
 def test_markers_and_pages(spark):
     raw = F.lit("--- [batch trang 16-30/82] ---\n--- Trang 1 ---\nA\n-- trang 2 --\nB")
-    assert one(spark, T.strip_markers(raw)) == "\n\nA\n\nB"
+    assert one(spark, T.strip_markers(raw)) == "\nA\n\nB"
+    assert one(spark, T.tag_pages(F.lit("--- Trang 3 ---\n\n \nA\n\nB\n-- Trang 4 --\n"))) == "[PG:3]\nA\n\nB\n[PG:4]"
     assert one(spark, T.tag_pages(raw)) == "\n[PG:16]\nA\n[PG:17]\nB"
     assert tuple(one(spark, T.page_range(T.tag_pages(raw)))) == (16, 17)
     assert tuple(one(spark, T.page_range(F.lit("none")))) == (None, None)
