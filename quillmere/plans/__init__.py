@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import answers, operations, retrieval, text
+from . import answers, experiments, operations, retrieval, text
 
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES = (retrieval, text, answers, operations)
+_MODULES = (retrieval, text, answers, operations, experiments)
 QUERIES: dict[str, Query] = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 SQL: dict[str, str] = {k: s for m in _MODULES for k, s in m.SQL.items()}
