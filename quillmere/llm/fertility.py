@@ -12,7 +12,8 @@ the fixed bands alone.
 
 Texts are read once, map-side; the measures, a hundred bytes a text, go to a table in the shared
 folder, and counts by language and histogram bin are all that is exchanged and reaches the driver
-(BINS bins a measure and language). The vocabulary's file is read on the driver and broadcast (its
+(BINS equal bins a measure and language, and beyond them bins that widen by 1 / BINS of the value, so
+that no value is cut: some BINS more for each factor of e). The vocabulary's file is read on the driver and broadcast (its
 size is fixed). Words are encoded once for each chunk of rows, so memory is bounded by a chunk: a few
 MB of text, or one longer text.
 
@@ -22,6 +23,7 @@ measures null. A null language is one of its own. Repeated ids and other columns
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import partial
 
@@ -166,6 +168,16 @@ def _rules(batches: Iterator[pa.RecordBatch], model: object, bands: dict) -> Ite
             )
 
 
+def _bin(value: F.Column, width: float) -> F.Column:
+    """Number of a value's bin: BINS of one width, then of the same share of the value without end."""
+    top = BINS * width
+    return F.when(value < top, F.floor(value / width)).otherwise(BINS + F.floor(BINS * F.log(value / top))).cast("int")
+
+
+def _middle(b: int, width: float) -> float:
+    return (b + 0.5) * width if b < BINS else BINS * width * math.exp((b - BINS + 0.5) / BINS)
+
+
 def _around(counts: dict[int, int], width: float, spread: float, least: float) -> tuple[float, float]:
     """Median and half-width of the band of a histogram."""
 
@@ -177,8 +189,8 @@ def _around(counts: dict[int, int], width: float, spread: float, least: float) -
                 return x
         return 0.0
 
-    centre = median([((b + 0.5) * width, n) for b, n in counts.items()])
-    deviation = 1.4826 * median([(abs((b + 0.5) * width - centre), n) for b, n in counts.items()])
+    centre = median([(_middle(b, width), n) for b, n in counts.items()])
+    deviation = 1.4826 * median([(abs(_middle(b, width) - centre), n) for b, n in counts.items()])
     return centre, max(spread * deviation, least)
 
 
@@ -187,9 +199,8 @@ def language_bands(measured: DataFrame) -> DataFrame:
     enough = measured.where(F.col("n_tokens") >= MIN_TOKENS).select(F.coalesce("lang", F.lit("")).alias("lang"), *LEARNED)
     rows: dict[str, list] = {}
     for name, (width, spread, least) in LEARNED.items():
-        bin_ = F.least(F.floor(F.col(name) / width), F.lit(BINS - 1)).cast("int")
         found: dict[str, dict[int, int]] = {}
-        for lang, b, n in enough.groupBy("lang", bin_.alias("b")).count().collect():
+        for lang, b, n in enough.groupBy("lang", _bin(F.col(name), width).alias("b")).count().collect():
             found.setdefault(lang, {})[b] = n
         for lang, counts in found.items():
             if sum(counts.values()) >= MIN_TEXTS:

@@ -156,6 +156,20 @@ def test_fertility(docs, none):
     assert (line.n_dup_lines, line.n_repeat_words, line.base_failed) == (29, 90, True)
 
 
+def test_bands_of_an_unspaced_script(spark):
+    rng = random.Random(8)
+    kana = [chr(c) for c in range(0x3042, 0x3094)]
+    clause = lambda: "".join(rng.choice(kana) for _ in range(rng.randint(25, 60))) + "。"
+    rows = [(i, " ".join(clause() for _ in range(rng.randint(20, 40))), "ja") for i in range(150)]
+    got = fertility.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert min(r.tokens_per_word for r in got) > 20 and all(r.kept for r in got)
+    tokens, measured = sorted(r.tokens_per_word for r in got), [(r.n_tokens, "ja", r.chars_per_token, r.tokens_per_word, r.entropy_share) for r in got]
+    band = fertility.language_bands(spark.createDataFrame(measured, "n_tokens long, lang string, chars_per_token double, tokens_per_word double, entropy_share double")).first()
+    middle = tokens[74]
+    assert band.tokens_per_word_mid == pytest.approx(middle, rel=1e-3)
+    assert band.tokens_per_word_half == pytest.approx(6 * 1.4826 * sorted(abs(x - middle) for x in tokens)[74], abs=0.3)
+
+
 def base_spans(t):
     kinds = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
