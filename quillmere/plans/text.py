@@ -60,11 +60,11 @@ def chunks_recursive(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def chunks_parent_child(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents as articles of three clauses."""
+    """Whole documents as the first clause of an article; another article follows."""
     t = F.coalesce("text", F.lit(""))
-    body = F.concat(F.lit("Chương I\nChung\nĐiều 1. Một\n1. "), F.substring(t, 1, 90), F.lit("\n2. b c\nĐiều 2. Hai\n1. d\n"))
-    c = chunking.chunk(table(spark, sf, "documents").select("doc_id", F.regexp_replace(body, "[\r]", "").alias("text")), "doc_id", "parent_child")
-    return c.select("doc_id", "chunk_index", "section", "heading", "parent_index")
+    body = F.concat(F.lit("Chương I\nChung\nĐiều 1. Một\n1. "), t, F.lit("\n2. b c\nĐiều 2. Hai\n1. d\n"))
+    c = chunking.chunk(table(spark, sf, "documents").select("doc_id", body.alias("text")), "doc_id", "parent_child")
+    return c.select("doc_id", "chunk_index", "section", "heading", "parent_index", F.md5("text").alias("text_md5"), F.col("token_count").cast("long").alias("token_count"))
 
 
 def chunk_assembly(spark: SparkSession, sf: str) -> DataFrame:

@@ -1,6 +1,8 @@
 """Operators on small literals."""
 
+import hashlib
 import math
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +10,7 @@ from pyspark.sql import functions as F
 from quillmere import streaming
 from quillmere.functions import text as T
 from quillmere.operators import checks, chunking, citations, feedback, gate, index, metrics, observability, policy, prompts, search
+from quillmere.plans import QUERIES
 from quillmere.sources import files, web
 
 
@@ -50,6 +53,38 @@ def test_chunkers():
     assert all(len(t.split()) <= 12 for t, *_ in chunking.recursive("x y. " * 40, 10, 2))
 
 
+def brute_tree(text):
+    """(section, heading, parent, text) of the chunks of a document in its two articles, line by line."""
+    lines = f"Chương I\nChung\nĐiều 1. Một\n1. {text or ''}\n2. b c\nĐiều 2. Hai\n1. d\n".split("\n")
+    chapter, parts, out = "", [], []
+    for k, line in enumerate(lines):
+        if re.fullmatch(r"Chương [IVX]+", line):
+            chapter = f"{line}: {lines[k + 1]}"
+        if m := re.fullmatch(r"Điều (\d+)\. ([^\n]*)", line):
+            parts.append((f"Điều {m[1]}", f"{chapter} - {m[2].strip()}", []))
+        if parts:
+            parts[-1][2].append(line)
+    for section, heading, own in parts:
+        parent, groups = len(out), [["", []]]
+        out.append((section, heading, None, "\n".join(own).strip()))
+        for line in own:
+            if m := re.match(r"(\d{1,2})\. ", line):
+                if groups[-1][0]:
+                    groups.append([m[1], []])
+                groups[-1][0] = m[1]
+            groups[-1][1].append(line)
+        out += [(f"{section}, Khoản {n}", heading, parent, "\n".join(g).strip()) for n, g in groups if n]
+    return out
+
+
+def test_parent_child_takes_whole_documents(spark, tmp_path):
+    long = " ".join(f"từ{k}" for k in range(400))
+    texts = [long, f"{long}\n7. mục {long}\n123. không phải mục", f"x\nĐiều 9. Giữa\nlời dẫn\n1. {long}\n\n  2. lùi\n3. c\r\nd", f"{long}\nChương II\nPhần sau\nĐiều 4. Cuối\nkhông có mục", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(((r.doc_id, r.chunk_index, r.section, r.heading, r.parent_index, r.text_md5, r.token_count) for r in QUERIES["chunks_parent_child"](spark, str(tmp_path)).collect()), key=lambda r: r[:2])
+    assert got == [(i, k, s, h, p, hashlib.md5(t.encode()).hexdigest(), len(t.split())) for i, x in enumerate(texts) for k, (s, h, p, t) in enumerate(brute_tree(x))]
+
+
 def test_fixed_windows(spark):
     d = spark.createDataFrame([(1, " ".join(map(str, range(700)))), (2, ""), (3, "a b")], "doc_id long, text string")
     got = [(r.doc_id, r.chunk_index, r.token_count) for r in chunking.chunk(d, "doc_id", "fixed").orderBy("doc_id", "chunk_index").collect()]
