@@ -8,8 +8,10 @@ documented bound), chosen by hash. Counts of texts by language cover all trainin
 
 Words are runs of letters (ASCII letters and all non-ASCII characters), lower-cased, with the
 vocabulary's word mark before them; runs over LONGEST characters are cut. The passes run over all
-distinct words of a chunk of rows at once. What is broadcast is languages x vocabulary in size, with
-at most MAX_LANGUAGES languages (an error beyond).
+distinct words of a chunk of rows at once. Languages are taken in blocks of BLOCK, in the fit and in
+the prediction: a worker holds one block's probabilities (BLOCK x vocabulary) at a time and each text's
+best language and sum so far, so any number of languages is learned; the driver holds the counts
+of the pieces that a language's sample has.
 
 Defined cases: text null or without a letter gives 'und' and score 0; so do all texts if nothing can
 be learned. A null doc_id is not held out and is not learned from. Ties go to the language first in
@@ -32,7 +34,7 @@ from . import wordhash as wh
 from .shared import prepare, table
 
 VOCABULARY = "piece_bpe_32k.model"
-SAMPLE, ROUNDS, LONGEST, MAX_LANGUAGES, FOLDS = 300, 3, 48, 64, 5
+SAMPLE, ROUNDS, LONGEST, BLOCK, FOLDS = 300, 3, 48, 64, 5
 UNKNOWN, SMOOTH = 1e-7, 200.0
 MARK = "▁"
 _TABLE = wh.byte_table(909, fold=True)
@@ -189,14 +191,13 @@ def _distinct(data: np.ndarray, offsets: np.ndarray) -> tuple[list[str], np.ndar
     return units, doc, inverse, letters
 
 
-def _counted(batches: Iterator[pa.RecordBatch], model: object, p: object, langs: list[str]) -> Iterator[pa.RecordBatch]:
-    """Expected counts of pieces by language over the training texts of a partition."""
+def _counted(batches: Iterator[pa.RecordBatch], model: object, p: object, first: int) -> Iterator[pa.RecordBatch]:
+    """Expected counts of pieces by language of the block that begins at first, over the training texts of a partition."""
     pieces, prob = worker_pieces(model.value), p.value
-    counts = np.zeros((len(langs), len(pieces.texts) + 1))
-    place = {x: k for k, x in enumerate(langs)}
+    counts = np.zeros((prob.shape[1], len(pieces.texts) + 1))
     for batch in batches:
         data, offsets = wh.text_buffer(batch.column("text"))
-        lang = np.array([place[x] for x in batch.column("lang").to_pylist()], np.int64)
+        lang = np.array(batch.column("place").to_pylist(), np.int64) - first
         for i, j in wh.chunks(offsets):
             units, doc, unit, _ = _distinct(data, offsets[i : j + 1])
             for c in np.unique(lang[i:j]):
@@ -205,25 +206,37 @@ def _counted(batches: Iterator[pa.RecordBatch], model: object, p: object, langs:
                 for at, codes in _by_length([units[k] for k in used.tolist()]):
                     _expected(pieces.lattice(codes), prob, int(c), own[used[at]].astype(float), counts[c])
     rows, ids = np.nonzero(counts[:, :-1] > 1e-9)
-    yield pa.RecordBatch.from_arrays([pa.array(rows.astype(np.int32)), pa.array(ids.astype(np.int32)), pa.array(counts[rows, ids])], names=["lang", "piece", "n"])
+    yield pa.RecordBatch.from_arrays([pa.array((rows + first).astype(np.int32)), pa.array(ids.astype(np.int32)), pa.array(counts[rows, ids])], names=["lang", "piece", "n"])
 
 
-def _predicted(batches: Iterator[pa.RecordBatch], model: object, p: object, langs: list[str]) -> Iterator[pa.RecordBatch]:
-    pieces, prob = worker_pieces(model.value), p.value
+def _block(sent: object, alone: bool) -> np.ndarray:
+    """A block's probabilities; one of several is read again each time, so that a worker holds one."""
+    return sent.value if alone or not getattr(sent, "_path", None) else sent.load_from_path(sent._path)
+
+
+def _predicted(batches: Iterator[pa.RecordBatch], model: object, blocks: list, langs: list[str]) -> Iterator[pa.RecordBatch]:
+    pieces = worker_pieces(model.value)
     for batch in batches:
         data, offsets = wh.text_buffer(batch.column("text"))
         for i, j in wh.chunks(offsets):
             score, pred = np.zeros(j - i), np.full(j - i, -1)
             units, doc, unit, letters = _distinct(data, offsets[i : j + 1])
             if langs and units:
-                log = np.zeros((len(units), len(langs)))
-                for at, codes in _by_length(units):
-                    log[at] = _forward(pieces.lattice(codes), prob)[0]
-                total = np.stack([np.bincount(doc, weights=log[unit, c], minlength=j - i) for c in range(len(langs))], axis=1)
-                odds = np.exp(total - total.max(axis=1, keepdims=True))
-                best = total.argmax(axis=1)
+                best, most, odds = np.zeros(j - i, np.int64), np.full(j - i, -np.inf), np.zeros(j - i)
+                base = 0
+                for sent in blocks:
+                    prob = _block(sent, len(blocks) == 1)
+                    log = np.zeros((len(units), prob.shape[1]))
+                    for at, codes in _by_length(units):
+                        log[at] = _forward(pieces.lattice(codes), prob)[0]
+                    total = np.stack([np.bincount(doc, weights=log[unit, c], minlength=j - i) for c in range(prob.shape[1])], axis=1)
+                    top = total.max(axis=1)
+                    best = np.where(top > most, base + total.argmax(axis=1), best)
+                    higher = np.maximum(most, top)
+                    odds = odds * np.exp(most - higher) + np.exp(total - higher[:, None]).sum(axis=1)
+                    most, base = higher, base + prob.shape[1]
                 pred[letters] = best[letters]
-                score[letters] = (odds.max(axis=1) / odds.sum(axis=1))[letters]
+                score[letters] = (1.0 / odds)[letters]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array([langs[k] if k >= 0 else "und" for k in pred], pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
 
 
@@ -240,39 +253,50 @@ class LanguageModel:
             model = f.read()
         self.spark, self.pieces, self.model = spark, Pieces(model), spark.sparkContext.broadcast(model)
         self.langs: list[str] = []
-        self.p = None
+        self.blocks: list = []
 
     def fit(self, rows: DataFrame, sample: int = SAMPLE) -> LanguageModel:
         """rows (key, text, lang): about sample rows of each language are read, chosen by their key's hash."""
         rows = rows.where("text is not null and lang is not null")
-        seen = {r[0]: r[1] for r in rows.groupBy("lang").count().orderBy("lang").limit(MAX_LANGUAGES + 1).collect()}
-        if len(seen) > MAX_LANGUAGES:
-            raise ValueError(f"more than {MAX_LANGUAGES} languages")
-        self.langs = sorted(seen)
+        seen = rows.groupBy("lang").count().collect()
+        self.langs = sorted(r[0] for r in seen)
         if not seen:
             return self
-        share = F.element_at(F.create_map(*(F.lit(x) for k, n in seen.items() for x in (k, min(1.0, sample / n)))), F.col("lang"))
-        chosen = rows.where(F.pmod(F.xxhash64("key"), F.lit(1 << 40)) < share * float(1 << 40)).select("text", "lang").repartition(12).cache()
-        n = len(self.pieces.texts)
+        place = {x: k for k, x in enumerate(self.langs)}
+        shares = self.spark.createDataFrame([(x, place[x], min(1.0, sample / n)) for x, n in seen], "lang string, place int, share double")
+        met = rows.select("key", "text", "lang").join(F.broadcast(shares), "lang")
+        chosen = met.where(F.pmod(F.xxhash64("key"), F.lit(1 << 40)) < F.col("share") * float(1 << 40)).select("text", "place").repartition(12).cache()
+        n, starts = len(self.pieces.texts), range(0, len(self.langs), BLOCK)
         size = np.fromiter(map(len, self.pieces.texts), np.int64, n)
-        p = np.tile((0.02 ** np.minimum(size, 8))[:, None], (1, len(seen)))
+        first = (0.02 ** np.minimum(size, 8))[:, None]
+        sent = [self._send(np.tile(first, (1, min(BLOCK, len(self.langs) - k)))) for k in starts]
         for _ in range(ROUNDS):
-            p = np.vstack([p / p.sum(axis=0), np.zeros((1, len(seen)))])
-            sent = self.spark.sparkContext.broadcast(p)
-            how = partial(_counted, model=self.model, p=sent, langs=self.langs)
-            found = chosen.mapInArrow(how, "lang int, piece int, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n")).toPandas()
-            counts = np.zeros((n, len(seen)))
-            counts[found["piece"], found["lang"]] = found["n"]
-            share_all = (counts / np.maximum(counts.sum(axis=0), 1)).mean(axis=1, keepdims=True) + 1.0 / n / 100
-            p = counts + SMOOTH * share_all / share_all.sum()
+            found, share_all = [], np.zeros((n, 1))
+            for k, p in zip(starts, sent, strict=True):
+                own = chosen if len(sent) == 1 else chosen.where(F.col("place").between(k, k + BLOCK - 1))
+                how = partial(_counted, model=self.model, p=p, first=k)
+                found.append(own.mapInArrow(how, "place int, piece int, n double").groupBy("place", "piece").agg(F.sum("n").alias("n")).toPandas())
+                counts = self._counts(found[-1], k)
+                share_all += (counts / np.maximum(counts.sum(axis=0), 1)).sum(axis=1, keepdims=True)
+                p.destroy()
+            share_all = share_all / len(self.langs) + 1.0 / n / 100
+            sent = [self._send(self._counts(f, k) + SMOOTH * share_all / share_all.sum()) for k, f in zip(starts, found, strict=True)]
         chosen.unpersist()
-        self.p = self.spark.sparkContext.broadcast(np.vstack([p / p.sum(axis=0), np.zeros((1, len(seen)))]))
+        self.blocks = sent
         return self
 
+    def _counts(self, found: object, first: int) -> np.ndarray:
+        counts = np.zeros((len(self.pieces.texts), min(BLOCK, len(self.langs) - first)))
+        counts[found["piece"], found["place"] - first] = found["n"]
+        return counts
+
+    def _send(self, p: np.ndarray) -> object:
+        """A block's probabilities, with a row of zeros for no piece."""
+        return self.spark.sparkContext.broadcast(np.vstack([p / p.sum(axis=0), np.zeros((1, p.shape[1]))]))
+
     def predict(self, docs: DataFrame) -> DataFrame:
         """documents (doc_id, text) -> (doc_id, lang_pred, score), one row per input row."""
-        p = self.p or self.spark.sparkContext.broadcast(None)
-        how = partial(_predicted, model=self.model, p=p, langs=self.langs)
+        how = partial(_predicted, model=self.model, blocks=self.blocks, langs=self.langs)
         return docs.select("doc_id", "text").mapInArrow(how, f"doc_id {dict(docs.dtypes)['doc_id']}, lang_pred string, score double")
 
 

@@ -264,6 +264,21 @@ def test_language(docs, none, spark):
     assert model.predict(none).count() == 0 and {r.lang_pred for r in langid.trained_on(none).predict(docs).collect()} == {"und"}
 
 
+def test_langid_any_number_of_languages(spark, monkeypatch):
+    rng = random.Random(4)
+    text = lambda k: " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz"[k % 20 : k % 20 + 4 + k // 20]) for _ in range(rng.randint(2, 7))) for _ in range(40))
+    d = spark.createDataFrame([(3 * k + i, text(k), f"l{k:02}") for k in range(70) for i in range(3)], "doc_id long, text string, lang string").cache()
+
+    def rows():
+        return {r.doc_id: (r.lang_pred, round(r.score, 9)) for r in langid.trained_on(d).predict(d).collect()}
+
+    two = rows()
+    monkeypatch.setattr(langid, "BLOCK", 9)
+    eight = rows()
+    monkeypatch.setattr(langid, "BLOCK", 70)
+    assert two == eight == rows() and len(two) == 210 and len({x for x, _ in two.values()}) > 64
+
+
 def test_forward_sums_all_segmentations():
     import numpy as np
     import public_tokenizers
