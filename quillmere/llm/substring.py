@@ -7,14 +7,19 @@ are exchanged for the whole corpus (3 of 7 positions, 8 bytes each); windows of
 an anchor that two documents have are then compared by 96-bit hashes, and the matches extend over
 every word they cover.
 
-Exchanges carry one packed array for each chunk of rows and hash bucket, not a row for each anchor.
-An anchor or window that several documents of a chunk have is sent once for the chunk, so a passage
-that a third of all documents hold stays a few entries for every chunk. Verdicts go back by doc_id.
+Exchanges carry one packed array for each unit of rows and hash bucket, not a row for each anchor. A
+unit is what a task has read when it holds UNIT anchors or windows. An anchor or window that several
+documents of a unit have is sent once for the unit, so a passage that a third of all documents hold
+stays an entry for every unit; the unit's other documents get their verdict at once. The number of
+buckets follows the bytes of text without end, so that a bucket holds the anchors of about
+BUCKET_TEXT bytes. Texts cross one exchange, by doc_id, which both reads of them share; nothing is
+written between.
 
 Defined cases: null or white-space texts have no words and keep the digest of the empty string. A
 null doc_id is never smaller or larger than another: its row loses nothing and takes nothing away.
 Rows with one doc_id are judged alike, each on its own text. Texts of fewer than WINDOW words stay
-whole. Chunks hold at most a few MB of text, or one longer text.
+whole. Other columns are not read. Empty tables give no rows. Texts are hashed in chunks of a few MB,
+or one longer text.
 """
 
 from __future__ import annotations
@@ -30,90 +35,149 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import wordhash as wh
-from .shared import prepare, table, written
+from .shared import prepare, table
 
 WINDOW, PERIOD, COVER = 13, 7, (1, 2, 4)
 ANCHOR = WINDOW - PERIOD + 1
+#: Anchors or windows of a unit; texts of a unit (their places have 16 bits); bytes of text behind a bucket.
+UNIT, UNIT_TEXTS, BUCKET_TEXT = 1 << 20, 60_000, 128 << 20
 _TABLE = wh.byte_table(404, fold=False)
 _MANY = 0xFFFF
 _PACKED = "bucket int, batch long, ids binary, data binary"
 _HIT = "doc_id long, hashes binary"
+_ENTRY = np.dtype([("a", "<u8"), ("b", "<u4"), ("doc", "<i8")])
+_CUT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
+
 
+def _names(schema: str) -> list[str]:
+    return [x.split()[0] for x in schema.split(", ")]
 
-def _bits(spark: SparkSession) -> int:
-    """Buckets follow the number of shuffle partitions, eight for each."""
-    return min(16, max(6, (8 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()))
 
+def _bits(docs: DataFrame) -> int:
+    """Bits of the bucket's number: by the bytes of text, and at least eight buckets a shuffle partition."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(6, (8 * tasks - 1).bit_length(), (size // BUCKET_TEXT).bit_length())
 
-def _anchors(found: wh.Words, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(position, text, shortened hash) of the anchors of texts that have a window."""
+
+def _anchors(found: wh.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(position, text, hash) of the anchors of texts that have a window."""
     win, ok = wh.windows(found.hash, ANCHOR), wh.window_starts(found.offset, ANCHOR)
     doc = found.doc()[: len(win)]
     cover = np.isin(np.arange(PERIOD), COVER)
     local = np.arange(len(win)) - found.offset[doc]
     at = np.flatnonzero(ok & cover[local % PERIOD] & (found.counts[doc] >= WINDOW))
-    return at, doc[at], win[at] >> np.uint64(16 - bits)
+    return at, doc[at], win[at]
+
+
+def _edges(sorted_: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin, and the end."""
+    return np.concatenate([[0], np.flatnonzero(sorted_[1:] != sorted_[:-1]) + 1, [len(sorted_)]]) if len(sorted_) else np.zeros(1, np.int64)
+
+
+def _parts(values: np.ndarray, edges: np.ndarray) -> pa.Array:
+    """A binary for each range of values between consecutive edges."""
+    width = values.dtype.itemsize * (values.shape[1] if values.ndim > 1 else 1)
+    return pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer((edges * width).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _sent(bucket: np.ndarray, batch: np.ndarray, ids: pa.Array | None, data: pa.Array) -> pa.RecordBatch:
+    ids = pa.nulls(len(data), pa.binary()) if ids is None else ids
+    return pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int32)), pa.array(batch.astype(np.int64)), ids, data], names=_names(_PACKED))
+
+
+def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """The rows of each key; the input is sorted by it."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        keys = batch.column(key).to_numpy()
+        edges = _edges(keys)
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            if held and keys[a] != last:
+                yield int(last), pa.concat_batches(held)
+                held = []
+            last = keys[a]
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield int(last), pa.concat_batches(held)
+
+
+def _values(column: pa.Array, kind: object) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a binary column, and how many each row has."""
+    data, offsets = wh.text_buffer(column)
+    kind = np.dtype(kind)
+    return np.frombuffer(data[offsets[0] : offsets[-1]].tobytes(), kind), np.diff(offsets) // kind.itemsize
 
 
-def _rows(rows: list[tuple], schema: str) -> pa.RecordBatch:
-    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
-    names, types = zip(*(x.split() for x in schema.split(", ")), strict=True)
-    columns = zip(*rows, strict=True) if rows else [[] for _ in names]
-    return pa.RecordBatch.from_arrays([pa.array(list(c), kinds[t]) for c, t in zip(columns, types, strict=True)], names=list(names))
+def _each_chunk(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray, wh.Words]]:
+    data, offsets = wh.text_buffer(batch.column("text"))
+    for i, j in wh.chunks(offsets):
+        yield batch.slice(i, j - i), data, wh.words(data, offsets[i : j + 1], _TABLE)
 
 
 def _send_anchors(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
-    """Packed anchors by bucket: 48 bits of hash, 16 of the text's place in the chunk; the chunk's
+    """Packed anchors by bucket: 48 bits of hash, 16 of the text's place in the unit; the unit's
     doc_ids, with the anchors it shares within itself, travel in a bucket above the others."""
     serial = TaskContext.get().partitionId() << 32
+    ids: list[np.ndarray] = []
+    docs: list[np.ndarray] = []
+    hashes: list[np.ndarray] = []
+    rows = size = 0
+
+    def unit() -> Iterator[pa.RecordBatch]:
+        nonlocal serial, rows, size
+        doc, full = np.concatenate(docs), np.concatenate(hashes)
+        order = np.argsort(full, kind="stable")
+        doc, full = doc[order], full[order]
+        first = np.ones(len(full), bool)
+        first[1:] = (full[1:] != full[:-1]) | (doc[1:] != doc[:-1])
+        doc, full = doc[first], full[first]
+        edges = _edges(full)
+        count = np.diff(edges)
+        many = np.repeat(count > 1, count)
+        place = np.where(count > 1, _MANY, doc[edges[:-1]]).astype(np.uint64)
+        packed = _short(full[edges[:-1]], bits) << np.uint64(16) | place
+        bucket = full[edges[:-1]] >> np.uint64(64 - bits)
+        cut = _edges(bucket)
+        if len(packed):
+            yield _sent(bucket[cut[:-1]], np.full(len(cut) - 1, serial), None, _parts(packed, cut))
+        own = np.stack([doc[many].astype(np.uint64), full[many]], axis=1)
+        above = np.array([(1 << bits) + serial % (1 << bits)])
+        yield _sent(above, np.array([serial]), pa.array([np.concatenate(ids).tobytes()], pa.binary()), _parts(own, np.array([0, len(own)])))
+        serial += 1
+        rows = size = 0
+        for held in (ids, docs, hashes):
+            held.clear()
+
     for batch in batches:
         batch = batch.filter(batch.column("doc_id").is_valid())
-        data, offsets = wh.text_buffer(batch.column("text"))
-        ids = batch.column("doc_id").to_numpy()
-        for i, j in wh.chunks(offsets):
-            _, doc, short = _anchors(wh.words(data, offsets[i : j + 1], _TABLE), bits)
-            order = np.lexsort((doc, short))
-            doc, short = doc[order], short[order]
-            if len(short):
-                first = np.concatenate([[True], (short[1:] != short[:-1]) | (doc[1:] != doc[:-1])])
-                doc, short = doc[first], short[first]
-            run = np.concatenate([[True], short[1:] != short[:-1]]) if len(short) else np.zeros(0, bool)
-            size = np.diff(np.append(np.flatnonzero(run), len(short)))
-            many = np.repeat(size > 1, size)
-            place = np.where(many, _MANY, doc)[run].astype(np.uint64)
-            sent = short[run]
-            packed = (sent & np.uint64((1 << 48) - 1)) << np.uint64(16) | place
-            bucket = (sent >> np.uint64(48)).astype(np.int64)
-            edges = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]]) if len(bucket) else [0]
-            out = [(int(bucket[a]), serial, None, packed[a:b].tobytes()) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-            own = np.stack([doc[many].astype(np.uint64), short[many]])
-            out.append(((1 << bits) + serial % (1 << bits), serial, ids[i:j].tobytes(), own.tobytes()))
-            yield _rows(out, _PACKED)
-            serial += 1
-
-
-def _runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int, list[dict]]]:
-    """Rows of equal key; the input is sorted by it."""
-    held, rows = None, []
-    for batch in batches:
-        for row in batch.to_pylist():
-            if row[key] != held:
-                if rows:
-                    yield held, rows
-                held, rows = row[key], []
-            rows.append(row)
+        for part, _, found in _each_chunk(batch):
+            if rows and (rows + part.num_rows > _MANY or size > UNIT or rows > UNIT_TEXTS):
+                yield from unit()
+            _, doc, full = _anchors(found)
+            ids.append(part.column("doc_id").to_numpy())
+            docs.append(doc + rows)
+            hashes.append(full)
+            rows, size = rows + part.num_rows, size + len(full)
     if rows:
-        yield held, rows
+        yield from unit()
+
+
+def _short(full: np.ndarray, bits: int) -> np.ndarray:
+    """The bits of a hash below its bucket, 48 of them at most."""
+    low = full & np.uint64((1 << (64 - bits)) - 1)
+    return low >> np.uint64(max(0, 16 - bits))
 
 
 def _meet_anchors(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
-    """Sends back to each chunk those of its anchors that another text has."""
-    for bucket, rows in _runs(batches, "bucket"):
+    """Sends back to each unit those of its anchors that another text has."""
+    for bucket, rows in _groups(batches, "bucket"):
         if bucket >> bits:
-            yield _rows([(bucket, r["batch"], r["ids"], r["data"]) for r in rows], _PACKED)
+            yield rows
             continue
-        parts = [np.frombuffer(r["data"], np.uint64) for r in rows]
-        packed, source = np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+        packed, count = _values(rows.column("data"), np.uint64)
+        source = np.repeat(np.arange(len(count), dtype=np.int32), count)
         order = np.argsort(packed, kind="stable")
         packed, source = packed[order], source[order]
         short = packed >> np.uint64(16)
@@ -125,126 +189,147 @@ def _meet_anchors(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.R
         packed, source = packed[shared], source[shared]
         order = np.argsort(source, kind="stable")
         packed, source = packed[order], source[order]
-        whole = packed >> np.uint64(16) | np.uint64(bucket << 48)
-        place = packed & np.uint64(_MANY)
-        edges = np.searchsorted(source, np.arange(len(parts) + 1))
-        yield _rows([(bucket, rows[k]["batch"], None, np.stack([place[a:b], whole[a:b]]).tobytes()) for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if b > a], _PACKED)
-
-
-def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From the verdicts of a chunk to those of its documents."""
-    for _, rows in _runs(batches, "batch"):
-        ids = next((np.frombuffer(r["ids"], np.int64) for r in rows if r["ids"] is not None), None)
-        pairs = [np.frombuffer(r["data"], np.uint64).reshape(2, -1) for r in rows]
-        place, short = np.concatenate(pairs, axis=1)
+        if len(packed):
+            pairs = np.stack([packed & np.uint64(_MANY), packed >> np.uint64(16) | np.uint64(bucket << min(48, 64 - bits))], axis=1)
+            edges = _edges(source)
+            batch = rows.column("batch").to_numpy()[source[edges[:-1]]]
+            yield _sent(np.full(len(batch), bucket), batch, None, _parts(pairs, edges))
+
+
+def _known(full: np.ndarray, bits: int) -> np.ndarray:
+    """A hash as _meet_anchors knows it: its bucket and the bits below."""
+    return full >> np.uint64(max(0, 16 - bits))
+
+
+def _by_document(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    """From the verdicts of a unit to those of its documents."""
+    for _, rows in _groups(batches, "batch"):
+        own = rows.filter(rows.column("ids").is_valid())
+        ids, _ = _values(own.column("ids"), np.int64)
+        pairs, count = _values(rows.column("data"), np.uint64)
+        place, hashes = pairs.reshape(-1, 2).T
+        inside = np.repeat(np.asarray(rows.column("ids").is_valid()), count // 2)
+        hashes = np.where(inside, _known(hashes, bits), hashes)
         order = np.argsort(place, kind="stable")
-        place, short = place[order].astype(np.int64), short[order]
-        edges = np.concatenate([[0], np.flatnonzero(np.diff(place)) + 1, [len(place)]]) if len(place) else [0]
-        yield _rows([(int(ids[place[a]]), short[a:b].tobytes()) for a, b in zip(edges[:-1], edges[1:], strict=True)], _HIT)
+        place, hashes = place[order].astype(np.int64), hashes[order]
+        edges = _edges(place)
+        if len(place):
+            yield pa.RecordBatch.from_arrays([pa.array(ids[place[edges[:-1]]]), _parts(hashes, edges)], names=_names(_HIT))
 
 
-def _each_chunk(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray, wh.Words]]:
-    data, offsets = wh.text_buffer(batch.column("text"))
-    for i, j in wh.chunks(offsets):
-        yield batch.slice(i, j - i), data, wh.words(data, offsets[i : j + 1], _TABLE)
-
-
-def _kept(data: np.ndarray, found: wh.Words, k: int, keep: np.ndarray | None = None) -> bytes:
-    span = slice(found.offset[k], found.offset[k + 1])
-    s, e = found.start[span], found.end[span]
-    if keep is not None:
-        s, e = s[keep], e[keep]
-    return b" ".join([data[a:b].tobytes() for a, b in zip(s.tolist(), e.tolist(), strict=True)])
-
-
-_LIKELY = "doc_id long, n_words long, kept_sha256 string, text string, spots binary"
-
-
-def _likely(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
-    """Per document: its words and, if it has shared anchors, its text and the windows around them."""
-    for batch in batches:
-        for part, data, found in _each_chunk(batch):
-            at, doc, short = _anchors(found, bits)
-            edges = np.searchsorted(doc, np.arange(part.num_rows + 1))
-            hashes = part.column("hashes").to_pylist()
-            spots, texts = [None] * part.num_rows, [None] * part.num_rows
-            digests = [None] * part.num_rows
-            for k, (blobs, text) in enumerate(zip(hashes, part.column("text"), strict=True)):
-                if blobs:
-                    own = slice(edges[k], edges[k + 1])
-                    hit = at[own][np.isin(short[own], np.frombuffer(b"".join(blobs), np.uint64))] - found.offset[k]
-                    n = int(found.counts[k]) - WINDOW + 1
-                    if n > 0 and len(hit):
-                        change = np.zeros(n + 1, np.int32)
-                        np.add.at(change, np.maximum(hit - PERIOD + 1, 0), 1)
-                        np.add.at(change, np.minimum(hit + 1, n), -1)
-                        spot = np.flatnonzero(np.cumsum(change[:-1]) > 0)
-                        if len(spot):
-                            spots[k], texts[k] = spot.astype(np.uint32).tobytes(), text.as_py()
-                            continue
-                digests[k] = hashlib.sha256(_kept(data, found, k)).hexdigest()
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(found.counts.astype(np.int64)), pa.array(digests, pa.string()), pa.array(texts, pa.string()), pa.array(spots, pa.binary())], names=[x.split()[0] for x in _LIKELY.split(", ")])
+def _blobs(column: pa.Array) -> list[bytes]:
+    return [b"".join(x) if x else b"" for x in column.to_pylist()]
 
 
-_ENTRY = np.dtype([("a", "<u8"), ("b", "<u4"), ("doc", "<i8")])
-
-
-def _hashes(found: wh.Words, k: int, spot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    own = found.hash[found.offset[k] : found.offset[k + 1]]
-    second = wh.windows(wh.mix(own + np.uint64(0x5851F42D4C957F2D)), WINDOW)
-    return wh.windows(own, WINDOW)[spot], (second[spot] >> np.uint64(32)).astype(np.uint32)
+def _second(found: wh.Words) -> np.ndarray:
+    return (wh.windows(wh.mix(found.hash + np.uint64(0x5851F42D4C957F2D)), WINDOW) >> np.uint64(32)).astype(np.uint32)
 
 
 def _send_windows(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    """Packed windows around shared anchors by bucket, each with the unit's smallest doc_id that has
+    it; what the unit's other documents lose by it is known at once and travels above the buckets."""
+    held: list[np.ndarray] = []
+    size = 0
+
+    def unit() -> Iterator[pa.RecordBatch]:
+        nonlocal size
+        e = np.concatenate(held)
+        held.clear()
+        size = 0
+        e = e[np.lexsort((e["doc"], e["b"], e["a"]))]
+        run = np.ones(len(e), bool)
+        run[1:] = (e["a"][1:] != e["a"][:-1]) | (e["b"][1:] != e["b"][:-1])
+        first, rest = e[run], e[~run]
+        rest = rest[rest["doc"] > first["doc"][np.cumsum(run) - 1][~run]]
+        bucket = first["a"] >> np.uint64(64 - bits)
+        cut = _edges(bucket)
+        if len(first):
+            yield _sent(bucket[cut[:-1]], np.zeros(len(cut) - 1), None, _parts(first, cut))
+        if len(rest):
+            rest = rest[np.argsort(rest["doc"], kind="stable")]
+            cut = _edges(rest["doc"])
+            doc = rest["doc"][cut[:-1]]
+            yield _sent((1 << bits) + doc % (1 << bits), doc, None, _parts(rest["a"], cut))
+
     for batch in batches:
+        batch = batch.filter(batch.column("hashes").is_valid())
         for part, _, found in _each_chunk(batch):
-            ids, spots = part.column("doc_id").to_pylist(), part.column("spots").to_pylist()
-            entries = []
-            for k, (doc_id, spot) in enumerate(zip(ids, spots, strict=True)):
-                a, b = _hashes(found, k, np.frombuffer(spot, np.uint32))
-                e = np.empty(len(a), _ENTRY)
-                e["a"], e["b"], e["doc"] = a, b, doc_id
-                entries.append(e)
-            e = np.concatenate(entries)
-            e = e[np.lexsort((e["doc"], e["b"], e["a"]))]
-            if len(e):
-                e = e[np.concatenate([[True], (e[1:] != e[:-1])])]
-            bucket = (e["a"] >> np.uint64(64 - bits)).astype(np.int64)
-            edges = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]]) if len(bucket) else [0]
-            yield _rows([(int(bucket[x]), 0, None, e[x:y].tobytes()) for x, y in zip(edges[:-1], edges[1:], strict=True)], _PACKED)
-
-
-def _meet_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            at, doc, full = _anchors(found)
+            # An anchor that one text of the chunk shares is shared by every other text that has it.
+            hashes = np.unique(np.frombuffer(b"".join(_blobs(part.column("hashes"))), np.uint64))
+            hit = np.isin(_known(full, bits), hashes)
+            at, doc = at[hit], doc[hit]
+            change = np.zeros(len(found.hash) + 1, np.int32)
+            np.add.at(change, np.maximum(at - PERIOD + 1, found.offset[doc]), 1)
+            np.add.at(change, np.minimum(at + 1, found.offset[doc + 1] - WINDOW + 1), -1)
+            spot = np.flatnonzero(np.cumsum(change[:-1]) > 0)
+            if len(spot):
+                e = np.empty(len(spot), _ENTRY)
+                e["a"], e["b"] = wh.windows(found.hash, WINDOW)[spot], _second(found)[spot]
+                e["doc"] = part.column("doc_id").to_numpy()[found.doc()[spot]]
+                held.append(e)
+                size += len(e)
+            if size > UNIT:
+                yield from unit()
+    if held:
+        yield from unit()
+
+
+def _meet_windows(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
     """(doc_id, hashes) of the windows that a document with a smaller doc_id has."""
-    for _, rows in _runs(batches, "bucket"):
-        e = np.concatenate([np.frombuffer(r["data"], _ENTRY) for r in rows])
+    for bucket, rows in _groups(batches, "bucket"):
+        if bucket >> bits:
+            yield pa.RecordBatch.from_arrays([rows.column("batch"), rows.column("data")], names=_names(_HIT))
+            continue
+        e, _ = _values(rows.column("data"), _ENTRY)
         e = e[np.lexsort((e["doc"], e["b"], e["a"]))]
-        run = np.concatenate([[True], (e["a"][1:] != e["a"][:-1]) | (e["b"][1:] != e["b"][:-1])])
-        least = e["doc"][run][np.cumsum(run) - 1]
-        e = e[e["doc"] > least]
+        run = np.ones(len(e), bool)
+        run[1:] = (e["a"][1:] != e["a"][:-1]) | (e["b"][1:] != e["b"][:-1])
+        e = e[e["doc"] > e["doc"][run][np.cumsum(run) - 1]]
         e = e[np.argsort(e["doc"], kind="stable")]
-        edges = np.concatenate([[0], np.flatnonzero(np.diff(e["doc"])) + 1, [len(e)]]) if len(e) else [0]
-        yield _rows([(int(e["doc"][x]), e["a"][x:y].tobytes()) for x, y in zip(edges[:-1], edges[1:], strict=True)], _HIT)
-
-
-_CUT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
+        edges = _edges(e["doc"])
+        if len(e):
+            yield pa.RecordBatch.from_arrays([pa.array(e["doc"][edges[:-1]]), _parts(e["a"], edges)], names=_names(_HIT))
+
+
+def _joined(data: np.ndarray, found: wh.Words, keep: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """The kept words of all texts, each text's joined by one space; and the ends of the texts."""
+    first, last = (int(found.start[0]), int(found.end[-1])) if len(found.start) else (0, 0)
+    own = data[first:last]
+    plain = np.where(wh.SPACE[own], np.uint8(0x20), own)
+    s, e, doc = found.start[keep] - first, found.end[keep] - first, found.doc()[keep]
+    stop = e + 1
+    if len(doc):  # the byte after a word is its space, but not after a text's last
+        stop[np.append(np.flatnonzero(doc[1:] != doc[:-1]), len(doc) - 1)] -= 1
+    change = np.zeros(len(own) + 2, np.int8)
+    change[s] += 1
+    change[stop] -= 1
+    sizes = np.bincount(doc, weights=stop - s, minlength=len(found.offset) - 1).astype(np.int64)
+    return plain[np.cumsum(change[: len(own)], dtype=np.int8) > 0].tobytes(), np.cumsum(sizes)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per document: its words without those under a window that it loses."""
     for batch in batches:
         for part, data, found in _each_chunk(batch):
-            removed, texts = [], []
-            for k, (spot, blobs) in enumerate(zip(part.column("spots").to_pylist(), part.column("hashes").to_pylist(), strict=True)):
-                spot = np.frombuffer(spot, np.uint32)
-                a, _ = _hashes(found, k, spot)
-                change = np.zeros(int(found.counts[k]) + 1, np.int32)
-                hit = spot[np.isin(a, np.frombuffer(b"".join(blobs or []), np.uint64))].astype(np.int64)
-                np.add.at(change, hit, 1)
-                np.add.at(change, hit + WINDOW, -1)
-                keep = np.cumsum(change[:-1]) == 0
-                removed.append(int((~keep).sum()))
-                texts.append(_kept(data, found, k, keep))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(found.counts.astype(np.int64)), pa.array(removed, pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string()), pa.array([t.decode() for t in texts], pa.string())], names=[x.split()[0] for x in _CUT.split(", ")])
+            win = wh.windows(found.hash, WINDOW)
+            keep = np.ones(len(found.hash), bool)
+            for k, blob in enumerate(_blobs(part.column("hashes"))):
+                s, e = int(found.offset[k]), int(found.offset[k + 1])
+                if blob and e - s >= WINDOW:
+                    hit = np.flatnonzero(np.isin(win[s : e - WINDOW + 1], np.frombuffer(blob, np.uint64)))
+                    change = np.zeros(e - s + 1, np.int32)
+                    change[hit] += 1
+                    change[hit + WINDOW] -= 1
+                    keep[s:e] = np.cumsum(change[:-1]) == 0
+            total = np.zeros(len(keep) + 1, np.int64)
+            np.cumsum(~keep, out=total[1:])
+            removed = np.diff(total[found.offset])
+            text, ends = _joined(data, found, keep)
+            kept = [text[a:b] for a, b in zip(np.append(0, ends[:-1]).tolist(), ends.tolist(), strict=True)]
+            digests = [hashlib.sha256(t).hexdigest() for t in kept]
+            told = [t.decode(errors="replace") if r else None for t, r in zip(kept, removed, strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(found.counts.astype(np.int64)), pa.array(removed), pa.array(digests, pa.string()), pa.array(told, pa.string())], names=_names(_CUT))
 
 
 def _gathered(df: DataFrame, key: str, how: Callable, schema: str) -> DataFrame:
@@ -254,21 +339,22 @@ def _gathered(df: DataFrame, key: str, how: Callable, schema: str) -> DataFrame:
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """documents (doc_id, text) -> (doc_id, n_words, n_removed, kept_sha256, kept_text), one row per
     input row; kept_text is null where nothing was removed."""
-    spark = docs.sparkSession
-    prepare(spark)
-    bits = _bits(spark)
+    prepare(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    bits = _bits(docs)
+    told = docs.where("doc_id is not null")
+
+    def by_doc(hits: DataFrame) -> DataFrame:
+        """The texts with what was found for their doc_id; both times the same exchange of texts."""
+        return told.join(hits.groupBy("doc_id").agg(F.collect_list("hashes").alias("hashes")), "doc_id", "left")
+
     sent = docs.mapInArrow(partial(_send_anchors, bits=bits), _PACKED)
     met = _gathered(sent, "bucket", partial(_meet_anchors, bits=bits), _PACKED)
-    anchors = _gathered(met, "batch", _by_document, _HIT)
-    anchors = written(anchors, "shared-anchors").groupBy("doc_id").agg(F.collect_list("hashes").alias("hashes"))
-    likely = written(docs.join(anchors, "doc_id", "left").mapInArrow(partial(_likely, bits=bits), _LIKELY), "likely")
-    open_ = likely.where("spots is not null")
-    windows = open_.select("doc_id", "text", "spots").mapInArrow(partial(_send_windows, bits=bits), _PACKED)
-    verdicts = _gathered(windows, "bucket", _meet_windows, _HIT).groupBy("doc_id").agg(F.collect_list("hashes").alias("hashes"))
-    cut = open_.select("doc_id", "text", "spots").join(verdicts, "doc_id", "left").mapInArrow(_cut, _CUT)
-    whole = likely.where("spots is null").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256", F.lit(None).cast("string").alias("kept_text"))
-    return whole.unionByName(cut)
+    anchors = _gathered(met, "batch", partial(_by_document, bits=bits), _HIT)
+    windows = by_doc(anchors).mapInArrow(partial(_send_windows, bits=bits), _PACKED)
+    verdicts = _gathered(windows, "bucket", partial(_meet_windows, bits=bits), _HIT)
+    nameless = docs.where("doc_id is null").withColumn("hashes", F.lit(None).cast("array<binary>"))
+    return by_doc(verdicts).unionByName(nameless).mapInArrow(_cut, _CUT)
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
