@@ -340,7 +340,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """documents (doc_id, text) -> (doc_id, n_words, n_removed, kept_sha256, kept_text), one row per
     input row; kept_text is null where nothing was removed."""
     prepare(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select("doc_id", "text")
+    if dict(docs.dtypes)["doc_id"] != "bigint":  # an alias would keep the two reads from sharing one exchange
+        docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
     bits = _bits(docs)
     told = docs.where("doc_id is not null")
 
