@@ -18,7 +18,8 @@ written between.
 Defined cases: null or white-space texts have no words and keep the digest of the empty string. A
 null doc_id is never smaller or larger than another: its row loses nothing and takes nothing away.
 Rows with one doc_id are judged alike, each on its own text. Texts of fewer than WINDOW words stay
-whole. Other columns are not read. Empty tables give no rows. Texts are hashed in chunks of a few MB,
+whole. The order of rows must be the same if a lost partition is read again, as that of tables is.
+Other columns are not read. Empty tables give no rows. Texts are hashed in chunks of a few MB,
 or one longer text.
 """
 
@@ -46,6 +47,9 @@ _MANY = 0xFFFF
 _PACKED = "bucket int, batch long, ids binary, data binary"
 _HIT = "doc_id long, hashes binary"
 _ENTRY = np.dtype([("a", "<u8"), ("b", "<u4"), ("doc", "<i8")])
+_PAIR = np.dtype([("doc", "<i8"), ("a", "<u8")])
+_PLACED = np.dtype([("hash", "<u4"), ("place", "<u2")])
+_SHARED = np.dtype([("hash", "<u8"), ("place", "<u2")])
 _CUT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
 
 
@@ -57,7 +61,7 @@ def _bits(docs: DataFrame) -> int:
     """Bits of the bucket's number: by the bytes of text, and at least eight buckets a shuffle partition."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(6, (8 * tasks - 1).bit_length(), (size // BUCKET_TEXT).bit_length())
+    return min(30, max(6, (8 * tasks - 1).bit_length(), (size // BUCKET_TEXT).bit_length()))
 
 
 def _anchors(found: wh.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -76,9 +80,12 @@ def _edges(sorted_: np.ndarray) -> np.ndarray:
 
 
 def _parts(values: np.ndarray, edges: np.ndarray) -> pa.Array:
-    """A binary for each range of values between consecutive edges."""
-    width = values.dtype.itemsize * (values.shape[1] if values.ndim > 1 else 1)
-    return pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer((edges * width).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+    """A binary for each range of values between consecutive edges: first all their first bytes, then
+    all their second bytes and so on, so that the exchange's compression finds what they have in common."""
+    width = values.dtype.itemsize
+    flat = np.ascontiguousarray(values).view(np.uint8).reshape(-1, width)
+    out = np.concatenate([np.zeros(0, np.uint8), *(flat[a:b].T.reshape(-1) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True))])
+    return pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer((edges * width).astype(np.int32)), pa.py_buffer(out)])
 
 
 def _sent(bucket: np.ndarray, batch: np.ndarray, ids: pa.Array | None, data: pa.Array) -> pa.RecordBatch:
@@ -104,10 +111,12 @@ def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int,
 
 
 def _values(column: pa.Array, kind: object) -> tuple[np.ndarray, np.ndarray]:
-    """All values of a binary column, and how many each row has."""
+    """All values of a column of _parts, and how many each row has."""
     data, offsets = wh.text_buffer(column)
-    kind = np.dtype(kind)
-    return np.frombuffer(data[offsets[0] : offsets[-1]].tobytes(), kind), np.diff(offsets) // kind.itemsize
+    width = np.dtype(kind).itemsize
+    rows = [data[a:b].reshape(width, -1).T for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True) if b > a]
+    flat = np.concatenate([np.zeros((0, width), np.uint8), *rows])
+    return np.ascontiguousarray(flat).view(kind).reshape(-1), np.diff(offsets) // width
 
 
 def _each_chunk(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray, wh.Words]]:
@@ -116,9 +125,20 @@ def _each_chunk(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndar
         yield batch.slice(i, j - i), data, wh.words(data, offsets[i : j + 1], _TABLE)
 
 
+def _known(full: np.ndarray, bits: int) -> np.ndarray:
+    """What an exchange tells of an anchor's hash: its bucket and the 32 bits below. Anchors that only
+    look alike in these cost a few windows more, no wrong verdict."""
+    return full >> np.uint64(32 - bits)
+
+
+def _above(bits: int, serial: int) -> np.ndarray:
+    """A bucket above the others, one of as many."""
+    return np.array([(1 << bits) + (serial + (serial >> 32)) % (1 << bits)])
+
+
 def _send_anchors(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
-    """Packed anchors by bucket: 48 bits of hash, 16 of the text's place in the unit; the unit's
-    doc_ids, with the anchors it shares within itself, travel in a bucket above the others."""
+    """Anchors by bucket, with the text's place in the unit; the unit's doc_ids, with the anchors it
+    shares within itself, travel in a bucket above the others."""
     serial = TaskContext.get().partitionId() << 32
     ids: list[np.ndarray] = []
     docs: list[np.ndarray] = []
@@ -127,24 +147,25 @@ def _send_anchors(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.R
 
     def unit() -> Iterator[pa.RecordBatch]:
         nonlocal serial, rows, size
-        doc, full = np.concatenate(docs), np.concatenate(hashes)
-        order = np.argsort(full, kind="stable")
-        doc, full = doc[order], full[order]
-        first = np.ones(len(full), bool)
-        first[1:] = (full[1:] != full[:-1]) | (doc[1:] != doc[:-1])
-        doc, full = doc[first], full[first]
-        edges = _edges(full)
+        doc, known = np.concatenate(docs), _known(np.concatenate(hashes), bits)
+        order = np.argsort(known, kind="stable")
+        doc, known = doc[order], known[order]
+        first = np.ones(len(known), bool)
+        first[1:] = (known[1:] != known[:-1]) | (doc[1:] != doc[:-1])
+        doc, known = doc[first], known[first]
+        edges = _edges(known)
         count = np.diff(edges)
-        many = np.repeat(count > 1, count)
-        place = np.where(count > 1, _MANY, doc[edges[:-1]]).astype(np.uint64)
-        packed = _short(full[edges[:-1]], bits) << np.uint64(16) | place
-        bucket = full[edges[:-1]] >> np.uint64(64 - bits)
+        sent = np.empty(len(count), _PLACED)
+        sent["hash"], sent["place"] = known[edges[:-1]] & np.uint64(0xFFFFFFFF), np.where(count > 1, _MANY, doc[edges[:-1]])
+        bucket = known[edges[:-1]] >> np.uint64(32)
         cut = _edges(bucket)
-        if len(packed):
-            yield _sent(bucket[cut[:-1]], np.full(len(cut) - 1, serial), None, _parts(packed, cut))
-        own = np.stack([doc[many].astype(np.uint64), full[many]], axis=1)
-        above = np.array([(1 << bits) + serial % (1 << bits)])
-        yield _sent(above, np.array([serial]), pa.array([np.concatenate(ids).tobytes()], pa.binary()), _parts(own, np.array([0, len(own)])))
+        if len(sent):
+            yield _sent(bucket[cut[:-1]], np.full(len(cut) - 1, serial), None, _parts(sent, cut))
+        many = np.repeat(count > 1, count)
+        own = np.empty(int(many.sum()), _SHARED)
+        own["hash"], own["place"] = known[many], doc[many]
+        every = np.concatenate(ids)
+        yield _sent(_above(bits, serial), np.array([serial]), _parts(every, np.array([0, len(every)])), _parts(own, np.array([0, len(own)])))
         serial += 1
         rows = size = 0
         for held in (ids, docs, hashes):
@@ -164,57 +185,46 @@ def _send_anchors(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.R
         yield from unit()
 
 
-def _short(full: np.ndarray, bits: int) -> np.ndarray:
-    """The bits of a hash below its bucket, 48 of them at most."""
-    low = full & np.uint64((1 << (64 - bits)) - 1)
-    return low >> np.uint64(max(0, 16 - bits))
-
-
 def _meet_anchors(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
     """Sends back to each unit those of its anchors that another text has."""
     for bucket, rows in _groups(batches, "bucket"):
         if bucket >> bits:
             yield rows
             continue
-        packed, count = _values(rows.column("data"), np.uint64)
+        met, count = _values(rows.column("data"), _PLACED)
         source = np.repeat(np.arange(len(count), dtype=np.int32), count)
-        order = np.argsort(packed, kind="stable")
-        packed, source = packed[order], source[order]
-        short = packed >> np.uint64(16)
-        same = short[1:] == short[:-1]
-        shared = np.zeros(len(short), bool)
+        order = np.argsort(met["hash"], kind="stable")
+        met, source = met[order], source[order]
+        same = met["hash"][1:] == met["hash"][:-1]
+        shared = np.zeros(len(met), bool)
         shared[1:] |= same
         shared[:-1] |= same
-        shared &= (packed & np.uint64(_MANY)) != _MANY
-        packed, source = packed[shared], source[shared]
+        shared &= met["place"] != _MANY
+        met, source = met[shared], source[shared]
         order = np.argsort(source, kind="stable")
-        packed, source = packed[order], source[order]
-        if len(packed):
-            pairs = np.stack([packed & np.uint64(_MANY), packed >> np.uint64(16) | np.uint64(bucket << min(48, 64 - bits))], axis=1)
+        met, source = met[order], source[order]
+        if len(met):
+            back = np.empty(len(met), _SHARED)
+            back["hash"], back["place"] = met["hash"].astype(np.uint64) | np.uint64(bucket << 32), met["place"]
             edges = _edges(source)
             batch = rows.column("batch").to_numpy()[source[edges[:-1]]]
-            yield _sent(np.full(len(batch), bucket), batch, None, _parts(pairs, edges))
+            yield _sent(np.full(len(batch), bucket), batch, None, _parts(back, edges))
 
 
-def _known(full: np.ndarray, bits: int) -> np.ndarray:
-    """A hash as _meet_anchors knows it: its bucket and the bits below."""
-    return full >> np.uint64(max(0, 16 - bits))
-
-
-def _by_document(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From the verdicts of a unit to those of its documents."""
     for _, rows in _groups(batches, "batch"):
         own = rows.filter(rows.column("ids").is_valid())
         ids, _ = _values(own.column("ids"), np.int64)
-        pairs, count = _values(rows.column("data"), np.uint64)
-        place, hashes = pairs.reshape(-1, 2).T
-        inside = np.repeat(np.asarray(rows.column("ids").is_valid()), count // 2)
-        hashes = np.where(inside, _known(hashes, bits), hashes)
-        order = np.argsort(place, kind="stable")
-        place, hashes = place[order].astype(np.int64), hashes[order]
-        edges = _edges(place)
-        if len(place):
-            yield pa.RecordBatch.from_arrays([pa.array(ids[place[edges[:-1]]]), _parts(hashes, edges)], names=_names(_HIT))
+        back, _ = _values(rows.column("data"), _SHARED)
+        back = back[np.argsort(back["place"], kind="stable")]
+        edges = _edges(back["place"])
+        if len(back):
+            yield pa.RecordBatch.from_arrays([pa.array(ids[back["place"][edges[:-1]]]), _plain(back["hash"], edges)], names=_names(_HIT))
+
+
+def _plain(hashes: np.ndarray, edges: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer((edges * 8).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(hashes))])
 
 
 def _blobs(column: pa.Array) -> list[bytes]:
@@ -228,11 +238,12 @@ def _second(found: wh.Words) -> np.ndarray:
 def _send_windows(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
     """Packed windows around shared anchors by bucket, each with the unit's smallest doc_id that has
     it; what the unit's other documents lose by it is known at once and travels above the buckets."""
+    serial = TaskContext.get().partitionId() << 32
     held: list[np.ndarray] = []
     size = 0
 
     def unit() -> Iterator[pa.RecordBatch]:
-        nonlocal size
+        nonlocal serial, size
         e = np.concatenate(held)
         held.clear()
         size = 0
@@ -244,12 +255,10 @@ def _send_windows(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.R
         bucket = first["a"] >> np.uint64(64 - bits)
         cut = _edges(bucket)
         if len(first):
-            yield _sent(bucket[cut[:-1]], np.zeros(len(cut) - 1), None, _parts(first, cut))
+            yield _sent(bucket[cut[:-1]], np.full(len(cut) - 1, serial), None, _parts(first, cut))
         if len(rest):
-            rest = rest[np.argsort(rest["doc"], kind="stable")]
-            cut = _edges(rest["doc"])
-            doc = rest["doc"][cut[:-1]]
-            yield _sent((1 << bits) + doc % (1 << bits), doc, None, _parts(rest["a"], cut))
+            yield _sent(_above(bits, serial), np.array([serial]), None, _parts(_pairs(rest), np.array([0, len(rest)])))
+        serial += 1
 
     for batch in batches:
         batch = batch.filter(batch.column("hashes").is_valid())
@@ -275,21 +284,41 @@ def _send_windows(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.R
         yield from unit()
 
 
+def _pairs(entries: np.ndarray) -> np.ndarray:
+    out = np.empty(len(entries), _PAIR)
+    out["doc"], out["a"] = entries["doc"], entries["a"]
+    return out
+
+
 def _meet_windows(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
-    """(doc_id, hashes) of the windows that a document with a smaller doc_id has."""
+    """Sends back to each unit those of its windows that a document with a smaller doc_id has."""
     for bucket, rows in _groups(batches, "bucket"):
         if bucket >> bits:
-            yield pa.RecordBatch.from_arrays([rows.column("batch"), rows.column("data")], names=_names(_HIT))
+            yield rows
             continue
-        e, _ = _values(rows.column("data"), _ENTRY)
-        e = e[np.lexsort((e["doc"], e["b"], e["a"]))]
+        e, count = _values(rows.column("data"), _ENTRY)
+        source = np.repeat(np.arange(len(count), dtype=np.int32), count)
+        order = np.lexsort((e["doc"], e["b"], e["a"]))
+        e, source = e[order], source[order]
         run = np.ones(len(e), bool)
         run[1:] = (e["a"][1:] != e["a"][:-1]) | (e["b"][1:] != e["b"][:-1])
-        e = e[e["doc"] > e["doc"][run][np.cumsum(run) - 1]]
-        e = e[np.argsort(e["doc"], kind="stable")]
-        edges = _edges(e["doc"])
+        lost = e["doc"] > e["doc"][run][np.cumsum(run) - 1]
+        e, source = e[lost], source[lost]
+        order = np.argsort(source, kind="stable")
+        e, source = e[order], source[order]
         if len(e):
-            yield pa.RecordBatch.from_arrays([pa.array(e["doc"][edges[:-1]]), _parts(e["a"], edges)], names=_names(_HIT))
+            edges = _edges(source)
+            batch = rows.column("batch").to_numpy()[source[edges[:-1]]]
+            yield _sent(np.full(len(batch), bucket), batch, None, _parts(_pairs(e), edges))
+
+
+def _lost(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, hashes of the windows that it loses), from the verdicts of a unit."""
+    for _, rows in _groups(batches, "batch"):
+        pairs, _ = _values(rows.column("data"), _PAIR)
+        pairs = pairs[np.argsort(pairs["doc"], kind="stable")]
+        edges = _edges(pairs["doc"])
+        yield pa.RecordBatch.from_arrays([pa.array(pairs["doc"][edges[:-1]]), _plain(pairs["a"], edges)], names=_names(_HIT))
 
 
 def _joined(data: np.ndarray, found: wh.Words, keep: np.ndarray) -> tuple[bytes, np.ndarray]:
@@ -352,9 +381,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     sent = docs.mapInArrow(partial(_send_anchors, bits=bits), _PACKED)
     met = _gathered(sent, "bucket", partial(_meet_anchors, bits=bits), _PACKED)
-    anchors = _gathered(met, "batch", partial(_by_document, bits=bits), _HIT)
+    anchors = _gathered(met, "batch", _by_document, _HIT)
     windows = by_doc(anchors).mapInArrow(partial(_send_windows, bits=bits), _PACKED)
-    verdicts = _gathered(windows, "bucket", partial(_meet_windows, bits=bits), _HIT)
+    verdicts = _gathered(_gathered(windows, "bucket", partial(_meet_windows, bits=bits), _PACKED), "batch", _lost, _HIT)
     nameless = docs.where("doc_id is null").withColumn("hashes", F.lit(None).cast("array<binary>"))
     return by_doc(verdicts).unionByName(nameless).mapInArrow(_cut, _CUT)
 
