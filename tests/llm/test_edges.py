@@ -138,6 +138,17 @@ def test_substring(docs, none):
     assert substring.remove_repeats(none).count() == 0
 
 
+@pytest.mark.parametrize("bits,unit", [(6, 1 << 20), (20, 300), (6, 50)])
+def test_substring_buckets_and_units(spark, monkeypatch, bits, unit):
+    """Any number of buckets and any size of a unit give the same rows; one passage is in every text."""
+    monkeypatch.setattr(substring, "_bits", lambda docs: bits)
+    monkeypatch.setattr(substring, "UNIT", unit)
+    hot = prose(77, 40)
+    rows = [(i % 95, f"{prose(500 + i, 15)} {hot} {prose(200 + i % 7, 20)}") for i in range(120)]
+    got = sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in substring.remove_repeats(spark.createDataFrame(rows, "doc_id int, text string").repartition(6)).collect())
+    assert got == brute_substring(rows)
+
+
 def test_substring_shared_passages(spark):
     rng = random.Random(3)
     passages = [prose(100 + k, n) for k, n in enumerate((13, 14, 20, 60))]
@@ -198,6 +209,50 @@ def test_pii_base(spark, none):
     assert pii.found_spans(none, pii.SpanClassifier().fit(none)).count() == 0
 
 
+def test_pii_many_matches_in_one_text(spark):
+    """Spans and redaction of a text of 100,000 matches, exact, in a time that follows its length."""
+    import time
+
+    text = " ".join(f"é{k} a{k}@b{k}.org" for k in range(100_000))
+    d = spark.createDataFrame([(1, text)], "i int, text string")
+    began = time.monotonic()
+    out = pii.found_spans(d, pii.SpanClassifier()).select(F.size("pii_spans").alias("n"), F.sha2(pii.told(F.col("pii_spans")), 256).alias("h"), pii.redacted(F.col("text"), F.col("pii_spans")).alias("t")).first()
+    assert out.n == 100_000 and out.h == hashlib.sha256(base_spans(text).encode()).hexdigest()
+    assert out.t == " ".join(f"é{k} [EMAIL]" for k in range(100_000))
+    assert time.monotonic() - began < 120
+
+
+def test_pii_queries_on_whole_table(spark, folder):
+    """op6_pii's base digest on every document, against Python's re."""
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    for r in pii.op6_pii(spark, folder).collect():
+        want = base_spans(texts[r.doc_id])
+        assert r.base_sha256 == hashlib.sha256(want.encode()).hexdigest()
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [want.count(f"{k}:") for k in ("email", "ip", "card", "phone")]
+        assert set(want.split(",")) - {""} <= set(r.spans.split(","))
+
+
+def test_pii_overlapping_spans(spark):
+    text = "x" * 1500 + "\U0001d11e" + "y" * 2000
+    spans_ = [(0, 0, 3), (2, 1, 5), (4, 4, 1030), (1030, 2, 1031), (1500, 3, 1503), (3490, 5, 3501)]
+    d = spark.createDataFrame([(text, spans_), ("", []), ("abc", [])], "t string, s array<struct<start:int,k:int,end:int>>")
+    got = [r.o for r in d.select(pii.redacted(F.col("t"), F.col("s")).alias("o")).collect()]
+    assert got == ["[EMAIL][CARD]" + text[1031:1500] + "[PHONE]" + text[1503:3490] + "[ACCOUNT]", "", "abc"]
+
+
+def test_pii_classes_by_kind(spark):
+    """Secrets and account numbers get their own kinds; what sits within a base span stays out."""
+    rng = random.Random(2)
+    rows = [(k, f"login token={''.join(rng.choice('0123456789abcdef') for _ in range(30))} and") for k in range(150)]
+    rows += [(1000 + k, f"iban DE{rng.randrange(10**20):020d} of account {rng.randrange(10**12):012d} ok") for k in range(150)]
+    rows += [(2000 + k, f"version build-{k:08d} a{k:012d}@b.org") for k in range(150)]
+    d = spark.createDataFrame(rows, "i int, text string")
+    model = pii.SpanClassifier().fit(d)
+    got = {r.i: {x.k for x in r.pii_spans} for r in pii.found_spans(d, model).collect()}
+    assert sum(4 in got[k] for k in range(150)) == 150 and sum(5 in got[1000 + k] for k in range(150)) == 150
+    assert all(got[2000 + k] <= {0, 1, 2, 3} for k in range(150))
+
+
 def test_pii_learns_and_redacts(spark):
     rng = random.Random(1)
     secret = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(24))
