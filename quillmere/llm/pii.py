@@ -5,8 +5,8 @@ lengths of pieces and matches, so the plan is a scan with a projection and no ex
 and maxima go block by block (_before), and arrays and texts are bound once (_let) instead of being
 made anew for each element, so the work of one text is linear in its length and its matches.
 
-Weak supervision: candidate tokens (runs of word characters with a digit, LEAST_TOKEN or longer) get
-votes from labelers of three kinds, patterns, gazetteers, context: 0 nothing personal, 1 a secret, 2
+Weak supervision: candidate tokens (runs of word characters, LEAST_TOKEN or longer, with a digit or
+the prefix of a key) get votes from labelers of three kinds, patterns, gazetteers, context: 0 nothing personal, 1 a secret, 2
 an account or identity number, or none. Votes and features are counted over all candidates of all
 texts; only the distinct combinations reach the driver. Expectation-maximisation (a reliability for
 each labeler, class and vote; silent labelers left out) turns votes into probabilities of the three
@@ -42,12 +42,13 @@ PATTERNS = {
 #: A cheap necessary condition of each pattern.
 GATES = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 LEAST_TOKEN, CONTEXT = 10, 24
-CANDIDATE = rf"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*+[0-9])[A-Za-z0-9_-]{{{LEAST_TOKEN},}}+"
 # Words before a value, prefixes of issued keys, and lengths of IBANs by country (ISO 13616).
 SECRET_WORDS = ("password", "passwd", "passphrase", "pwd", "pin", "token", "secret", "apikey", "api_key", "api-key", "key", "credential", "credentials", "auth", "authorization", "bearer", "login", "passwort", "kennwort", "clave", "contraseña", "mdp", "jeton")
 ACCOUNT_WORDS = ("account", "acct", "iban", "bic", "konto", "kontonummer", "compte", "cuenta", "passport", "reisepass", "passeport", "pasaporte", "ssn", "social", "insurance", "tax", "vat", "nif", "dni", "siret", "patient", "member", "customer", "policy", "licence-no", "id-no")
 PLAIN_WORDS = ("version", "page", "figure", "isbn", "issn", "doi", "license", "licence", "section", "chapter", "year", "table", "http", "https", "www", "arxiv", "commit", "build", "model", "part", "rfc", "iso", "sku", "lot")
 KEY_PREFIXES = ("AKIA", "ASIA", "AIza", "ghp_", "gho_", "ghs_", "glpat-", "xoxb-", "xoxp-", "sk-", "sk_live_", "sk_test_", "pk_live_", "rk_live_", "npm_", "pypi-", "hf_", "dop_v1_", "shpat_", "eyJ")
+_PREFIX = "|".join(KEY_PREFIXES)
+CANDIDATE = rf"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*+[0-9]|{_PREFIX})[A-Za-z0-9_-]{{{LEAST_TOKEN},}}+"
 IBAN_LENGTHS = {"AT": 20, "BE": 16, "CH": 21, "CZ": 24, "DE": 22, "DK": 18, "ES": 24, "FI": 18, "FR": 27, "GB": 22, "GR": 27, "HU": 28, "IE": 22, "IT": 27, "LU": 20, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "RO": 24, "SE": 24, "SK": 24, "TR": 26}
 _SPAN = "array<struct<start:int,end:int,m:string,before:string>>"
 _FOUND = "array<struct<start:int,k:int,end:int>>"
@@ -118,7 +119,7 @@ def base_spans(text: Column, kind: str) -> Column:
 
 
 def candidates(text: Column) -> Column:
-    return F.when(F.rlike(text, F.lit("[0-9]")), spans(text, CANDIDATE)).otherwise(F.array().cast(_SPAN))
+    return F.when(F.rlike(text, F.lit(f"[0-9]|{_PREFIX}")), spans(text, CANDIDATE)).otherwise(F.array().cast(_SPAN))
 
 
 def _last_word(before: Column) -> Column:
@@ -143,7 +144,7 @@ def labelers(m: Column, before: Column) -> dict[str, Column]:
         "pattern_hex": F.when(F.rlike(m, F.lit("^[0-9a-f]{16,}$")) & F.rlike(m, F.lit("[a-f]")), 1),
         "pattern_mixed": F.when((_digits(m) >= 3) & (letters >= 3) & ~F.rlike(m, F.lit("[_-]")), 1).when(F.rlike(m, F.lit("^[0-9_-]+$|^[A-Za-z_-]+[0-9]{1,2}$")), 0),
         "pattern_account": F.when(_iban(m) | F.rlike(m, F.lit("^[0-9]{3}-[0-9]{2}-[0-9]{4}$")), 2),
-        "gazetteer_prefix": F.when(F.rlike(m, F.lit("^(" + "|".join(KEY_PREFIXES) + ")")), 1),
+        "gazetteer_prefix": F.when(F.rlike(m, F.lit(f"^({_PREFIX})")), 1),
         "gazetteer_secret": F.when(word.isin(*SECRET_WORDS), 1),
         "gazetteer_account": F.when(word.isin(*ACCOUNT_WORDS), 2),
         "gazetteer_plain": F.when(word.isin(*PLAIN_WORDS), 0),
@@ -165,7 +166,7 @@ def features(m: Column, before: Column) -> dict[str, Column]:
         "turns": F.least(F.lit(3), F.floor(F.regexp_count(m, F.lit("[A-Za-z][0-9]|[0-9][A-Za-z]")) / 2)).cast("int"),
         "assigned": F.when(F.rlike(before, F.lit("[=:]\\s*[\"']?$")), 1).otherwise(0),
         "named": F.when(word.isin(*SECRET_WORDS), 1).when(word.isin(*ACCOUNT_WORDS), 2).when(word.isin(*PLAIN_WORDS), 3).otherwise(0),
-        "prefix": F.when(F.rlike(m, F.lit("^(" + "|".join(KEY_PREFIXES) + ")")), 1).otherwise(0),
+        "prefix": F.when(F.rlike(m, F.lit(f"^({_PREFIX})")), 1).otherwise(0),
         "shape": F.when(_iban(m), 1).when(F.rlike(m, F.lit("^[0-9]+(-[0-9]+)+$")), 2).otherwise(0),
     }
 
