@@ -58,10 +58,9 @@ def _names(schema: str) -> list[str]:
 
 
 def _bits(docs: DataFrame) -> int:
-    """Bits of the bucket's number: by the bytes of text, and at least eight buckets a shuffle partition."""
+    """Bits of the bucket's number, by the bytes of text."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return min(30, max(6, (8 * tasks - 1).bit_length(), (size // BUCKET_TEXT).bit_length()))
+    return min(30, max(8, (size // BUCKET_TEXT).bit_length()))
 
 
 def _anchors(found: wh.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
