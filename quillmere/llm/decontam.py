@@ -4,14 +4,18 @@ Both sides become shingles of SHINGLE words, known by a 64-bit hash. Exact conta
 shingles of a window of ITEM_WINDOW words, so its necessary prefix is one shingle: the rarest, by
 counts over all documents. Document shingles meet only those prefixes; the place of the shingle
 gives the window's place (positional bound) and the text must hold all of it (length bound). What
-is left is verified by comparing the words of the whole window.
+is left is verified by comparing the words of the whole window, in the texts that have such places
+alone: other texts are not exchanged.
 
-Only benchmark-side tables are broadcast, and only while they hold at most BROADCAST_ROWS rows of
-two longs (a count decides); beyond that the same join shuffles.
+The small side of a join (hashes, prefixes, keys of texts with places) is broadcast while it holds at
+most BROADCAST_ROWS rows of a few longs (a count decides). Beyond that the same join is an exchange, and
+a bitmap of FILTER_BITS bits of its hashes, broadcast as one row of that size, drops most of the other
+rows first.
 
 Defined cases: a null or word-less text has no words and is never hit; a null or word-less item has
 no windows; repeated items are reported under each of their ids, and an item without an id hits
-words but is not listed. Rows with one doc_id are judged each by its own text.
+words but is not listed. Rows with one doc_id are judged each by its own text. Other columns are not
+read. Empty documents give no rows; an empty benchmark hits nothing.
 """
 
 from __future__ import annotations
@@ -20,65 +24,96 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import fold, split_words, table, written
+from .shared import fold, let, split_words, table, written
 
-ITEM_WINDOW, SHINGLE, BROADCAST_ROWS = 10, 3, 100_000
-#: Everything that is no word character, after A-Z are folded.
+ITEM_WINDOW, SHINGLE = 10, 3
+BROADCAST_ROWS, FILTER_BITS = 500_000, 1 << 26
+#: Everything that is no word character, after A-Z are folded; and a word of a text that is not folded.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_RUNS = "array<struct<place:int,h:bigint>>"
 
 
 def item_words(text: Column) -> Column:
     return split_words(fold(text), GAP)
 
 
-def _shingles(words: Column, sizes: list[int]) -> Column:
-    """Array of (size, 0-based place, hash) of all runs of the given sizes."""
+def _shingles(words: Column, used: dict[int, Column]) -> Column:
+    """Array of (0-based place, hash) of all runs of each size whose condition holds."""
 
-    def of(size: int) -> Column:
-        one = lambda i: F.struct((i - 1).alias("place"), F.xxhash64(F.lit(size), *(F.get(words, i + (k - 1)) for k in range(size))).alias("h"))
-        none = F.array().cast("array<struct<place:int,h:bigint>>")
-        return F.when(F.size(words) >= size, F.transform(F.sequence(F.lit(1), F.size(words) - (size - 1)), one)).otherwise(none)
+    def of(w: Column, size: int) -> Column:
+        one = lambda i: F.struct((i - 1).alias("place"), F.xxhash64(F.lit(size), *(F.get(w, i + (k - 1)) for k in range(size))).alias("h"))
+        return F.when(used[size] & (F.size(w) >= size), F.transform(F.sequence(F.lit(1), F.size(w) - (size - 1)), one)).otherwise(F.array().cast(_RUNS))
 
-    runs = [of(s) for s in sizes]
-    return runs[0] if len(runs) == 1 else F.concat(*runs)
+    return let(words, lambda w: F.concat(*(of(w, size) for size in used)))
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """A broadcast hint behind a count of the rows; df is a written table."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def _bitmap(hashes: DataFrame) -> DataFrame:
+    """One row: FILTER_BITS bits as longs, those set that a hash h falls on."""
+    size = FILTER_BITS // 64
+    on = hashes.select(F.pmod("h", F.lit(size)).cast("long").alias("i"), F.expr("shiftleft(1L, cast(shiftright(h, 40) & 63 as int))").alias("b")).groupBy("i").agg(F.bit_or("b").alias("b"))
+    every = hashes.sparkSession.range(size).join(on, F.col("id") == F.col("i"), "left").select(F.struct("id", F.coalesce("b", F.lit(0)).alias("b")).alias("x"))
+    return every.agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["b"]).alias("bits"))
+
+
+def _near(rows: DataFrame, side: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """rows and side for an equi-join on h: side broadcast if it is small, else rows thinned by its bitmap."""
+    if side.count() <= BROADCAST_ROWS:
+        return rows, F.broadcast(side)
+    bits = written(_bitmap(side.select("h")), "bitmap")
+    on = "shiftright(element_at(bits, cast(pmod(h, size(bits)) + 1 as int)), cast(shiftright(h, 40) & 63 as int)) & 1 = 1"
+    return rows.crossJoin(F.broadcast(bits)).where(on).drop("bits"), side  # one row
+
+
+def _places(docs: DataFrame, windows: DataFrame, sizes: list[int]) -> DataFrame:
+    """(h, start, n, win_id): places in the texts of docs (h, text) where a window (win_id, n, win) may be."""
+    own = windows.select("win_id", "n", F.explode(_shingles(F.col("win"), {s: F.least("n", F.lit(SHINGLE)) == s for s in sizes})).alias("x"))
+    own = written(own.select("win_id", "n", "x.*"), "item-shingles")
+    runs = docs.select(F.col("h").alias("doc"), item_words(F.col("text")).alias("w"))
+    runs = runs.select("doc", F.size("w").alias("n_words"), F.explode(_shingles(F.col("w"), {s: F.lit(True) for s in sizes})).alias("x")).select("doc", "n_words", "x.*")
+    seen, known = _near(runs.select("h"), written(own.select("h").distinct(), "item-hashes"))
+    counts = written(seen.join(known, "h", "left_semi").groupBy("h").agg(F.count("*").alias("seen")), "rarity")
+    rare = Window.partitionBy("win_id").orderBy(F.coalesce("seen", F.lit(0)), "place", "h")
+    prefix = own.join(counts, "h", "left").withColumn("_r", F.row_number().over(rare)).where("_r = 1 and seen is not null")
+    near, prefix = _near(runs, written(prefix.select("h", F.col("place").alias("at"), "n", "win_id"), "prefixes"))
+    met = near.join(prefix, "h").where("place >= at and place - at + n <= n_words")
+    return met.select(F.col("doc").alias("h"), (F.col("place") - F.col("at")).alias("start"), "n", "win_id").distinct()
+
+
+def _hits(docs: DataFrame, windows: DataFrame) -> DataFrame:
+    """(h, start, n, win_id) of the windows (win_id, n, win) that the texts of docs (h, text) hold."""
+    sizes = sorted(r[0] for r in windows.select(F.least("n", F.lit(SHINGLE)).alias("s")).distinct().collect())
+    if not sizes:
+        return docs.sparkSession.createDataFrame([], "h long, start int, n int, win_id long")
+    places = written(_places(docs, windows, sizes), "places")
+    near, keys = _near(docs, written(places.select("h").distinct(), "keys"))
+    words = near.join(keys, "h", "left_semi").distinct().select("h", item_words(F.col("text")).alias("w"))
+    grouped = places.groupBy("h").agg(F.collect_list(F.struct("start", "n", "win_id")).alias("x"))
+    part = lambda w, c: F.struct(c["start"].alias("start"), c["n"].alias("n"), c["win_id"].alias("win_id"), F.slice(w, c["start"] + 1, c["n"]).alias("win"))
+    cut = words.join(grouped, "h").select("h", F.explode(let(F.col("w"), lambda w: F.transform("x", lambda c: part(w, c)))).alias("x"))
+    return cut.select("h", "x.*").join(windows.drop("n"), ["win_id", "win"]).select("h", "start", "n", "win_id")
 
 
 def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
     """documents (doc_id, text), benchmark (item_id, text) -> a row per document: doc_id, n_words,
     n_hit, n_items, items_sha256, contaminated, and spans, the hit word ranges (start, end)."""
-    docs = docs.select("doc_id", "text").withColumn("_key", F.xxhash64("doc_id", "text"))
-    bench = items.select("item_id", item_words(F.col("text")).alias("w")).where(F.size("w") > 0)
+    docs = docs.select("doc_id", "text").withColumn("h", F.xxhash64("doc_id", "text"))
+    bench = items.select(F.col("item_id").cast("string").alias("item_id"), item_words(F.col("text")).alias("w")).where(F.size("w") > 0)
     size = F.least(F.size("w"), F.lit(ITEM_WINDOW))
-    windows = bench.select("item_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - size + 1), lambda i: F.slice("w", i, size))).alias("win"))
-    windows = written(windows.groupBy("win").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("item_ids")).withColumn("win_id", F.xxhash64("win")), "windows")
-    sizes = sorted(r[0] for r in windows.select(F.least(F.size("win"), F.lit(SHINGLE)).alias("s")).distinct().collect())
-    none = docs.sparkSession.createDataFrame([], "_key long, start int, n int, win array<string>, item_ids array<string>")
-    placed = none
-    if sizes:
-        own = windows.select("win_id", F.size("win").alias("n"), F.explode(F.concat(*(F.when(F.least(F.size("win"), F.lit(SHINGLE)) == s, _shingles(F.col("win"), [s])).otherwise(F.array().cast("array<struct<place:int,h:bigint>>")) for s in sizes))).alias("x")).select("win_id", "n", "x.*")
-        own = written(own, "item-shingles")
-        runs = docs.select("_key", item_words(F.col("text")).alias("w")).select("_key", F.size("w").alias("n_words"), F.explode(_shingles(F.col("w"), sizes)).alias("x")).select("_key", "n_words", "x.*")
-        known = written(own.select("h").distinct(), "item-hashes")
-        counts = written(runs.select("h").join(_small(known), "h", "left_semi").groupBy("h").agg(F.count("*").alias("seen")), "rarity")
-        rare = Window.partitionBy("win_id").orderBy(F.coalesce("seen", F.lit(0)), "place", "h")
-        prefix = own.join(counts, "h", "left").withColumn("_r", F.row_number().over(rare)).where("_r = 1 and seen is not null")
-        prefix = written(prefix.select("h", "place", "n", "win_id"), "prefixes")
-        met = runs.alias("d").join(_small(prefix).alias("p"), F.col("d.h") == F.col("p.h")).where("d.place >= p.place and d.place - p.place + p.n <= d.n_words")
-        placed = met.select("_key", (F.col("d.place") - F.col("p.place")).alias("start"), "n", "win_id").distinct().join(windows, "win_id").select("_key", "start", "n", "win", "item_ids")
-    found = placed.groupBy("_key").agg(F.collect_list(F.struct("start", "n", "win", "item_ids")).alias("cand"))
-    out = docs.join(found, "_key", "left").select("doc_id", item_words(F.col("text")).alias("w"), "cand")
-    real = F.filter(F.coalesce("cand", F.array().cast("array<struct<start:int,n:int,win:array<string>,item_ids:array<string>>>")), lambda c: F.slice("w", c["start"] + 1, c["n"]) == c["win"])
-    out = out.select("doc_id", F.size("w").cast("long").alias("n_words"), real.alias("real"))
-    hit = F.size(F.array_distinct(F.flatten(F.transform("real", lambda c: F.sequence(c["start"], c["start"] + c["n"] - 1)))))
-    ids = F.array_sort(F.array_distinct(F.flatten(F.transform("real", lambda c: c["item_ids"]))))
-    spans = F.array_sort(F.array_distinct(F.transform("real", lambda c: F.struct(c["start"].alias("start"), (c["start"] + c["n"]).alias("end")))))
-    out = out.select("doc_id", "n_words", hit.cast("long").alias("n_hit"), ids.alias("ids"), spans.alias("spans"))
-    return out.select("doc_id", "n_words", "n_hit", F.size("ids").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "ids"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "spans")
+    every = bench.select("item_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - size + 1), lambda i: F.slice("w", i, size))).alias("win"))
+    every = written(every.select("item_id", F.xxhash64("win").alias("win_id"), "win").distinct(), "windows")
+    hits = written(_hits(docs.select("h", "text"), every.select("win_id", F.size("win").alias("n"), "win").distinct()), "hits")
+    end = F.col("start") + F.col("n")
+    spans = hits.groupBy("h").agg(F.array_sort(F.collect_set(F.struct("start", end.alias("end")))).alias("spans"))
+    named = hits.select("h", "win_id").distinct().join(every.where("item_id is not null").select("win_id", "item_id").distinct(), "win_id")
+    ids = named.groupBy("h").agg(F.array_sort(F.collect_set("item_id")).alias("ids"))
+    found = spans.join(ids, "h", "left")
+    # Only ids and counts of the texts meet their hits.
+    out = docs.select("doc_id", "h", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("n_words")).join(found, "h", "left")
+    covered = F.size(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["end"] - 1)))))
+    ids = F.coalesce("ids", F.array().cast("array<string>"))
+    out = out.select("doc_id", "n_words", F.when(F.col("spans").isNull(), 0).otherwise(covered).cast("long").alias("n_hit"), F.size(ids).cast("long").alias("n_items"), F.sha2(F.concat_ws(",", ids), 256).alias("items_sha256"), "spans")
+    return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", (F.col("n_hit") > 0).alias("contaminated"), F.coalesce("spans", F.array().cast("array<struct<start:int,end:int>>")).alias("spans"))
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

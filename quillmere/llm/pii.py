@@ -2,7 +2,7 @@
 
 All of it is column expressions: spans come from splitting a text at a pattern and adding up the
 lengths of pieces and matches, so the plan is a scan with a projection and no exchange. Running sums
-and maxima go block by block (_before), and arrays and texts are bound once (_let) instead of being
+and maxima go block by block (_before), and arrays and texts are bound once (let) instead of being
 made anew for each element, so the work of one text is linear in its length and its matches.
 
 Weak supervision: candidate tokens (runs of word characters, LEAST_TOKEN or longer, with a digit or
@@ -29,7 +29,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import let, table
 
 KINDS = ("email", "ip", "card", "phone", "secret", "account")
 _LOCAL, _DIGIT = r"[A-Za-z0-9._%+-]", r"[0-9]"
@@ -55,11 +55,6 @@ _FOUND = "array<struct<start:int,k:int,end:int>>"
 ROUNDS, PRIOR, CLASSES, BLOCK, CHUNK = 50, 1.0, 3, 256, 1024
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body of value, with value evaluated once however often body and its lambdas use it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _before(values: Column, add: Callable[[Column, Column], Column]) -> Column:
     """For each of the integers, what add makes of 0 and all those before it. Sums are kept by blocks,
     so that appending to an array copies a block at most, or the list of blocks."""
@@ -73,9 +68,9 @@ def _before(values: Column, add: Callable[[Column, Column], Column]) -> Column:
     def whole(v: Column) -> Column:
         cut = F.transform(F.sequence(F.lit(0), F.size(v) - 1, F.lit(BLOCK)), lambda i: F.slice(v, i + 1, F.lit(BLOCK)))
         first = lambda blocks: running(F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), add)), F.lit(0))
-        return _let(cut, lambda blocks: F.flatten(F.zip_with(blocks, first(blocks), running)))
+        return let(cut, lambda blocks: F.flatten(F.zip_with(blocks, first(blocks), running)))
 
-    return _let(values, lambda v: F.when(F.size(v) > 0, whole(v)).otherwise(empty))
+    return let(values, lambda v: F.when(F.size(v) > 0, whole(v)).otherwise(empty))
 
 
 def spans(text: Column, pattern: str) -> Column:
@@ -89,7 +84,7 @@ def spans(text: Column, pattern: str) -> Column:
         one = lambda x, a: F.struct((a + x["gap"]).alias("start"), (a + x["gap"] + x["size"]).alias("end"), x["m"].alias("m"), x["before"].alias("before"))
         return F.zip_with(p, at, one)
 
-    return _let(pairs, placed)
+    return let(pairs, placed)
 
 
 def _luhn(digits: Column) -> Column:
@@ -254,7 +249,7 @@ class SpanClassifier:
             return out
 
         best = lambda x: F.when(F.greatest(x["a"], x["b"]) <= 0, 0).when(x["a"] >= x["b"], 1).otherwise(2)
-        return _let(F.struct(odds(1).alias("a"), odds(2).alias("b")), best)
+        return let(F.struct(odds(1).alias("a"), odds(2).alias("b")), best)
 
 
 def _tagged(found: Column, kind: str) -> Column:
@@ -274,7 +269,7 @@ def found_spans(docs: DataFrame, model: SpanClassifier, text: str = "text") -> D
         marked = F.zip_with(every, reach, lambda s, r: F.when((s["k"] < 4) | (s["end"] > r), s))
         return F.filter(marked, lambda s: s.isNotNull())
 
-    return docs.withColumn("pii_spans", _let(F.array_sort(F.concat(*base, more)), outside))
+    return docs.withColumn("pii_spans", let(F.array_sort(F.concat(*base, more)), outside))
 
 
 def told(spans_: Column) -> Column:
@@ -301,7 +296,7 @@ def redacted(text: Column, spans_: Column) -> Column:
         last = between(s, F.coalesce(F.array_max(ends), F.lit(0)), s["size"])
         return F.array_join(F.concat(F.zip_with(s["spans"], reach, piece), F.array(last)), "")
 
-    return _let(F.struct(blocks.alias("blocks"), spans_.alias("spans"), F.length(text).alias("size")), put)
+    return let(F.struct(blocks.alias("blocks"), spans_.alias("spans"), F.length(text).alias("size")), put)
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

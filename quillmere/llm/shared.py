@@ -72,6 +72,12 @@ def split_words(text: Column, gap: str) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), gap), lambda w: w != "")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, with value evaluated once however often body and its lambdas use it, wherever
+    the optimizer moves the expression."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -264,7 +264,19 @@ def test_pii_learns_and_redacts(spark):
     assert sum("password=[SECRET]" in r.t and "stays, mail [EMAIL]" in r.t for r in got) == 200
 
 
-def test_decontamination(docs, none, spark):
+def test_decontamination_beyond_the_broadcast(spark, folder, monkeypatch):
+    """The exchange with its bitmap gives the rows that the broadcast gives, on the whole table."""
+    docs, bench = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/benchmark.parquet")
+    whole = sorted(map(str, decontam.contamination(docs, bench).collect()))
+    assert sum("contaminated=True" in r for r in whole) > 0
+    monkeypatch.setattr(decontam, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(decontam, "FILTER_BITS", 1 << 12)
+    assert sorted(map(str, decontam.contamination(docs, bench).collect())) == whole
+
+
+@pytest.mark.parametrize("rows", [100_000, 0])
+def test_decontamination(docs, none, spark, monkeypatch, rows):
+    monkeypatch.setattr(decontam, "BROADCAST_ROWS", rows)
     item = " ".join(BASE.split()[20:35])
     bench = spark.createDataFrame([(1, item), (2, item), (3, "two words"), (4, None), (5, "!!"), (None, "x"), (6, "漢字 é")], "item_id long, text string")
     got = decontam.contamination(docs, bench).collect()
