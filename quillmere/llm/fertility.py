@@ -6,9 +6,9 @@ byte-fallback tokens, and entropy of the token distribution as a share of the mo
 at most, could have. A text is kept if it passes the plain rules and lies within two kinds of bands:
 fixed ones for its script (that of most letters, by UTF-8 lead bytes), and ones for its language,
 around the median of all texts of that language, some robust standard deviations wide (from
-histograms over all texts of at least MIN_TOKENS tokens) and wider for short texts, by the square root
-of 1 + SHORT / tokens. Languages with fewer than MIN_TEXTS such texts, and texts of fewer tokens, have
-the fixed bands alone.
+histograms over all texts with tokens) and wider for short texts, by the square root of 1 + SHORT /
+tokens. A language's half-width is wider by SHRINK / texts of the learned one, so a band comes on smoothly as
+a language's texts grow: no number of texts or tokens switches one on.
 
 Texts are read once, map-side; the measures, a hundred bytes a text, go to a table in the shared
 folder, and counts by language and histogram bin are all that is exchanged and reaches the driver
@@ -17,13 +17,16 @@ that no value is cut: some BINS more for each factor of e). The vocabulary's fil
 size is fixed). Words are encoded once for each chunk of rows, so memory is bounded by a chunk: a few
 MB of text, or one longer text.
 
+Bands are a row for each language, made and joined in Spark (broadcast while a count finds at most
+BROADCAST_LANGUAGES); nothing of them reaches the driver.
+
 Defined cases: null and white-space texts have no words, so base_failed is true and kept false, with
-measures null. A null language is one of its own. Repeated ids and other columns change nothing.
+measures null. A null language is one of its own, apart from the empty string. Repeated ids and other
+columns change nothing. Empty tables give no rows.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from functools import partial
 
@@ -33,14 +36,15 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import wordhash as wh
 from .shared import prepare, table, written
 
 VOCABULARY = "piece_bpe_32k.model"
-MIN_WORDS, MAX_REPEAT_PERCENT, REPEAT_WINDOW, MIN_TOKENS = 20, 30, 8, 100
+MIN_WORDS, MAX_REPEAT_PERCENT, REPEAT_WINDOW = 20, 30, 8
 SYMBOLS = "#*$%&|<>"
-ENTROPY_CAP, SHORT, MIN_TEXTS, BINS = 512, 300, 100, 2000
+ENTROPY_CAP, SHORT, SHRINK, BINS, BROADCAST_LANGUAGES = 512, 300, 100.0, 2000, 100_000
 #: Per script: least and most code points per token, most byte-fallback share, least and most entropy share.
 BANDS: dict[str, tuple[float, float, float, float, float]] = {
     "latin": (1.35, 6.5, 0.05, 0.45, 1.0),
@@ -160,7 +164,8 @@ def _rules(batches: Iterator[pa.RecordBatch], model: object, bands: dict) -> Ite
             ratio = np.divide(entropy, np.log2(np.clip(tokens, 2, ENTROPY_CAP)), out=np.zeros(j - i), where=some)
             failed = (n_words < MIN_WORDS) | (100 * repeat > MAX_REPEAT_PERCENT * n_words)
             lim = limits[script]
-            good = (per >= lim[:, 0]) & (per <= lim[:, 1]) & (share <= lim[:, 2]) & ((tokens < MIN_TOKENS) | ((ratio >= lim[:, 3]) & (ratio <= lim[:, 4])))
+            wide = np.sqrt(1 + SHORT / np.maximum(tokens, 1))
+            good = (per >= lim[:, 0]) & (per <= lim[:, 1]) & (share <= lim[:, 2] * wide) & (ratio >= 1 - (1 - lim[:, 3]) * wide) & (ratio <= lim[:, 4])
             measures = [pa.array(x, mask=~some) for x in (per, tokens / np.maximum(n_words, 1), share, ratio)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").slice(i, j - i), batch.column("lang").slice(i, j - i), *map(pa.array, (n_words, chars, _by_text(_SYMBOL[part], own), lines, repeat, failed, good)), pa.array([names[k] if s else None for k, s in zip(script, some, strict=True)], pa.string()), pa.array(tokens), *measures],
@@ -174,39 +179,30 @@ def _bin(value: F.Column, width: float) -> F.Column:
     return F.when(value < top, F.floor(value / width)).otherwise(BINS + F.floor(BINS * F.log(value / top))).cast("int")
 
 
-def _middle(b: int, width: float) -> float:
-    return (b + 0.5) * width if b < BINS else BINS * width * math.exp((b - BINS + 0.5) / BINS)
-
-
-def _around(counts: dict[int, int], width: float, spread: float, least: float) -> tuple[float, float]:
-    """Median and half-width of the band of a histogram."""
-
-    def median(c: list[tuple[float, int]]) -> float:
-        total, seen = sum(n for _, n in c), 0
-        for x, n in sorted(c):
-            seen += n
-            if 2 * seen >= total:
-                return x
-        return 0.0
-
-    centre = median([(_middle(b, width), n) for b, n in counts.items()])
-    deviation = 1.4826 * median([(abs(_middle(b, width) - centre), n) for b, n in counts.items()])
-    return centre, max(spread * deviation, least)
+def _middle(b: F.Column, width: float) -> F.Column:
+    inside = F.lit(BINS * width) * F.exp((b - BINS + 0.5) / BINS)
+    return F.when(b < BINS, (b + 0.5) * width).otherwise(inside)
 
 
 def language_bands(measured: DataFrame) -> DataFrame:
     """(band_lang, then centre and half-width of each learned measure), from histograms over all texts."""
-    enough = measured.where(F.col("n_tokens") >= MIN_TOKENS).select(F.coalesce("lang", F.lit("")).alias("lang"), *LEARNED)
-    rows: dict[str, list] = {}
-    for name, (width, spread, least) in LEARNED.items():
-        found: dict[str, dict[int, int]] = {}
-        for lang, b, n in enough.groupBy("lang", _bin(F.col(name), width).alias("b")).count().collect():
-            found.setdefault(lang, {})[b] = n
-        for lang, counts in found.items():
-            if sum(counts.values()) >= MIN_TEXTS:
-                rows.setdefault(lang, [lang]).extend(_around(counts, width, spread, least))
-    schema = ", ".join(["band_lang string", *(f"{n}_mid double, {n}_half double" for n in LEARNED)])
-    return measured.sparkSession.createDataFrame([tuple(r) for r in rows.values()], schema)
+    some = measured.where(F.col("n_tokens") > 0)
+    cells = [F.struct(F.lit(name).alias("name"), _bin(F.col(name), width).alias("b")) for name, (width, _, _) in LEARNED.items()]
+    counts = some.select("lang", F.explode(F.array(*cells)).alias("x")).groupBy("lang", "x.name", "x.b").agg(F.count("*").alias("n"))
+    pick = lambda values: F.coalesce(*(F.when(F.col("name") == name, F.lit(v)) for name, v in values.items()))
+    width, spread, least = (pick({name: v[k] for name, v in LEARNED.items()}) for k in range(3))
+    every = Window.partitionBy("lang", "name")
+
+    rows = counts.withColumn("x", _middle(F.col("b"), width)).withColumn("texts", F.sum("n").over(every))
+    for value, out in (("x", "middle"), ("away", "deviation")):
+        if value == "away":
+            rows = rows.withColumn("away", F.abs(F.col("x") - F.col("middle")))
+        rows = rows.withColumn("up", F.sum("n").over(every.orderBy(value)))
+        rows = rows.withColumn(out, F.min(F.when(2 * F.col("up") >= F.col("texts"), F.col(value))).over(every))
+    learned = F.greatest(spread * 1.4826 * F.col("deviation"), least) * (1 + F.lit(SHRINK) / F.col("texts"))
+    rows = rows.select("lang", "name", "middle", learned.alias("half"))
+    told = [F.max(F.when(F.col("name") == name, F.col(c))).alias(f"{name}_{e}") for name in LEARNED for c, e in (("middle", "mid"), ("half", "half"))]
+    return rows.groupBy(F.col("lang").alias("band_lang")).agg(*told)
 
 
 def quality_rules(docs: DataFrame, vocabulary: str | None = None, bands: dict | None = None) -> DataFrame:
@@ -216,11 +212,13 @@ def quality_rules(docs: DataFrame, vocabulary: str | None = None, bands: dict |
     with open(vocabulary or public_tokenizers.path(VOCABULARY), "rb") as f:
         model = spark.sparkContext.broadcast(f.read())
     measured = written(docs.select("doc_id", "text", "lang").mapInArrow(partial(_rules, model=model, bands=bands or BANDS), _OUT), "measures")
-    met = measured.join(language_bands(measured), F.coalesce("lang", F.lit("")) == F.col("band_lang"), "left")
+    learned = written(language_bands(measured), "bands")
+    learned = F.broadcast(learned) if learned.count() <= BROADCAST_LANGUAGES else learned
+    met = measured.join(learned, F.col("lang").eqNullSafe(F.col("band_lang")), "left")
     near = F.lit(True)
     for name in LEARNED:
         near = near & F.coalesce(F.abs(F.col(name) - F.col(f"{name}_mid")) <= F.col(f"{name}_half") * F.sqrt(1 + SHORT / F.greatest(F.col("n_tokens"), F.lit(1))), F.lit(True))
-    kept = ~F.col("base_failed") & F.col("in_script") & ((F.col("n_tokens") < MIN_TOKENS) | near)
+    kept = ~F.col("base_failed") & F.col("in_script") & near
     counts = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
     return met.select(*counts, kept.alias("kept"), "script", "n_tokens", "chars_per_token", "tokens_per_word", "byte_share", "entropy_share")
 

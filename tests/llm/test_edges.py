@@ -178,7 +178,68 @@ def test_bands_of_an_unspaced_script(spark):
     band = fertility.language_bands(spark.createDataFrame(measured, "n_tokens long, lang string, chars_per_token double, tokens_per_word double, entropy_share double")).first()
     middle = tokens[74]
     assert band.tokens_per_word_mid == pytest.approx(middle, rel=1e-3)
-    assert band.tokens_per_word_half == pytest.approx(6 * 1.4826 * sorted(abs(x - middle) for x in tokens)[74], abs=0.3)
+    assert band.tokens_per_word_half == pytest.approx((1 + 100 / 150) * 6 * 1.4826 * sorted(abs(x - middle) for x in tokens)[74], abs=0.5)
+
+
+def test_fertility_against_brute_force(spark, folder):
+    """Base columns of every document, and the verdicts from the measures, in plain Python."""
+    import math
+    import statistics
+    from collections import Counter
+
+    import public_tokenizers
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    rows = spark.read.parquet(f"{folder}/documents.parquet").collect()
+    got = {r.doc_id: r for r in fertility.op5_quality_rules(spark, folder).collect()}
+    seen, langs = {}, {}
+    for r in rows:
+        w, g = words(r.text), got[r.doc_id]
+        at = {}
+        for k in range(len(w) - 7):
+            at.setdefault(tuple(w[k : k + 8]), []).append(k)
+        repeat = len({k + i for ks in at.values() if len(ks) > 1 for k in ks for i in range(8)})
+        lines = [x for x in (r.text or "").split("\n") if words(x)]
+        base = (len(w), sum(map(len, w)), sum((r.text or "").count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), repeat)
+        failed = len(w) < 20 or 100 * repeat > 30 * len(w)
+        assert (g.n_words, g.word_chars, g.n_symbols, g.n_dup_lines, g.n_repeat_words, g.base_failed) == (*base, failed)
+        ids = [i for x in sp.encode(w) for i in x] if w else []
+        assert g.n_tokens == len(ids)
+        if ids:
+            count = Counter(ids)
+            entropy = -sum(c / len(ids) * math.log2(c / len(ids)) for c in count.values())
+            m = (base[1] / len(ids), len(ids) / len(w), entropy / math.log2(min(max(len(ids), 2), 512)))
+            assert m == pytest.approx((g.chars_per_token, g.tokens_per_word, g.entropy_share), abs=1e-9)
+            assert g.byte_share == pytest.approx(sum(map(sp.is_byte, ids)) / len(ids))
+            seen[r.doc_id] = m
+            langs.setdefault(r.lang, []).append(m)
+    clear = 0
+    for r in rows:
+        g = got[r.doc_id]
+        if r.doc_id not in seen:
+            assert not g.kept
+            continue
+        low, high, byte, least, most = fertility.BANDS[g.script]
+        m, wide = seen[r.doc_id], math.sqrt(1 + 300 / g.n_tokens)
+        gaps = [m[0] - low, high - m[0], byte * wide - g.byte_share, m[2] - 1 + (1 - least) * wide, most - m[2]]
+        for k, (_, spread, floor) in enumerate(fertility.LEARNED.values()):
+            own = [x[k] for x in langs[r.lang]]
+            middle = statistics.median_low(own)
+            half = max(spread * 1.4826 * statistics.median_low([abs(x - middle) for x in own]), floor) * (1 + 100 / len(own))
+            gaps.append(half * wide - abs(m[k] - middle))
+        if min(map(abs, gaps)) > 0.06:  # the histogram's bins decide what is nearer to an edge
+            assert g.kept == (not g.base_failed and min(gaps) > 0), (r.doc_id, gaps)
+            clear += 1
+    assert clear > 0.5 * len(seen)
+
+
+def test_fertility_judges_alike_in_any_table(spark, folder):
+    """A document of ordinary text has its verdict in a large and in a small table."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    large = {r.doc_id: r.kept for r in fertility.quality_rules(docs).collect()}
+    small = fertility.quality_rules(docs.where("doc_id % 3 = 0")).collect()
+    assert sum(large[r.doc_id] != r.kept for r in small) <= 1
 
 
 def base_spans(t):
