@@ -6,9 +6,10 @@ pieces' probabilities are fitted by expectation-maximisation (forward and backwa
 expected counts) on whole texts of a bounded random sample: about SAMPLE texts a language (the
 documented bound), chosen by hash. Counts of texts by language cover all training rows.
 
-Words are runs of letters (ASCII letters and all non-ASCII characters), lower-cased, with the
-vocabulary's word mark before them; runs over LONGEST characters are cut. The passes run over all
-distinct words of a chunk of rows at once. Languages are taken in blocks of BLOCK, in the fit and in
+Words are runs of letters (ASCII letters and all non-ASCII characters) of any length, lower-cased, with
+the vocabulary's word mark before them. The passes run over the distinct words of a chunk of rows in
+blocks of like length, hold the last positions that a piece can reach back to, and are rescaled where
+their values become small. Languages are taken in blocks of BLOCK, in the fit and in
 the prediction: a worker holds one block's probabilities (BLOCK x vocabulary) at a time and each text's
 best language and sum so far, so any number of languages is learned; the driver holds the counts
 of the pieces that a language's sample has.
@@ -20,6 +21,7 @@ order of name. Prediction reads the text alone; repeated ids and other columns c
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import partial
 
@@ -34,7 +36,7 @@ from . import wordhash as wh
 from .shared import prepare, table
 
 VOCABULARY = "piece_bpe_32k.model"
-SAMPLE, ROUNDS, LONGEST, BLOCK, FOLDS = 300, 3, 48, 64, 5
+SAMPLE, ROUNDS, CODES, BLOCK, FOLDS = 300, 3, 400_000, 64, 5
 UNKNOWN, SMOOTH = 1e-7, 200.0
 MARK = "▁"
 _TABLE = wh.byte_table(909, fold=True)
@@ -42,7 +44,7 @@ _GAPS = np.zeros(256, bool)
 _GAPS[:128] = True
 _GAPS[65:91] = _GAPS[97:123] = False
 _CHAR_MULT = 0xC2B2AE3D27D4EB4F | 1
-_UP = [pow(_CHAR_MULT, k, 1 << 64) for k in range(LONGEST + 2)]
+_CHAR_POWERS = wh.Powers(_CHAR_MULT)
 _SLOTS = 18
 
 
@@ -53,7 +55,7 @@ class Pieces:
         sp = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.model = model
         self.texts = [t for t in (sp.id_to_piece(i) for i in range(sp.get_piece_size())) if (t.lstrip(MARK).isalpha() and t == t.lower() and t.count(MARK) <= 1) or t == MARK]
-        self.longest = min(LONGEST, max(map(len, self.texts)))
+        self.longest = max(map(len, self.texts))
         self.hash = np.array([self._hash(t) for t in self.texts], np.uint64)
         first, second = self._slots(self.hash)
         self.one, self.two = np.full(1 << _SLOTS, -1, np.int32), np.full(1 << _SLOTS, -1, np.int32)
@@ -69,7 +71,7 @@ class Pieces:
     @staticmethod
     def _hash(text: str) -> int:
         codes = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
-        total = np.uint64(sum(int(c + 1) * _UP[k] for k, c in enumerate(codes)) & (2**64 - 1))
+        total = np.uint64(sum(int(c + 1) * pow(_CHAR_MULT, k, 1 << 64) for k, c in enumerate(codes)) & (2**64 - 1))
         return int(wh.mix(np.array([total ^ np.uint64(len(text))], np.uint64))[0])
 
     @staticmethod
@@ -87,22 +89,19 @@ class Pieces:
             out[h == np.uint64(value)] = k
         return out
 
-    def lattice(self, codes: np.ndarray) -> list[list[tuple[int, np.ndarray]]]:
-        """For each end position of equally long words, (length, piece numbers) of the pieces that end there."""
-        n = codes.shape[1]
-        total = np.zeros((len(codes), n + 1), np.uint64)
-        np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * np.array(_UP[:n], np.uint64), axis=1, out=total[:, 1:])
-        inverse = pow(_CHAR_MULT, -1, 1 << 64)
-        out: list[list[tuple[int, np.ndarray]]] = [[]]
-        for j in range(1, n + 1):
-            ends = []
-            for size in range(1, min(j, self.longest) + 1):
-                h = (total[:, j] - total[:, j - size]) * np.uint64(pow(inverse, j - size, 1 << 64))
-                ids = self.find(wh.mix(h ^ np.uint64(size)))
-                if size == 1 or (ids < len(self.texts)).any():
-                    ends.append((size, ids))
-            out.append(ends)
-        return out
+    def sums(self, codes: np.ndarray) -> np.ndarray:
+        """Running hashes of the code points of words, a word a row."""
+        total = np.zeros((len(codes), codes.shape[1] + 1), np.uint64)
+        np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * _CHAR_POWERS.get(codes.shape[1])[0], axis=1, out=total[:, 1:])
+        return total
+
+    def ends(self, total: np.ndarray, j: int) -> Iterator[tuple[int, np.ndarray]]:
+        """(length, piece numbers) of the pieces that end at position j of the words with these sums."""
+        down = _CHAR_POWERS.get(j + 1)[1]
+        for size in range(1, min(j, self.longest) + 1):
+            ids = self.find(wh.mix((total[:, j] - total[:, j - size]) * down[j - size] ^ np.uint64(size)))
+            if size == 1 or (ids < len(self.texts)).any():
+                yield size, ids
 
 
 _worker: list[Pieces] = []
@@ -114,60 +113,181 @@ def worker_pieces(model: bytes) -> Pieces:
     return _worker[0]
 
 
-def _forward(lattice: list, p: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Log-probabilities (word, language) and the scaled forward values; p has a row of zeros for no piece."""
-    none = len(p) - 1
-    words = len(lattice[1][0][1])
-    alpha, log = [np.ones((words, p.shape[1]))], np.zeros((words, 1))
-    for j in range(1, len(lattice)):
-        new = np.zeros_like(alpha[0])
-        for size, ids in lattice[j]:
-            gain = p[ids]
-            if size == 1:
-                gain[ids == none] = UNKNOWN
-            new += alpha[j - size] * gain
-        alpha.append(new)
-        scale = new.max(axis=1, keepdims=True)
-        if (scale < 1e-200).any():  # keeps long words within the range of a double
-            for k in range(max(0, j - 64), j + 1):
-                alpha[k] = alpha[k] / scale
-            log += np.log(scale)
-    return np.log(np.maximum(alpha[-1], 1e-300)) + log, alpha
-
-
-def _expected(lattice: list, p: np.ndarray, lang: int, weight: np.ndarray, counts: np.ndarray) -> None:
-    """Adds the expected counts of pieces in words of one language."""
-    none = len(p) - 1
-    q = p[:, lang : lang + 1]
-    _, alpha = _forward(lattice, q)
-    n = len(lattice) - 1
-    beta = [np.zeros_like(alpha[0]) for _ in range(n + 1)]
-    beta[n] = np.ones_like(alpha[0])
+def _gain(p: np.ndarray, size: int, ids: np.ndarray) -> np.ndarray:
+    """Probabilities of pieces; p has a row of zeros for no piece, where a single character gets UNKNOWN."""
+    gain = p[ids]
+    if size == 1:
+        gain[ids == len(p) - 1] = UNKNOWN
+    return gain
+
+
+def _rescaled(value: np.ndarray, log: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Values with small rows brought up to 1, and the logarithms of what they stand for."""
+    top = value.max(axis=1, keepdims=True)
+    low = (top < 1e-150) & (top > 0)
+    if not low.any():
+        return value, log
+    scale = np.where(low, top, 1.0)
+    return value / scale, log + np.log(scale)
+
+
+def _add(total: np.ndarray, value: np.ndarray, log: np.ndarray, own: np.ndarray) -> None:
+    """Adds value, which stands at scale log, to total, which stands at scale own."""
+    total += value if log is own else value * np.exp(log - own)
+
+
+def _forward(pieces: Pieces, codes: np.ndarray, sizes: np.ndarray, p: np.ndarray, keep: bool = False) -> tuple[np.ndarray, list]:
+    """Log-probabilities (word, language) of words, longest first, padded to one length; with keep
+    also the (values, logarithm of their scale) of every position."""
+    total, out = pieces.sums(codes), np.zeros((len(codes), p.shape[1]))
+    held: list = [(np.ones((len(codes), p.shape[1])), np.zeros((len(codes), 1)))]
+    for j in range(1, codes.shape[1] + 1):
+        n = int(np.searchsorted(-sizes, -j, "right"))  # words that reach position j
+        own = held[j - 1][1][:n] if len(held[j - 1][1]) != n else held[j - 1][1]
+        new = np.zeros((n, p.shape[1]))
+        for size, ids in pieces.ends(total[:n], j):
+            value, log = held[j - size]
+            same = log is held[j - 1][1]
+            _add(new, value[:n] * _gain(p, size, ids), own if same else log[:n], own)
+        held.append(_rescaled(new, own))
+        done = slice(int(np.searchsorted(-sizes, -j, "left")), n)
+        out[done] = np.log(np.maximum(held[j][0][done], 1e-300)) + held[j][1][done]
+        if not keep and j > pieces.longest:
+            held[j - pieces.longest - 1] = None
+    return out, held
+
+
+def _steps(pieces: Pieces, code: np.ndarray, block: int = 4096) -> Iterator[tuple[int, list[int], np.ndarray]]:
+    """For each position of one word, (position, lengths, numbers) of the pieces that end there."""
+    total, sizes = pieces.sums(code[None, :])[0], np.arange(1, pieces.longest + 1)
+    for low in range(1, len(total), block):
+        at = np.arange(low, min(low + block, len(total)))
+        begin = at[:, None] - sizes
+        inside = np.maximum(begin, 0)
+        ids = pieces.find(wh.mix((total[at][:, None] - total[inside]) * _CHAR_POWERS.get(len(total))[1][inside] ^ sizes.astype(np.uint64)).reshape(-1)).reshape(begin.shape)
+        used = (begin >= 0) & ((ids < len(pieces.texts)) | (sizes == 1))
+        row, col = np.nonzero(used)
+        edge = np.searchsorted(row, np.arange(len(at) + 1)).tolist()
+        size, piece = (col + 1).tolist(), ids[row, col]
+        for k in range(len(at)):
+            yield low + k, size[edge[k] : edge[k + 1]], piece[edge[k] : edge[k + 1]]
+
+
+def _forward_one(pieces: Pieces, code: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """_forward for one long word: the last positions in a ring, rescaled by language."""
+    n, none = pieces.longest + 1, len(p) - 1
+    ring, log = np.zeros((n, p.shape[1])), np.zeros(p.shape[1])
+    ring[0] = 1.0
+    for j, size, ids in _steps(pieces, code):
+        gain = p[ids]
+        if ids[0] == none:
+            gain[0] = UNKNOWN
+        new = (ring[[(j - x) % n for x in size]] * gain).sum(axis=0)
+        ring[j % n] = new
+        if j % 8 == 0 and new.min() < 1e-100:
+            ring /= new
+            log += np.log(new)
+    return np.log(ring[len(code) % n]) + log
+
+
+def _counts_one(pieces: Pieces, code: np.ndarray, q: np.ndarray, weight: float, counts: np.ndarray) -> None:
+    """Expected counts of pieces in one word of a language with probabilities q: a forward and a
+    backward pass, each value kept with the logarithm of its scale."""
+    steps = [(size, ids, [float(x) if k < len(q) - 1 else UNKNOWN for k, x in zip(ids.tolist(), q[ids], strict=True)]) for _, size, ids in _steps(pieces, code)]
+    value, scale = [1.0], [0.0]
+    for j, (size, _, gain) in enumerate(steps, 1):
+        own = scale[-1]
+        new = sum(value[j - x] * g * (1.0 if scale[j - x] == own else math.exp(scale[j - x] - own)) for x, g in zip(size, gain, strict=True))
+        if new < 1e-100:
+            new, own = 1.0, own + math.log(new)
+        value.append(new)
+        scale.append(own)
+    n = len(steps)
+    back, at = [0.0] * n + [1.0], [0.0] * (n + 1)
+    whole = math.log(value[n]) + scale[n]
     for j in range(n, 0, -1):
-        for size, ids in lattice[j]:
-            gain = q[ids]
-            if size == 1:
-                gain[ids == none] = UNKNOWN
-            flow = gain * beta[j]
-            beta[j - size] += flow
-            np.add.at(counts, ids, (alpha[j - size] * flow / np.maximum(alpha[n], 1e-300))[:, 0] * weight)
+        size, ids, gain = steps[j - 1]
+        if 0 < back[j] < 1e-100:
+            back[j], at[j] = 1.0, at[j] + math.log(back[j])
+        for x, k, g in zip(size, ids.tolist(), gain, strict=True):
+            flow = back[j] * g
+            counts[k] += weight * value[j - x] * flow * math.exp(scale[j - x] + at[j] - whole)
+            if back[j - x] == 0.0:
+                at[j - x] = at[j]
+            if at[j - x] == at[j]:
+                back[j - x] += flow
+            else:
+                most = max(at[j - x], at[j])
+                back[j - x], at[j - x] = back[j - x] * math.exp(at[j - x] - most) + flow * math.exp(at[j] - most), most
 
 
-def _by_length(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(places, code points) of equally long words."""
+def _log_probability(pieces: Pieces, words: list[str], p: np.ndarray) -> np.ndarray:
+    """Log-probabilities (word, language)."""
+    out = np.zeros((len(words), p.shape[1]))
+    for at, codes, sizes in _blocks(words):
+        if _alone(codes):
+            for k, i in enumerate(at.tolist()):
+                out[i] = _forward_one(pieces, codes[k, : sizes[k]], p)
+        else:
+            out[at] = _forward(pieces, codes, sizes, p)[0]
+    return out
+
+
+def _expected(pieces: Pieces, words: list[str], p: np.ndarray, lang: int, weight: np.ndarray, counts: np.ndarray) -> None:
+    """Adds the expected counts of pieces in words of one language."""
+    q = p[:, lang : lang + 1]
+    for at, codes, sizes in _blocks(words):
+        if _alone(codes):
+            for k, i in enumerate(at.tolist()):
+                _counts_one(pieces, codes[k, : sizes[k]], q[:, 0], float(weight[i]), counts)
+        else:
+            _expected_block(pieces, codes, sizes, q, weight[at], counts)
+
+
+def _alone(codes: np.ndarray) -> bool:
+    """Whether a block is so long and of so few words that word by word is quicker; the sums are the same."""
+    return len(codes) < 16 and codes.shape[1] > 64
+
+
+def _expected_block(pieces: Pieces, codes: np.ndarray, sizes: np.ndarray, q: np.ndarray, weight: np.ndarray, counts: np.ndarray) -> None:
+    whole, held = _forward(pieces, codes, sizes, q, keep=True)
+    total, length = pieces.sums(codes), codes.shape[1]
+    back = [(np.zeros((len(codes), 1)), np.zeros((len(codes), 1))) for _ in range(length + 1)]
+    for j in range(length, 0, -1):
+        n = int(np.searchsorted(-sizes, -j, "right"))
+        value, log = back[j]
+        value[sizes == j] = 1.0
+        value, log = back[j] = _rescaled(value, log)
+        for size, ids in pieces.ends(total[:n], j):
+            flow = value[:n] * _gain(q, size, ids)
+            before, at = held[j - size]
+            odds = before[:n] * flow * np.exp(np.minimum(at[:n] + log[:n] - whole[:n], 700))
+            np.add.at(counts, ids, odds[:, 0] * weight[:n])
+            there, scale = back[j - size]
+            # Both are brought to the larger scale, so that neither overflows.
+            most = np.where(there[:n] > 0, np.maximum(scale[:n], log[:n]), log[:n])
+            there[:n] = there[:n] * np.exp(np.minimum(scale[:n] - most, 0)) + flow * np.exp(log[:n] - most)
+            scale[:n] = most
+
+
+def _blocks(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(places, code points, lengths) of words of like length, longest first, about CODES code points at a time."""
     size = np.fromiter(map(len, texts), np.int64, len(texts))
-    for n in np.unique(size):
-        at = np.flatnonzero(size == n)
-        for k in range(0, len(at), 20_000):
-            own = at[k : k + 20_000]
-            joined = "".join([texts[i] for i in own.tolist()]).encode("utf-32-le", "surrogatepass")
-            yield own, np.frombuffer(joined, np.uint32).reshape(len(own), int(n))
+    order = np.argsort(-size, kind="stable")
+    k = 0
+    while k < len(order):
+        longest = int(size[order[k]])
+        own = order[k : k + max(1, CODES // longest)]
+        own = own[size[own] * 4 >= longest * 3]
+        codes = np.zeros((len(own), longest), np.uint32)
+        joined = "".join([texts[i] for i in own.tolist()]).encode("utf-32-le", "surrogatepass")
+        codes[np.arange(longest) < size[own][:, None]] = np.frombuffer(joined, np.uint32)
+        yield own, codes, size[own]
+        k += len(own)
 
 
 def _distinct(data: np.ndarray, offsets: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct units of the texts; then for each unit in place its text's number and unit's number; letters by text.
-
-    A word over LONGEST characters gives several units."""
+    """Distinct words of the texts; for each word in place its text's number and word's number; letters by text."""
     found = wh.words(data, offsets, _TABLE, gaps=_GAPS)
     _, first, inverse = np.unique(found.hash, return_index=True, return_inverse=True)
     words = [data[s:e].tobytes().decode(errors="replace").lower() for s, e in zip(found.start[first].tolist(), found.end[first].tolist(), strict=True)]
@@ -175,20 +295,7 @@ def _distinct(data: np.ndarray, offsets: np.ndarray) -> tuple[list[str], np.ndar
     letters = np.zeros(len(offsets) - 1, bool)
     has = np.fromiter((any(map(str.isalpha, w)) for w in words), bool, len(words))
     letters[doc[has[inverse]]] = True
-    units, owner = [], []
-    for k, w in enumerate(words):
-        w = MARK + w
-        for at in range(0, len(w), LONGEST):
-            units.append(w[at : at + LONGEST])
-            owner.append(k)
-    if len(units) > len(words):
-        own = np.array(owner)
-        count = np.bincount(own, minlength=len(words))
-        begin = np.cumsum(count) - count
-        each = count[inverse]
-        at = np.repeat(begin[inverse] - (np.cumsum(each) - each), each) + np.arange(int(each.sum()))
-        return units, np.repeat(doc, each), at, letters
-    return units, doc, inverse, letters
+    return [MARK + w for w in words], doc, inverse, letters
 
 
 def _counted(batches: Iterator[pa.RecordBatch], model: object, p: object, first: int) -> Iterator[pa.RecordBatch]:
@@ -203,8 +310,7 @@ def _counted(batches: Iterator[pa.RecordBatch], model: object, p: object, first:
             for c in np.unique(lang[i:j]):
                 own = np.bincount(unit[lang[i:j][doc] == c], minlength=len(units))
                 used = np.flatnonzero(own)
-                for at, codes in _by_length([units[k] for k in used.tolist()]):
-                    _expected(pieces.lattice(codes), prob, int(c), own[used[at]].astype(float), counts[c])
+                _expected(pieces, [units[k] for k in used.tolist()], prob, int(c), own[used].astype(float), counts[c])
     rows, ids = np.nonzero(counts[:, :-1] > 1e-9)
     yield pa.RecordBatch.from_arrays([pa.array((rows + first).astype(np.int32)), pa.array(ids.astype(np.int32)), pa.array(counts[rows, ids])], names=["lang", "piece", "n"])
 
@@ -226,9 +332,7 @@ def _predicted(batches: Iterator[pa.RecordBatch], model: object, blocks: list, l
                 base = 0
                 for sent in blocks:
                     prob = _block(sent, len(blocks) == 1)
-                    log = np.zeros((len(units), prob.shape[1]))
-                    for at, codes in _by_length(units):
-                        log[at] = _forward(pieces.lattice(codes), prob)[0]
+                    log = _log_probability(pieces, units, prob)
                     total = np.stack([np.bincount(doc, weights=log[unit, c], minlength=j - i) for c in range(prob.shape[1])], axis=1)
                     top = total.max(axis=1)
                     best = np.where(top > most, base + total.argmax(axis=1), best)

@@ -40,7 +40,7 @@ def byte_table(seed: int, fold: bool) -> np.ndarray:
     return table
 
 
-class _Powers:
+class Powers:
     """Powers of an odd multiplier and of its inverse modulo 2**64, grown on demand."""
 
     def __init__(self, base: int) -> None:
@@ -55,7 +55,7 @@ class _Powers:
         return self.up[:n], self.down[:n]
 
 
-_BYTE_POWERS, _WORD_POWERS = _Powers(_MULT), _Powers(_WINDOW_MULT)
+_BYTE_POWERS, _WORD_POWERS = Powers(_MULT), Powers(_WINDOW_MULT)
 
 
 @dataclass

@@ -421,10 +421,58 @@ def test_forward_sums_all_segmentations():
             return 1.0
         return sum((p[place[w[:k]], c] if w[:k] in place else langid.UNKNOWN if k == 1 else 0.0) * total(w[k:], c) for k in range(1, len(w) + 1))
 
-    for w in ("▁the", "▁straße", "▁漢a", "▁ing"):
-        (_, codes), = langid._by_length([w])
-        log, _ = langid._forward(pieces.lattice(codes), p)
-        assert np.allclose(log[0], [np.log(total(w, c)) for c in (0, 1)])
+    some = ["▁the", "▁straße", "▁漢a", "▁ing", "▁th"]
+    assert np.allclose(langid._log_probability(pieces, some, p), [[np.log(total(w, c)) for c in (0, 1)] for w in some])
+
+
+def _slow_log(pieces, p, w, c):
+    """The forward sum of a word in logarithms, piece by piece."""
+    import math
+
+    place = {t: k for k, t in enumerate(pieces.texts)}
+    alpha = [0.0]
+    for j in range(1, len(w) + 1):
+        terms = []
+        for size in range(1, min(j, pieces.longest) + 1):
+            x = p[place[w[j - size : j]], c] if w[j - size : j] in place else langid.UNKNOWN if size == 1 else 0.0
+            if x > 0:
+                terms.append(alpha[j - size] + math.log(x))
+        top = max(terms)
+        alpha.append(top + math.log(sum(math.exp(t - top) for t in terms)))
+    return alpha[-1]
+
+
+def test_forward_over_long_words(monkeypatch):
+    """Runs of hundreds of letters are one word: no cut, no underflow; and expected counts add up to their letters."""
+    import numpy as np
+    import public_tokenizers
+
+    pieces = langid.Pieces(open(public_tokenizers.path("piece_bpe_32k.model"), "rb").read())
+    rng, letters = np.random.default_rng(1), random.Random(2)
+    p = np.vstack([rng.random((len(pieces.texts), 2)) / len(pieces.texts), np.zeros((1, 2))])
+    words_ = ["▁" + "".join(letters.choice("abcdeé漢") for _ in range(n)) for n in (200, 190, 160, 47, 900, 3)]
+    want = [[_slow_log(pieces, p, w, c) for c in (0, 1)] for w in words_]
+    size = np.array([len(t) for t in pieces.texts] + [1])
+    both = []
+    for alone in (False, True):
+        monkeypatch.setattr(langid, "_alone", lambda codes, alone=alone: alone)
+        assert np.allclose(langid._log_probability(pieces, words_, p), want)
+        counts = np.zeros(len(p))
+        langid._expected(pieces, words_, p, 1, np.arange(1.0, 7.0), counts)
+        assert np.isclose((counts * size).sum(), sum(k * len(w) for k, w in enumerate(words_, 1)))
+        both.append(counts)
+    assert np.allclose(*both)
+
+
+def test_language_held_out(spark, folder):
+    """The query's folds, and its accuracy on documents that it did not learn from."""
+    import zlib
+
+    truth = {r.doc_id: r for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    got = langid.op9_language_id(spark, folder).collect()
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and 0 <= r.score <= 1 for r in got)
+    out = [r for r in got if r.held_out and truth[r.doc_id].lang]
+    assert len(out) > 20 and sum(r.lang_pred == truth[r.doc_id].lang for r in out) >= 0.95 * len(out)
 
 
 def test_quality(docs, none, spark):
