@@ -14,8 +14,9 @@ size decides whether Spark broadcasts it.
 
 Defined cases: null language or source is the leaf level '(none)'; levels without a weight get the
 default weight. A null text has 0 tokens; documents of 0 tokens before the end of the prefix come
-along. Repeated rows are separate documents, ordered by id and content. Empty tables give no rows.
-Extra columns pass through; a column with the name of a result column (RESULT) is replaced.
+along. Repeated rows are separate documents, ordered by id and text, then by their other columns. Empty
+tables give no rows. Extra columns pass through whatever their names; only a column with the name of a
+result column (RESULT) is replaced.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import split_words, table, written
+from .shared import free_prefix, split_words, table, written
 
 LEVELS = ("domain", "language", "origin")
 RESULT = (*LEVELS, "n_tokens", "epoch")
@@ -55,7 +56,8 @@ def allocate(leaves: DataFrame, share: float = SHARE, epochs: int = EPOCHS, weig
     """leaves (LEVELS, tokens) -> leaves plus budget, in tokens."""
     weights = WEIGHTS if weights is None else weights
     out = leaves.withColumn("cap", (F.col("tokens") * epochs).cast("double"))
-    out = out.withColumn("given", F.lit(share) * F.sum("tokens").over(Window.partitionBy(F.lit(0))))
+    total = leaves.agg((F.lit(share) * F.coalesce(F.sum("tokens"), F.lit(0))).alias("given"))  # one row
+    out = out.crossJoin(F.broadcast(total))
     for depth, level in enumerate(LEVELS):
         parent, node = LEVELS[:depth], LEVELS[: depth + 1]
         nodes = out.groupBy(*node).agg(F.sum("cap").alias("c"), F.first("given").alias("b")).withColumn("w", _weight(level, weights))
@@ -84,25 +86,29 @@ def mix(docs: DataFrame, domain: Column | None = None, share: float = SHARE, epo
         "domain": domain, "language": F.coalesce(F.col("lang").cast("string"), F.lit(NONE)), "origin": F.coalesce(F.col("source").cast("string"), F.lit(NONE)),
         "n_tokens": F.size(split_words(F.col("text"), WORD_GAP)).cast("long"),
     }).drop("epoch")
+    own = free_prefix(docs)
+    names = ("whole", "left", "key", "bin", "end", "over", "last", "base", "run", "tie")
+    whole, left, key, bin_, end, over, last_, base, run, tie = (f"{own}_{x}" for x in names)
     leaves = written(docs.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens")), "leaves")
     budgets = allocate(leaves, share, epochs, weights)
-    whole = F.when(F.col("tokens") > 0, F.expr("budget div tokens")).otherwise(F.lit(0))
-    plan = written(budgets.withColumn("_whole", whole).select(*LEVELS, "_whole", (F.col("budget") - F.col("_whole") * F.col("tokens")).alias("_left")), "budgets")
-    dealt = docs.join(plan, [*LEVELS]).withColumn("_key", _order(F.col("_whole"), seed))
-    dealt = dealt.withColumn("_bin", (F.conv(F.substring("_key", 1, 8), 16, 10).cast("long") % BINS).cast("int"))
-    bins = dealt.groupBy(*LEVELS, "_bin", "_left").agg(F.sum("n_tokens").alias("n"))
-    up_to = Window.partitionBy(*LEVELS).orderBy("_bin")
-    bins = bins.withColumn("_end", F.sum("n").over(up_to)).withColumn("_over", F.col("_end") > F.col("_left"))
-    last = bins.groupBy(*LEVELS).agg(F.min(F.when(F.col("_over"), F.col("_bin"))).alias("_last"), F.coalesce(F.max(F.when(~F.col("_over"), F.col("_end"))), F.lit(0)).alias("_base"))
-    last = written(last, "last-bins")
-    dealt = dealt.join(last, [*LEVELS])
-    kept = [c for c in docs.columns]
-    part = F.when(F.col("_last").isNull() | (F.col("_bin") < F.col("_last")), F.array("_whole")).otherwise(F.array().cast("array<bigint>"))
-    full = F.when(F.col("_whole") > 0, F.sequence(F.lit(0).cast("bigint"), F.col("_whole") - 1)).otherwise(F.array().cast("array<bigint>"))
+    times = F.when(F.col("tokens") > 0, F.expr("budget div tokens")).otherwise(F.lit(0))
+    plan = written(budgets.withColumn(whole, times).select(*LEVELS, whole, (F.col("budget") - F.col(whole) * F.col("tokens")).alias(left)), "budgets")
+    dealt = docs.join(plan, [*LEVELS]).withColumn(key, _order(F.col(whole), seed))
+    dealt = dealt.withColumn(bin_, (F.conv(F.substring(key, 1, 8), 16, 10).cast("long") % BINS).cast("int"))
+    bins = dealt.groupBy(*LEVELS, bin_, left).agg(F.sum("n_tokens").alias("n"))
+    up_to = Window.partitionBy(*LEVELS).orderBy(bin_)
+    bins = bins.withColumn(end, F.sum("n").over(up_to)).withColumn(over, F.col(end) > F.col(left))
+    last = bins.groupBy(*LEVELS).agg(F.min(F.when(F.col(over), F.col(bin_))).alias(last_), F.coalesce(F.max(F.when(~F.col(over), F.col(end))), F.lit(0)).alias(base))
+    dealt = dealt.join(written(last, "last-bins"), [*LEVELS])
+    kept = docs.columns
+    none = F.array().cast("array<bigint>")
+    part = F.when(F.col(last_).isNull() | (F.col(bin_) < F.col(last_)), F.array(whole)).otherwise(none)
+    full = F.when(F.col(whole) > 0, F.sequence(F.lit(0).cast("bigint"), F.col(whole) - 1)).otherwise(none)
     sure = dealt.withColumn("epoch", F.explode(F.concat(full, part))).select(*kept, F.col("epoch").cast("int").alias("epoch"))
-    run = F.sum("n_tokens").over(Window.partitionBy(*LEVELS).orderBy("_key").rowsBetween(Window.unboundedPreceding, 0))
-    edge = dealt.where(F.col("_bin") == F.col("_last")).withColumn("_run", run).where(F.col("_base") + F.col("_run") <= F.col("_left"))
-    return sure.unionByName(edge.select(*kept, F.col("_whole").cast("int").alias("epoch")))
+    edge = dealt.where(F.col(bin_) == F.col(last_)).withColumn(tie, F.md5(F.to_json(F.struct(*kept))))
+    in_order = Window.partitionBy(*LEVELS).orderBy(key, tie).rowsBetween(Window.unboundedPreceding, 0)
+    edge = edge.withColumn(run, F.sum("n_tokens").over(in_order)).where(F.col(base) + F.col(run) <= F.col(left))
+    return sure.unionByName(edge.select(*kept, F.col(whole).cast("int").alias("epoch")))
 
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,9 +24,11 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests), a temporary one is set."""
+    """The folder in spark.checkpoint.dir; where that is unset on a local master (tests), a temporary one is set."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="quillmere-")
         spark.conf.set("spark.checkpoint.dir", folder)
         spark.sparkContext.setCheckpointDir(folder)
@@ -72,6 +74,14 @@ def split_words(text: Column, gap: str) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), gap), lambda w: w != "")
 
 
+def free_prefix(df: DataFrame) -> str:
+    """A prefix for columns of our own that no column of df begins with."""
+    prefix = "_q"
+    while any(c.lower().startswith(prefix) for c in df.columns):
+        prefix = "_" + prefix
+    return prefix
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body of value, with value evaluated once however often body and its lambdas use it, wherever
     the optimizer moves the expression."""

@@ -501,6 +501,18 @@ def test_mixing(docs, none):
     assert mixing.mix(none).count() == 0
 
 
+def test_mixing_any_column_names_and_ties(spark):
+    """Columns named as the operator's own pass through; rows that differ in another column alone have a fixed order."""
+    names = ["_left", "_last", "_bin", "_key", "_whole", "_q_left", "_q", "tokens", "budget", "n", "given"]
+    rows = [(k % 7, "w " * 10, "en", "src1", *(f"{x}{k}" for x in names)) for k in range(70)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, " + ", ".join(f"{x} string" for x in names))
+    got = [sorted(map(str, mixing.mix(x, share=0.35).collect())) for x in (d, d.repartition(7, "n"))]
+    assert got[0] == got[1] and len(got[0]) == 24
+    plain = mixing.mix(d.select("doc_id", "text", "lang", "source"), share=0.35)
+    assert sorted(r.doc_id for r in plain.collect()) == sorted(r.doc_id for r in mixing.mix(d, share=0.35).collect())
+    assert all(r._left == f"_left{r.n[1:]}" for r in mixing.mix(d, share=0.35).collect())
+
+
 def test_mixing_meets_weights_and_redistributes(spark):
     rows = [(f"{d}", f"{la}", f"{s}", n) for d, la, s, n in (("a", "x", "1", 1000), ("a", "x", "2", 10), ("a", "y", "3", 1000), ("b", "x", "4", 5))]
     leaves = spark.createDataFrame(rows, "domain string, language string, origin string, tokens long")
