@@ -14,15 +14,20 @@ the prediction: a worker holds one block's probabilities (BLOCK x vocabulary) at
 best language and sum so far, so any number of languages is learned; the driver holds the counts
 of the pieces that a language's sample has.
 
-Defined cases: text null or without a letter gives 'und' and score 0; so do all texts if nothing can
-be learned. A null doc_id is not held out and is not learned from. Ties go to the language first in
+fit says how a text compares with the sample texts of its language: its log-probability a code point,
+less their median, in robust standard deviations, which are wider for short texts by the square root of
+1 + SHORT / code points. A text in a language that was not learned, or of no language, is far below 0. The
+sample is cached; a part lost with an executor is read again.
+
+Defined cases: text null or without a letter gives 'und', score 0 and fit null; so do all texts if
+nothing can be learned. Empty tables give no rows. A null doc_id is not held out and is not learned from. Ties go to the language first in
 order of name. Prediction reads the text alone; repeated ids and other columns change nothing.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
@@ -37,7 +42,7 @@ from .shared import prepare, table
 
 VOCABULARY = "piece_bpe_32k.model"
 SAMPLE, ROUNDS, CODES, BLOCK, FOLDS = 300, 3, 400_000, 64, 5
-UNKNOWN, SMOOTH = 1e-7, 200.0
+UNKNOWN, SMOOTH, SHORT, LEAST_SPREAD = 1e-7, 200.0, 200, 0.1
 MARK = "▁"
 _TABLE = wh.byte_table(909, fold=True)
 _GAPS = np.zeros(256, bool)
@@ -320,12 +325,12 @@ def _block(sent: object, alone: bool) -> np.ndarray:
     return sent.value if alone or not getattr(sent, "_path", None) else sent.load_from_path(sent._path)
 
 
-def _predicted(batches: Iterator[pa.RecordBatch], model: object, blocks: list, langs: list[str]) -> Iterator[pa.RecordBatch]:
+def _predicted(batches: Iterator[pa.RecordBatch], model: object, blocks: list, langs: list[str], typical: np.ndarray | None) -> Iterator[pa.RecordBatch]:
     pieces = worker_pieces(model.value)
     for batch in batches:
         data, offsets = wh.text_buffer(batch.column("text"))
         for i, j in wh.chunks(offsets):
-            score, pred = np.zeros(j - i), np.full(j - i, -1)
+            score, pred, fit = np.zeros(j - i), np.full(j - i, -1), np.full(j - i, np.nan)
             units, doc, unit, letters = _distinct(data, offsets[i : j + 1])
             if langs and units:
                 best, most, odds = np.zeros(j - i, np.int64), np.full(j - i, -np.inf), np.zeros(j - i)
@@ -341,7 +346,13 @@ def _predicted(batches: Iterator[pa.RecordBatch], model: object, blocks: list, l
                     most, base = higher, base + prob.shape[1]
                 pred[letters] = best[letters]
                 score[letters] = (1.0 / odds)[letters]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array([langs[k] if k >= 0 else "und" for k in pred], pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
+                size = np.maximum(np.bincount(doc, weights=np.fromiter(map(len, units), float, len(units))[unit], minlength=j - i), 1)
+                per = most / size
+                if typical is not None:
+                    middle, spread = typical[best].T
+                    per = (per - middle) / (spread * np.sqrt(1 + SHORT / size))
+                fit[letters] = per[letters]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array([langs[k] if k >= 0 else "und" for k in pred], pa.string()), pa.array(score), pa.array(fit, from_pandas=True)], names=["doc_id", "lang_pred", "score", "fit"])
 
 
 def held_out(doc_id: object = "doc_id") -> F.Column:
@@ -358,6 +369,7 @@ class LanguageModel:
         self.spark, self.pieces, self.model = spark, Pieces(model), spark.sparkContext.broadcast(model)
         self.langs: list[str] = []
         self.blocks: list = []
+        self.typical = np.zeros((0, 2))
 
     def fit(self, rows: DataFrame, sample: int = SAMPLE) -> LanguageModel:
         """rows (key, text, lang): about sample rows of each language are read, chosen by their key's hash."""
@@ -385,10 +397,20 @@ class LanguageModel:
                 p.destroy()
             share_all = share_all / len(self.langs) + 1.0 / n / 100
             sent = [self._send(self._counts(f, k) + SMOOTH * share_all / share_all.sum()) for k, f in zip(starts, found, strict=True)]
-        chosen.unpersist()
         self.blocks = sent
+        own = chosen.select(F.col("place").alias("doc_id"), "text").mapInArrow(self._how(None), "doc_id int, lang_pred string, score double, fit double")
+        every = own.where("fit is not null").groupBy("doc_id").agg(F.array_sort(F.collect_list("fit")).alias("x"))
+        middle = lambda x: F.get(x, F.floor(F.size(x) / 2).cast("int"))
+        every = every.withColumn("m", middle(F.col("x"))).withColumn("d", F.array_sort(F.transform("x", lambda v: F.abs(v - F.col("m")))))
+        self.typical = np.tile([0.0, 1.0], (len(self.langs), 1))
+        for place, m, d in every.select("doc_id", "m", middle(F.col("d"))).collect():
+            self.typical[place] = m, max(1.4826 * d, LEAST_SPREAD)
+        chosen.unpersist()
         return self
 
+    def _how(self, typical: np.ndarray | None) -> Callable:
+        return partial(_predicted, model=self.model, blocks=self.blocks, langs=self.langs, typical=typical)
+
     def _counts(self, found: object, first: int) -> np.ndarray:
         counts = np.zeros((len(self.pieces.texts), min(BLOCK, len(self.langs) - first)))
         counts[found["piece"], found["place"] - first] = found["n"]
@@ -399,9 +421,8 @@ class LanguageModel:
         return self.spark.sparkContext.broadcast(np.vstack([p / p.sum(axis=0), np.zeros((1, p.shape[1]))]))
 
     def predict(self, docs: DataFrame) -> DataFrame:
-        """documents (doc_id, text) -> (doc_id, lang_pred, score), one row per input row."""
-        how = partial(_predicted, model=self.model, blocks=self.blocks, langs=self.langs)
-        return docs.select("doc_id", "text").mapInArrow(how, f"doc_id {dict(docs.dtypes)['doc_id']}, lang_pred string, score double")
+        """documents (doc_id, text) -> (doc_id, lang_pred, score, fit), one row per input row."""
+        return docs.select("doc_id", "text").mapInArrow(self._how(self.typical), f"doc_id {dict(docs.dtypes)['doc_id']}, lang_pred string, score double, fit double")
 
 
 def trained_on(docs: DataFrame, sample: int = SAMPLE) -> LanguageModel:

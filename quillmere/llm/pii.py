@@ -256,9 +256,9 @@ def _tagged(found: Column, kind: str) -> Column:
     return F.transform(found, lambda s: F.struct(s["start"].alias("start"), F.lit(KINDS.index(kind)).alias("k"), s["end"].alias("end")))
 
 
-def found_spans(docs: DataFrame, model: SpanClassifier, text: str = "text") -> DataFrame:
-    """docs plus pii_spans, a sorted array of (start, k, end), k counting KINDS; code points, end exclusive."""
-    body = F.coalesce(F.col(text), F.lit(""))
+def spans_of(text: Column, model: SpanClassifier) -> Column:
+    """A sorted array of (start, k, end), k counting KINDS; code points, end exclusive."""
+    body = F.coalesce(text, F.lit(""))
     base = [_tagged(base_spans(body, k), k) for k in KINDS[:4]]
     told = F.transform(candidates(body), lambda s: F.struct(s["start"].alias("start"), (model.judged(s["m"], s["before"]) + 3).alias("k"), s["end"].alias("end")))
     more = F.filter(told, lambda s: s["k"] > 3) if model.weights else F.array().cast(_FOUND)
@@ -269,7 +269,12 @@ def found_spans(docs: DataFrame, model: SpanClassifier, text: str = "text") -> D
         marked = F.zip_with(every, reach, lambda s, r: F.when((s["k"] < 4) | (s["end"] > r), s))
         return F.filter(marked, lambda s: s.isNotNull())
 
-    return docs.withColumn("pii_spans", let(F.array_sort(F.concat(*base, more)), outside))
+    return let(F.array_sort(F.concat(*base, more)), outside)
+
+
+def found_spans(docs: DataFrame, model: SpanClassifier, text: str = "text") -> DataFrame:
+    """docs plus pii_spans, as spans_of gives them."""
+    return docs.withColumn("pii_spans", spans_of(F.col(text), model))
 
 
 def told(spans_: Column) -> Column:
