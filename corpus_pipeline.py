@@ -1,13 +1,16 @@
 """Corpus pipeline over documents: each stage reads what the one before it kept.
 
-language    drops documents whose language is unknown ('und') or doubtful (score under LEAST_SCORE)
+language    drops documents without a language ('und'), of a doubtful one (score under LEAST_SCORE), or
+            too unlike the texts of their language (fit under LEAST_FIT: languages that were not learned,
+            no language at all)
 near_dedup  keeps the document with the smallest doc_id of each near-duplicate class
 benchmark   drops documents that hold a benchmark window
 pii         puts each span of personal data as its kind in brackets, and counts n_chars anew
 mixing      chooses documents by the weights of domain, language and source; adds its columns
 
-Stages but the last return the columns that they were given. Rows of one doc_id (null is one) stay
-together, if any of them is to stay. Empty tables give empty tables.
+Stages but the last return the columns that they were given, whatever the names of extra ones; mixing
+replaces columns named as its results. Rows of one doc_id (null is one) stay together, if any of them is
+to stay. Null texts have no language and go in the first stage. Empty tables give empty tables.
 """
 
 from __future__ import annotations
@@ -16,19 +19,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmere.llm import decontam, langid, mixing, near_dup, pii
-from quillmere.llm.shared import table, written
+from quillmere.llm.shared import let, table, written
 
-LEAST_SCORE = 0.5
+LEAST_SCORE, LEAST_FIT = 0.5, -20.0
 
 
 def _where(docs: DataFrame, verdicts: DataFrame, condition: str) -> DataFrame:
     """Rows of docs whose doc_id has a verdict that meets the condition; null is a doc_id like others."""
-    kept = verdicts.where(condition).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi")
+    kept = verdicts.where(condition).select(F.col("doc_id").alias("kept_id")).distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _where(docs, langid.trained_on(docs).predict(docs), f"lang_pred <> 'und' and score >= {LEAST_SCORE}")
+    return _where(docs, langid.trained_on(docs).predict(docs), f"lang_pred <> 'und' and score >= {LEAST_SCORE} and fit >= {LEAST_FIT}")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,10 +43,10 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = pii.found_spans(docs, pii.SpanClassifier().fit(docs))
-    text = F.when(F.size("pii_spans") > 0, pii.redacted(F.col("text"), F.col("pii_spans"))).otherwise(F.col("text"))
-    out = found.withColumn("text", text).withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
-    return out.select(*docs.columns)
+    spans = pii.spans_of(F.col("text"), pii.SpanClassifier().fit(docs))
+    text = let(F.struct(F.col("text").alias("t"), spans.alias("s")), lambda x: F.when(F.size(x["s"]) > 0, pii.redacted(x["t"], x["s"])).otherwise(x["t"]))
+    out = docs.withColumn("text", text)
+    return out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
