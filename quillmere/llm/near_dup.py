@@ -31,7 +31,7 @@ from pyspark.sql.window import Window
 from . import wordhash as wh
 from .shared import components, prepare, table, written
 
-SHINGLE, SIDE, ROWS, PERCENT = 5, 12, 3, 75
+SHINGLE, SIDE, ROWS, PERCENT = 5, 16, 3, 75
 SKETCH_LONGS = 16
 #: Of 1,024 one-bit MinHashes, those that a pair at the least similarity has in common less 4.4 standard deviations.
 SKETCH_LEAST = 849

@@ -89,6 +89,26 @@ def test_near_dup_large_group(spark):
     assert got == {i: find(i) for i in s}
 
 
+def test_near_dup_recall_near_the_threshold(spark):
+    """Measured: of some 300 pairs between 0.75 and 0.8, each on its own, all but a few are linked, and no pair under 0.75."""
+    rng = random.Random(11)
+    texts, pairs = [], []
+    for k in range(900):
+        a = prose(10_000 + k, 100).split()
+        b = list(a)
+        for at in rng.sample(range(0, 100, 7), 3):
+            b[at] = word(rng)
+        b[: rng.randint(0, 4)] = []
+        x, y = shingles(" ".join(a)), shingles(" ".join(b))
+        pairs.append((2 * k, 2 * k + 1, 100 * len(x & y) >= 75 * len(x | y), len(x & y) / len(x | y)))
+        texts += [(2 * k, " ".join(a)), (2 * k + 1, " ".join(b))]
+    got = {r.doc_id: r.component_id for r in near_dup.classes(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    linked = [got[a] == got[b] for a, b, *_ in pairs]
+    true = [x for x, (*_, yes, _) in zip(linked, pairs, strict=True) if yes]
+    assert not any(x for x, (*_, yes, _) in zip(linked, pairs, strict=True) if not yes)
+    assert len(true) > 250 and sum(true) >= 0.997 * len(true)
+
+
 def test_token_counts(docs, none):
     import public_tokenizers
     from tokenizers import Tokenizer
