@@ -7,15 +7,21 @@ named by partition, so a task that runs again replaces its own files.
 
 Reading: Spark reads the files; records of one segment are decoded where they are parsed. Of the
 others only the segments are exchanged, by origin identifier and in order of segment number; their
-total length is verified and the chunked framing decoded. A record that lacks a segment, or whose
-length, framing or digest is wrong, comes out with valid false.
+total length is verified and the chunked framing decoded. Archives are decompressed in pieces of READ
+bytes, so a task holds an archive's bytes as they lie and one record. A record that lacks a segment, or
+whose length, framing or digest is wrong, comes out with valid false. Where an archive is damaged (a cut
+or broken gzip member, a header that is none, a block shorter than it says) the records before it are
+read, the damaged one comes out with valid false, and reading goes on at the next gzip member; in a plain
+archive at the next line that begins a record.
 
 Which page of equal payloads is the response is a max by digest, combined on the map side, joined
 back by digest; AQE may split that join where one payload is very frequent.
 
 Defined cases: null html is an empty payload. Rows with a null page_id are written and read back with
 a null page_id; among equal payloads they revisit the largest page_id, if there is one. Repeated
-rows give repeated records. url may be null. Archives of one partition are read whole by one task.
+rows give repeated records. url may be null. Other columns are not read. An empty table gives archives
+without records, and these give no rows. Archives of one partition are read by one task. Writing needs a
+folder that pyarrow's file systems reach (local, hdfs, s3, gs, abfs by their own URIs).
 """
 
 from __future__ import annotations
@@ -23,7 +29,7 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
-import io
+import zlib
 from collections.abc import Iterator
 from functools import partial
 
@@ -35,9 +41,10 @@ from pyspark.sql import functions as F
 
 from .shared import new_path, prepare, table
 
-LEAST_REVISIT, SEGMENT, CHUNK = 1000, 16_384, 8_192
+LEAST_REVISIT, SEGMENT, CHUNK, READ = 1000, 16_384, 8_192, 1 << 16
 _ID = "<urn:quillmere:page:{}:{}>"
 _DATE = "2024-01-01T00:00:00Z"
+_GZIP, _EMPTY = b"\x1f\x8b\x08", gzip.compress(b"", mtime=0)
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
 
 
@@ -109,6 +116,8 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, segment: int) -> Iter
 def write_archives(pages: DataFrame, folder: str, least: int = LEAST_REVISIT, segment: int = SEGMENT) -> int:
     """Writes pages (page_id, url, html) as archives into folder; gives the number of records."""
     prepare(pages.sparkSession)
+    fs, root = pa.fs.FileSystem.from_uri(folder)
+    fs.create_dir(root, recursive=True)
     pages = pages.select("page_id", "url", "html", F.sha1(F.coalesce("html", F.lit(""))).alias("digest"), (F.octet_length(F.coalesce("html", F.lit(""))) >= least).alias("long"))
     keep = pages.where("long").groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).where("n > 1 and keeper is not null").select("digest", "keeper")
     told = pages.join(keep, "digest", "left")
@@ -116,28 +125,139 @@ def write_archives(pages: DataFrame, folder: str, least: int = LEAST_REVISIT, se
     return told.mapInArrow(partial(_write, folder=folder, segment=segment), "records long").agg(F.sum("records")).first()[0] or 0
 
 
-def records(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(fields, block) of each record; field names in lower case."""
-    while line := stream.readline():
-        if not line.strip():
-            continue
-        if not line.startswith(b"WARC/"):
-            raise ValueError("not a WARC record")
-        fields = {}
-        while (line := stream.readline()).strip():
-            k, _, v = line.decode(errors="replace").partition(":")
-            fields[k.strip().lower()] = v.strip()
-        yield fields, stream.read(int(fields.get("content-length", 0)))
+def _number(text: str | None) -> int | None:
+    text = (text or "").strip()
+    return int(text) if text.isdecimal() else None
+
+
+class _Bytes:
+    """Bytes of an archive, decompressed in pieces as they are asked for; resume() goes to the next gzip member."""
+
+    def __init__(self, raw: object) -> None:
+        self.raw, self.at, self.held = memoryview(raw), 0, b""
+        self.packed = bytes(self.raw[:2]) == _GZIP[:2]
+        self.inflate = zlib.decompressobj(31) if self.packed else None
+
+    def more(self) -> bool:
+        """Adds a piece to what is held; False at the end, ValueError in a broken or cut member."""
+        if not self.packed:
+            piece = bytes(self.raw[self.at : self.at + READ])
+            self.at += len(piece)
+            self.held += piece
+            return bool(piece)
+        while self.at < len(self.raw):
+            piece = self.raw[self.at : self.at + READ]
+            self.at += len(piece)
+            try:
+                out = self.inflate.decompress(piece)
+            except zlib.error as e:
+                raise ValueError("broken gzip member") from e
+            if self.inflate.eof:
+                self.at -= len(self.inflate.unused_data)
+                self.inflate = zlib.decompressobj(31)
+            if out:
+                self.held += out
+                return True
+        if self.packed and not _fresh(self.inflate):
+            self.inflate = zlib.decompressobj(31)
+            raise ValueError("cut gzip member")
+        return False
+
+    def line(self) -> bytes:
+        """The next line with its end, shorter at the end of the archive."""
+        while (k := self.held.find(b"\n")) < 0:
+            if not self.more():
+                k = len(self.held) - 1
+                break
+        out, self.held = self.held[: k + 1], self.held[k + 1 :]
+        return out
+
+    def take(self, n: int) -> bytes:
+        parts, size = [self.held], len(self.held)
+        while size < n:
+            self.held = b""
+            if not self.more():
+                break
+            parts.append(self.held)
+            size += len(self.held)
+        whole = b"".join(parts)
+        self.held = whole[n:]
+        return whole[:n]
+
+    def resume(self, since: int, rest: bytes) -> None:
+        """After damage: to the next member after byte since, or the next line from rest on that begins a record."""
+        if self.packed:
+            found = bytes(self.raw[since + 1 :]).find(_GZIP)
+            self.at, self.held = (since + 1 + found if found >= 0 else len(self.raw)), b""
+            self.inflate = zlib.decompressobj(31)
+            return
+        self.held = b"\n" + rest + self.held
+        while True:
+            found = self.held.find(b"\nWARC/")
+            if found >= 0:
+                self.held = self.held[found + 1 :]
+                return
+            self.held = self.held[-5:]
+            if not self.more():
+                self.held = b""
+                return
+
+
+def _fresh(inflate: object) -> bool:
+    """Whether a decompressor has seen nothing of a member yet."""
+    copy = inflate.copy()
+    try:
+        copy.decompress(_EMPTY)
+    except zlib.error:
+        return False
+    return copy.eof
+
+
+def records(raw: object) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(fields, block) of each record of an archive's bytes; field names in lower case. A damaged record
+    has what fields were read, "damage" among them, and an empty block."""
+    stream = _Bytes(raw)
+    while True:
+        begun, fields, rest = stream.at, {}, b""
+        try:
+            line = stream.line()
+            if not line:
+                return
+            if not line.strip():
+                continue
+            if not line.startswith(b"WARC/"):
+                raise ValueError("not a WARC record")
+            while (line := stream.line()).strip():
+                k, _, v = line.decode(errors="replace").partition(":")
+                fields[k.strip().lower()] = v.strip()
+            size = _number(fields.get("content-length"))
+            if size is None:
+                raise ValueError("no length")
+            rest = block = stream.take(size)
+            end = stream.take(4)
+            rest += end
+            if len(block) < size or end != b"\r\n\r\n":
+                raise ValueError("no end of record after its length")
+            yield fields, block
+        except ValueError as e:
+            yield fields | {"damage": str(e)}, b""
+            stream.resume(begun, rest)
 
 
 def _digest(fields: dict) -> str | None:
+    """The payload digest in hex; None if there is none of a kind that is known."""
     kind, _, value = fields.get("warc-payload-digest", "").partition(":")
-    return base64.b32decode(value).hex() if kind == "sha1" else None
+    try:
+        return base64.b32decode(value).hex() if kind == "sha1" else None
+    except ValueError:
+        return None
 
 
 def _page(name: str | None) -> int | None:
+    """The page_id in a record's name; None for names that are not ours."""
     part = (name or "").strip("<>").split(":")
-    return int(part[3]) if len(part) > 3 and part[3] else None
+    own = part[:3] == _ID.strip("<>").split(":")[:3] and len(part) > 3 and part[3].lstrip("-").isdecimal()
+    return int(part[3]) if own else None
 
 
 def decoded(block: bytes) -> bytes:
@@ -170,22 +290,21 @@ def _parse(batches: Iterator[pa.RecordBatch], payload: bool) -> Iterator[pa.Reco
     """Whole records decoded; segments as they are, with origin and number."""
     for batch in batches:
         for content in batch.column("content"):
-            raw = content.as_buffer()
-            stream: io.BufferedIOBase = pa.BufferReader(raw)
-            stream = io.BufferedReader(gzip.GzipFile(fileobj=stream)) if raw.slice(0, 2).to_pybytes() == b"\x1f\x8b" else io.BufferedReader(io.BytesIO(raw.to_pybytes()))
             rows, size = [], 0
-            for fields, block in records(stream):
+            for fields, block in records(content.as_buffer()):
                 kind, own = fields.get("warc-type"), fields.get("warc-record-id")
                 number, total = fields.get("warc-segment-number"), fields.get("warc-segment-total-length")
-                if kind == "continuation" or number == "1":
+                if "damage" in fields:
+                    rows.append((own, _page(own), kind, None, _digest(fields), None, False, None, None, None, None, None))
+                elif kind == "continuation" or number == "1":
                     told = _digest(fields)
-                    rows.append((own, None, kind, None, told, None, None, None, fields.get("warc-segment-origin-id", own), int(number or 0), int(total) if total else None, block))
+                    rows.append((own, None, kind, None, told, None, None, None, fields.get("warc-segment-origin-id", own), _number(number), _number(total), block))
                     size += len(block)
                 elif kind == "response":
                     rows.append((*_whole(own, _digest(fields), block, True, payload), None, None, None, None))
                     size += len(block) if payload else 0
                 elif kind == "revisit":
-                    length = next((int(x[15:]) for x in block.split(b"\r\n") if x.lower().startswith(b"content-length:")), None)
+                    length = next((_number(x[15:].decode(errors="replace")) for x in block.split(b"\r\n") if x.lower().startswith(b"content-length:")), None)
                     rows.append((own, _page(own), "revisit", length, _digest(fields), _page(fields.get("warc-refers-to")), length is not None, None, None, None, None, None))
                 if len(rows) >= 2000 or size > 4 << 20:
                     yield _batch(rows)
@@ -201,10 +320,10 @@ def _joined(batches: Iterator[pa.RecordBatch], payload: bool) -> Iterator[pa.Rec
 
     def finished(rows: list[dict]) -> list[tuple]:
         first = [r for r in rows if r["segment"] == 1]
-        parts = {r["segment"]: r["block"] for r in rows}
+        parts = {r["segment"]: r["block"] for r in rows if r["segment"] is not None}
         total = next((r["total"] for r in rows if r["total"] is not None), None)
         block = b"".join(parts[k] for k in sorted(parts))
-        good = [*sorted(parts)] == [*range(1, len(parts) + 1)] and total == len(block)
+        good = [*sorted(parts)] == [*range(1, len(parts) + 1)] and total == len(block) and all(r["segment"] is not None for r in rows)
         origin = rows[0]["origin"]
         return [_whole(origin, r["payload_digest"], block, good, payload) for r in first] or [(origin, _page(origin), "response", None, None, None, False, None)]
 

@@ -1,5 +1,6 @@
 """Nulls, empty and very long texts, ties and repeated rows, empty tables, clashing columns."""
 
+import gzip
 import hashlib
 import random
 import re
@@ -392,6 +393,53 @@ def test_warc_damage():
     assert warc.unchunked(warc.chunked(b"")) == b"" and warc.unchunked(warc.chunked(b"q" * 20_001)) == b"q" * 20_001
 
 
+def _warc(n, pack=True, **change):
+    payload = f"<p>page {n}</p>".encode() * 30
+    digest = hashlib.sha1(payload).hexdigest()
+    own = warc.page_records(n, "u", payload, digest, None, False)[0]
+    own = gzip.decompress(own)
+    if change.pop("less", False):
+        own = re.sub(rb"Content-Length: \d", b"Content-Length: ", own, count=1)
+    for old, new in change.items():
+        own = own.replace(*{"length": (b"Content-Length: ", b"Content-Length: " + new), "name": (b"urn:quillmere:page", new), "head": (b"WARC/1.1", new)}[old])
+    return gzip.compress(own, mtime=0) if pack else own
+
+
+@pytest.mark.parametrize("pack", [True, False])
+def test_warc_damaged_archives(spark, tmp_path, pack):
+    """What stands before and after damage is read, damage is told, nothing raises."""
+    make = lambda n, **change: _warc(n, pack, **change)
+    good = [make(k) for k in range(6)]
+    cases = {
+        "cut": (good[0] + good[1] + good[2][:-40], {0, 1}),
+        "number": (good[0] + make(1, length=b"x") + good[2], {0, 2}),
+        "long": (good[0] + make(1, length=b"9") + good[2] + good[3], {0, 2, 3}),
+        "short": (good[0] + make(1, less=True) + good[2], {0, 2}),
+        "head": (good[0] + make(1, head=b"XARC/1.1") + good[2], {0, 2}),
+        "name": (good[0] + make(1, name=b"uuid:a:b:c:d:e") + good[2], {0, 2}),
+        "empty": (b"", set()),
+        "noise": (b"\x1f\x8b\x08" + bytes(range(200)) if pack else bytes(range(200)), set()),
+    }
+    if pack:
+        broken = bytearray(good[1])
+        broken[len(broken) // 2] ^= 0xFF
+        cases["broken"] = (good[0] + bytes(broken) + good[2], {0, 2})
+    for name, (content, want) in cases.items():
+        folder = tmp_path / name
+        folder.mkdir()
+        (folder / f"a.warc{'.gz' * pack}").write_bytes(content)
+        got = warc.read_archives(spark, str(folder)).collect()
+        assert {r.page_id for r in got if r.valid and r.page_id is not None} == want, name
+        assert name in ("empty", "name") or any(not r.valid for r in got), name
+        assert all(r.page_id not in want or r.valid for r in got), name
+
+
+def test_warc_empty_and_extra_columns(spark, tmp_path):
+    d = spark.createDataFrame([(1, "u", "x", "k", True)], "page_id long, url string, html string, keeper string, revisit boolean")
+    assert warc.write_archives(d, str(tmp_path / "a")) == 1 and warc.read_archives(spark, str(tmp_path / "a")).count() == 1
+    assert warc.write_archives(d.limit(0), str(tmp_path / "b")) == 0 and warc.read_archives(spark, str(tmp_path / "b")).count() == 0
+
+
 def test_warc_lost_segment(spark, tmp_path):
     spark.createDataFrame([(1, "u", "z" * 60_000)], "page_id long, url string, html string").createOrReplaceTempView("p")
     warc.write_archives(spark.table("p"), str(tmp_path / "w"))
