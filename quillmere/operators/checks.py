@@ -113,10 +113,17 @@ def check_template(template: Column, declared: Column) -> Column:
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
-    """old with rows of new put in by key: the last row of a key wins; columns in keep stay as they were."""
-    w = Window.partitionBy(*keys).orderBy(F.desc(order) if order else F.lit(0))
-    last = new.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n") if order else new.dropDuplicates(keys)
-    both = old.alias("o").join(last.withColumn("_new", F.lit(True)).alias("n"), keys, "full_outer")
+    """old with rows of new put in by key: of several new rows of a key the last in order wins, without
+    order (and among ties) the greatest by its columns' JSON; columns in keep stay as they were. Keys
+    that are null meet each other."""
+    by = [F.desc(order)] if order else []
+    w = Window.partitionBy(*keys).orderBy(*by, F.to_json(F.struct(*new.columns)).desc())
+    last = new.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(f"o.{k}").eqNullSafe(F.col(f"n.{k}"))
+    both = old.withColumn("_old", F.lit(True)).alias("o").join(last.withColumn("_new", F.lit(True)).alias("n"), same, "full_outer")
     there = F.coalesce("_new", F.lit(False))
     pick = lambda c: F.coalesce(f"o.{c}", f"n.{c}") if c in keep else F.when(there, F.col(f"n.{c}")).otherwise(F.col(f"o.{c}"))
-    return both.select(*keys, *(pick(c).alias(c) for c in old.columns if c not in keys))
+    own = [F.when(F.col("_old"), F.col(f"o.{k}")).otherwise(F.col(f"n.{k}")).alias(k) for k in keys]
+    return both.select(*own, *(pick(c).alias(c) for c in old.columns if c not in keys))

@@ -109,7 +109,8 @@ def clauses(body: str) -> list[tuple[str, str]]:
 
 
 def structure_aware(text: str, most: int = STRUCTURE) -> list[Chunk]:
-    """An article a chunk; a longer one in runs of clauses; texts without articles by paragraphs."""
+    """An article a chunk; a longer one in runs of clauses, where a clause that is too long alone stays
+    whole; texts without articles by paragraphs."""
     parts = articles(text)
     if parts is None:
         return [(t, None, None, None) for t in paragraphs(text, most)]
@@ -124,7 +125,7 @@ def structure_aware(text: str, most: int = STRUCTURE) -> list[Chunk]:
                 label = run[0][0] if len(run) == 1 else f"{run[0][0]}-{run[-1][0]}"
                 section = f"Điều {number}, Khoản {label}" if run[0][0] else f"Điều {number}"
                 joined = "\n".join(t for _, t in run)
-                out += [(t, section, heading, None) for t in ([joined] if words(joined) <= most else paragraphs(joined, most))]
+                out.append((joined, section, heading, None))
                 run = []
             if clause is not None:
                 run.append(clause)

@@ -46,7 +46,7 @@ def diverse(texts: Column, similar: float = SIMILAR, most: int = SAMPLES) -> Col
     """Up to most texts, each unlike those before it: a fold in their order."""
 
     def step(kept: Column, t: Column) -> Column:
-        like = F.exists(kept, lambda k: jaccard(F.array_distinct(tokens(k)), F.array_distinct(tokens(t))) > similar)
+        like = F.exists(kept, lambda k: jaccard(F.array_distinct(tokens(k, unicode=False)), F.array_distinct(tokens(t, unicode=False))) > similar)
         return F.when((F.size(kept) >= most) | like, kept).otherwise(F.concat(kept, F.array(t)))
 
     return F.aggregate(texts, F.array().cast("array<string>"), step)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 
-K1, B = 1.5, 0.75
+K1, B, TERMS = 1.5, 0.75, 1_000_000
 
 
 def term_counts(texts: DataFrame, key: str, text: str = "text", by: tuple[str, ...] = ()) -> DataFrame:
@@ -48,6 +48,21 @@ def query_vectors(queries: DataFrame, key: str, terms: DataFrame, text: str = "t
     return term_counts(queries, key, text).join(terms, "term").select(key, "term", (F.col("idf") * F.col("tf")).alias("weight"))
 
 
+def pruned_scores_input(texts: DataFrame, key: str, queries: DataFrame, query: str, text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(query vectors, document vectors) for a batch of queries without an index at hand: statistics cover
+    all texts, but only terms that a query has are counted, weighed and exchanged. The queries' terms
+    are broadcast while a count finds at most TERMS of them, else they meet the texts' terms by an exchange."""
+    asked = term_counts(queries, query, text)
+    wanted = asked.select("term").distinct()
+    wanted = F.broadcast(wanted) if wanted.count() <= TERMS else wanted
+    t = texts.select(key, tokens(F.coalesce(F.col(text), F.lit(""))).alias("_t"))
+    t = t.select(key, F.size("_t").alias("dl"), F.explode("_t").alias("term")).join(wanted, "term", "left_semi")
+    counts = t.groupBy(key, "dl", "term").agg(F.count("*").alias("tf"))
+    terms = term_stats(counts, corpus_stats(texts, text))
+    weighed = asked.join(terms, "term").select(query, "term", (F.col("idf") * F.col("tf")).alias("weight"))
+    return weighed, postings(counts, terms, key)
+
+
 class Bm25Index:
     """The three tables of an index; saved and loaded as parquet, never changed in place."""
 

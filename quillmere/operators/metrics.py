@@ -148,3 +148,23 @@ def failed(least: float = 1.0) -> Column:
         | F.coalesce(F.col("citation_accuracy") < least, false)
         | F.coalesce(F.col("faithfulness") < least, false)
     )
+
+
+def failure_reasons() -> Column:
+    """All reasons of a report for a question to have failed, joined by '; ', empty if there is none.
+    Columns: requires_refusal, refusal, hit, citation_accuracy, judged, judge_error, faithfulness,
+    hallucination, ambiguity_handled, error_labels; nulls give no reason. The words are fixed values."""
+    told = lambda b: F.when(b, "True").otherwise("False")
+    refusal = F.format_string("refusal_sai (kỳ vọng refusal=%s, thực tế=%s)", told(F.col("requires_refusal")), told(F.col("refusal")))
+    judged = F.col("judged") & ~F.col("judge_error")
+    return F.concat_ws(
+        "; ",
+        F.when(F.col("requires_refusal") != F.col("refusal"), refusal),
+        F.when(F.col("hit") == 0, "retrieval_miss (hit@k=0)"),
+        F.when(F.col("citation_accuracy") < 1, F.format_string("citation_sai (%.2f)", "citation_accuracy")),
+        F.when(judged & (F.col("faithfulness") < 1), F.concat(F.lit("faithfulness="), F.col("faithfulness").cast("string"))),
+        F.when(judged & (F.col("hallucination") > 0), "hallucination"),
+        F.when(F.col("judged") & F.col("judge_error"), "judge_error"),
+        F.when(~F.col("ambiguity_handled"), "ambiguity_unhandled (chốt 1 nhánh, không hỏi lại/bao quát)"),
+        F.when(F.size("error_labels") > 0, F.concat(F.lit("trace_error:"), F.array_join("error_labels", ","))),
+    )

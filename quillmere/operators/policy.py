@@ -51,14 +51,14 @@ def confidence(refusal: Column, best: Column, valid: Column, attempted: Column,
     clamp = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (best - MIN_SCORE) / MIN_SCORE))
     cited = F.when(attempted > 0, valid / attempted).otherwise(1.0)
     value = 0.5 * clamp + 0.3 * cited + 0.2 * F.when(fallback, 0.6).otherwise(1.0)
-    return F.when(~refusal, F.round(value, 2))
+    return F.when(~refusal, F.bround(value, 2))
 
 
 def compress(text: Column, query: Column, limit: int = MAX_CHARS) -> Column:
     """Over limit characters: sentences by shared query tokens, best first, until the first that
     overflows (one at least), in their old order. A fold over the ranked sentences."""
-    parts, wanted = sentences(text), F.array_distinct(tokens(query))
-    ranked = F.array_sort(F.transform(parts, lambda s, i: F.struct((-F.size(F.array_intersect(F.array_distinct(tokens(s)), wanted))).alias("by"), i.alias("pos"), s.alias("s"))))
+    parts, wanted = sentences(text), F.array_distinct(tokens(query, unicode=False))
+    ranked = F.array_sort(F.transform(parts, lambda s, i: F.struct((-F.size(F.array_intersect(F.array_distinct(tokens(s, unicode=False)), wanted))).alias("by"), i.alias("pos"), s.alias("s"))))
     zero = F.struct(F.lit(0).alias("n"), F.lit(False).alias("full"), F.array().cast("array<struct<pos:int,s:string>>").alias("kept"))
 
     def step(acc: Column, x: Column) -> Column:

@@ -7,11 +7,15 @@ before the shuffle.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 RRF_K = 60
+#: Queries that are sent to every block of documents at a time.
+QUERY_BLOCK = 10_000
 TOP_K, PREFETCH, PREFETCH_PRODUCTION, RERANK_POOL, CACHE_HIT = 5, 20, 40, 10, 0.97
 MODES = ("dense", "sparse", "hybrid_rrf", "hybrid_dbsf")
 
@@ -34,12 +38,16 @@ def _dot(a: Column, b: Column) -> Column:
 
 
 def dense_scores(queries: DataFrame, documents: DataFrame, query: str, doc: str, q_vec: str = "q_vec", d_vec: str = "d_vec") -> DataFrame:
-    """Cosine of each query with each document: an exact scan. The queries, a bounded set, are the
-    side that Spark sends to every block of documents; vectors are normalised once before."""
-    unit = lambda v: F.transform(v, lambda x: x.cast("double") / F.sqrt(_dot(v, v)))
-    q = queries.select(query, unit(F.col(q_vec)).alias("_q"))
-    d = documents.select(doc, unit(F.col(d_vec)).alias("_d"))
-    return d.join(q).select(query, doc, F.round(_dot(F.col("_q"), F.col("_d")), 6).alias("score"))
+    """Cosine of each query with each document: an exact scan of a stated query set against all
+    documents. The queries go to every block of documents, at most QUERY_BLOCK of them at a time; a
+    vector's norm is taken once, for the scan and not for each pair."""
+    norm = lambda v: F.sqrt(_dot(v, v))
+    q = queries.select(query, F.col(q_vec).alias("_q"), norm(F.col(q_vec)).alias("_qn"))
+    d = documents.select(doc, F.col(d_vec).alias("_d"), norm(F.col(d_vec)).alias("_dn"))
+    n = queries.count()
+    blocks = [q] if n <= QUERY_BLOCK else [q.where(F.pmod(F.xxhash64(query), F.lit(-(-n // QUERY_BLOCK))) == k) for k in range(-(-n // QUERY_BLOCK))]
+    met = [d.join(F.broadcast(b)).select(query, doc, F.round(_dot(F.col("_q"), F.col("_d")) / (F.col("_qn") * F.col("_dn")), 6).alias("score")) for b in blocks]
+    return reduce(DataFrame.unionByName, met)
 
 
 def rrf(branches: list[DataFrame], query: str, doc: str, k: int = RRF_K) -> DataFrame:
@@ -102,8 +110,9 @@ def cache_lookup(queries: DataFrame, cache: DataFrame, query: str, entry: str, l
 
 
 def cache_store(cache: DataFrame, entries: DataFrame) -> DataFrame:
-    """The cache with entries put in by vector and prompt version; a new entry replaces an equal one."""
+    """The cache with entries put in by vector and prompt version; a new entry replaces an equal one, and
+    of several new ones that with the greatest JSON stays."""
     both = cache.withColumn("_new", F.lit(0)).unionByName(entries.withColumn("_new", F.lit(1)))
     key = F.sha2(F.concat_ws(",", F.transform("d_vec", lambda x: x.cast("string"))), 256)
-    w = Window.partitionBy(key, "prompt_version").orderBy(F.col("_new").desc())
+    w = Window.partitionBy(key, "prompt_version").orderBy(F.col("_new").desc(), F.to_json(F.struct(*cache.columns)).desc())
     return both.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_new")

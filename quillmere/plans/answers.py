@@ -16,8 +16,9 @@ from .retrieval import _T, _ranked, _sparse
 
 
 def _retrieved(spark: SparkSession, sf: str) -> DataFrame:
+    """Ten rows a question, kept for the plans that read them several times (made anew if lost)."""
     r = search.retrieve("sparse", "item_id", "doc_id", sparse=_sparse(spark, sf), limit=10)
-    return r.select(F.col("item_id").alias("question_id"), F.col("doc_id").alias("chunk_id"), "rank", "score")
+    return r.select(F.col("item_id").alias("question_id"), F.col("doc_id").alias("chunk_id"), "rank", "score").cache()
 
 
 def _groups(spark: SparkSession, sf: str) -> DataFrame:
@@ -151,9 +152,12 @@ def judge_agreement(spark: SparkSession, sf: str) -> DataFrame:
 
 def failures(spark: SparkSession, sf: str) -> DataFrame:
     """Failed questions with their reasons, the first thirty in order: a report."""
-    r = eval_rows(spark, sf).where(metrics.failed())
-    why = F.concat_ws("; ", F.when(F.col("requires_refusal") != F.col("refusal"), "refusal"), F.when(F.col("hallucination") > 0, "hallucination"), F.when(F.col("citation_accuracy") < 1, "citation"), F.when(F.col("faithfulness") < 1, "faithfulness"))
-    return r.select("question_id", why.alias("reasons")).orderBy("question_id").limit(30)
+    i = F.col("question_id")
+    rows = eval_rows(spark, sf).withColumns({
+        "judge_error": i % 23 == 0, "ambiguity_handled": F.when(i % 6 == 1, i % 4 != 1),
+        "error_labels": F.when(F.col("n_errors") > 0, F.array(F.lit("timeout"), F.when(i % 8 == 0, "gateway").otherwise("reranker"))).otherwise(F.array().cast("array<string>")),
+    })
+    return rows.select("question_id", metrics.failure_reasons().alias("reasons")).where("reasons <> ''").orderBy("question_id").limit(30)
 
 
 def refusal_confusion(spark: SparkSession, sf: str) -> DataFrame:
@@ -195,7 +199,8 @@ def stratified_sample(spark: SparkSession, sf: str, size: int = 50) -> DataFrame
     d = table(spark, sf, "documents").select("doc_id", "lang")
     quota = d.groupBy("lang").agg(F.count("*").alias("n")).withColumn("quota", F.greatest(F.lit(1), F.bround(F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(0))) * size, 0).cast("int")))
     order = Window.partitionBy("lang").orderBy(F.md5(F.concat(F.lit("7:"), F.col("doc_id").cast("string"))))
-    picked = d.withColumn("_n", F.row_number().over(order)).join(quota.select("lang", "quota"), "lang").where("_n <= quota")
+    quota = quota.select(F.col("lang").alias("of"), "quota")
+    picked = d.withColumn("_n", F.row_number().over(order)).join(quota, F.col("lang").eqNullSafe(F.col("of"))).where("_n <= quota")
     return picked.orderBy("doc_id").limit(size).select("doc_id", "lang")
 
 
@@ -255,7 +260,7 @@ SQL = {
     "citation_links": f"WITH {_CITE} SELECT question_id, count(DISTINCT chunk_id) AS n_chunks, count(DISTINCT group_no) FILTER (WHERE method = 'structural') AS n_structural, count(DISTINCT group_no) FILTER (WHERE method = 'lexical') AS n_lexical, count(DISTINCT group_no) FILTER (WHERE method = 'none') AS n_none FROM mm GROUP BY question_id",
     "answer_parsing": "SELECT item_id AS id, item_id % 4 > 1 AS refusal, CASE WHEN item_id % 4 < 2 THEN format('chunk_{:03d}', item_id) ELSE '' END AS citations, CASE WHEN item_id % 4 = 2 THEN 'made_up' ELSE '' END AS invalid, CASE item_id % 4 WHEN 2 THEN 'answer_without_valid_citation' WHEN 3 THEN 'unparseable_model_output' END AS error FROM benchmark",
     "query_policy": f"SELECT item_id, complexity, CASE complexity WHEN 'simple' THEN 'cheap' WHEN 'medium' THEN 'balanced' ELSE 'strong' END AS tier, TRUE AS ambiguity_handled FROM (SELECT item_id, CASE WHEN regexp_matches(lower(text), '{_WB.format('|'.join(policy.CONNECTORS))}') THEN 'hard' WHEN length(text) <= 60 THEN 'simple' ELSE 'medium' END AS complexity FROM benchmark)",
-    "retrieval_policy": f"WITH {_R}, s AS (SELECT question_id AS item_id, count(*) AS n, max(round(score / 100, 6)) AS b FROM t GROUP BY 1), z AS (SELECT *, CASE WHEN n < 2 THEN 'no_context' WHEN b < 1.1::DOUBLE THEN 'low_score' END AS reason FROM s) SELECT item_id, CASE WHEN b - 1.1::DOUBLE <= 0.3::DOUBLE THEN 8 WHEN b - 1.1::DOUBLE >= 1.0 THEN 3 ELSE 5 END::BIGINT AS k, reason, CASE WHEN reason IS NULL THEN round(0.5::DOUBLE * least(1.0::DOUBLE, greatest(0.0::DOUBLE, (b - 1.1::DOUBLE) / 1.1::DOUBLE)) + 0.3::DOUBLE * 0.5::DOUBLE + 0.2::DOUBLE, 2) END AS confidence FROM z",
+    "retrieval_policy": f"WITH {_R}, s AS (SELECT question_id AS item_id, count(*) AS n, max(round(score / 100, 6)) AS b FROM t GROUP BY 1), z AS (SELECT *, CASE WHEN n < 2 THEN 'no_context' WHEN b < 1.1::DOUBLE THEN 'low_score' END AS reason FROM s) SELECT item_id, CASE WHEN b - 1.1::DOUBLE <= 0.3::DOUBLE THEN 8 WHEN b - 1.1::DOUBLE >= 1.0 THEN 3 ELSE 5 END::BIGINT AS k, reason, CASE WHEN reason IS NULL THEN round_even(0.5::DOUBLE * least(1.0::DOUBLE, greatest(0.0::DOUBLE, (b - 1.1::DOUBLE) / 1.1::DOUBLE)) + 0.3::DOUBLE * 0.5::DOUBLE + 0.2::DOUBLE, 2) END AS confidence FROM z",
     "prompt_context": f"WITH {_R}, p AS (SELECT question_id, rank, '[' || chunk_id || '] (' || source || ' - ' || lang || ')' || chr(10) || substr(text, 1, 2500) AS x FROM t JOIN documents ON doc_id = chunk_id WHERE rank <= 3) SELECT question_id, md5('Q ' || question_id || ' {{json}}' || chr(10) || string_agg(x, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank)) AS prompt_md5 FROM p GROUP BY question_id".replace("{{json}}", "{json}"),
     "mock_generation": """SELECT item_id, CASE WHEN item_id % 2 = 0 THEN '{"answer":"mock","citations":["chunk_' || item_id || '"],"refusal":false}' ELSE '{"answer":"mock","citations":[],"refusal":true}' END AS answer FROM benchmark""",
     "evaluation_summary": f"WITH {_E} SELECT {_SUMMARY} FROM e",
@@ -263,7 +268,16 @@ SQL = {
     "evaluation_by_primary": f"WITH {_E} SELECT coalesce(fallback_hop = 'primary', FALSE) AS is_primary, count(*) AS n, round(avg(recall), 6) AS recall, round(avg(citation_accuracy), 6) AS citation_accuracy, round(avg((n_errors > 0)::INT), 6) AS error_rate, {_pct('a', 0.95, _LAT)} AS p95_latency_ms FROM e GROUP BY 1",
     "percentiles": f"WITH {_E} SELECT category, {', '.join(f'{_pct(k, p)} AS {n}' for n, k, p in (('a_50', 'a', 0.5), ('a_95', 'a', 0.95), ('b_50', 'b', 0.5), ('b_95', 'b', 0.95), ('c_05', 'c', 0.05), ('c_95', 'c', 0.95), ('d_50', 'd', 0.5), ('d_95', 'd', 0.95), ('e_95', 'e', 0.95)))} FROM e GROUP BY category",
     "judge_agreement": f"WITH {_E} SELECT category, count(*) FILTER (WHERE b) AS n_pairs, round(avg(abs(faithfulness - judge2_faithfulness)), 3) AS mean_abs_diff, round(avg((faithfulness = judge2_faithfulness)::INT), 3) AS exact_match_rate, round(avg(CASE WHEN fallback_hop IS NOT NULL AND fallback_hop NOT IN ('cache', 'n/a') THEN (fallback_hop <> 'primary')::INT END), 6) AS passive_fallback_rate FROM (SELECT *, faithfulness IS NOT NULL AND judge2_faithfulness IS NOT NULL AS b FROM e) GROUP BY category",
-    "failures": f"WITH {_E} SELECT question_id, concat_ws('; ', CASE WHEN requires_refusal <> refusal THEN 'refusal' END, CASE WHEN hallucination > 0 THEN 'hallucination' END, CASE WHEN citation_accuracy < 1 THEN 'citation' END, CASE WHEN faithfulness < 1 THEN 'faithfulness' END) AS reasons FROM e WHERE {_FAILED} ORDER BY question_id LIMIT 30",
+    "failures": rf"""WITH {_E}, f AS (SELECT question_id, concat_ws('; ',
+  CASE WHEN requires_refusal <> refusal THEN format('refusal_sai (kỳ vọng refusal={{}}, thực tế={{}})', CASE WHEN requires_refusal THEN 'True' ELSE 'False' END, CASE WHEN refusal THEN 'True' ELSE 'False' END) END,
+  CASE WHEN hit = 0 THEN 'retrieval_miss (hit@k=0)' END,
+  CASE WHEN citation_accuracy < 1 THEN format('citation_sai ({{:.2f}})', citation_accuracy) END,
+  CASE WHEN judged AND question_id % 23 <> 0 AND faithfulness < 1 THEN format('faithfulness={{:.1f}}', faithfulness) END,
+  CASE WHEN judged AND question_id % 23 <> 0 AND hallucination > 0 THEN 'hallucination' END,
+  CASE WHEN judged AND question_id % 23 = 0 THEN 'judge_error' END,
+  CASE WHEN question_id % 6 = 1 AND question_id % 4 = 1 THEN 'ambiguity_unhandled (chốt 1 nhánh, không hỏi lại/bao quát)' END,
+  CASE WHEN n_errors > 0 THEN 'trace_error:timeout,' || CASE WHEN question_id % 8 = 0 THEN 'gateway' ELSE 'reranker' END END) AS reasons FROM e)
+SELECT question_id, reasons FROM f WHERE reasons <> '' ORDER BY question_id LIMIT 30""",
     "refusal_confusion": f"WITH {_E} SELECT CASE WHEN requires_refusal THEN 'refuse' ELSE 'answer' END AS expected, count(*) FILTER (WHERE NOT refusal) AS answer, count(*) FILTER (WHERE refusal) AS refuse FROM e GROUP BY 1",
     "label_distribution": "SELECT event_type, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 9) AS share FROM events GROUP BY event_type",
     "target_verdicts": f"WITH {_E}, s AS (SELECT category, avg(recall) AS r, avg(hallucination) FILTER (WHERE judged) AS h, {_pct('a', 0.95, _LAT)} AS p FROM e GROUP BY category) SELECT category, 'recall' AS metric, CASE WHEN r >= 0.4::DOUBLE THEN 'PASS' ELSE 'FAIL' END AS verdict FROM s UNION ALL SELECT category, 'hallucination_rate', CASE WHEN h <= 0.05::DOUBLE THEN 'PASS' ELSE 'FAIL' END FROM s UNION ALL SELECT category, 'p95_latency_ms', CASE WHEN p <= 6000 THEN 'PASS' ELSE 'FAIL' END FROM s",

@@ -14,9 +14,8 @@ def _index(spark: SparkSession, sf: str) -> index.Bm25Index:
 
 
 def _sparse(spark: SparkSession, sf: str) -> DataFrame:
-    ix = _index(spark, sf)
-    q = index.query_vectors(table(spark, sf, "benchmark"), "item_id", ix.terms.select("term", "idf"))
-    return search.sparse_scores(q, ix.vectors, "item_id", "doc_id")
+    texts, items = table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "benchmark").select("item_id", "text")
+    return search.sparse_scores(*index.pruned_scores_input(texts, "doc_id", items, "item_id"), "item_id", "doc_id")
 
 
 def _dense(spark: SparkSession, sf: str) -> DataFrame:
@@ -86,12 +85,12 @@ def semantic_cache(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _T = r"""
-tok AS MATERIALIZED (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') AS t FROM documents),
+tok AS MATERIALIZED (SELECT doc_id, regexp_extract_all(lower(nfc_normalize(coalesce(text, ''))), '[\p{L}\p{N}_]+') AS t FROM documents),
 cnt AS MATERIALIZED (SELECT doc_id, len(t) AS dl, term, count(*) AS tf FROM (SELECT doc_id, t, unnest(t) AS term FROM tok) GROUP BY doc_id, len(t), term),
 st AS (SELECT count(*) AS n_docs, avg(len(t)) AS avgdl FROM tok),
 te AS MATERIALIZED (SELECT term, count(*) AS df, ln(1 + (any_value(n_docs) - count(*) + 0.5) / (count(*) + 0.5)) AS idf, any_value(avgdl) AS avgdl FROM cnt, st GROUP BY term),
 dw AS MATERIALIZED (SELECT doc_id, term, idf * (tf * 2.5::DOUBLE) / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl)) AS weight FROM cnt JOIN te USING (term)),
-qw AS (SELECT item_id, term, idf * count(*) AS weight FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS term FROM benchmark) JOIN te USING (term) GROUP BY item_id, term, idf),
+qw AS (SELECT item_id, term, idf * count(*) AS weight FROM (SELECT item_id, unnest(regexp_extract_all(lower(nfc_normalize(text)), '[\p{L}\p{N}_]+')) AS term FROM benchmark) JOIN te USING (term) GROUP BY item_id, term, idf),
 sp AS MATERIALIZED (SELECT item_id, doc_id, round(sum(qw.weight * dw.weight), 6) AS score FROM qw JOIN dw USING (term) GROUP BY ALL),
 """
 _D = r"""
@@ -117,7 +116,7 @@ SQL = {
     "bm25_doc_weights": f"WITH {_T} x AS (SELECT 1) SELECT doc_id, term, round(weight, 6) AS weight FROM dw",
     "bm25_query_weights": f"WITH {_T} x AS (SELECT 1) SELECT item_id, term, round(weight, 6) AS weight FROM qw",
     "bm25_top5": f"WITH {_T} {_ranked('sp', 'r')} {_TOP}",
-    "bm25_by_strategy": r"""WITH tok AS (SELECT lang AS strategy, doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') AS t FROM documents),
+    "bm25_by_strategy": r"""WITH tok AS (SELECT lang AS strategy, doc_id, regexp_extract_all(lower(nfc_normalize(coalesce(text, ''))), '[\p{L}\p{N}_]+') AS t FROM documents),
 n AS (SELECT strategy, count(*) AS n FROM tok GROUP BY strategy),
 d AS (SELECT strategy, term, count(*) AS df FROM (SELECT DISTINCT strategy, doc_id, unnest(t) AS term FROM tok) GROUP BY ALL)
 SELECT strategy, count(*) AS n_terms, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5))), 3) AS sum_idf, max(df) AS max_df FROM d JOIN n USING (strategy) GROUP BY strategy""",

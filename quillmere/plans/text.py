@@ -97,7 +97,11 @@ def link_slugs(spark: SparkSession, sf: str) -> DataFrame:
 
 def page_urls(spark: SparkSession, sf: str) -> DataFrame:
     u = F.col("url")
-    return table(spark, sf, "pages").select("page_id", web.absolute(F.lit("a/b.pdf"), u).alias("beside"), web.absolute(F.lit("/c.doc"), u).alias("root"), web.file_kind(u).alias("kind"), web.extension(F.lit("application/pdf"), u).alias("extension"))
+    link = lambda x: web.absolute(x, u)
+    return table(spark, sf, "pages").select(
+        "page_id", link(F.lit("a/b.pdf")).alias("relative"), link(F.lit("/c.doc")).alias("root"), link(u).alias("whole"), web.file_kind(u).alias("kind"),
+        web.extension(F.lit("application/pdf"), u).alias("extension"), web.extension(F.lit("application/msword"), u).alias("by_url"),
+    )
 
 
 def point_ids(spark: SparkSession, sf: str) -> DataFrame:
@@ -114,29 +118,32 @@ def ocr_plan(spark: SparkSession, sf: str) -> DataFrame:
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\s]+')"
 _STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
 _COLLAPSE = _STRIP.format(r"regexp_replace(regexp_replace(regexp_replace({}, '[ \t\x{{00A0}}]+', ' ', 'g'), ' *\n *', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g')")
+_EXTRACTED = r"regexp_replace(regexp_replace(coalesce(text, ''), '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g')"
 _FIXED = f"SELECT doc_id, i AS chunk_index, ws[i * 250 + 1:i * 250 + 300] AS own FROM (SELECT doc_id, ws, unnest(range(CASE WHEN len(ws) > 300 THEN ((len(ws) - 300 + 249) // 250)::BIGINT ELSE 0 END + 1))::INT AS i FROM (SELECT doc_id, {_WORDS} AS ws FROM documents) WHERE len(ws) > 0)"
+_KIND = "CASE WHEN regexp_matches(lower({0}), 'quyet-dinh|qd-|quy-che|quy-dinh|thong-tu|nghi-dinh') THEN 'decision' WHEN regexp_matches(lower({0}), 'don-|mau-|bieu-mau|-don|mau12|mau-12') THEN 'form' ELSE 'unknown' END"
 QUERIES = {f.__name__: f for f in (
     text_normalise, text_nfc_clean, text_tokens, page_tags, text_sentences, chunks_fixed, chunks_structure, chunks_recursive, chunks_parent_child, chunk_assembly,
     page_text, page_titles, page_links, link_slugs, page_urls, point_ids, ocr_plan,
 )}
 SQL = {
-    "text_normalise": f"SELECT doc_id, md5({_COLLAPSE.format('coalesce(text, $$$$)')}) AS collapsed, md5({_COLLAPSE.format('lower(coalesce(text, $$$$))')}) AS search, md5({_STRIP.format(chr(39).join(['regexp_replace(regexp_replace(coalesce(text, $$$$), ', '[ ' + chr(92) + 't]+', ', ', ' ', ', ', 'g', '), ', chr(92) + 'n' + chr(92) + 's*' + chr(92) + 'n+', ', chr(10) || chr(10), ', 'g', ')']))}) AS extracted FROM documents",
+    "text_normalise": f"SELECT doc_id, md5({_COLLAPSE.format('coalesce(text, $$$$)')}) AS collapsed, md5({_COLLAPSE.format('lower(nfc_normalize(coalesce(text, $$$$)))')}) AS search, md5({_STRIP.format(_EXTRACTED)}) AS extracted FROM documents",
     "text_nfc_clean": f"SELECT doc_id, md5({_COLLAPSE.format('chr(10) || nfc_normalize(coalesce(text, $$$$)) || chr(10) || chr(10) || chr(233)')}) AS cleaned FROM documents",
     "text_tokens": rf"""SELECT doc_id, len(t) AS n_terms, len(list_distinct(t)) AS n_distinct, len({_WORDS}) AS n_tokens, length(coalesce(text, '')) // 4 AS n_estimated,
 coalesce((SELECT string_agg(x, ' ' ORDER BY p) FROM (SELECT x, min(p) AS p FROM (SELECT unnest(nums) AS x, unnest(range(len(nums))) AS p) GROUP BY x)), '') AS numbers, substr(coalesce(text, ''), 1, 40) AS preview
-FROM (SELECT *, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}_]+') AS t, list_transform(regexp_extract_all(coalesce(text, ''), '[0-9][0-9.,]*[0-9]|[0-9]'), lambda n: trim(n, '.,')) AS nums FROM documents)""",
+FROM (SELECT *, regexp_extract_all(lower(nfc_normalize(coalesce(text, ''))), '[\p{{L}}\p{{N}}_]+') AS t, list_transform(regexp_extract_all(coalesce(text, ''), '[0-9][0-9.,]*[0-9]|[0-9]'), lambda n: trim(n, '.,')) AS nums FROM documents)""",
     "page_tags": "SELECT doc_id, 1::INT AS page_start, 17::INT AS page_end, md5(concat(chr(10), chr(10), 'A', chr(10), chr(10), chr(10), 'B', chr(10), chr(10), coalesce(text, ''))) AS text_md5 FROM documents",
     "chunks_fixed": f"SELECT doc_id, chunk_index, md5(array_to_string(own, ' ')) AS text_md5, len(own) AS token_count FROM ({_FIXED})",
     "chunk_assembly": f"SELECT format('chunk_{{}}_fixed_{{:04d}}', doc_id, chunk_index) AS chunk_id, NULL::VARCHAR AS parent_chunk_id, CASE WHEN chunk_index = 0 THEN 3 ELSE 4 END::INT AS page_start, 4::INT AS page_end, len(own) + CASE WHEN chunk_index = 0 THEN 1 ELSE 0 END AS token_count FROM ({_FIXED})",
     "page_titles": r"SELECT page_id, trim(regexp_extract(coalesce(html, ''), '(?is)<title[^>]*>([^<]*)</title>', 1)) AS title FROM pages",
-    "page_links": r"""WITH l AS (SELECT page_id, url AS base, unnest(list_distinct(regexp_extract_all(coalesce(html, '') || '<a href="/qd-12/quy-che.PDF">a</a><a href=''files/mau-12.docx''>b</a>', '(?i)href=["'']([^"'']+\.(?:pdf|docx?|xlsx?))["'']', 1))) AS link FROM pages),
-u AS (SELECT page_id, link, CASE WHEN regexp_matches(link, '^[a-zA-Z]+://') THEN link WHEN starts_with(link, '//') THEN regexp_extract(base, '^([a-zA-Z]+:)', 1) || link WHEN starts_with(link, '/') THEN regexp_extract(base, '^([a-zA-Z]+://[^/?#]+)', 1) || link
-  ELSE CASE WHEN regexp_matches(regexp_replace(base, '[?#].*$', ''), '^[a-zA-Z]+://[^/]+$') THEN regexp_replace(base, '[?#].*$', '') ELSE regexp_replace(regexp_replace(base, '[?#].*$', ''), '/[^/]*$', '') END || '/' || link END AS url FROM l)
-SELECT page_id, link, url, CASE WHEN regexp_matches(lower(link), 'quyet-dinh|qd-|quy-che|quy-dinh|thong-tu|nghi-dinh') THEN 'decision' WHEN regexp_matches(lower(link), 'don-|mau-|bieu-mau|-don|mau12|mau-12') THEN 'form' ELSE 'unknown' END AS kind,
-  lower(regexp_extract(regexp_replace(url, '[?#].*$', ''), '\.([A-Za-z]+)$', 1)) AS extension FROM u""",
-    "page_urls": r"""SELECT page_id, CASE WHEN regexp_matches(p, '^[a-zA-Z]+://[^/]+$') THEN p ELSE regexp_replace(p, '/[^/]*$', '') END || '/a/b.pdf' AS beside, regexp_extract(url, '^([a-zA-Z]+://[^/?#]+)', 1) || '/c.doc' AS root,
-CASE WHEN regexp_matches(lower(url), 'quyet-dinh|qd-|quy-che|quy-dinh|thong-tu|nghi-dinh') THEN 'decision' WHEN regexp_matches(lower(url), 'don-|mau-|bieu-mau|-don|mau12|mau-12') THEN 'form' ELSE 'unknown' END AS kind, 'pdf' AS extension
-FROM (SELECT *, regexp_replace(url, '[?#].*$', '') AS p FROM pages)""",
+    "page_links": rf"""WITH l AS (SELECT page_id, array_to_string(string_split(url, '/')[1:3], '/') AS origin, unnest(list_distinct(regexp_extract_all(coalesce(html, '') || '<a href="/qd-12/quy-che.PDF">a</a><a href=''files/mau-12.docx''>b</a>', '(?i)href=["'']([^"'']+\.(?:pdf|docx?|xlsx?))["'']', 1))) AS link FROM pages),
+u AS (SELECT page_id, link, CASE WHEN starts_with(link, 'http') THEN link WHEN starts_with(link, '/') THEN origin || link ELSE origin || '/' || link END AS url FROM l)
+SELECT page_id, link, url, {_KIND.format('link')} AS kind, lower(regexp_extract(url, '\.([A-Za-z]+)$', 1)) AS extension FROM u""",
+    "page_urls": rf"""SELECT page_id, origin || '/a/b.pdf' AS relative, origin || '/c.doc' AS root, url AS whole, {_KIND.format('url')} AS kind, 'pdf' AS extension,
+CASE WHEN ends_with(lower(url), '.pdf') THEN 'pdf' WHEN ends_with(lower(url), '.docx') THEN 'docx' WHEN ends_with(lower(url), '.doc') THEN 'doc' WHEN ends_with(lower(url), '.xlsx') THEN 'xlsx' WHEN ends_with(lower(url), '.xls') THEN 'xls' ELSE 'html' END AS by_url
+FROM (SELECT *, array_to_string(string_split(url, '/')[1:3], '/') AS origin FROM pages)""",
+    "text_sentences": rf"""WITH s AS (SELECT doc_id, coalesce(text, '') AS t, list_filter(list_transform(string_split(regexp_replace(regexp_replace(coalesce(text, ''), '([.!?;])\s+', '\1' || chr(1), 'g'), '\n+', chr(1), 'g'), chr(1)), lambda x: {_STRIP.format('x')}), lambda x: x <> '') AS p FROM documents)
+SELECT doc_id, greatest(len(p), 1)::BIGINT AS n_sentences, CASE WHEN len(p) = 0 THEN length(t) ELSE list_max(list_transform(p, lambda x: length(x))) END::BIGINT AS longest FROM s""",
+    "link_slugs": r"SELECT page_id, coalesce(nullif(substr(trim(regexp_replace(lower(url), '[^a-z0-9]+', '-', 'g'), '-'), 1, 80), ''), 'file') AS slug FROM pages WHERE url IS NULL OR NOT regexp_matches(url, '[^\x00-\x7F]') UNION ALL SELECT page_id, NULL FROM pages WHERE FALSE",
     "point_ids": "SELECT doc_id, (('0x' || substr(sha256('chunk_' || doc_id), 1, 16))::UBIGINT)::VARCHAR AS point_id FROM documents",
     "ocr_plan": "WITH p AS (SELECT doc_id, n_chars, ceil(n_chars / 200)::INT AS n FROM documents) SELECT doc_id, n_chars / n < 40 AS needs_ocr, s::INT AS first, least(s + 14, greatest(n, 1))::INT AS last FROM (SELECT *, unnest(range(1, greatest(n, 1) + 1, 15)) AS s FROM p)",
 }

@@ -22,7 +22,7 @@ class Generator(Protocol):
 
 def hashed_vector(text: Column, width: int = 64) -> Column:
     """The stand-in embedding: token counts by hash, of length 1."""
-    place = F.transform(tokens(F.coalesce(text, F.lit(""))), lambda t: F.pmod(F.xxhash64(t), F.lit(width)).cast("int"))
+    place = F.transform(tokens(F.coalesce(text, F.lit("")), unicode=False), lambda t: F.pmod(F.xxhash64(t), F.lit(width)).cast("int"))
     counts = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.size(F.filter(place, lambda p: p == i)).cast("double"))
     norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, x: s + x * x))
     return F.transform(counts, lambda x: F.when(norm > 0, x / norm).otherwise(0.0).cast("float"))

@@ -73,18 +73,18 @@ def file_kind(name: Column) -> Column:
 
 
 def extension(content_type: Column, url: Column) -> Column:
-    kind, path = F.lower(F.coalesce(content_type, F.lit(""))), F.lower(F.regexp_replace(url, "[?#].*$", ""))
-    out = F.when(F.contains(kind, F.lit("pdf")), "pdf").when(F.contains(kind, F.lit("wordprocessingml")), "docx").when(F.contains(kind, F.lit("msword")), "doc").when(F.contains(kind, F.lit("spreadsheetml")), "xlsx").when(F.contains(kind, F.lit("excel")), "xls")
+    """pdf by content type or the end of the URL, office formats by the end of the URL alone, else html."""
+    end = F.lower(F.coalesce(url, F.lit("")))
+    out = F.when(F.contains(F.coalesce(content_type, F.lit("")), F.lit("pdf")), "pdf")
     for e in EXTENSIONS:
-        out = out.when(F.endswith(path, F.lit(f".{e}")), e)
+        out = out.when(F.endswith(end, F.lit(f".{e}")), e)
     return out.otherwise("html")
 
 
 def absolute(link: Column, base: Column) -> Column:
-    """A link against its page: with a scheme as it is, from the root, or beside the page; '../' is not resolved."""
-    origin = F.regexp_extract(base, r"^([a-zA-Z]+://[^/?#]+)", 1)
-    folder = F.regexp_replace(F.regexp_replace(base, r"[?#].*$", ""), r"(?<!/)/[^/]*$", "")
-    return F.when(F.rlike(link, F.lit("^[a-zA-Z]+://")), link).when(F.startswith(link, F.lit("//")), F.concat(F.regexp_extract(base, "^([a-zA-Z]+:)", 1), link)).when(F.startswith(link, F.lit("/")), F.concat(origin, link)).otherwise(F.concat(folder, F.lit("/"), link))
+    """A link that begins with http as it is; any other from the root of its page's site."""
+    origin = F.substring_index(base, "/", 3)
+    return F.when(F.startswith(link, F.lit("http")), link).when(F.startswith(link, F.lit("/")), F.concat(origin, link)).otherwise(F.concat(origin, F.lit("/"), link))
 
 
 def file_links(pages: DataFrame) -> DataFrame:

@@ -29,11 +29,32 @@ def test_markers_and_pages(spark):
 
 def test_unicode(spark):
     assert one(spark, T.nfc(F.lit("é"))) == "é"
-    assert one(spark, F.array_join(T.tokens(F.lit("Điều_1 x² ½ ạb C\r\nd")), "|")) == "điều_1|x²|½|a|b|c|d"
+    assert one(spark, F.array_join(T.tokens(F.lit("Điều_1 x² ½ a\u0323b C\r\nd")), "|")) == "điều_1|x²|½|ạb|c|d"
     assert one(spark, T.slug(F.lit("Đào tạo: Khóa 12!"))) == "ao-tao-khoa-12"
     assert one(spark, T.slug(F.lit("??"))) == "file"
 
 
+def test_extraction_space_and_links(spark):
+    """Lines of blanks stay; only runs of three or more line ends shrink. Links go to the site's root."""
+    from quillmere.sources import web
+
+    assert one(spark, T.extract_space(F.lit(" a\n \n \nb\n\t\nc\n\n\n\nd  e"))) == "a\n \n \nb\n \nc\n\nd e"
+    base = F.lit("https://a.org/x/y.php?q=1")
+    assert one(spark, web.absolute(F.lit("z.pdf"), base)) == "https://a.org/z.pdf"
+    assert one(spark, web.absolute(F.lit("/z.pdf"), base)) == "https://a.org/z.pdf"
+    assert one(spark, web.absolute(F.lit("http://b.org/z"), base)) == "http://b.org/z"
+    assert one(spark, web.extension(F.lit("application/msword"), F.lit("https://a.org/x"))) == "html"
+    assert one(spark, web.extension(F.lit("text/html"), F.lit("https://a.org/X.DOCX"))) == "docx"
+
+
+def test_long_clause_stays_whole(spark):
+    from quillmere.operators import chunking
+
+    clause = "1. " + "w " * 700
+    got = chunking.structure_aware(f"Điều 1. Một\n{clause.strip()}\n2. b c", 600)
+    assert [g[1] for g in got] == ["Điều 1, Khoản 1", "Điều 1, Khoản 2"]
+
+
 def test_sentences_numbers(spark):
     assert one(spark, T.sentences(F.lit("A b. C; d!\nE"))) == ["A b.", "C;", "d!", "E"]
     assert one(spark, T.numbers(F.lit("1.5, 20. và 1.5 3"))) == ["1.5", "20", "3"]
@@ -209,7 +230,7 @@ def test_checks_raise(spark):
 def test_web_and_files(spark, tmp_path):
     title, text = web.extract("<html><head><title>T</title><style>x</style></head><body><div class='a menu'>no</div><p>One<br>two</p><script>z</script></body>")
     assert title == "T" and text.split("\n") == ["One", "two"]
-    assert [one(spark, web.absolute(F.lit(x), F.lit("http://h.org/a/b.html?q=1"))) for x in ("c.pdf", "/d.pdf", "https://x/y")] == ["http://h.org/a/c.pdf", "http://h.org/d.pdf", "https://x/y"]
+    assert [one(spark, web.absolute(F.lit(x), F.lit("http://h.org/a/b.html?q=1"))) for x in ("c.pdf", "/d.pdf", "https://x/y")] == ["http://h.org/c.pdf", "http://h.org/d.pdf", "https://x/y"]
     d = spark.createDataFrame([("1", ["a", "b"], None), ("2", [], 0.5)], "id string, labels array<string>, v double")
     files.write_jsonl(d, str(tmp_path / "j"))
     assert files.read_jsonl(spark, str(tmp_path / "j"), strict=True).count() == 2
