@@ -60,28 +60,29 @@ def share_relevant(items: DataFrame, relevant: DataFrame, name: str) -> DataFram
     return met.join(has, "question_id", "left").select("question_id", F.when(F.col("_has"), F.col("_p")).alias(name))
 
 
-def _sorted(x: Column) -> Column:
-    return F.array_sort(F.collect_list(x))
-
-
-def percentile(kind: str, x: Column, p: float) -> Column:
-    """The percentile definitions in use, as aggregates over non-null x:
+def percentiles(rows: DataFrame, by: list[str], x: Column, wanted: dict[str, tuple[str, float]]) -> DataFrame:
+    """(by..., a column for each of wanted: (definition, p)), over non-null x, null for groups without one:
     a  sorted[max(0, int(n p) - 1)], round 1    b  the median, else as a, not rounded
     c  sorted[min(n - 1, int(n p))]             d  sorted[n // 2] for the median, else sorted[int(n p) - 1]
-    e  sorted[int(n p) - 1], where -1 is the last."""
-    s = _sorted(x)
-    n = F.size(s)
-    at = F.floor(n * F.lit(p)).cast("int")
-    if kind == "a":
-        value = F.round(F.get(s, F.greatest(F.lit(0), at - 1)), 1)
-    elif kind == "b":
-        value = F.percentile(x, F.lit(p)) if p == 0.5 else F.get(s, F.greatest(F.lit(0), at - 1))
-    elif kind == "c":
-        value = F.get(s, F.least(n - 1, at))
-    else:
-        place = F.floor(n / 2).cast("int") if kind == "d" and p == 0.5 else at - 1
-        value = F.get(s, F.when(place < 0, n - 1).otherwise(place))
-    return F.when(n > 0, value)
+    e  sorted[int(n p) - 1], where -1 is the last.
+    Values are counted first (combined before the exchange), and places are found on the running counts
+    of a group's distinct values: no group's rows are gathered."""
+    counts = rows.select(*by, x.alias("_x")).groupBy(*by, "_x").agg(F.count("_x").alias("_n"))
+    every = Window.partitionBy(*by)
+    up = F.sum("_n").over(every.orderBy(F.col("_x").asc_nulls_first()))
+    counts = counts.withColumn("_up", up).withColumn("_all", F.sum("_n").over(every))
+    n = F.col("_all")
+
+    def value(kind: str, p: float) -> Column:
+        at = F.floor(n * F.lit(p))
+        before = F.when(at < 1, n - 1).otherwise(at - 1)
+        place = {"a": F.greatest(F.lit(0), at - 1), "b": F.greatest(F.lit(0), at - 1), "c": F.least(n - 1, at), "d": F.floor(n / 2) if p == 0.5 else before, "e": before}[kind]
+        get = lambda k: F.min(F.when((F.col("_up") > k) & (F.col("_n") > 0), F.col("_x")))
+        if kind == "b" and p == 0.5:
+            return (get(F.floor((n - 1) / 2)) + get(F.floor(n / 2))) / 2
+        return F.round(get(place), 1) if kind == "a" else get(place)
+
+    return counts.groupBy(*by).agg(*(value(k, p).alias(name) for name, (k, p) in wanted.items()))
 
 
 def evaluation_summary(rows: DataFrame, *by: str) -> DataFrame:
@@ -92,19 +93,24 @@ def evaluation_summary(rows: DataFrame, *by: str) -> DataFrame:
     judged = lambda c: F.avg(F.when(F.col("judged"), F.col(c)))
     timed = F.when(F.col("latency_ms") > 0, F.col("latency_ms").cast("double"))
     hop = F.col("fallback_hop")
-    return rows.groupBy(*by).agg(
+    out = rows.groupBy(*by).agg(
         F.count("*").alias("n"),
         *(F.avg(c).alias(c) for c in ("recall", "hit", "mrr", "ndcg", "context_precision", "citation_accuracy")),
         *(judged(c).alias(c) for c in ("faithfulness", "answer_relevance", "context_relevance")),
         judged("hallucination").alias("hallucination_rate"),
         F.sum(F.col("judged").cast("long")).alias("n_judged"),
         F.avg((F.col("requires_refusal") == F.col("refusal")).cast("double")).alias("refusal_accuracy"),
-        percentile("a", timed, 0.5).alias("p50_latency_ms"),
-        percentile("a", timed, 0.95).alias("p95_latency_ms"),
         F.avg("cost_usd").alias("avg_cost_usd"),
         F.avg((F.coalesce(hop, F.lit("n/a")).isin(*NOT_FALLBACK) == F.lit(False)).cast("double")).alias("fallback_rate"),
         F.avg((F.col("n_errors") > 0).cast("double")).alias("error_rate"),
     )
+    late = percentiles(rows, [*by], timed, {"p50_latency_ms": ("a", 0.5), "p95_latency_ms": ("a", 0.95)})
+    if not by:
+        return out.crossJoin(F.broadcast(late))  # one row each
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(f"o.{c}").eqNullSafe(F.col(f"l.{c}"))
+    return out.alias("o").join(late.alias("l"), same).select("o.*", "p50_latency_ms", "p95_latency_ms")
 
 
 def passive_fallback_rate() -> Column:

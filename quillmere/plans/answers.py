@@ -143,7 +143,7 @@ def evaluation_by_primary(spark: SparkSession, sf: str) -> DataFrame:
 def percentiles(spark: SparkSession, sf: str) -> DataFrame:
     x = F.col("latency_ms").cast("double")
     wanted = {"a_50": ("a", 0.5), "a_95": ("a", 0.95), "b_50": ("b", 0.5), "b_95": ("b", 0.95), "c_05": ("c", 0.05), "c_95": ("c", 0.95), "d_50": ("d", 0.5), "d_95": ("d", 0.95), "e_95": ("e", 0.95)}
-    return eval_rows(spark, sf).groupBy("category").agg(*(metrics.percentile(k, x, p).alias(n) for n, (k, p) in wanted.items()))
+    return metrics.percentiles(eval_rows(spark, sf), ["category"], x, wanted)
 
 
 def judge_agreement(spark: SparkSession, sf: str) -> DataFrame:
@@ -182,7 +182,7 @@ def score_calibration(spark: SparkSession, sf: str) -> DataFrame:
     top = _retrieved(spark, sf).where("rank = 1")
     g = _groups(spark, sf).select("question_id", "chunk_id").distinct().withColumn("hit", F.lit(True))
     rows = top.join(g, ["question_id", "chunk_id"], "left").select(F.coalesce("hit", F.lit(False)).alias("hit"), "score")
-    return rows.groupBy("hit").agg(F.count("*").alias("n"), metrics.percentile("c", F.col("score"), 0.05).alias("p05"), metrics.percentile("c", F.col("score"), 0.5).alias("p50"))
+    return rows.groupBy("hit").agg(F.count("*").alias("n")).join(metrics.percentiles(rows, ["hit"], F.col("score"), {"p05": ("c", 0.05), "p50": ("c", 0.5)}), "hit")
 
 
 def best_config(spark: SparkSession, sf: str) -> DataFrame:

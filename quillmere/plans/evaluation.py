@@ -67,8 +67,9 @@ def trace_calibration(spark: SparkSession, sf: str) -> DataFrame:
     r = _retrieved(spark, sf)
     scored = matched.select("trace_id", F.col("item_id").alias("question_id")).join(r, "question_id").select("trace_id", "chunk_id", "score")
     p = assembly.calibration_populations(matched, _groups(spark, sf).withColumnRenamed("question_id", "id"), scored)
-    each = {f"p{int(100 * q):02d}": F.round(metrics.percentile("c", F.col("score"), q), 4) for q in (0.01, 0.05, 0.1, 0.25, 0.5)}
-    told = p.groupBy("population").agg(F.count("*").alias("n"), *(c.alias(n) for n, c in each.items()))
+    each = metrics.percentiles(p, ["population"], F.col("score"), {f"p{int(100 * q):02d}": ("c", q) for q in (0.01, 0.05, 0.1, 0.25, 0.5)})
+    each = each.select("population", *(F.round(c, 4).alias(c) for c in each.columns[1:]))
+    told = p.groupBy("population").agg(F.count("*").alias("n")).join(each, "population")
     least = told.where("population = 'should_answer'").select(F.col("p05").alias("suggested"))  # one row
     caught = p.where("population = 'should_refuse'").join(F.broadcast(least)).agg(F.sum((F.col("score") < F.col("suggested")).cast("long")).alias("caught"), F.max("suggested").alias("suggested"))
     return told.crossJoin(F.broadcast(caught))

@@ -159,9 +159,9 @@ def test_ndcg_takes_each_chunk_and_group_once(spark):
 
 def test_percentile_kinds(spark):
     d = spark.createDataFrame([(float(x),) for x in range(1, 21)], "x double")
-    p = {k: d.agg(metrics.percentile(k[0], F.col("x"), k[1])).first()[0] for k in (("a", 0.95), ("b", 0.5), ("c", 0.95), ("d", 0.5), ("e", 0.01))}
+    p = {k: metrics.percentiles(d, [], F.col("x"), {"v": k}).first()[0] for k in (("a", 0.95), ("b", 0.5), ("c", 0.95), ("d", 0.5), ("e", 0.01))}
     assert p == {("a", 0.95): 19.0, ("b", 0.5): 10.5, ("c", 0.95): 20.0, ("d", 0.5): 11.0, ("e", 0.01): 20.0}
-    assert d.where("x < 0").agg(metrics.percentile("a", F.col("x"), 0.5)).first()[0] is None
+    assert metrics.percentiles(d.where("x < 0"), [], F.col("x"), {"v": ("a", 0.5)}).first()[0] is None
 
 
 def test_citations(spark):
