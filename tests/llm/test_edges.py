@@ -591,3 +591,51 @@ def test_mixing_meets_weights_and_redistributes(spark):
     epochs = mixing.mix(spark.createDataFrame([(k, "w " * 10, "en", "src1") for k in range(10)], "doc_id long, text string, lang string, source string"), share=2.5, epochs=4)
     counts = {r.epoch: r["count"] for r in epochs.groupBy("epoch").count().collect()}
     assert counts == {0: 10, 1: 10, 2: 5}
+
+
+def test_quality_against_direct_solution(spark, folder):
+    """op10's scores, from one matrix on the driver, a direct solve and the max-min form of isotonic regression."""
+    import zlib
+
+    import numpy as np
+    import pyarrow as pa
+
+    from quillmere.llm import wordhash as wh
+
+    docs = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{folder}/documents.parquet").collect())
+    labels = {}
+    for r in spark.read.parquet(f"{folder}/labels.parquet").collect():
+        if zlib.crc32(str(r.doc_id).encode()) % 5 and r.quality is not None:
+            labels.setdefault(r.doc_id, []).append(r.quality)
+    texts = [t for _, t in docs]
+    x = quality.statistics(*wh.text_buffer(pa.array(texts)), texts).astype(float)
+    scaling = (x.mean(axis=0), np.sqrt(np.maximum((x * x).mean(axis=0) - x.mean(axis=0) ** 2, 1e-9)))
+    z = quality._features(x, *scaling)
+    own = [k for k, (i, _) in enumerate(docs) if i in labels]
+    y = np.array([np.mean(labels[docs[k][0]]) for k in own])
+    a = z[own]
+    beta = np.linalg.solve(a.T @ a + quality.RIDGE * np.eye(a.shape[1]), a.T @ y)
+    bins = quality._bin(z @ beta)
+    used = np.unique(bins[own])
+    n = np.array([np.sum(bins[own] == b) for b in used], float)
+    s = np.array([y[bins[own] == b].sum() for b in used])
+    fitted = [max(min(s[j : k + 1].sum() / n[j : k + 1].sum() for k in range(i, len(used))) for j in range(i + 1)) for i in range(len(used))]
+    rates = np.unique(np.round(fitted, 12))
+    centres = [np.average(used[np.isclose(fitted, r)] + 0.5, weights=n[np.isclose(fitted, r)]) for r in rates]
+    want = np.clip(np.interp((z @ beta + 0.5) / 2 * quality.BINS, centres, rates), 0, 1)
+    got = {r.doc_id: r for r in quality.op10_quality_classifier(spark, folder).collect()}
+    assert np.allclose([got[i].score for i, _ in docs], want, atol=1e-4)
+    assert all(r.predicted == int(r.score >= 0.3) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got.values())
+
+
+def test_quality_held_out(spark, folder):
+    """Labels that were not learned, and several labels of one document."""
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    truth = {r.doc_id: r.quality for r in labels.collect()}
+    out = [r for r in quality.op10_quality_classifier(spark, folder).collect() if r.held_out and r.doc_id in truth]
+    assert len(out) >= 8 and sum(r.predicted == truth[r.doc_id] for r in out) >= 0.85 * len(out)
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    one = labels.select("doc_id", F.col("quality").alias("y"))
+    a = {r.doc_id: r.score for r in quality.quality_scores(docs, one).collect()}
+    b = {r.doc_id: r.score for r in quality.quality_scores(docs, one.unionByName(one)).collect()}
+    assert a == pytest.approx(b, abs=1e-6)
