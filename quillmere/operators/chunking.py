@@ -57,17 +57,21 @@ def split_recursive(text: str, most: int, separators: tuple[str, ...] = SEPARATO
 
 
 def pack(pieces: list[str], most: int, joint: str, carry: int = 0) -> list[str]:
-    """Joins pieces in order up to most tokens; each new chunk begins with the last carry tokens of the one before."""
-    out, now = [], ""
+    """Joins pieces in order up to most tokens; each new chunk begins with the last carry tokens of the
+    one before. joint is white space, so the tokens of the parts add up."""
+    out: list[str] = []
+    now: list[str] = []
+    count = 0
     for piece in pieces:
-        longer = f"{now}{joint}{piece}" if now else piece
-        if now and words(longer) > most:
-            out.append(now)
-            tail = " ".join(now.split()[-carry:]) if carry else ""
-            now = f"{tail}{joint}{piece}" if tail else piece
-        else:
-            now = longer
-    return [*out, now] if now else out
+        n = words(piece)
+        if now and count + n > most:
+            out.append(joint.join(now))
+            tail = out[-1].split()[-carry:] if carry else []
+            now, count = ([" ".join(tail)] if tail else []) + [piece], len(tail) + n
+        elif now or piece:
+            now.append(piece)
+            count += n
+    return [*out, joint.join(now)] if now else out
 
 
 def recursive(text: str, size: int = RECURSIVE[0], overlap: int = RECURSIVE[1]) -> list[Chunk]:
