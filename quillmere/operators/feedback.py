@@ -74,6 +74,38 @@ def backlog(found: DataFrame, min_size: int = 1) -> DataFrame:
     return found.where(F.col("size") >= min_size).select(F.format_string("TICKET-%03d", n).alias("ticket"), "error_label", "category", "size", suggested_fix(F.col("error_label")).alias("fix"))
 
 
+def review_queue(feedback: DataFrame, order: str = "seq") -> DataFrame:
+    """(cluster, place, feedback_id): feedback in order of its cluster, largest first, and within it; the
+    clusters, as many as label and category have values, are numbered in one list, their feedback is not gathered."""
+    sizes = feedback.groupBy("error_label", "category").agg(F.count("*").alias("_size"), F.min(order).alias("_first"))
+    numbered = sizes.withColumn("cluster", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("_size"), "_first"))).alias("c")
+    same = F.col("f.error_label").eqNullSafe(F.col("c.error_label")) & F.col("f.category").eqNullSafe(F.col("c.category"))
+    place = F.row_number().over(Window.partitionBy("cluster").orderBy(order, "feedback_id"))
+    return feedback.alias("f").join(numbered, same).select("cluster", "feedback_id", order).select("cluster", place.alias("place"), "feedback_id")
+
+
+def create(store: DataFrame, row: DataFrame) -> DataFrame:
+    """The store with new rows; rows that break a rule, or an id that is there, raise."""
+    broken = broken_rules(row).first()
+    if broken:
+        raise ValueError(f"{broken.rule} of {broken.feedback_id}")
+    if store.join(row.select("feedback_id"), "feedback_id", "left_semi").limit(1).count():
+        raise KeyError("feedback_id exists")
+    return store.unionByName(row)
+
+
+def get(store: DataFrame, feedback_id: str) -> dict:
+    """One row of the store; an unknown id raises."""
+    row = store.where(F.col("feedback_id") == feedback_id).first()
+    if row is None:
+        raise KeyError(feedback_id)
+    return row.asDict()
+
+
+def listed(store: DataFrame, status: str | None = None) -> DataFrame:
+    return store if status is None else store.where(F.col("status") == status)
+
+
 def broken_rules(row: DataFrame) -> DataFrame:
     """Rows of the feedback store that break its rules, with the first rule they break."""
     label = F.col("error_label")

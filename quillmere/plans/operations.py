@@ -150,6 +150,11 @@ def feedback_backlog(spark: SparkSession, sf: str) -> DataFrame:
     return feedback.backlog(feedback.clusters(_feedback(spark, sf).where("error_label is not null")), 2)
 
 
+def feedback_queue(spark: SparkSession, sf: str) -> DataFrame:
+    q = feedback.review_queue(_feedback(spark, sf).where("error_label is not null"))
+    return q.select(F.col("cluster").cast("long").alias("cluster"), F.col("place").cast("long").alias("place"), "feedback_id")
+
+
 def feedback_samples(spark: SparkSession, sf: str) -> DataFrame:
     s = feedback.with_samples(_feedback(spark, sf).where("error_label is not null"))
     return s.select("error_label", "category", F.size("samples").alias("n_samples"), F.md5(F.array_join("samples", "\n")).alias("md5"))
@@ -256,7 +261,7 @@ v AS (SELECT l.category, metric, severity, CASE WHEN l.value IS NULL THEN 'missi
 _TOLD = "coalesce(string_agg(metric || ':' || reason, ',' ORDER BY metric || ':' || reason) FILTER (WHERE severity = '{}' AND reason IS NOT NULL), '')"
 QUERIES = {f.__name__: f for f in (
     chunk_checks, chunk_check_counts, duplicate_documents, documents_by_source, golden_checks, golden_unknown_documents, golden_stats, number_support, template_check, template_diff, document_upsert, extraction_manifest, document_registry,
-    gate_decisions, gate_scenarios, feedback_labels, feedback_clusters, feedback_backlog, feedback_samples, request_counters, latency_histogram, metric_rates, window_stats, alert_windows, user_sessions, recent_traces, data_age, budget_downgrades, trace_labels, judge_keys,
+    gate_decisions, gate_scenarios, feedback_labels, feedback_clusters, feedback_backlog, feedback_queue, feedback_samples, request_counters, latency_histogram, metric_rates, window_stats, alert_windows, user_sessions, recent_traces, data_age, budget_downgrades, trace_labels, judge_keys,
 )}
 SQL = {
     "chunk_checks": f"WITH {_C} SELECT * FROM f",
@@ -277,6 +282,7 @@ UNION ALL SELECT id, 'empty question' FROM g WHERE NOT no_truth AND trim(questio
     "gate_decisions": f"WITH {_E}, {_GATE}, d AS (SELECT category, {_TOLD.format('critical')} AS critical, {_TOLD.format('warning')} AS warning FROM v GROUP BY category) SELECT category, critical, warning, CASE WHEN critical <> '' THEN 'BLOCK' WHEN warning <> '' THEN 'WARN' ELSE 'PASS' END AS status FROM d",
     "feedback_labels": f"WITH {_FB} SELECT feedback_id, kind AS feedback_type, error_label, category FROM fb",
     "feedback_clusters": f"WITH {_FB} SELECT * FROM cl",
+    "feedback_queue": f"WITH {_FB}, n AS (SELECT *, row_number() OVER (ORDER BY size DESC, first) AS cluster FROM cl) SELECT cluster, row_number() OVER (PARTITION BY cluster ORDER BY seq, feedback_id) AS place, feedback_id FROM fb JOIN n ON fb.error_label IS NOT DISTINCT FROM n.error_label AND fb.category IS NOT DISTINCT FROM n.category WHERE fb.error_label IS NOT NULL",
     "feedback_backlog": f"WITH {_FB} SELECT 'TICKET-' || lpad(row_number() OVER (ORDER BY size DESC, first)::VARCHAR, 3, '0') AS ticket, error_label, category, size, {_FIX} AS fix FROM cl WHERE size >= 2",
     "request_counters": f"WITH {_M} SELECT metric, label, round(sum(value)::DOUBLE, 4) AS value FROM m GROUP BY ALL",
     "latency_histogram": f"WITH h AS (SELECT 'p' || (event_id % 3) AS prompt_version, {_CUM} AS b FROM events GROUP BY 1) SELECT prompt_version, array_to_string(b, ',') AS buckets, {_quantile(0.5)} AS p50, {_quantile(0.95)} AS p95, {_quantile(0.99)} AS p99 FROM h",

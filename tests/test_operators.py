@@ -267,3 +267,33 @@ def test_stream_dedup_to_files(spark, folder, tmp_path):
     s = streaming.distinct_traces(streaming.trace_stream(spark, str(tmp_path / "in"), t.schema))
     streaming.run_available(s, str(tmp_path / "out"), str(tmp_path / "cp"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == 50
+
+
+def test_feedback_store(spark):
+    from quillmere.operators import feedback
+
+    schema = "feedback_id string, feedback_type string, error_label string, source string, status string"
+    store = spark.createDataFrame([("f1", feedback.TYPES[0], None, feedback.SOURCES[0], feedback.STATUSES[0])], schema)
+    more = feedback.create(store, spark.createDataFrame([("f2", feedback.TYPES[1], None, feedback.SOURCES[0], feedback.STATUSES[-1])], schema))
+    assert feedback.get(more, "f2")["feedback_type"] == feedback.TYPES[1] and feedback.listed(more).count() == 2
+    assert feedback.listed(more, feedback.STATUSES[-1]).count() == 1
+    with pytest.raises(KeyError):
+        feedback.get(store, "f2")
+    with pytest.raises(KeyError):
+        feedback.create(more, store)
+    with pytest.raises(ValueError):
+        feedback.create(store, spark.createDataFrame([("f3", "?", None, "?", "?")], schema))
+
+
+def test_judge_replies(spark):
+    """A reply without the rubric's scores raises, it never counts as a score."""
+    from quillmere.operators import assembly
+
+    good = '{"faithfulness": 0.5, "answer_relevance": 1, "context_relevance": 0, "hallucination": false}'
+    pairs = spark.createDataFrame([(1, "q", "a", "c"), (2, "q", "a", "c"), (3, "r", "a", "c")], "question_id long, question string, answer string, context string")
+    cache = spark.createDataFrame([], "key string, scores struct<faithfulness:double,answer_relevance:double,context_relevance:double,hallucination:boolean>")
+    out, new = assembly.judge(pairs, cache, F.lit(good))
+    assert out.count() == 3 and new.count() == 2 and out.first().scores.faithfulness == 0.5
+    for bad in ("", "no", good.replace("0.5", "0.7"), good.replace("false", "null")):
+        with pytest.raises(Exception, match="no scores"):
+            assembly.judge(pairs, cache, F.lit(bad))[0].collect()
