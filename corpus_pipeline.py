@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmere.llm import decontam, langid, mixing, near_dup, pii
-from quillmere.llm.shared import let, table, written
+from quillmere.llm.shared import free_prefix, table, written
 
 LEAST_SCORE, LEAST_FIT = 0.5, -20.0
 
@@ -43,10 +43,12 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    spans = pii.spans_of(F.col("text"), pii.SpanClassifier().fit(docs))
-    text = let(F.struct(F.col("text").alias("t"), spans.alias("s")), lambda x: F.when(F.size(x["s"]) > 0, pii.redacted(x["t"], x["s"])).otherwise(x["t"]))
-    out = docs.withColumn("text", text)
-    return out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
+    # Each column is used twice by the next, so that every step is evaluated once and stays small.
+    spans = free_prefix(docs) + "_spans"
+    found = docs.withColumn(spans, pii.spans_of(F.col("text"), pii.SpanClassifier().fit(docs)))
+    text = F.when(F.size(spans) > 0, pii.redacted(F.col("text"), F.col(spans))).otherwise(F.col("text"))
+    out = found.withColumn("text", text)
+    return out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])).drop(spans)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
