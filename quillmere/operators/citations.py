@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import QUOTE_CHARS, preview, tokens
+from ..sources.stored import spread, stored
+from .index import terms_of, token_table
 
 # How sections are written, and the least lexical overlap.
 CITED_ARTICLES = r"Điều\s+(\d+(?:\s*,\s*\d+)*)"
@@ -34,6 +36,37 @@ def chunk_section(section: Column) -> Column:
     return F.struct(part(1).alias("dieu"), part(2).alias("lo"), F.coalesce(part(3), part(2)).alias("hi"))
 
 
+def best_overlap(asked: DataFrame, chunks: DataFrame, key: list[str], least: float) -> DataFrame:
+    """asked (key..., document_id, ground_truth), chunks (document_id, chunk_id, seq, text) -> (key..., chunk_id, score) of the chunk of
+    the document that holds the largest share of the distinct ground-truth tokens, first in order on a tie, if the share is least
+    (over 0) or more.
+
+    A prefix index: of n tokens, c must be in a chunk, so it holds one of the n - c + 1 that are rarest in the document. Those
+    alone meet the chunks' tokens; the others can add one each, which bounds a chunk's count, and only chunks
+    whose bound reaches both c and the best count so far meet the rest. Jobs run when this is called; chunks are tokenised once, and
+    only those of documents that are asked for."""
+    if least <= 0:
+        raise ValueError("least must be over 0")
+    terms = asked.select(*key, "document_id", F.array_distinct(tokens(F.coalesce("ground_truth", F.lit("")))).alias("_t"))
+    terms = terms.select(*key, "document_id", F.size("_t").alias("n"), F.explode_outer("_t").alias("term")).where("term is not null")
+    terms = stored(terms.withColumn("c", F.greatest(F.lit(1), F.ceil(F.col("n") * least - 1e-9))), "ground-truth")
+    mine = chunks.join(terms.select("document_id").distinct(), "document_id", "left_semi").select("document_id", "seq", "chunk_id", "text")
+    have = terms_of(token_table(spread(mine), "chunk_id", by=("document_id", "seq"), wanted=terms.select("term").distinct()))
+    have = stored(have.select("document_id", "seq", "chunk_id", "term"), "chunk-tokens")
+    often = have.groupBy("document_id", "term").agg(F.count("*").alias("often"))
+    place = F.row_number().over(Window.partitionBy(*key).orderBy(F.coalesce("often", F.lit(0)), "term"))
+    terms = terms.join(often, ["document_id", "term"], "left").withColumn("early", place <= F.col("n") - F.col("c") + 1)
+    terms = stored(terms.withColumn("late", F.sum(F.when(~F.col("early") & F.col("often").isNotNull(), 1).otherwise(0)).over(Window.partitionBy(*key))), "ground-truth")
+    found = terms.where("early").join(have, ["document_id", "term"]).groupBy(*key, "document_id", "seq", "chunk_id", "n", "c", "late").agg(F.count("*").alias("found"))
+    near = found.withColumn("most", F.max("found").over(Window.partitionBy(*key))).where(F.col("found") + F.col("late") >= F.greatest("c", "most"))
+    near = stored(near.drop("most"), "overlaps")
+    more = near.select(*key, "document_id", "seq", "chunk_id").join(terms.where("not early and often is not null").select(*key, "term"), key).join(have, ["document_id", "seq", "chunk_id", "term"])
+    more = more.groupBy(*key, "seq", "chunk_id").agg(F.count("*").alias("more"))
+    scored = near.join(more, [*key, "seq", "chunk_id"], "left").withColumn("score", (F.col("found") + F.coalesce("more", F.lit(0))) / F.col("n"))
+    best = scored.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("score"), "seq")))
+    return best.where((F.col("_n") == 1) & (F.col("score") >= least)).select(*key, "chunk_id", "score")
+
+
 def match_citations(citations: DataFrame, chunks: DataFrame, least: float = LEXICAL_LEAST) -> DataFrame:
     """citations (question_id, group_no, document_id, section, ground_truth, requires_refusal), chunks
     (document_id, chunk_id, seq, section, text) -> (question_id, group_no, chunk_id, method).
@@ -47,11 +80,9 @@ def match_citations(citations: DataFrame, chunks: DataFrame, least: float = LEXI
     have = chunks.select("document_id", "chunk_id", "seq", chunk_section(F.col("section")).alias("s")).select("document_id", "chunk_id", "seq", F.col("s.dieu").alias("dieu"), "s.lo", "s.hi")
     covers = F.col("lo").isNull() | F.col("khoan").isNull() | F.col("khoan").between(F.col("lo"), F.col("hi"))
     hits = wanted.join(have, ["document_id", "dieu"]).where(covers).select(*key, "chunk_id").distinct().withColumn("method", F.lit("structural"))
-    rest = cites.join(hits, key, "left_anti").select(*key, "document_id", F.array_distinct(tokens(F.coalesce("ground_truth", F.lit("")))).alias("gt"))
-    met = rest.where(F.size("gt") > 0).join(chunks.select("document_id", "chunk_id", "seq", tokens(F.coalesce("text", F.lit(""))).alias("t")), "document_id")
-    scored = met.withColumn("score", F.size(F.array_intersect("gt", "t")) / F.size("gt"))
-    best = scored.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("score"), "seq"))).where((F.col("_n") == 1) & (F.col("score") >= least))
-    lexical = best.select(*key, "chunk_id", F.lit("lexical").alias("method"))
+    hits = stored(hits, "structural")
+    rest = cites.join(hits, key, "left_anti")
+    lexical = best_overlap(rest, chunks, key, least).select(*key, "chunk_id", F.lit("lexical").alias("method"))
     none = rest.join(lexical, key, "left_anti").select(*key, F.lit(None).cast("string").alias("chunk_id"), F.lit("none").alias("method"))
     return hits.unionByName(lexical).unionByName(none)
 

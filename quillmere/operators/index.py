@@ -2,6 +2,7 @@
 
 Terms are strings, not hashed numbers, so no two terms share a document frequency by accident.
 Every aggregate is keyed by corpus as well (by default one), so all chunking strategies are one job.
+Texts are cut into tokens once, to a token table, from which counts and statistics both come.
 """
 
 from __future__ import annotations
@@ -10,17 +11,37 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from ..sources.stored import spread, stored
 
 K1, B, TERMS = 1.5, 0.75, 1_000_000
 
 
-def term_counts(texts: DataFrame, key: str, text: str = "text", by: tuple[str, ...] = ()) -> DataFrame:
-    """(by..., key, term, tf, dl): a row for each term of each text; texts without terms give none."""
+def token_table(texts: DataFrame, key: str, text: str = "text", by: tuple[str, ...] = (), wanted: DataFrame | None = None) -> DataFrame:
+    """(by..., key, dl, term, tf): a row for each term of each text, and one with a null term for each text, whose
+    tf is the number of texts of that key and length. wanted (term) restricts the terms, not the texts.
+
+    The rows come from explode_outer: an inner explode makes Spark infer a filter that tokenises again."""
     t = texts.select(*by, key, tokens(F.coalesce(F.col(text), F.lit(""))).alias("_t"))
-    t = t.select(*by, key, F.size("_t").alias("dl"), F.explode("_t").alias("term"))
+    t = t.select(*by, key, F.size("_t").alias("dl"), F.explode_outer(F.concat(F.array(F.lit(None).cast("string")), F.col("_t"))).alias("term"))
+    if wanted is not None:
+        t = t.join(wanted.select("term", F.lit(True).alias("_asked")), "term", "left").where("term is null or _asked").drop("_asked")
     return t.groupBy(*by, key, "dl", "term").agg(F.count("*").alias("tf"))
 
 
+def terms_of(table: DataFrame) -> DataFrame:
+    return table.where("term is not null")
+
+
+def stats_of(table: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by..., n_docs, avgdl) of a token table; texts without terms count."""
+    return table.where("term is null").groupBy(*by).agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("n_docs"), (F.sum(F.col("dl") * F.col("tf")) / F.sum("tf")).alias("avgdl"))
+
+
+def term_counts(texts: DataFrame, key: str, text: str = "text", by: tuple[str, ...] = ()) -> DataFrame:
+    """(by..., key, dl, term, tf): a row for each term of each text; texts without terms give none."""
+    return terms_of(token_table(texts, key, text, by))
+
+
 def corpus_stats(texts: DataFrame, text: str = "text", by: tuple[str, ...] = ()) -> DataFrame:
     """(by..., n_docs, avgdl); texts without terms count."""
     return texts.groupBy(*by).agg(F.count("*").alias("n_docs"), F.avg(F.size(tokens(F.coalesce(F.col(text), F.lit(""))))).alias("avgdl"))
@@ -43,24 +64,25 @@ def postings(counts: DataFrame, terms: DataFrame, key: str, by: tuple[str, ...]
     return met.select(*by, key, "term", doc_weight(F.col("tf"), F.col("idf"), F.col("dl"), F.col("avgdl"), k1, b).alias("weight"))
 
 
-def query_vectors(queries: DataFrame, key: str, terms: DataFrame, text: str = "text") -> DataFrame:
-    """(key, term, weight) with weight idf * qtf; unseen terms are dropped. The idf stands on both sides of a score."""
-    return term_counts(queries, key, text).join(terms, "term").select(key, "term", (F.col("idf") * F.col("tf")).alias("weight"))
+def query_vectors(queries: DataFrame, key: str, terms: DataFrame, text: str = "text", by: tuple[str, ...] = ()) -> DataFrame:
+    """(by..., key, term, weight) with weight idf * qtf; unseen terms are dropped. The idf stands on both sides of a score.
+    The corpora of terms, if several, are all asked."""
+    return term_counts(queries, key, text).join(terms, "term").select(*by, key, "term", (F.col("idf") * F.col("tf")).alias("weight"))
 
 
-def pruned_scores_input(texts: DataFrame, key: str, queries: DataFrame, query: str, text: str = "text") -> tuple[DataFrame, DataFrame]:
+def pruned_scores_input(texts: DataFrame, key: str, queries: DataFrame, query: str, text: str = "text", by: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """(query vectors, document vectors) for a batch of queries without an index at hand: statistics cover
-    all texts, but only terms that a query has are counted, weighed and exchanged. The queries' terms
+    all texts, but only terms that a query has are counted, weighed and exchanged. The texts are read once, when
+    this is called: what is left of them goes to a token table in the shared folder. The queries' terms
     are broadcast while a count finds at most TERMS of them, else they meet the texts' terms by an exchange."""
-    asked = term_counts(queries, query, text)
+    asked = stored(term_counts(queries, query, text), "asked")
     wanted = asked.select("term").distinct()
     wanted = F.broadcast(wanted) if wanted.count() <= TERMS else wanted
-    t = texts.select(key, tokens(F.coalesce(F.col(text), F.lit(""))).alias("_t"))
-    t = t.select(key, F.size("_t").alias("dl"), F.explode("_t").alias("term")).join(wanted, "term", "left_semi")
-    counts = t.groupBy(key, "dl", "term").agg(F.count("*").alias("tf"))
-    terms = term_stats(counts, corpus_stats(texts, text))
-    weighed = asked.join(terms, "term").select(query, "term", (F.col("idf") * F.col("tf")).alias("weight"))
-    return weighed, postings(counts, terms, key)
+    table = stored(token_table(spread(texts.select(*by, key, text)), key, text, by, wanted), "tokens")
+    counts = terms_of(table)
+    terms = term_stats(counts, stats_of(table, by), by)
+    weighed = asked.join(terms, "term").select(*by, query, "term", (F.col("idf") * F.col("tf")).alias("weight"))
+    return weighed, postings(counts, terms, key, by)
 
 
 class Bm25Index:
@@ -71,8 +93,9 @@ class Bm25Index:
 
     @classmethod
     def build(cls, texts: DataFrame, key: str, text: str = "text") -> Bm25Index:
-        counts = term_counts(texts, key, text)
-        stats = corpus_stats(texts, text)
+        """Reads the texts once, when it is called, to a token table in the shared folder."""
+        table = stored(token_table(spread(texts.select(key, text)), key, text), "tokens")
+        counts, stats = terms_of(table), stats_of(table)
         terms = term_stats(counts, stats)
         return cls(stats, terms, postings(counts, terms, key))
 
