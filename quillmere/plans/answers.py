@@ -1,7 +1,8 @@
 """Citations, metrics and query-time policies over tables made from documents, benchmark and events.
 
 Conventions: a chunk is a document (its source is the document it belongs to), a question is a
-benchmark item, its retrieved list the BM25 top ten, and its relevant groups follow from text."""
+benchmark item, its retrieved list the BM25 top ten. Its relevant groups are found in the texts of two
+sources, by section or token overlap, whatever retrieval finds."""
 
 from __future__ import annotations
 
@@ -11,20 +12,23 @@ from pyspark.sql.window import Window
 
 from ..functions import text as T
 from ..operators import citations, metrics, policy, search
+from ..sources.stored import stored
 from ..sources.tables import table
 from .retrieval import _T, _ranked, _sparse
 
 
 def _retrieved(spark: SparkSession, sf: str) -> DataFrame:
-    """Ten rows a question, kept for the plans that read them several times (made anew if lost)."""
+    """Ten rows a question, stored for the plans that read them several times."""
     r = search.retrieve("sparse", "item_id", "doc_id", sparse=_sparse(spark, sf), limit=10)
-    return r.select(F.col("item_id").alias("question_id"), F.col("doc_id").alias("chunk_id"), "rank", "score").cache()
+    return stored(r.select(F.col("item_id").alias("question_id"), F.col("doc_id").alias("chunk_id"), "rank", "score"), "retrieved")
 
 
 def _groups(spark: SparkSession, sf: str) -> DataFrame:
-    """Two groups a question: documents of its retrieved list with an id divisible by 3, and by 4."""
-    r = _retrieved(spark, sf).select("question_id", "chunk_id")
-    return r.where("chunk_id % 3 = 0").withColumn("group_no", F.lit(0).cast("long")).unionByName(r.where("chunk_id % 4 = 0").withColumn("group_no", F.lit(1).cast("long")))
+    """Two groups a question: what its citation matches, and the best chunk of another source; groups without a chunk have no row."""
+    c = _citations(spark, sf)
+    other = c.select("question_id", (F.col("group_no") + 1).alias("group_no"), F.concat(F.lit("src"), ((F.col("question_id") + 7) % 20).cast("string")).alias("document_id"), F.lit("Phụ lục").alias("section"), "ground_truth", "requires_refusal")
+    m = citations.match_citations(c.unionByName(other), _chunks(spark, sf), least=0.2)
+    return stored(m.where("chunk_id is not null").select("question_id", "group_no", F.col("chunk_id").cast("long").alias("chunk_id")), "groups")
 
 
 def retrieval_quality(spark: SparkSession, sf: str) -> DataFrame:
@@ -187,9 +191,9 @@ def score_calibration(spark: SparkSession, sf: str) -> DataFrame:
 
 def best_config(spark: SparkSession, sf: str) -> DataFrame:
     """Two retrieval configurations compared, the better one by recall, then nDCG: a report of one row."""
-    out = None
+    r, g, out = _retrieved(spark, sf), _groups(spark, sf), None
     for n, (name, k) in enumerate((("sparse_3", 3), ("sparse_5", 5))):
-        m = metrics.mean_metrics(metrics.retrieval_metrics(_retrieved(spark, sf).where(F.col("rank") <= k), _groups(spark, sf), k)).withColumns({"config": F.lit(name), "seq": F.lit(n)})
+        m = metrics.mean_metrics(metrics.retrieval_metrics(r.where(F.col("rank") <= k), g, k)).withColumns({"config": F.lit(name), "seq": F.lit(n)})
         out = m if out is None else out.unionByName(m)
     return out.orderBy(F.desc("recall"), F.desc("ndcg"), "seq").limit(1).select("config", F.round("recall", 9).alias("recall"))
 
@@ -204,7 +208,6 @@ def stratified_sample(spark: SparkSession, sf: str, size: int = 50) -> DataFrame
     return picked.orderBy("doc_id").limit(size).select("doc_id", "lang")
 
 
-_R = f"{_T} {_ranked('sp', 'r')}, t AS MATERIALIZED (SELECT item_id AS question_id, doc_id AS chunk_id, rank, score FROM r WHERE rank <= 10), g AS (SELECT question_id, 0 AS group_no, chunk_id FROM t WHERE chunk_id % 3 = 0 UNION ALL SELECT question_id, 1, chunk_id FROM t WHERE chunk_id % 4 = 0)"
 _FIRST = """, h AS (SELECT question_id, group_no, rank FROM t JOIN g USING (question_id, chunk_id) WHERE rank <= {k}),
 m0 AS (SELECT question_id, min(rank) FILTER (WHERE group_no = 0) AS a, min(rank) FILTER (WHERE group_no = 1) AS b FROM h GROUP BY 1),
 alt AS (SELECT question_id, min(rank) FILTER (WHERE rank > m0.a AND group_no = 1) AS b2 FROM h JOIN m0 USING (question_id) GROUP BY 1),
@@ -240,14 +243,17 @@ round(avg((requires_refusal = refusal)::INT), 6) AS refusal_accuracy, {_pct('a',
 round(avg((coalesce(fallback_hop, 'n/a') NOT IN ('primary', 'n/a', 'unknown'))::INT), 6) AS fallback_rate, round(avg((n_errors > 0)::INT), 6) AS error_rate"""
 _FAILED = "(coalesce(requires_refusal <> refusal, FALSE) OR coalesce(hallucination > 0, FALSE) OR coalesce(citation_accuracy < 1, FALSE) OR coalesce(faithfulness < 1, FALSE))"
 _WB = r"(?i)(?:^|[^\p{{L}}\p{{N}}_])(?:{})(?:$|[^\p{{L}}\p{{N}}_])"
-_CITE = r"""ci AS (SELECT item_id AS question_id, 0::BIGINT AS group_no, 'src' || (item_id % 20) AS document_id, CASE WHEN item_id % 5 = 4 THEN NULL ELSE item_id % 9 + 1 END AS dieu, CASE WHEN item_id % 5 <> 4 AND item_id % 2 = 0 THEN item_id % 4 + 1 END AS khoan, text FROM benchmark WHERE item_id % 10 <> 9),
-ch AS (SELECT source AS document_id, doc_id, doc_id % 7 + 1 AS dieu, CASE WHEN doc_id % 2 = 0 THEN doc_id % 3 + 1 END AS lo, text FROM documents),
+_CITES = r"""ch AS (SELECT source AS document_id, doc_id, doc_id % 7 + 1 AS dieu, CASE WHEN doc_id % 2 = 0 THEN doc_id % 3 + 1 END AS lo, text FROM documents),
 hs AS (SELECT question_id, group_no, doc_id::VARCHAR AS chunk_id, 'structural' AS method FROM ci JOIN ch ON ci.document_id = ch.document_id AND ci.dieu = ch.dieu AND (lo IS NULL OR khoan IS NULL OR khoan BETWEEN lo AND lo + 1)),
-re AS (SELECT question_id, group_no, document_id, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS gt FROM ci WHERE question_id NOT IN (SELECT question_id FROM hs)),
+re AS (SELECT question_id, group_no, document_id, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS gt FROM ci WHERE (question_id, group_no) NOT IN (SELECT (question_id, group_no) FROM hs)),
 sc AS (SELECT question_id, group_no, doc_id, len(list_intersect(gt, regexp_extract_all(lower(ch.text), '[\p{L}\p{N}_]+'))) / len(gt) AS score FROM re JOIN ch USING (document_id)),
-be AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, doc_id) AS rn FROM sc),
+be AS (SELECT *, row_number() OVER (PARTITION BY question_id, group_no ORDER BY score DESC, doc_id) AS rn FROM sc),
 lx AS (SELECT question_id, group_no, doc_id::VARCHAR AS chunk_id, 'lexical' AS method FROM be WHERE rn = 1 AND score >= 0.2::DOUBLE),
-mm AS (SELECT * FROM hs UNION ALL SELECT * FROM lx UNION ALL SELECT question_id, group_no, NULL, 'none' FROM re WHERE question_id NOT IN (SELECT question_id FROM lx))"""
+mm AS (SELECT * FROM hs UNION ALL SELECT * FROM lx UNION ALL SELECT question_id, group_no, NULL, 'none' FROM re WHERE (question_id, group_no) NOT IN (SELECT (question_id, group_no) FROM lx))"""
+_CITED = "SELECT item_id AS question_id, 0::BIGINT AS group_no, 'src' || (item_id % 20) AS document_id, CASE WHEN item_id % 5 = 4 THEN NULL ELSE item_id % 9 + 1 END AS dieu, CASE WHEN item_id % 5 <> 4 AND item_id % 2 = 0 THEN item_id % 4 + 1 END AS khoan, text FROM benchmark WHERE item_id % 10 <> 9"
+_CITE = f"ci AS ({_CITED}), {_CITES}"
+_GROUPS = f"ci AS ({_CITED} UNION ALL SELECT item_id, 1::BIGINT, 'src' || ((item_id + 7) % 20), NULL, NULL, text FROM benchmark WHERE item_id % 10 <> 9), {_CITES}, g AS (SELECT question_id, group_no, chunk_id::BIGINT AS chunk_id FROM mm WHERE chunk_id IS NOT NULL)"
+_R = f"{_T} {_ranked('sp', 'r')}, t AS MATERIALIZED (SELECT item_id AS question_id, doc_id AS chunk_id, rank, score FROM r WHERE rank <= 10), {_GROUPS}"
 QUERIES = {f.__name__: f for f in (
     retrieval_quality, retrieval_means, context_precision, citation_match, citation_links, answer_parsing, query_policy, retrieval_policy, compressed_chunks, prompt_context, mock_generation,
     evaluation_summary, evaluation_by_category, evaluation_by_primary, percentiles, judge_agreement, failures, refusal_confusion, label_distribution, target_verdicts, score_calibration, best_config, stratified_sample,
@@ -255,7 +261,7 @@ QUERIES = {f.__name__: f for f in (
 SQL = {
     "retrieval_quality": f"WITH {_R} {_FIRST.format(k=5)} SELECT question_id, round(recall, 9) AS recall, round(hit, 9) AS hit, round(mrr, 9) AS mrr, round(ndcg, 9) AS ndcg FROM x",
     "retrieval_means": f"WITH {_R} {_FIRST.format(k=5)} SELECT count(*) AS n, round(avg(recall), 9) AS recall, round(avg(hit), 9) AS hit, round(avg(mrr), 9) AS mrr, round(avg(ndcg), 9) AS ndcg FROM x",
-    "context_precision": f"WITH {_R} SELECT question_id, CASE WHEN question_id IN (SELECT question_id FROM g) THEN round(avg((chunk_id % 3 = 0 OR chunk_id % 4 = 0)::INT), 9) END AS context_precision FROM t WHERE rank <= 5 GROUP BY question_id",
+    "context_precision": f"WITH {_R} SELECT question_id, CASE WHEN question_id IN (SELECT question_id FROM g) THEN round(avg(((question_id, chunk_id) IN (SELECT (question_id, chunk_id) FROM g))::INT), 9) END AS context_precision FROM t WHERE rank <= 5 GROUP BY question_id",
     "citation_match": f"WITH {_CITE} SELECT * FROM mm",
     "citation_links": f"WITH {_CITE} SELECT question_id, count(DISTINCT chunk_id) AS n_chunks, count(DISTINCT group_no) FILTER (WHERE method = 'structural') AS n_structural, count(DISTINCT group_no) FILTER (WHERE method = 'lexical') AS n_lexical, count(DISTINCT group_no) FILTER (WHERE method = 'none') AS n_none FROM mm GROUP BY question_id",
     "answer_parsing": "SELECT item_id AS id, item_id % 4 > 1 AS refusal, CASE WHEN item_id % 4 < 2 THEN format('chunk_{:03d}', item_id) ELSE '' END AS citations, CASE WHEN item_id % 4 = 2 THEN 'made_up' ELSE '' END AS invalid, CASE item_id % 4 WHEN 2 THEN 'answer_without_valid_citation' WHEN 3 THEN 'unparseable_model_output' END AS error FROM benchmark",
@@ -281,7 +287,7 @@ SELECT question_id, reasons FROM f WHERE reasons <> '' ORDER BY question_id LIMI
     "refusal_confusion": f"WITH {_E} SELECT CASE WHEN requires_refusal THEN 'refuse' ELSE 'answer' END AS expected, count(*) FILTER (WHERE NOT refusal) AS answer, count(*) FILTER (WHERE refusal) AS refuse FROM e GROUP BY 1",
     "label_distribution": "SELECT event_type, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 9) AS share FROM events GROUP BY event_type",
     "target_verdicts": f"WITH {_E}, s AS (SELECT category, avg(recall) AS r, avg(hallucination) FILTER (WHERE judged) AS h, {_pct('a', 0.95, _LAT)} AS p FROM e GROUP BY category) SELECT category, 'recall' AS metric, CASE WHEN r >= 0.4::DOUBLE THEN 'PASS' ELSE 'FAIL' END AS verdict FROM s UNION ALL SELECT category, 'hallucination_rate', CASE WHEN h <= 0.05::DOUBLE THEN 'PASS' ELSE 'FAIL' END FROM s UNION ALL SELECT category, 'p95_latency_ms', CASE WHEN p <= 6000 THEN 'PASS' ELSE 'FAIL' END FROM s",
-    "score_calibration": f"WITH {_R}, y AS (SELECT chunk_id % 3 = 0 OR chunk_id % 4 = 0 AS hit, score FROM t WHERE rank = 1) SELECT hit, count(*) AS n, {_pct('c', 0.05, 'score')} AS p05, {_pct('c', 0.5, 'score')} AS p50 FROM y GROUP BY hit",
-    "best_config": f"WITH {_R} {_FIRST.format(k=5)} SELECT 'sparse_5' AS config, round(avg(recall), 9) AS recall FROM x",
+    "score_calibration": f"WITH {_R}, y AS (SELECT (question_id, chunk_id) IN (SELECT (question_id, chunk_id) FROM g) AS hit, score FROM t WHERE rank = 1) SELECT hit, count(*) AS n, {_pct('c', 0.05, 'score')} AS p05, {_pct('c', 0.5, 'score')} AS p50 FROM y GROUP BY hit",
+    "best_config": f"WITH {_R}, y AS ({' UNION ALL '.join(f"SELECT 'sparse_{k}' AS config, {k} AS seq, avg(recall) AS recall, avg(ndcg) AS ndcg FROM (WITH {_FIRST.format(k=k)[1:]} SELECT * FROM x)" for k in (3, 5))}) SELECT config, round(recall, 9) AS recall FROM y ORDER BY y.recall DESC, ndcg DESC, seq LIMIT 1",
     "stratified_sample": "WITH n AS (SELECT lang, greatest(1, round_even(count(*) / sum(count(*)) OVER () * 50, 0)::INT) AS quota FROM documents GROUP BY lang), p AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5('7:' || doc_id)) AS rn FROM documents) SELECT doc_id, lang FROM p JOIN n USING (lang) WHERE rn <= quota ORDER BY doc_id LIMIT 50",
 }
