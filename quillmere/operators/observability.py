@@ -64,24 +64,34 @@ def rates(rows: DataFrame, length: str = "15 minutes", slide: str = "1 minute",
     return w.select(F.col("w.start").alias("start"), "metric", "label", "increase", (F.col("increase") / seconds).alias("rate"))
 
 
-def window_stats(traces: DataFrame, length: str = "15 minutes", slide: str | None = "1 minute") -> DataFrame:
-    """traces (ts, latency_s, n_errors, fallback, cost_usd) -> per window: requests, p95, ratios, cost.
+def window_stats(traces: DataFrame, length: str = "15 minutes", slide: str | None = "1 minute", of: tuple[str, ...] = ()) -> DataFrame:
+    """traces (of..., ts, latency_s, n_errors, fallback, cost_usd) -> per window (and service or the like in of): requests, p95, ratios, cost.
 
     Ratios divide rates a second, and the rate of requests counts as one at least."""
     span = F.window("ts", length, slide) if slide else F.window("ts", length)
-    g = traces.groupBy(span.alias("w")).agg(F.count("*").alias("requests"), buckets(F.col("latency_s"), LATENCY_BUCKETS).alias("b"), F.sum("n_errors").alias("errors"), F.sum(F.col("fallback").cast("int")).alias("fallbacks"), F.sum("cost_usd").alias("cost"))
+    g = traces.groupBy(*of, span.alias("w")).agg(F.count("*").alias("requests"), buckets(F.col("latency_s"), LATENCY_BUCKETS).alias("b"), F.sum("n_errors").alias("errors"), F.sum(F.col("fallback").cast("int")).alias("fallbacks"), F.sum("cost_usd").alias("cost"))
     seconds = (F.unix_timestamp("w.end") - F.unix_timestamp("w.start")).cast("double")
     ratio = lambda x: (F.col(x) / seconds) / F.greatest(F.col("requests") / seconds, F.lit(1.0))
-    return g.select(F.col("w.start").alias("start"), "requests", quantile(F.col("b"), LATENCY_BUCKETS, 0.95).alias("p95"), ratio("errors").alias("error_ratio"), ratio("fallbacks").alias("fallback_ratio"), "cost")
+    return g.select(*of, F.col("w.start").alias("start"), "requests", quantile(F.col("b"), LATENCY_BUCKETS, 0.95).alias("p95"), ratio("errors").alias("error_ratio"), ratio("fallbacks").alias("fallback_ratio"), "cost")
 
 
-def alerts(stats: DataFrame, by: str = "start", pending: int = PENDING_MINUTES) -> DataFrame:
-    """Flags of each window; the first three need to hold in every window of the last pending ones."""
-    held = Window.partitionBy(F.lit(0)).orderBy(F.unix_timestamp(by)).rangeBetween(-60 * pending, 0)
-    always = lambda c: F.min(F.coalesce(c, F.lit(False)).cast("int")).over(held) == 1
-    return stats.select(
-        by, always(F.col("p95") > P95_SECONDS).alias("high_p95"), always(F.col("error_ratio") > ERROR_RATIO).alias("high_errors"), always(F.col("fallback_ratio") > FALLBACK_RATIO).alias("high_fallback"), (F.col("cost") > COST_INCREASE).alias("cost_spike")
-    )
+def conditions() -> dict[str, Column]:
+    """What each alert asks of a window; the first three must hold for a time before they fire."""
+    return {"high_p95": F.col("p95") > P95_SECONDS, "high_errors": F.col("error_ratio") > ERROR_RATIO, "high_fallback": F.col("fallback_ratio") > FALLBACK_RATIO, "cost_spike": F.col("cost") > COST_INCREASE}
+
+
+def alerts(stats: DataFrame, by: str = "start", pending: int = PENDING_MINUTES, of: tuple[str, ...] = ()) -> DataFrame:
+    """Flags of each window (of each service or the like in of); the first three need to hold in every window of the last pending ones.
+
+    Windows are dealt by spans of time; a window also goes to the next span if windows there look back on it, so no task orders all of them."""
+    seconds, span = F.unix_timestamp(by), max(3600, 60 * pending)
+    own = F.floor(seconds / span)
+    spans = F.when(F.floor((seconds + 60 * pending) / span) > own, F.array(own, own + 1)).otherwise(F.array(own))
+    flags = {name: F.coalesce(c, F.lit(False)).cast("int") for name, c in conditions().items()}
+    dealt = stats.select(*of, by, own.alias("_own"), F.explode_outer(spans).alias("_span"), *(c.alias(name) for name, c in flags.items()))
+    held = Window.partitionBy(*of, "_span").orderBy(F.unix_timestamp(by)).rangeBetween(-60 * pending, 0)
+    always = [(F.min(name).over(held) == 1).alias(name) for name in flags if name != "cost_spike"]
+    return dealt.select(*of, by, "_own", "_span", *always, (F.col("cost_spike") == 1).alias("cost_spike")).where("_own <=> _span").drop("_own", "_span")
 
 
 def data_age_days(version: Column, today: Column) -> Column:

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupStateTimeout
 
-from ..operators.observability import window_stats
+from ..operators.observability import PENDING_MINUTES, conditions, window_stats
+from .alerts import STATE, follow
 
 
 def trace_stream(spark: SparkSession, path: str, schema: object, files_per_trigger: int | None = None) -> DataFrame:
@@ -17,8 +19,23 @@ def trace_stream(spark: SparkSession, path: str, schema: object, files_per_trigg
     return reader.parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def windowed_stats(traces: DataFrame, length: str = "15 minutes", slide: str | None = "1 minute", late: str = "10 minutes") -> DataFrame:
-    return window_stats(traces.withWatermark("ts", late), length, slide)
+def windowed_stats(traces: DataFrame, length: str = "15 minutes", slide: str | None = "1 minute", late: str = "10 minutes", of: tuple[str, ...] = ()) -> DataFrame:
+    return window_stats(traces.withWatermark("ts", late), length, slide, of)
+
+
+def alert_states(stats: DataFrame, pending: int = PENDING_MINUTES, silence: int = 60, late: str = "1 minute", of: tuple[str, ...] = ()) -> DataFrame:
+    """Windows that `windowed_stats` wrote, read as a stream -> (of..., alert, start, state), a row for each alert and window in
+    order of time: inactive, pending (the condition holds, but not yet in every window of the last pending minutes) or firing.
+    Where no window comes for silence minutes of event time there is a row expired, by a timer, and the alert begins anew.
+
+    Spark allows no state of one's own after a windowed aggregate in one query, so the windows go through a sink, which
+    hands on only whole batches. All of it that is there is read in one batch, as files within a batch have no order (no limit of files a trigger).
+    A firing row is one that `observability.alerts` flags over the same windows. Kept for each key: the windows of the last pending minutes."""
+    flags = [F.struct(F.lit(name).alias("alert"), F.coalesce(c, F.lit(False)).alias("holds"), F.lit(0 if name == "cost_spike" else 60 * pending).alias("wait")) for name, c in conditions().items()]
+    rows = stats.withWatermark("start", late).select(*of, "start", F.explode(F.array(*flags)).alias("x")).select(*of, "start", "x.*")
+    kinds = dict(stats.dtypes)
+    states = ", ".join([*(f"{c} {kinds[c]}" for c in of), "alert string, start timestamp, state string"])
+    return rows.groupBy(*of, "alert").applyInPandasWithState(follow(60 * silence, [*of, "alert"]), states, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def sessions(traces: DataFrame, key: str, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
