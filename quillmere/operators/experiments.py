@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from . import metrics, search
+from ..sources.stored import stored
+from . import index, metrics, search
 
 MODES = ("cheap", "balanced", "strong", "auto")
 SEED_CATEGORIES = ("multi_hop", "ambiguous")
@@ -26,6 +27,28 @@ def retrieval_grid(configs: list[dict], query: str, doc: str, dense: DataFrame,
     return reduce(DataFrame.unionByName, map(run, configs))
 
 
+def compare_corpora(texts: DataFrame, questions: DataFrame, groups: DataFrame, k: int = 5, by: tuple[str, ...] = ("config_id",)) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One retrieval over several corpora, such as the chunkings of one collection: texts (by..., chunk_id, document_id, text), questions
+    (question_id, text), groups (question_id, group_no, chunk_id) where chunk_id is a document.
+
+    Returns ranked (by..., question_id, chunk_id, document_id, score, rank), means (by..., n, recall, hit, mrr, ndcg) and misses (by..., question_id,
+    best), the questions with groups of which no document is among the k best, with the document ranked first. Terms, statistics and ranks are keyed by corpus,
+    so a corpus more is rows more, not a job more; each text is tokenised once. A document found by several chunks counts at its best rank."""
+    q, d = index.pruned_scores_input(texts, "chunk_id", questions, "question_id", by=by)
+    ranked = search.top_k(search.sparse_scores(q, d, "question_id", "chunk_id", by), k, [*by, "question_id"], "chunk_id")
+    ranked = stored(ranked.join(texts.select(*by, "chunk_id", "document_id"), [*by, "chunk_id"]).select(*by, "question_id", "chunk_id", "document_id", "score", "rank"), "ranked")
+    runs = texts.select(*by).distinct()
+    pair = F.to_json(F.struct(*by, "question_id"), {"ignoreNullFields": "false"})
+    firsts = ranked.groupBy(*by, "question_id", "document_id").agg(F.min("rank").alias("rank")).select(pair.alias("question_id"), F.col("document_id").alias("chunk_id"), "rank")
+    wanted = runs.crossJoin(groups).select(pair.alias("question_id"), "group_no", "chunk_id")
+    keys = runs.crossJoin(groups.select("question_id").distinct()).select(*by, "question_id", pair.alias("_pair"))
+    each = metrics.retrieval_metrics(firsts, wanted, k).withColumnRenamed("question_id", "_pair").join(keys, "_pair").drop("_pair")
+    each = stored(each, "per-question")
+    means = each.where("recall is not null").groupBy(*by).agg(F.count("*").alias("n"), *(F.avg(c).alias(c) for c in ("recall", "hit", "mrr", "ndcg")))
+    misses = each.where("hit = 0").select(*by, "question_id").join(ranked.where("rank = 1").select(*by, "question_id", F.col("document_id").alias("best")), [*by, "question_id"], "left")
+    return ranked, means, misses
+
+
 def prompt_stats(rows: DataFrame, version: str = "prompt_version") -> DataFrame:
     """rows (prompt_version, parse_ok, requires_refusal, refusal, citation_valid, grounded, tokens, latency_ms)."""
     mean = lambda c: F.avg(F.col(c).cast("double"))

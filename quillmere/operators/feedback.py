@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import jaccard, tokens
+from ..sources.stored import stored
 
 # The taxonomy of feedback.
 TYPES = ("thumbs_up", "thumbs_down", "wrong_answer", "missing_citation", "outdated_information", "slow_response", "unsafe_answer")
@@ -43,7 +44,7 @@ def suggested_fix(label: Column) -> Column:
 
 
 def diverse(texts: Column, similar: float = SIMILAR, most: int = SAMPLES) -> Column:
-    """Up to most texts, each unlike those before it: a fold in their order."""
+    """Up to most texts of a short list, each unlike those before it: a fold in their order. For clusters, `with_samples`."""
 
     def step(kept: Column, t: Column) -> Column:
         like = F.exists(kept, lambda k: jaccard(F.array_distinct(tokens(k, unicode=False)), F.array_distinct(tokens(t, unicode=False))) > similar)
@@ -55,17 +56,34 @@ def diverse(texts: Column, similar: float = SIMILAR, most: int = SAMPLES) -> Col
 def clusters(feedback: DataFrame, order: str = "seq") -> DataFrame:
     """feedback (feedback_id, error_label, category, question, seq) -> a row for each label and category
     (nulls are a value): size, first seq, ids in order. Largest first when sorted by (size desc, first).
-    The samples read a bounded head of each cluster's distinct questions (see with_samples)."""
+    The ids of a cluster are its row's; `review_queue` has them as rows, for clusters beyond one row's size."""
     rows = F.array_sort(F.collect_list(F.struct(order, "feedback_id")))
     out = feedback.groupBy("error_label", "category").agg(F.count("*").alias("size"), F.min(order).alias("first"), rows.alias("_r"))
     return out.select("error_label", "category", "size", "first", F.transform("_r", lambda x: x["feedback_id"]).alias("feedback_ids"))
 
 
-def with_samples(feedback: DataFrame, order: str = "seq") -> DataFrame:
-    """(error_label, category, samples)."""
-    rows = F.array_sort(F.collect_list(F.when(F.col("question").isNotNull(), F.struct(order, "question"))))
-    out = feedback.groupBy("error_label", "category").agg(rows.alias("_r"))
-    return out.select("error_label", "category", diverse(F.array_distinct(F.transform("_r", lambda x: x["question"]))).alias("samples"))
+def with_samples(feedback: DataFrame, order: str = "seq", similar: float = SIMILAR, most: int = SAMPLES) -> DataFrame:
+    """(error_label, category, samples) of the clusters: of its questions in order (feedback_id on a tie), each that is unlike all taken before
+    it, most of them; null and empty questions are passed over, a cluster without any has none.
+
+    A round finds the next sample of every cluster: the first question after the last one taken whose token overlap (Jaccard) with each taken is
+    at most similar. What was rejected once stays so, as the taken ones only grow. A round is a join with the few taken rows and a minimum, combined
+    on the map side, so a cluster of any size is never in one place. The tokens are stored once, when this is called."""
+    keys = ["error_label", "category"]
+    rows = feedback.where("question <> ''").select(*keys, F.struct(order, "feedback_id").alias("at"), "question", F.array_distinct(tokens(F.col("question"))).alias("terms"))
+    rows = stored(rows, "questions")
+    every = feedback.select(*keys).distinct()
+    taken = every.select(*keys, F.lit(None).cast(rows.schema["at"].dataType).alias("last"), F.array().cast("array<struct<question:string,terms:array<string>>>").alias("taken"))
+    same = F.col("r.error_label").eqNullSafe(F.col("t.error_label")) & F.col("r.category").eqNullSafe(F.col("t.category"))
+    for _ in range(most):
+        unlike = ~F.exists("t.taken", lambda k: jaccard(k["terms"], F.col("r.terms")) > similar)
+        found = rows.alias("r").join(taken.alias("t"), same).where((F.col("t.last").isNull() & (F.size("t.taken") == 0)) | (F.col("r.at") > F.col("t.last"))).where(unlike)
+        found = found.groupBy(F.col("t.error_label").alias("error_label"), F.col("t.category").alias("category")).agg(F.min(F.struct(F.col("r.at").alias("at"), F.col("r.question").alias("question"), F.col("r.terms").alias("terms"))).alias("next"))
+        step = F.col("t.error_label").eqNullSafe(F.col("n.error_label")) & F.col("t.category").eqNullSafe(F.col("n.category"))
+        more = F.when(F.col("n.next").isNotNull(), F.concat("t.taken", F.array(F.struct(F.col("n.next.question").alias("question"), F.col("n.next.terms").alias("terms"))))).otherwise(F.col("t.taken"))
+        taken = taken.alias("t").join(found.alias("n"), step, "left").select("t.error_label", "t.category", F.coalesce("n.next.at", "t.last").alias("last"), more.alias("taken"))
+        taken = stored(taken, "samples")
+    return taken.select(*keys, F.transform("taken", lambda x: x["question"]).alias("samples"))
 
 
 def backlog(found: DataFrame, min_size: int = 1) -> DataFrame:

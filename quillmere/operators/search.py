@@ -20,16 +20,16 @@ TOP_K, PREFETCH, PREFETCH_PRODUCTION, RERANK_POOL, CACHE_HIT = 5, 20, 40, 10, 0.
 MODES = ("dense", "sparse", "hybrid_rrf", "hybrid_dbsf")
 
 
-def top_k(scored: DataFrame, k: int | Column, query: str, doc: str) -> DataFrame:
-    """The k best of each query with rank from 1."""
+def top_k(scored: DataFrame, k: int | Column, query: str | list[str], doc: str) -> DataFrame:
+    """The k best of each query with rank from 1; query may be several columns, such as a corpus and a question."""
     w = Window.partitionBy(query).orderBy(F.col("score").desc(), F.col(doc))
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def sparse_scores(queries: DataFrame, documents: DataFrame, query: str, doc: str) -> DataFrame:
-    """Dot products of sparse vectors (query, term, weight) and (doc, term, weight) that share a term."""
-    q = queries.select(query, "term", F.col("weight").alias("_qw"))
-    met = q.join(documents, "term").groupBy(query, doc)
+def sparse_scores(queries: DataFrame, documents: DataFrame, query: str, doc: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """Dot products of sparse vectors (by..., query, term, weight) and (by..., doc, term, weight) that share a term, and the corpus in by."""
+    q = queries.select(*by, query, "term", F.col("weight").alias("_qw"))
+    met = q.join(documents, [*by, "term"]).groupBy(*by, query, doc)
     return met.agg(F.round(F.sum(F.col("_qw") * F.col("weight")), 6).alias("score"))
 
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import experiments
+from ..operators import chunking, experiments
 from ..sources import adapters
 from ..sources.tables import table
-from .answers import _R, _groups
+from .answers import _GROUPS, _R, _groups
 from .retrieval import _D, _dense, _ranked, _SCALED, _sparse
 
 
@@ -18,6 +20,33 @@ def retrieval_grid(spark: SparkSession, sf: str) -> DataFrame:
     return g.select("config_id", "mode", "n", F.round("recall", 9).alias("recall"), F.round("hit", 9).alias("hit"), F.round("mrr", 9).alias("mrr"))
 
 
+CHUNKINGS = {"fixed_300_50": (300, 50), "fixed_150_30": (150, 30), "fixed_80_0": (80, 0), "fixed_40_20": (40, 20)}
+
+
+def _compared(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Four chunkings of the documents as one table of corpora, ranked together."""
+    d, parts = table(spark, sf, "documents").select("doc_id", "text"), []
+    for name, (size, overlap) in CHUNKINGS.items():
+        parts.append(chunking.chunk_fixed(d, "doc_id", size, overlap).select(F.lit(name).alias("config_id"), F.format_string("%d_%d", "doc_id", "chunk_index").alias("chunk_id"), F.col("doc_id").alias("document_id"), "text"))
+    questions = table(spark, sf, "benchmark").select(F.col("item_id").alias("question_id"), "text")
+    return experiments.compare_corpora(reduce(DataFrame.unionByName, parts), questions, _groups(spark, sf))
+
+
+def chunkings_ranked(spark: SparkSession, sf: str) -> DataFrame:
+    r, _, _ = _compared(spark, sf)
+    return r.select("config_id", "question_id", "chunk_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+def chunkings_compared(spark: SparkSession, sf: str) -> DataFrame:
+    _, m, _ = _compared(spark, sf)
+    return m.select("config_id", "n", *(F.round(c, 9).alias(c) for c in ("recall", "hit", "mrr")))
+
+
+def chunkings_missed(spark: SparkSession, sf: str) -> DataFrame:
+    _, _, missed = _compared(spark, sf)
+    return missed.select("config_id", "question_id", "best")
+
+
 def _prompt_rows(spark: SparkSession, sf: str) -> DataFrame:
     i = F.col("event_id")
     return table(spark, sf, "events").select(
@@ -65,8 +94,29 @@ def _grid(name: str, mode: str, ranked: str) -> str:
 FROM q LEFT JOIN (SELECT g.question_id, group_no, rank FROM g JOIN {ranked} x ON x.item_id = g.question_id AND x.doc_id = g.chunk_id WHERE rank <= 5) h USING (question_id) GROUP BY q.question_id)"""
 
 
-QUERIES = {f.__name__: f for f in (retrieval_grid, prompt_comparison, best_prompt, feedback_seeds, request_validation, vector_cache)}
+def _windows(name: str, size: int, overlap: int) -> str:
+    step = size - overlap
+    return f"""SELECT '{name}' AS config_id, doc_id, doc_id || '_' || i AS chunk_id, array_to_string(ws[i * {step} + 1:i * {step} + {size}], ' ') AS text
+FROM (SELECT doc_id, ws, unnest(range(CASE WHEN len(ws) > {size} THEN ((len(ws) - {size} + {step - 1}) // {step})::BIGINT ELSE 0 END + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\s]+') AS ws FROM documents) WHERE len(ws) > 0)"""
+
+
+_CORPORA = rf"""WITH cx AS MATERIALIZED ({' UNION ALL '.join(_windows(n, *x) for n, x in CHUNKINGS.items())}),
+ctok AS MATERIALIZED (SELECT config_id, chunk_id, regexp_extract_all(lower(nfc_normalize(text)), '[\p{{L}}\p{{N}}_]+') AS t FROM cx),
+ccnt AS MATERIALIZED (SELECT config_id, chunk_id, len(t) AS dl, term, count(*) AS tf FROM (SELECT config_id, chunk_id, t, unnest(t) AS term FROM ctok) GROUP BY ALL),
+cst AS (SELECT config_id, count(*) AS n_docs, avg(len(t)) AS avgdl FROM ctok GROUP BY 1),
+cte AS MATERIALIZED (SELECT config_id, term, ln(1 + (any_value(n_docs) - count(*) + 0.5) / (count(*) + 0.5)) AS idf, any_value(avgdl) AS avgdl FROM ccnt JOIN cst USING (config_id) GROUP BY config_id, term),
+cqw AS (SELECT config_id, item_id AS question_id, term, idf * count(*) AS weight FROM (SELECT item_id, unnest(regexp_extract_all(lower(nfc_normalize(text)), '[\p{{L}}\p{{N}}_]+')) AS term FROM benchmark) JOIN cte USING (term) GROUP BY config_id, item_id, term, idf),
+csp AS (SELECT q.config_id, question_id, chunk_id, round(sum(q.weight * idf * (tf * 2.5::DOUBLE) / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))), 6) AS score FROM cqw q JOIN ccnt c ON c.config_id = q.config_id AND c.term = q.term JOIN cte e ON e.config_id = q.config_id AND e.term = q.term GROUP BY ALL),
+crk AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY config_id, question_id ORDER BY score DESC, chunk_id) AS rank FROM csp) WHERE rank <= 5)"""
+_FOUND = f"""{_CORPORA}, {_GROUPS}, runs AS (SELECT DISTINCT config_id FROM cx), gn AS (SELECT question_id, count(DISTINCT group_no) AS n FROM g GROUP BY 1),
+fr AS (SELECT config_id, question_id, split_part(chunk_id, '_', 1)::BIGINT AS doc, min(rank) AS rank FROM crk GROUP BY ALL),
+ht AS (SELECT config_id, fr.question_id, count(DISTINCT group_no) AS c, min(rank) AS first FROM fr JOIN g ON g.question_id = fr.question_id AND g.chunk_id = doc GROUP BY 1, 2),
+pq AS (SELECT runs.config_id, gn.question_id, coalesce(c, 0) / n AS recall, (coalesce(c, 0) > 0)::INT AS hit, coalesce(1 / first, 0) AS mrr FROM runs CROSS JOIN gn LEFT JOIN ht ON ht.config_id = runs.config_id AND ht.question_id = gn.question_id)"""
+QUERIES = {f.__name__: f for f in (retrieval_grid, chunkings_ranked, chunkings_compared, chunkings_missed, prompt_comparison, best_prompt, feedback_seeds, request_validation, vector_cache)}
 SQL = {
+    "chunkings_ranked": f"{_CORPORA} SELECT config_id, question_id, chunk_id, score, rank FROM crk",
+    "chunkings_compared": f"{_FOUND} SELECT config_id, count(*) AS n, round(avg(recall), 9) AS recall, round(avg(hit), 9) AS hit, round(avg(mrr), 9) AS mrr FROM pq GROUP BY config_id",
+    "chunkings_missed": f"{_FOUND} SELECT pq.config_id, pq.question_id, split_part(chunk_id, '_', 1)::BIGINT AS best FROM pq LEFT JOIN crk ON crk.config_id = pq.config_id AND crk.question_id = pq.question_id AND crk.rank = 1 WHERE hit = 0",
     "retrieval_grid": f"WITH {_R}, {_D} q AS (SELECT question_id, count(DISTINCT group_no) AS n FROM g GROUP BY 1), {_ranked('de', 'rd')}, f1 AS (SELECT item_id, doc_id, round(sum(1.0::DOUBLE / (rank + 60)), 6) AS score FROM (SELECT * FROM r WHERE rank <= 20 UNION ALL SELECT * FROM rd WHERE rank <= 20) GROUP BY ALL), f2 AS (SELECT item_id, doc_id, round(sum(s), 6) AS score FROM ({_SCALED.format('r')} UNION ALL {_SCALED.format('rd')}) GROUP BY ALL), {_ranked('f1', 'r1')}, {_ranked('f2', 'r2')} {_grid('dense', 'dense', 'rd')} UNION ALL {_grid('sparse', 'sparse', 'r')} UNION ALL {_grid('rrf20', 'hybrid_rrf', 'r1')} UNION ALL {_grid('dbsf40', 'hybrid_dbsf', 'r2')}",
     "prompt_comparison": "SELECT 'p' || (event_id % 4) AS prompt_version, count(*) AS n, round(avg((event_id % 5 <> 0)::INT), 6) AS parse_ok, round(avg(((event_id % 10 = 0) = (event_id % 12 = 0))::INT), 6) AS refusal_accuracy, round(avg(CASE WHEN event_id % 6 <> 0 THEN (event_id % 7 <> 0)::INT END), 6) AS citation_valid, round(avg((event_id % 9 <> 0)::INT), 6) AS grounded, round(avg(event_id % 100), 6) AS tokens, round(avg(value), 6) AS latency_ms FROM events GROUP BY 1",
     "best_prompt": "SELECT 'p' || (event_id % 4) AS prompt_version, count(*) AS n FROM events GROUP BY 1 ORDER BY round(avg(((event_id % 10 = 0) = (event_id % 12 = 0))::INT) + avg((event_id % 9 <> 0)::INT), 9) DESC, round(avg(CASE WHEN event_id % 6 <> 0 THEN (event_id % 7 <> 0)::INT END), 9) DESC, round(avg(event_id % 100), 9), 1 LIMIT 1",

@@ -236,8 +236,9 @@ f AS (SELECT 'empty_text' AS rule, 'critical' AS severity, chunk_id FROM c WHERE
 _FB = """fb AS (SELECT *, CASE WHEN kind = 'thumbs_up' THEN NULL WHEN kind = 'missing_citation' THEN 'citation_error' WHEN kind = 'outdated_information' THEN 'stale_data' WHEN kind = 'slow_response' THEN 'cost_latency_issue' WHEN kind = 'unsafe_answer' THEN 'refusal_error'
   WHEN i % 13 = 0 THEN 'citation_error' WHEN i % 17 = 0 THEN 'refusal_error' WHEN i % 5 = 0 THEN 'provider_error' WHEN i % 11 = 0 THEN 'retrieval_failure' ELSE 'hallucination' END AS error_label FROM (
   SELECT conv_id + turn AS i, 'f_' || conv_id || '_' || turn AS feedback_id, conv_id * 1000 + turn AS seq, (['thumbs_up', 'thumbs_down', 'wrong_answer', 'missing_citation', 'outdated_information', 'slow_response', 'unsafe_answer'])[((conv_id + turn) % 7) + 1] AS kind,
-  CASE WHEN (conv_id + turn) % 3 = 0 THEN NULL ELSE 'c' || ((conv_id + turn) % 2) END AS category FROM conversations WHERE role = 'user')),
+  CASE WHEN (conv_id + turn) % 3 = 0 THEN NULL ELSE 'c' || ((conv_id + turn) % 2) END AS category, text AS question FROM conversations WHERE role = 'user')),
 cl AS (SELECT error_label, category, count(*) AS size, min(seq) AS first, md5(string_agg(feedback_id, ',' ORDER BY seq, feedback_id)) AS ids_md5 FROM fb WHERE error_label IS NOT NULL GROUP BY ALL)"""
+_LIKE = "(len({0}.t) > 0 AND len({1}.t) > 0 AND len(list_intersect({0}.t, {1}.t)) / nullif(len({0}.t) + len({1}.t) - len(list_intersect({0}.t, {1}.t)), 0) > 0.8::DOUBLE)"
 _FIX = "CASE error_label WHEN 'retrieval_failure' THEN 'retrieval' WHEN 'hallucination' THEN 'prompt' WHEN 'citation_error' THEN 'prompt' WHEN 'refusal_error' THEN 'prompt' WHEN 'stale_data' THEN 'data' WHEN 'provider_error' THEN 'routing' WHEN 'cost_latency_issue' THEN 'routing' ELSE 'review' END"
 _BK = (0.5, 1, 2, 3, 4, 5, 6, 8, 10, 15, 20, 30, 60)
 _CUM = "[" + ", ".join(f"count(*) FILTER (WHERE value / 10 <= {b})" for b in _BK) + ", count(value)]"
@@ -281,6 +282,12 @@ UNION ALL SELECT id, 'empty question' FROM g WHERE NOT no_truth AND trim(questio
     "document_registry": "SELECT doc_id AS document_id, length(text)::INT AS char_count, sha256(text) AS sha256, CASE WHEN doc_id % 2 = 0 THEN 'pdf' ELSE 'html' END AS source_type FROM documents",
     "gate_decisions": f"WITH {_E}, {_GATE}, d AS (SELECT category, {_TOLD.format('critical')} AS critical, {_TOLD.format('warning')} AS warning FROM v GROUP BY category) SELECT category, critical, warning, CASE WHEN critical <> '' THEN 'BLOCK' WHEN warning <> '' THEN 'WARN' ELSE 'PASS' END AS status FROM d",
     "feedback_labels": f"WITH {_FB} SELECT feedback_id, kind AS feedback_type, error_label, category FROM fb",
+    "feedback_samples": f"""WITH {_FB}, y AS MATERIALIZED (SELECT error_label, category, seq, feedback_id, question, list_distinct(regexp_extract_all(lower(nfc_normalize(question)), '[\\p{{L}}\\p{{N}}_]+')) AS t, row_number() OVER (PARTITION BY error_label, category ORDER BY seq, feedback_id) AS n FROM fb WHERE error_label IS NOT NULL AND question <> ''),
+a AS (SELECT * FROM y WHERE n = 1),
+b AS (SELECT * FROM (SELECT y.*, row_number() OVER (PARTITION BY y.error_label, y.category ORDER BY y.n) AS m FROM y JOIN a ON y.error_label = a.error_label AND y.category IS NOT DISTINCT FROM a.category WHERE y.n > a.n AND NOT {_LIKE.format('a', 'y')}) WHERE m = 1),
+c AS (SELECT * FROM (SELECT y.*, row_number() OVER (PARTITION BY y.error_label, y.category ORDER BY y.n) AS m FROM y JOIN a ON y.error_label = a.error_label AND y.category IS NOT DISTINCT FROM a.category JOIN b ON y.error_label = b.error_label AND y.category IS NOT DISTINCT FROM b.category WHERE y.n > b.n AND NOT {_LIKE.format('a', 'y')} AND NOT {_LIKE.format('b', 'y')}) WHERE m = 1),
+s AS (SELECT error_label, category, count(*)::INT AS n_samples, md5(string_agg(question, chr(10) ORDER BY n)) AS md5 FROM (SELECT error_label, category, question, n FROM a UNION ALL SELECT error_label, category, question, n FROM b UNION ALL SELECT error_label, category, question, n FROM c) GROUP BY 1, 2)
+SELECT error_label, category, n_samples, md5 FROM s UNION ALL SELECT DISTINCT error_label, category, 0, md5('') FROM fb WHERE error_label IS NOT NULL AND NOT EXISTS (SELECT 1 FROM s WHERE s.error_label = fb.error_label AND s.category IS NOT DISTINCT FROM fb.category)""",
     "feedback_clusters": f"WITH {_FB} SELECT * FROM cl",
     "feedback_queue": f"WITH {_FB}, n AS (SELECT *, row_number() OVER (ORDER BY size DESC, first) AS cluster FROM cl) SELECT cluster, row_number() OVER (PARTITION BY cluster ORDER BY seq, feedback_id) AS place, feedback_id FROM fb JOIN n ON fb.error_label IS NOT DISTINCT FROM n.error_label AND fb.category IS NOT DISTINCT FROM n.category WHERE fb.error_label IS NOT NULL",
     "feedback_backlog": f"WITH {_FB} SELECT 'TICKET-' || lpad(row_number() OVER (ORDER BY size DESC, first)::VARCHAR, 3, '0') AS ticket, error_label, category, size, {_FIX} AS fix FROM cl WHERE size >= 2",
