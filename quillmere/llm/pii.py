@@ -39,8 +39,8 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: A cheap necessary condition of each pattern.
-GATES = {"email": "@", "ip": ".", "card": "", "phone": "+"}
+#: A cheap necessary condition of a valid match of each pattern.
+GATES = {"email": "@", "ip": r"[0-9]\.[0-9]++\.[0-9]", "card": r"(?:[0-9][\x20-]?){11}[0-9]", "phone": r"\+[0-9]"}
 LEAST_TOKEN, CONTEXT = 10, 24
 # Words before a value, prefixes of issued keys, and lengths of IBANs by country (ISO 13616).
 SECRET_WORDS = ("password", "passwd", "passphrase", "pwd", "pin", "token", "secret", "apikey", "api_key", "api-key", "key", "credential", "credentials", "auth", "authorization", "bearer", "login", "passwort", "kennwort", "clave", "contraseña", "mdp", "jeton")
@@ -48,7 +48,9 @@ ACCOUNT_WORDS = ("account", "acct", "iban", "bic", "konto", "kontonummer", "comp
 PLAIN_WORDS = ("version", "page", "figure", "isbn", "issn", "doi", "license", "licence", "section", "chapter", "year", "table", "http", "https", "www", "arxiv", "commit", "build", "model", "part", "rfc", "iso", "sku", "lot")
 KEY_PREFIXES = ("AKIA", "ASIA", "AIza", "ghp_", "gho_", "ghs_", "glpat-", "xoxb-", "xoxp-", "sk-", "sk_live_", "sk_test_", "pk_live_", "rk_live_", "npm_", "pypi-", "hf_", "dop_v1_", "shpat_", "eyJ")
 _PREFIX = "|".join(KEY_PREFIXES)
-CANDIDATE = rf"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*+[0-9]|{_PREFIX})[A-Za-z0-9_-]{{{LEAST_TOKEN},}}+"
+#: A prefix is tried only where its first letter stands.
+_FIRST = "".join(sorted({p[0] for p in KEY_PREFIXES}))
+CANDIDATE = rf"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*+[0-9]|(?=[{_FIRST}])(?:{_PREFIX}))[A-Za-z0-9_-]{{{LEAST_TOKEN},}}+"
 IBAN_LENGTHS = {"AT": 20, "BE": 16, "CH": 21, "CZ": 24, "DE": 22, "DK": 18, "ES": 24, "FI": 18, "FR": 27, "GB": 22, "GR": 27, "HU": 28, "IE": 22, "IT": 27, "LU": 20, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "RO": 24, "SE": 24, "SK": 24, "TR": 26}
 _SPAN = "array<struct<start:int,end:int,m:string,before:string>>"
 _FOUND = "array<struct<start:int,k:int,end:int>>"
@@ -108,13 +110,15 @@ def _valid(kind: str, m: Column) -> Column:
 
 
 def base_spans(text: Column, kind: str) -> Column:
-    gate = F.contains(text, F.lit(GATES[kind])) if GATES[kind] else F.lit(True)
-    found = F.when(gate, spans(text, PATTERNS[kind])).otherwise(F.array().cast(_SPAN))
+    found = F.when(F.rlike(text, F.lit(GATES[kind])), spans(text, PATTERNS[kind])).otherwise(F.array().cast(_SPAN))
     return F.filter(found, lambda s: _valid(kind, s["m"]))
 
 
 def candidates(text: Column) -> Column:
-    return F.when(F.rlike(text, F.lit(f"[0-9]|{_PREFIX}")), spans(text, CANDIDATE)).otherwise(F.array().cast(_SPAN))
+    gate = F.rlike(text, F.lit("[0-9]"))
+    for p in KEY_PREFIXES:
+        gate = gate | F.contains(text, F.lit(p))
+    return F.when(gate, spans(text, CANDIDATE)).otherwise(F.array().cast(_SPAN))
 
 
 def _last_word(before: Column) -> Column:
@@ -207,7 +211,8 @@ class SpanClassifier:
         self.bias, self.rates = [0.0] * CLASSES, {}
 
     def fit(self, docs: DataFrame, text: str = "text") -> SpanClassifier:
-        c = docs.select(F.explode(candidates(F.coalesce(text, F.lit("")))).alias("c")).select("c.m", "c.before")
+        # An inner explode would make Spark infer a filter that looks for all candidates once more.
+        c = docs.select(F.explode_outer(candidates(F.coalesce(text, F.lit("")))).alias("c")).where("c is not null").select("c.m", "c.before")
         votes, feats = labelers(F.col("m"), F.col("before")), features(F.col("m"), F.col("before"))
         flat = c.select(*(v.alias(f"v_{k}") for k, v in votes.items()), *(f.alias(f"f_{k}") for k, f in feats.items()))
         rows = [r.asDict() for r in flat.groupBy(*flat.columns).count().collect()]
@@ -239,17 +244,17 @@ class SpanClassifier:
         """The likeliest class of a candidate."""
         if not self.weights:
             return F.lit(0)
-        feats = features(m, before)
+        feats = F.struct(*(f.alias(k) for k, f in features(m, before).items()))
 
-        def odds(c: int) -> Column:
+        def odds(x: Column, c: int) -> Column:
             out = F.lit(self.bias[c])
             for k, w in self.weights.items():
-                known = F.create_map(*(F.lit(x) for v, y in w.items() for x in (v, y[c])))
-                out = out + F.coalesce(F.element_at(known, feats[k]), F.lit(0.0))
+                known = F.create_map(*(F.lit(z) for v, y in w.items() for z in (v, y[c])))
+                out = out + F.coalesce(F.element_at(known, x[k]), F.lit(0.0))
             return out
 
         best = lambda x: F.when(F.greatest(x["a"], x["b"]) <= 0, 0).when(x["a"] >= x["b"], 1).otherwise(2)
-        return let(F.struct(odds(1).alias("a"), odds(2).alias("b")), best)
+        return let(feats, lambda x: let(F.struct(odds(x, 1).alias("a"), odds(x, 2).alias("b")), best))
 
 
 def _tagged(found: Column, kind: str) -> Column:
