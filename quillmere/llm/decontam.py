@@ -65,11 +65,16 @@ def _near(rows: DataFrame, side: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.crossJoin(F.broadcast(bits)).where(on).drop("bits"), side  # one row
 
 
+def identified(docs: DataFrame) -> DataFrame:
+    """docs with h and g, two hashes that together stand for an id and its text: 128 bits, of seeds that differ by the text itself."""
+    return docs.withColumns({"h": F.xxhash64("doc_id", "text"), "g": F.xxhash64("text", "doc_id")})
+
+
 def _places(docs: DataFrame, windows: DataFrame, sizes: list[int]) -> DataFrame:
-    """(h, start, n, win_id): places in the texts of docs (h, text) where a window (win_id, n, win) may be."""
+    """(h, g, start, n, win_id): places in the texts of docs (h, g, text) where a window (win_id, n, win) may be."""
     own = windows.select("win_id", "n", F.explode(_shingles(F.col("win"), {s: F.least("n", F.lit(SHINGLE)) == s for s in sizes})).alias("x"))
     own = written(own.select("win_id", "n", "x.*"), "item-shingles")
-    runs = docs.select(F.col("h").alias("doc"), item_words(F.col("text")).alias("w"))
+    runs = docs.select(F.struct("h", "g").alias("doc"), item_words(F.col("text")).alias("w"))
     runs = runs.select("doc", F.size("w").alias("n_words"), F.explode(_shingles(F.col("w"), {s: F.lit(True) for s in sizes})).alias("x")).select("doc", "n_words", "x.*")
     seen, known = _near(runs.select("h"), written(own.select("h").distinct(), "item-hashes"))
     counts = written(seen.join(known, "h", "left_semi").groupBy("h").agg(F.count("*").alias("seen")), "rarity")
@@ -77,39 +82,39 @@ def _places(docs: DataFrame, windows: DataFrame, sizes: list[int]) -> DataFrame:
     prefix = own.join(counts, "h", "left").withColumn("_r", F.row_number().over(rare)).where("_r = 1 and seen is not null")
     near, prefix = _near(runs, written(prefix.select("h", F.col("place").alias("at"), "n", "win_id"), "prefixes"))
     met = near.join(prefix, "h").where("place >= at and place - at + n <= n_words")
-    return met.select(F.col("doc").alias("h"), (F.col("place") - F.col("at")).alias("start"), "n", "win_id").distinct()
+    return met.select("doc.h", "doc.g", (F.col("place") - F.col("at")).alias("start"), "n", "win_id").distinct()
 
 
 def _hits(docs: DataFrame, windows: DataFrame) -> DataFrame:
-    """(h, start, n, win_id) of the windows (win_id, n, win) that the texts of docs (h, text) hold."""
+    """(h, g, start, n, win_id) of the windows (win_id, n, win) that the texts of docs (h, g, text) hold."""
     sizes = sorted(r[0] for r in windows.select(F.least("n", F.lit(SHINGLE)).alias("s")).distinct().collect())
     if not sizes:
-        return docs.sparkSession.createDataFrame([], "h long, start int, n int, win_id long")
+        return docs.sparkSession.createDataFrame([], "h long, g long, start int, n int, win_id long")
     places = written(_places(docs, windows, sizes), "places")
-    near, keys = _near(docs, written(places.select("h").distinct(), "keys"))
-    words = near.join(keys, "h", "left_semi").distinct().select("h", item_words(F.col("text")).alias("w"))
-    grouped = places.groupBy("h").agg(F.collect_list(F.struct("start", "n", "win_id")).alias("x"))
+    near, keys = _near(docs, written(places.select("h", "g").distinct(), "keys"))
+    words = near.join(keys, ["h", "g"], "left_semi").distinct().select("h", "g", item_words(F.col("text")).alias("w"))
+    grouped = places.groupBy("h", "g").agg(F.collect_list(F.struct("start", "n", "win_id")).alias("x"))
     part = lambda w, c: F.struct(c["start"].alias("start"), c["n"].alias("n"), c["win_id"].alias("win_id"), F.slice(w, c["start"] + 1, c["n"]).alias("win"))
-    cut = words.join(grouped, "h").select("h", F.explode(let(F.col("w"), lambda w: F.transform("x", lambda c: part(w, c)))).alias("x"))
-    return cut.select("h", "x.*").join(windows.drop("n"), ["win_id", "win"]).select("h", "start", "n", "win_id")
+    cut = words.join(grouped, ["h", "g"]).select("h", "g", F.explode(let(F.col("w"), lambda w: F.transform("x", lambda c: part(w, c)))).alias("x"))
+    return cut.select("h", "g", "x.*").join(windows.drop("n"), ["win_id", "win"]).select("h", "g", "start", "n", "win_id")
 
 
 def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
     """documents (doc_id, text), benchmark (item_id, text) -> a row per document: doc_id, n_words,
     n_hit, n_items, items_sha256, contaminated, and spans, the hit word ranges (start, end)."""
-    docs = docs.select("doc_id", "text").withColumn("h", F.xxhash64("doc_id", "text"))
+    docs = identified(docs.select("doc_id", "text"))
     bench = items.select(F.col("item_id").cast("string").alias("item_id"), item_words(F.col("text")).alias("w")).where(F.size("w") > 0)
     size = F.least(F.size("w"), F.lit(ITEM_WINDOW))
     every = bench.select("item_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - size + 1), lambda i: F.slice("w", i, size))).alias("win"))
     every = written(every.select("item_id", F.xxhash64("win").alias("win_id"), "win").distinct(), "windows")
-    hits = written(_hits(docs.select("h", "text"), every.select("win_id", F.size("win").alias("n"), "win").distinct()), "hits")
+    hits = written(_hits(docs.select("h", "g", "text"), every.select("win_id", F.size("win").alias("n"), "win").distinct()), "hits")
     end = F.col("start") + F.col("n")
-    spans = hits.groupBy("h").agg(F.array_sort(F.collect_set(F.struct("start", end.alias("end")))).alias("spans"))
-    named = hits.select("h", "win_id").distinct().join(every.where("item_id is not null").select("win_id", "item_id").distinct(), "win_id")
-    ids = named.groupBy("h").agg(F.array_sort(F.collect_set("item_id")).alias("ids"))
-    found = spans.join(ids, "h", "left")
+    spans = hits.groupBy("h", "g").agg(F.array_sort(F.collect_set(F.struct("start", end.alias("end")))).alias("spans"))
+    named = hits.select("h", "g", "win_id").distinct().join(every.where("item_id is not null").select("win_id", "item_id").distinct(), "win_id")
+    ids = named.groupBy("h", "g").agg(F.array_sort(F.collect_set("item_id")).alias("ids"))
+    found = spans.join(ids, ["h", "g"], "left")
     # Only ids and counts of the texts meet their hits.
-    out = docs.select("doc_id", "h", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("n_words")).join(found, "h", "left")
+    out = docs.select("doc_id", "h", "g", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("n_words")).join(found, ["h", "g"], "left")
     covered = F.size(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["end"] - 1)))))
     ids = F.coalesce("ids", F.array().cast("array<string>"))
     out = out.select("doc_id", "n_words", F.when(F.col("spans").isNull(), 0).otherwise(covered).cast("long").alias("n_hit"), F.size(ids).cast("long").alias("n_items"), F.sha2(F.concat_ws(",", ids), 256).alias("items_sha256"), "spans")

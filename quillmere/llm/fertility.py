@@ -62,7 +62,7 @@ for _range, _code in ((range(65, 91), 0), (range(97, 123), 0), (range(0xC3, 0xCB
     _SCRIPT[list(_range)] = _code
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(SYMBOLS.encode())] = True
-_OUT = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, in_script boolean, script string, n_tokens long, chars_per_token double, tokens_per_word double, byte_share double, entropy_share double"
+_OUT = "doc_id {}, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, in_script boolean, script string, n_tokens long, chars_per_token double, tokens_per_word double, byte_share double, entropy_share double"
 
 
 class Encoder:
@@ -211,7 +211,7 @@ def quality_rules(docs: DataFrame, vocabulary: str | None = None, bands: dict |
     prepare(spark)
     with open(vocabulary or public_tokenizers.path(VOCABULARY), "rb") as f:
         model = spark.sparkContext.broadcast(f.read())
-    measured = written(docs.select("doc_id", "text", "lang").mapInArrow(partial(_rules, model=model, bands=bands or BANDS), _OUT), "measures")
+    measured = written(docs.select("doc_id", "text", "lang").mapInArrow(partial(_rules, model=model, bands=bands or BANDS), _OUT.format(dict(docs.dtypes)["doc_id"])), "measures")
     learned = written(language_bands(measured), "bands")
     learned = F.broadcast(learned) if learned.count() <= BROADCAST_LANGUAGES else learned
     met = measured.join(learned, F.col("lang").eqNullSafe(F.col("band_lang")), "left")

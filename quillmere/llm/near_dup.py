@@ -38,9 +38,9 @@ SKETCH_LEAST = 849
 _TABLE = wh.byte_table(101, fold=True)
 _SEEDS = wh.mix(np.arange(1, 2 * SIDE * ROWS + 64 * SKETCH_LONGS + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
 _ODD = wh.mix(_SEEDS) | np.uint64(1)
-_SETS = "doc_id long, n_shingles long, sig_a long, sig_b long, halves array<long>"
+_SETS = "doc_id {}, n_shingles long, sig_a long, sig_b long, halves array<long>"
 _BITS = [f"s{k}" for k in range(SKETCH_LONGS)]
-_MARKS = ", ".join(f"{x} long" for x in ("rep", *_BITS))
+_MARKS = "rep {}, " + ", ".join(f"{x} long" for x in _BITS)
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
@@ -107,9 +107,9 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = batch.slice(at, 1000)
             half = part.column("halves").flatten().to_numpy().view(np.uint64).reshape(-1, 2, SIDE)
             key = wh.mix(wh.mix(half[:, 0, :, None] + cell) + half[:, 1, None, :])
-            rep = np.repeat(part.column("rep").to_numpy(), SIDE * SIDE)
+            rep = part.column("rep").take(pa.array(np.repeat(np.arange(len(part)), SIDE * SIDE)))
             cells = np.tile(np.arange(SIDE * SIDE, dtype=np.int32), len(part))
-            yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), pa.array(cells), pa.array(rep)], names=["key", "cell", "rep"])
+            yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), pa.array(cells), rep], names=["key", "cell", "rep"])
 
 
 def _shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,20 +160,21 @@ def classes(docs: DataFrame) -> DataFrame:
     """documents (doc_id, text) -> (doc_id, n_shingles, component_id, kept), one row per input row."""
     prepare(docs.sparkSession)
     docs = docs.select("doc_id", "text")
-    sets = written(docs.mapInArrow(_hashed_sets, _SETS), "sets")
+    kind = dict(docs.dtypes)["doc_id"]
+    sets = written(docs.mapInArrow(_hashed_sets, _SETS.format(kind)), "sets")
     sig = ["sig_a", "sig_b", "n_shingles"]
     groups = sets.where("n_shingles > 0 and doc_id is not null").groupBy(*sig).agg(F.min(F.struct("doc_id", "halves")).alias("x"))
     groups = written(groups.select(*sig, F.col("x.doc_id").alias("rep"), F.col("n_shingles").alias("n"), "x.halves"), "representatives")
-    row = "key long, cell int, rep long"
+    row = f"key long, cell int, rep {kind}"
     keyed = groups.select("rep", "halves").mapInArrow(_keys, row)
     bucket = written(keyed.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(_shared_keys, row), "buckets")
     texts = written(docs.join(bucket.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), "texts")
-    marks = written(texts.mapInArrow(_marks, _MARKS).join(groups.select("rep", "n", "halves"), "rep"), "marks")
+    marks = written(texts.mapInArrow(_marks, _MARKS.format(kind)).join(groups.select("rep", "n", "halves"), "rep"), "marks")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         a = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
         both = a.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-        return both.select("a", "b", "text_a", "text_b").mapInArrow(_confirm, "u long, v long")
+        return both.select("a", "b", "text_a", "text_b").mapInArrow(_confirm, f"u {kind}, v {kind}")
 
     order = Window.partitionBy("key").orderBy("rep")
     near = bucket.select("rep", F.first("rep").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("f"), F.lag("rep").over(order).alias("p"))

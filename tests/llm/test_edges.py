@@ -639,3 +639,23 @@ def test_quality_held_out(spark, folder):
     a = {r.doc_id: r.score for r in quality.quality_scores(docs, one).collect()}
     b = {r.doc_id: r.score for r in quality.quality_scores(docs, one.unionByName(one)).collect()}
     assert a == pytest.approx(b, abs=1e-6)
+
+
+def test_string_ids(spark):
+    """Operators that group by id take ids of any type; the smallest of strings is their first in order."""
+    texts = [("b", BASE), ("a10", NEAR), ("a9", BASE), ("c", prose(77, 60)), (None, "x y z"), ("d", "")]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in texts], "doc_id string, text string, lang string")
+    got = {r.doc_id: (r.component_id, r.kept) for r in near_dup.classes(docs).collect()}
+    assert got["a10"] == ("a10", True) and got["b"] == got["a9"] == ("a10", False) and got["c"] == ("c", True) and got["d"] == ("d", True)
+    assert {r.doc_id for r in fertility.quality_rules(docs).select("doc_id").collect()} == {i for i, _ in texts}
+
+
+def test_decontamination_tells_texts_of_one_hash_apart(spark, monkeypatch):
+    """All texts get one first hash: the second one keeps their hits apart."""
+    item = "one two three four five six seven eight nine ten"
+    docs = spark.createDataFrame([(1, f"a b {item} c"), (2, "a b c d e f g h i j k l m"), (3, f"{item} {item}"), (4, None)], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    real = decontam.identified
+    monkeypatch.setattr(decontam, "identified", lambda d: real(d).withColumn("h", F.lit(5).cast("long")))
+    got = {r.doc_id: (r.n_hit, r.n_items) for r in decontam.contamination(docs, bench).collect()}
+    assert got == {1: (10, 1), 2: (0, 0), 3: (20, 1), 4: (0, 0)}
