@@ -25,9 +25,14 @@ LEAST_SCORE, LEAST_FIT = 0.5, -20.0
 
 
 def _where(docs: DataFrame, verdicts: DataFrame, condition: str) -> DataFrame:
-    """Rows of docs whose doc_id has a verdict that meets the condition; null is a doc_id like others."""
-    kept = verdicts.where(condition).select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
+    """Rows of docs whose doc_id has a verdict that meets the condition; null is a doc_id like others.
+
+    Every row has a verdict, so what goes is known by the ids of which no verdict meets it. Those ids alone
+    meet the texts: Spark broadcasts their stored table if it is under its threshold, and exchanges both sides beyond."""
+    stays = F.max(F.coalesce(F.expr(condition), F.lit(False)))
+    lost = verdicts.groupBy("doc_id").agg(stays.alias("stays")).where("not stays").select(F.col("doc_id").alias("lost_id"))
+    lost = written(lost, "rejected")
+    return docs.join(lost, docs["doc_id"].eqNullSafe(lost["lost_id"]), "left_anti")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ OTHER = "she has been in the garden with all of their friends since the end of t
 
 def test_edges(spark, folder):
     """Nulls, empty and repeated rows, null ids, and columns named as those of operators and results."""
-    extra = ["_base", "_bin", "_left", "_last", "pii_spans", "kept_id", "_id", "hashes", "root", "h", "x"]
+    extra = ["_base", "_bin", "_left", "_last", "pii_spans", "kept_id", "lost_id", "stays", "_id", "hashes", "root", "h", "x"]
     schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{x} string" for x in extra)
     texts = [(1, None), (None, PROSE + " or so"), (2, ""), (3, PROSE), (3, PROSE), (4, "12 + 34"), (5, f"mail me {OTHER} a.b@c.org now"), (6, PROSE.upper() + " " + " ".join(PROSE.split()[::-1]))]
     rows = [(i, t, "en", None if k % 2 else "src1", 0, *(x + str(k) for x in extra)) for k, (i, t) in enumerate(texts)]
