@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.text import QUOTE_CHARS
 from . import metrics
 
 # Providers whose traces are real runs, the hops of a call, and the scores a judge may give.
@@ -42,7 +43,21 @@ def judge_contexts(answers: DataFrame, retrieved: DataFrame, texts: DataFrame) -
 
 
 def judge_key(question: Column, answer: Column, context: Column) -> Column:
-    return F.substring(F.sha2(F.concat_ws("|", question, answer, context), 256), 1, 24)
+    """The key of a judged pair in every cache; a null part counts as empty."""
+    return F.substring(F.sha2(F.concat_ws("|", *(F.coalesce(x, F.lit("")) for x in (question, answer, context))), 256), 1, 24)
+
+
+def respond(answers: DataFrame, retrieved: DataFrame, fixed: dict[str, str], preview: int = QUOTE_CHARS) -> DataFrame:
+    """Responses: answers (request_id, debug, ...) as they are but for debug, plus, where debug asks for it and null elsewhere,
+    retrieved_chunks, an array of (chunk_id, score, section, document_id, text_preview) in order of rank, and the values of fixed.
+    retrieved (request_id, rank, chunk_id, score, section, document_id, text); texts of other requests are not gathered."""
+    asked = answers.where("debug").select("request_id")
+    row = F.struct("rank", "chunk_id", "score", "section", "document_id", F.substring("text", 1, preview).alias("text_preview"))
+    shown = retrieved.join(asked, "request_id", "left_semi").groupBy("request_id").agg(F.array_sort(F.collect_list(row)).alias("_r"))
+    out = answers.join(shown, "request_id", "left")
+    told = F.transform(F.coalesce("_r", F.array().cast(shown.schema["_r"].dataType)), lambda c: F.struct(*(c[n].alias(n) for n in ("chunk_id", "score", "section", "document_id", "text_preview"))))
+    only = lambda x: F.when(F.col("debug"), x)
+    return out.withColumns({"retrieved_chunks": only(told), **{k: only(F.lit(v)) for k, v in fixed.items()}}).drop("_r", "debug")
 
 
 def parsed_scores(reply: Column) -> Column:

@@ -127,3 +127,28 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: str | None =
     pick = lambda c: F.coalesce(f"o.{c}", f"n.{c}") if c in keep else F.when(there, F.col(f"n.{c}")).otherwise(F.col(f"o.{c}"))
     own = [F.when(F.col("_old"), F.col(f"o.{k}")).otherwise(F.col(f"n.{k}")).alias(k) for k in keys]
     return both.select(*own, *(pick(c).alias(c) for c in old.columns if c not in keys))
+
+
+# How many items of each group a full golden set has.
+TARGETS = {"answerable": 200, "no_answer": 30, "adversarial": 20, "multi_hop": 30, "ambiguous": 20}
+
+
+def golden_counts(items: DataFrame) -> DataFrame:
+    """(kind, value, n): items by category, difficulty, review status and risk tag, in one pass; an item counts once for each of its tags."""
+    pair = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.alias("value"))
+    single = F.array(*(pair(k, F.col(k)) for k in ("category", "difficulty", "review_status")))
+    tags = F.transform(F.coalesce("risk_tags", F.array().cast("array<string>")), lambda t: pair("risk_tag", t))
+    return items.select(F.explode(F.concat(single, tags)).alias("x")).groupBy("x.kind", "x.value").agg(F.count("*").alias("n"))
+
+
+def golden_targets(items: DataFrame) -> DataFrame:
+    """(group, n, target, share): how much of each target group is there. An item may count in several groups; out of scope counts as
+    adversarial, and a refusal has no answer if it is tagged as a data gap."""
+    c, refusal = F.col("category"), F.coalesce("requires_refusal", F.lit(False))
+    belongs = {
+        "answerable": ((c == "factoid") & ~refusal) | (c == "procedural"), "no_answer": refusal & F.coalesce(F.array_contains("risk_tags", "data_gap"), F.lit(False)),
+        "adversarial": c.isin("adversarial", "out_of_scope"), "multi_hop": c == "multi_hop", "ambiguous": c == "ambiguous",
+    }
+    n = items.agg(*(F.coalesce(F.sum(F.coalesce(x, F.lit(False)).cast("long")), F.lit(0)).alias(k) for k, x in belongs.items()))
+    rows = F.array(*(F.struct(F.lit(k).alias("group"), F.col(k).alias("n"), F.lit(t).alias("target")) for k, t in TARGETS.items()))
+    return n.select(F.explode(rows).alias("x")).select("x.*", (F.col("x.n") / F.col("x.target")).alias("share"))

@@ -129,6 +129,18 @@ def agreement(a: str, b: str) -> list[Column]:
     ]
 
 
+def inter_judge(rows: DataFrame, *by: str) -> DataFrame:
+    """rows (by..., judge, judge2), both null or (faithfulness, answer_relevance, context_relevance, hallucination) -> of the pairs that both
+    judged: n_pairs, by score the mean absolute difference and exact matches, and how often they agree on hallucination; round 3."""
+    both = rows.where("judge is not null and judge2 is not null")
+    told = [F.count("*").alias("n_pairs")]
+    for c in ("faithfulness", "answer_relevance", "context_relevance"):
+        a, b = F.col(f"judge.{c}"), F.col(f"judge2.{c}")
+        told += [F.round(F.avg(F.abs(a - b)), 3).alias(f"{c}_mean_abs_diff"), F.round(F.avg((a == b).cast("double")), 3).alias(f"{c}_exact_match_rate")]
+    same = F.col("judge.hallucination") == F.col("judge2.hallucination")
+    return both.groupBy(*by).agg(*told, F.round(F.avg(same.cast("double")), 3).alias("hallucination_agreement_rate"))
+
+
 def target_verdict(metric: Column, value: Column, target: Column) -> Column:
     """PASS or FAIL against a target, blank without a value; hallucination and p95 should be at most it."""
     low = F.contains(metric, F.lit("hallucination")) | F.contains(metric, F.lit("p95"))

@@ -54,6 +54,12 @@ def quantile(counts: Column, bounds: tuple[float, ...], q: float) -> Column:
     return F.when(total == 0, F.lit(None).cast("double")).when(at >= len(bounds), F.lit(float(bounds[-1]))).otherwise(inside)
 
 
+def request_histograms(rows: DataFrame, *by: str) -> DataFrame:
+    """rows (by..., retrieval_s, n_chunks) -> (by..., retrieval, chunks: cumulative bucket counts, retrieval_p95, chunks_p50)."""
+    h = rows.groupBy(*by).agg(buckets(F.col("retrieval_s"), RETRIEVAL_BUCKETS).alias("retrieval"), buckets(F.col("n_chunks"), CHUNK_BUCKETS).alias("chunks"))
+    return h.select(*by, "retrieval", "chunks", quantile(F.col("retrieval"), RETRIEVAL_BUCKETS, 0.95).alias("retrieval_p95"), quantile(F.col("chunks"), CHUNK_BUCKETS, 0.5).alias("chunks_p50"))
+
+
 def sliding(rows: DataFrame, length: str, slide: str | None = None, ts: str = "ts") -> Column:
     return F.window(ts, length, slide) if slide else F.window(ts, length)
 

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import answers, evaluation, experiments, operations, retrieval, sections, text
+from . import answers, evaluation, experiments, operations, reports, retrieval, sections, text
 
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES = (retrieval, text, answers, operations, experiments, evaluation, sections)
+_MODULES = (retrieval, text, answers, operations, experiments, evaluation, sections, reports)
 QUERIES: dict[str, Query] = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 SQL: dict[str, str] = {k: s for m in _MODULES for k, s in m.SQL.items()} | sections.CHUNK_SQL

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import checks, feedback, gate, metrics, observability, policy, prompts
-from ..sources import adapters, files
+from ..operators import assembly, checks, feedback, gate, metrics, observability, policy, prompts
+from ..sources import files
 from ..sources.tables import table
 from ..streaming import sessions
 from .answers import _E, _LAT, _pct, eval_rows
@@ -225,7 +225,7 @@ def trace_labels(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def judge_keys(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "benchmark").select("item_id", adapters.judge_key(F.col("item_id").cast("string"), F.col("text"), F.lit("c")).alias("key"))
+    return table(spark, sf, "benchmark").select("item_id", assembly.judge_key(F.col("item_id").cast("string"), F.col("text"), F.lit("c")).alias("key"))
 
 
 _G = r"""(SELECT item_id, 'q' || lpad((CASE WHEN item_id % 20 = 19 THEN item_id - 1 ELSE item_id END)::VARCHAR, 3, '0') AS id, CASE WHEN item_id % 13 = 1 THEN ' ' ELSE text END AS question, item_id % 11 = 1 AS no_truth, item_id % 6 = 1 AS no_docs, item_id % 8 = 5 AS refusal, item_id % 7 = 3 AS bad_category FROM benchmark)"""
@@ -301,5 +301,5 @@ SELECT error_label, category, n_samples, md5 FROM s UNION ALL SELECT DISTINCT er
     "data_age": "SELECT event_id, CASE WHEN event_id % 3 <> 0 THEN date_diff('day', ts::DATE, DATE '2030-01-01')::INT END AS days, 'idx_' || CASE WHEN event_id % 3 = 0 THEN 'other' ELSE strftime(ts, '%Y%m%d') END || '_e5basev10' AS index_id FROM events",
     "budget_downgrades": "WITH c AS (SELECT event_id AS trace_id, value / 100 AS cost, coalesce(sum(value / 100) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent FROM events WHERE value IS NOT NULL) SELECT trace_id, CASE WHEN spent >= 40 THEN 'cheap' ELSE 'balanced' END AS tier, spent >= 40 AS downgraded, spent + cost > 40 AS budget_warning, round(spent, 4) AS spent_before FROM c",
     "trace_labels": "SELECT trace_id, hop, concat_ws(',', CASE WHEN trace_id % 9 = 0 THEN 'parse' END, CASE WHEN trace_id % 8 = 0 THEN 'invalid_citations_dropped' END, CASE WHEN hop = 'local' THEN 'served_by_fallback:local' END, CASE WHEN trace_id % 6 = 0 THEN 'budget_warning' END, CASE WHEN trace_id % 12 = 0 THEN 'budget_downgrade' END) AS labels FROM (SELECT event_id AS trace_id, CASE WHEN event_id % 7 = 0 THEN 'unknown' WHEN event_id % 4 = 0 THEN 'local' ELSE 'primary' END AS hop FROM events)",
-    "judge_keys": "SELECT item_id, substr(sha256(item_id || chr(31) || text || chr(31) || 'c'), 1, 24) AS key FROM benchmark",
+    "judge_keys": "SELECT item_id, substr(sha256(item_id || '|' || text || '|' || 'c'), 1, 24) AS key FROM benchmark",
 }

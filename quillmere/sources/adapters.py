@@ -44,7 +44,3 @@ def with_cache(rows: DataFrame, cache: DataFrame, key: list[str], compute: objec
     known = cache.join(rows.select(*key).distinct(), key, "left_semi")
     missing = rows.join(cache.select(*key), key, "left_anti")
     return known.unionByName(compute(missing))
-
-
-def judge_key(question: Column, answer: Column, context: Column) -> Column:
-    return F.substring(F.sha2(F.concat_ws("\x1f", question, answer, context), 256), 1, 24)
