@@ -73,6 +73,17 @@ def activate(registry: DataFrame, prompt_id: str, version: str, by: str, at: str
     })
 
 
+def seed(registry: DataFrame, rows: DataFrame, production: str, by: str, at: str) -> DataFrame:
+    """registry with seed versions put in where they are absent, as testing; each prompt of them without an active version
+    gets production as its active one, with a bootstrap note. Run again, it changes nothing."""
+    out = create(registry, rows.withColumn("status", F.lit("testing")), if_absent=True)
+    prompts = {r.prompt_id for r in rows.select("prompt_id").distinct().collect()}
+    active = {r.prompt_id for r in out.where("status = 'active'").select("prompt_id").distinct().collect()}
+    for p in sorted(prompts - active):
+        out = activate(out, p, production, by, at, "bootstrap: no version was active")
+    return out
+
+
 def broken(registry: DataFrame) -> DataFrame:
     """Prompts with more than one active version."""
     return registry.where("status = 'active'").groupBy("prompt_id").count().where("count > 1")
@@ -85,4 +96,4 @@ def unified_diff(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Ar
         yield pa.array(["\n".join(difflib.unified_diff((x or "").splitlines(), (y or "").splitlines(), "old", "new", lineterm="")) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.string())
 
 
-__all__ = ["SCHEMA", "STATUSES", "activate", "broken", "create", "empty", "pinned", "set_result", "template_variables", "unified_diff", "versions"]
+__all__ = ["SCHEMA", "STATUSES", "activate", "broken", "create", "empty", "pinned", "seed", "set_result", "template_variables", "unified_diff", "versions"]

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import assembly, checks, chunking, metrics, observability, optimization, policy, search
+from ..sources import markdown
 from ..sources.tables import table
 from .answers import _E, _R, _SUMMARY, _groups, _retrieved, eval_rows
 from .answers import _WB as _WORD_BOUNDS
@@ -96,6 +97,12 @@ def retrieval_histograms(spark: SparkSession, sf: str) -> DataFrame:
     return h.select("prompt_version", text(F.col("retrieval")).alias("retrieval"), text(F.col("chunks")).alias("chunks"), F.round("retrieval_p95", 6).alias("retrieval_p95"), F.round("chunks_p50", 6).alias("chunks_p50"))
 
 
+def markdown_report(spark: SparkSession, sf: str) -> DataFrame:
+    """The evaluation by category as a Markdown table, best recall first."""
+    s = metrics.evaluation_summary(eval_rows(spark, sf), "category").select("category", "n", F.round("recall", 6).alias("recall"), F.round("citation_accuracy", 6).alias("citation_accuracy"))
+    return markdown.lines(s, [F.desc("recall"), F.col("category")], {"category": "Nhóm", "n": "Số câu"})
+
+
 _RB, _CB = observability.RETRIEVAL_BUCKETS, observability.CHUNK_BUCKETS
 
 
@@ -133,8 +140,11 @@ SELECT config_id, count(*) AS n, round(avg(good), 9) AS context_precision, round
 round(avg(chars / 4 / 1e6::DOUBLE * CASE tier WHEN 'cheap' THEN 0.1::DOUBLE WHEN 'balanced' THEN 0.3::DOUBLE ELSE 1.25::DOUBLE END), 9) AS avg_cost_usd, count(*) FILTER (WHERE cache AND hit) AS cache_hits, count(*) FILTER (WHERE cache) AS cache_lookups,
 (SELECT round(avg((fh <> 'primary')::INT), 9) FROM rw WHERE fh NOT IN ('cache', 'n/a')) AS passive_fallback_rate FROM rw GROUP BY config_id"""
 _GS = "gs AS (SELECT item_id AS id, (['factoid', 'procedural', 'multi_hop', 'ambiguous', 'adversarial', 'out_of_scope'])[item_id % 6 + 1] AS category, CASE WHEN item_id % 3 = 0 THEN 'hard' ELSE 'easy' END AS difficulty, item_id % 4 = 1 AS refusal, item_id % 9 = 0 AS gap, item_id % 2 = 0 AS fees, CASE WHEN item_id % 5 = 0 THEN 'approved' ELSE 'pending_review' END AS status FROM benchmark)"
-QUERIES = {f.__name__: f for f in (optimisation_grid, responses, inter_judge_agreement, golden_counts, golden_targets, evaluation_by_model, chunk_counts, retrieval_histograms)}
+QUERIES = {f.__name__: f for f in (optimisation_grid, responses, inter_judge_agreement, golden_counts, golden_targets, evaluation_by_model, chunk_counts, retrieval_histograms, markdown_report)}
 SQL = {
+    "markdown_report": f"""WITH {_E}, s AS (SELECT category, count(*) AS n, round(avg(recall), 6) AS recall, round(avg(citation_accuracy), 6) AS cited FROM e GROUP BY category)
+SELECT 0 AS line, '| Nhóm | Số câu | recall | citation_accuracy |' AS text UNION ALL SELECT 1, '|---|---:|---:|---:|' UNION ALL
+SELECT (row_number() OVER (ORDER BY recall DESC, category) + 1)::INT, format('| {{}} | {{}} | {{:.3f}} | {{:.3f}} |', category, n, recall, cited) FROM s""",
     "optimisation_grid": f"WITH {_GRID}",
     "responses": f"""WITH {_R}, an AS (SELECT item_id AS request_id, item_id % 10 IN (3, 9) AS refusal FROM benchmark),
 ct AS (SELECT question_id AS request_id, string_agg(chunk_id, ',' ORDER BY chunk_id) AS cited FROM t WHERE rank <= 3 AND chunk_id % 2 = 0 GROUP BY 1),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -43,6 +45,54 @@ def write_csv(df: DataFrame, path: str) -> None:
     flat.write.mode("overwrite").option("header", True).option("emptyValue", "").csv(path)
 
 
+def write_eval_csv(rows: DataFrame, path: str) -> None:
+    """Evaluation rows in the order of EVAL_COLUMNS; those that rows lacks are empty, others are left out. Fields are not quoted."""
+    flat = rows.select(*((F.concat_ws("|", c) if dict(rows.dtypes)[c].startswith("array") else F.col(c)).cast("string").alias(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in EVAL_COLUMNS))
+    flat.write.mode("overwrite").option("header", True).option("emptyValue", "").option("quote", "\u0000").csv(path)
+
+
+def load_config(spark: SparkSession, path: str, id_field: str | None = None) -> dict:
+    """A configuration file, YAML or JSON, from any store. It must be a mapping, with id_field in it if one is named; a missing file is an error."""
+    text = "\n".join(r.value for r in spark.read.option("wholetext", True).text(path).collect())
+    if path.endswith(".json"):
+        found = json.loads(text)
+    else:
+        import yaml  # only where YAML is read
+
+        found = yaml.safe_load(text)
+    if not isinstance(found, dict):
+        raise ValueError(f"{path} is no mapping")
+    if id_field and not found.get(id_field):
+        raise ValueError(f"{path} lacks {id_field}")
+    return found
+
+
+def config_ids(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
+    """(file, id) of configuration files {path: id field}; 'missing' where a file cannot be read or has no id."""
+    ids: dict[str, str | None] = {}
+    for path, field in paths.items():
+        try:
+            ids[path] = str(load_config(spark, path, field)[field])
+        except Exception:  # noqa: BLE001  told as missing
+            ids[path] = None
+    return catalog(spark, ids)
+
+
+def trace_id(prefix: str = "tr") -> Column:
+    """A new id of a row: prefix, time in UTC and eight random hexadecimal digits."""
+    now = F.date_format(F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.current_timestamp().cast("timestamp_ntz")), "yyyyMMdd_HHmmss")
+    return F.concat(F.lit(f"{prefix}_"), now, F.lit("_"), F.substring(F.replace(F.uuid(), F.lit("-"), F.lit("")), 1, 8))
+
+
+def checked_points(chunks: DataFrame, vectors: DataFrame, width: int) -> DataFrame:
+    """(point_id, chunk_id, vector) of chunks (chunk_id) and vectors (chunk_id, vector): a chunk without a vector, a vector without a chunk,
+    or one of another width raises when the rows are read."""
+    met = chunks.select("chunk_id", F.lit(1).alias("_c")).join(vectors.select("chunk_id", "vector"), "chunk_id", "full")
+    told = F.when(F.col("_c").isNull(), "no chunk for the vector of ").when(F.col("vector").isNull(), "no vector for ").when(F.size("vector") != width, F.lit(f"a width other than {width} in "))
+    vector = F.when(told.isNull(), F.col("vector")).otherwise(F.raise_error(F.concat(told, F.col("chunk_id"))))
+    return met.select(point_id(F.col("chunk_id")).alias("point_id"), "chunk_id", vector.alias("vector"))
+
+
 def read_json(spark: SparkSession, pattern: str) -> DataFrame:
     """Whole-document JSON files, with the file each row comes from."""
     return spark.read.option("multiLine", True).json(pattern).withColumn("_file", F.input_file_name())
