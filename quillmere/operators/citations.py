@@ -50,8 +50,8 @@ def best_overlap(asked: DataFrame, chunks: DataFrame, key: list[str], least: flo
     terms = asked.select(*key, "document_id", F.array_distinct(tokens(F.coalesce("ground_truth", F.lit("")))).alias("_t"))
     terms = terms.select(*key, "document_id", F.size("_t").alias("n"), F.explode_outer("_t").alias("term")).where("term is not null")
     terms = stored(terms.withColumn("c", F.greatest(F.lit(1), F.ceil(F.col("n") * least - 1e-9))), "ground-truth")
-    mine = chunks.join(terms.select("document_id").distinct(), "document_id", "left_semi").select("document_id", "seq", "chunk_id", "text")
-    have = terms_of(token_table(spread(mine), "chunk_id", by=("document_id", "seq"), wanted=terms.select("term").distinct()))
+    mine = spread(chunks.select("document_id", "seq", "chunk_id", "text")).join(terms.select("document_id").distinct(), "document_id", "left_semi")
+    have = terms_of(token_table(mine, "chunk_id", by=("document_id", "seq"), wanted=terms.select("term").distinct()))
     have = stored(have.select("document_id", "seq", "chunk_id", "term"), "chunk-tokens")
     often = have.groupBy("document_id", "term").agg(F.count("*").alias("often"))
     place = F.row_number().over(Window.partitionBy(*key).orderBy(F.coalesce("often", F.lit(0)), "term"))

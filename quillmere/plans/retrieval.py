@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import blockmax, index, pivots, search
+from ..sources.stored import spread, stored
 from ..sources.tables import table
 
 
@@ -61,8 +62,8 @@ def bm25_block_max(spark: SparkSession, sf: str) -> DataFrame:
 def bm25_by_strategy(spark: SparkSession, sf: str) -> DataFrame:
     """All corpora of one table in one job: languages stand for chunking strategies."""
     docs = table(spark, sf, "documents").select(F.col("lang").alias("strategy"), "doc_id", "text")
-    counts, stats = index.term_counts(docs, "doc_id", by=("strategy",)), index.corpus_stats(docs, by=("strategy",))
-    terms = index.term_stats(counts, stats, by=("strategy",))
+    tokens = stored(index.token_table(spread(docs), "doc_id", by=("strategy",)), "tokens")
+    terms = index.term_stats(index.terms_of(tokens), index.stats_of(tokens, ("strategy",)), by=("strategy",))
     return terms.groupBy("strategy").agg(F.count("*").alias("n_terms"), F.round(F.sum("idf"), 3).alias("sum_idf"), F.max("df").alias("max_df"))
 
 

@@ -46,6 +46,9 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def spread(df: DataFrame) -> DataFrame:
     """df over as many tasks as the session runs at once, where its source has fewer splits than half of them
-    (one small file of one row group); larger sources are returned as they are."""
+    (one small file of one row group); larger sources, and plans with an exchange of their own, are returned as they are."""
+    plan = df._jdf.queryExecution().sparkPlan().toString()
+    if any(step in plan for step in ("Join", "Aggregate", "Window", "Sort", "Repartition")):
+        return df  # asking for its splits would run it
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
