@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import assembly, checks, feedback, gate, metrics, observability, policy, prompts
 from ..sources import files
+from ..sources.stored import stored
 from ..sources.tables import table
 from ..streaming import sessions
 from .answers import _E, _LAT, _pct, eval_rows
@@ -112,18 +113,18 @@ def gate_decisions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def gate_scenarios(spark: SparkSession, sf: str) -> DataFrame:
-    """Simulated changes of a good vector: for every metric a small harm, a breach and a missing value."""
-    good = {"recall_at_5": 0.95, "faithfulness": 0.93, "answer_relevance": 0.9, "hallucination_rate": 0.02, "refusal_accuracy": 0.96, "p95_latency_seconds": 4.0, "error_rate": 0.0, "citation_accuracy": 0.9, "cost_per_request_usd": 0.002}
-    rows = []
-    for m, _, least, most in gate.BOUNDS:
-        for kind in ("none", "small", "breach", "missing"):
-            for k, v in good.items():
-                sign = 1 if most is not None else -1
-                value = v if k != m or kind == "none" else {"small": v + sign * 0.01, "breach": (most or least) + sign * 0.01, "missing": None}[kind]
-                rows.append((f"{m}/{kind}", k, value))
-    current = spark.createDataFrame(rows, "scenario string, metric string, value double")
-    base = spark.createDataFrame(list(good.items()), "metric string, value double")
-    return gate.decide(gate.violations(current, base, gate.bounds(spark), "scenario"), "scenario")
+    """The evaluation of all events, brought within the gate's bounds, and changed in one metric at a time: a small harm, a breach, a missing value."""
+    bounds = gate.bounds(spark)
+    all_ = gate.metric_rows(metrics.evaluation_summary(eval_rows(spark, sf)).withColumn("key", F.lit("all")), "key")
+    low, high = F.col("least"), F.col("most")
+    within = F.when(low.isNotNull(), F.least(F.lit(1.0), F.greatest(F.col("value"), low + 0.05))).otherwise(F.least(F.col("value"), high * 0.5))
+    good = stored(all_.join(bounds, "metric").select("metric", within.alias("value"), low, high), "gate-base")
+    kinds = spark.createDataFrame([("none",), ("small",), ("breach",), ("missing",)], "kind string")
+    sign = F.when(high.isNotNull(), 1).otherwise(-1)
+    harmed = F.when(F.col("kind") == "small", F.col("value") + sign * 0.01).when(F.col("kind") == "breach", F.coalesce(high, low) + sign * 0.01).when(F.col("kind") == "none", F.col("value"))
+    pairs = bounds.select(F.col("metric").alias("of")).crossJoin(kinds).crossJoin(good)  # the gate's few metrics
+    current = pairs.select(F.concat_ws("/", "of", "kind").alias("scenario"), "metric", F.when(F.col("metric") == F.col("of"), harmed).otherwise(F.col("value")).alias("value"))
+    return gate.decide(gate.violations(current, good.select("metric", "value"), bounds, "scenario"), "scenario")
 
 
 def _feedback(spark: SparkSession, sf: str) -> DataFrame:
@@ -280,6 +281,13 @@ UNION ALL SELECT id, 'empty question' FROM g WHERE NOT no_truth AND trim(questio
     "document_upsert": "SELECT doc_id, CASE WHEN doc_id % 2 = 0 AND doc_id % 10 <> 0 THEN 'new' ELSE source END AS source, n_chars FROM documents UNION ALL SELECT doc_id + 1000000, 'new', 0 FROM documents WHERE doc_id % 10 = 0",
     "extraction_manifest": "SELECT doc_id, source AS file, CASE WHEN doc_id % 3 = 0 THEN 'ocr' ELSE 'html' END AS method, CASE WHEN doc_id % 3 = 0 THEN 7 WHEN length(text) > 2 * least(300, length(text)) AND length(text) > 500 THEN length(text) ELSE least(300, length(text)) END::BIGINT AS n_chars FROM documents",
     "document_registry": "SELECT doc_id AS document_id, length(text)::INT AS char_count, sha256(text) AS sha256, CASE WHEN doc_id % 2 = 0 THEN 'pdf' ELSE 'html' END AS source_type FROM documents",
+    "gate_scenarios": f"""WITH {_E}, {_GATE},
+y AS (SELECT metric, b.severity, b.least AS lo, b.most AS hi, CASE WHEN b.least IS NOT NULL THEN least(1.0::DOUBLE, greatest(l.value, b.least + 0.05::DOUBLE)) ELSE least(l.value, b.most * 0.5::DOUBLE) END AS good FROM l JOIN b USING (metric) WHERE l.category = '(all)'),
+u AS (SELECT o.metric || '/' || kind AS scenario, y.metric, y.severity, lo, hi, good, CASE WHEN y.metric <> o.metric OR kind = 'none' THEN good WHEN kind = 'small' THEN good + CASE WHEN hi IS NULL THEN -0.01::DOUBLE ELSE 0.01::DOUBLE END WHEN kind = 'breach' THEN coalesce(hi, lo) + CASE WHEN hi IS NULL THEN -0.01::DOUBLE ELSE 0.01::DOUBLE END END AS value
+  FROM (SELECT metric FROM b) o, (SELECT unnest(['none', 'small', 'breach', 'missing']) AS kind), y),
+f AS (SELECT *, CASE WHEN value IS NULL THEN 'missing' WHEN value < lo OR value > hi THEN 'threshold' WHEN severity = 'critical' AND CASE WHEN lo IS NOT NULL THEN good - value ELSE value - good END > 0.03::DOUBLE THEN 'regression' END AS reason FROM u),
+r AS (SELECT scenario, {_TOLD.format('critical')} AS critical, {_TOLD.format('warning')} AS warning FROM f GROUP BY scenario)
+SELECT scenario, critical, warning, CASE WHEN critical <> '' THEN 'BLOCK' WHEN warning <> '' THEN 'WARN' ELSE 'PASS' END AS status FROM r""",
     "gate_decisions": f"WITH {_E}, {_GATE}, d AS (SELECT category, {_TOLD.format('critical')} AS critical, {_TOLD.format('warning')} AS warning FROM v GROUP BY category) SELECT category, critical, warning, CASE WHEN critical <> '' THEN 'BLOCK' WHEN warning <> '' THEN 'WARN' ELSE 'PASS' END AS status FROM d",
     "feedback_labels": f"WITH {_FB} SELECT feedback_id, kind AS feedback_type, error_label, category FROM fb",
     "feedback_samples": f"""WITH {_FB}, y AS MATERIALIZED (SELECT error_label, category, seq, feedback_id, question, list_distinct(regexp_extract_all(lower(nfc_normalize(question)), '[\\p{{L}}\\p{{N}}_]+')) AS t, row_number() OVER (PARTITION BY error_label, category ORDER BY seq, feedback_id) AS n FROM fb WHERE error_label IS NOT NULL AND question <> ''),
