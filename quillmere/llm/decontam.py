@@ -74,15 +74,16 @@ def _places(docs: DataFrame, windows: DataFrame, sizes: list[int]) -> DataFrame:
     """(h, g, start, n, win_id): places in the texts of docs (h, g, text) where a window (win_id, n, win) may be."""
     own = windows.select("win_id", "n", F.explode(_shingles(F.col("win"), {s: F.least("n", F.lit(SHINGLE)) == s for s in sizes})).alias("x"))
     own = written(own.select("win_id", "n", "x.*"), "item-shingles")
-    runs = docs.select(F.struct("h", "g").alias("doc"), item_words(F.col("text")).alias("w"))
-    runs = runs.select("doc", F.size("w").alias("n_words"), F.explode(_shingles(F.col("w"), {s: F.lit(True) for s in sizes})).alias("x")).select("doc", "n_words", "x.*")
+    # Flat columns: a struct would be copied for every shingle. An inner explode would make Spark infer a filter that makes all shingles once more.
+    runs = docs.select(F.col("h").alias("doc_h"), F.col("g").alias("doc_g"), item_words(F.col("text")).alias("w"))
+    runs = runs.select("doc_h", "doc_g", F.size("w").alias("n_words"), F.explode_outer(_shingles(F.col("w"), {s: F.lit(True) for s in sizes})).alias("x")).select("doc_h", "doc_g", "n_words", "x.*")
     seen, known = _near(runs.select("h"), written(own.select("h").distinct(), "item-hashes"))
     counts = written(seen.join(known, "h", "left_semi").groupBy("h").agg(F.count("*").alias("seen")), "rarity")
     rare = Window.partitionBy("win_id").orderBy(F.coalesce("seen", F.lit(0)), "place", "h")
     prefix = own.join(counts, "h", "left").withColumn("_r", F.row_number().over(rare)).where("_r = 1 and seen is not null")
     near, prefix = _near(runs, written(prefix.select("h", F.col("place").alias("at"), "n", "win_id"), "prefixes"))
     met = near.join(prefix, "h").where("place >= at and place - at + n <= n_words")
-    return met.select("doc.h", "doc.g", (F.col("place") - F.col("at")).alias("start"), "n", "win_id").distinct()
+    return met.select(F.col("doc_h").alias("h"), F.col("doc_g").alias("g"), (F.col("place") - F.col("at")).alias("start"), "n", "win_id").distinct()
 
 
 def _hits(docs: DataFrame, windows: DataFrame) -> DataFrame:
