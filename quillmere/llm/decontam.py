@@ -29,8 +29,9 @@ from .shared import fold, let, split_words, table, written
 ITEM_WINDOW, SHINGLE = 10, 3
 BROADCAST_ROWS, FILTER_BITS = 500_000, 1 << 26
 #: Everything that is no word character, after A-Z are folded; and a word of a text that is not folded.
-GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: The commonest characters come first in a class, and runs are possessive: fewer tests a character, same matches.
+GAP = r"[^a-z\x{80}-\x{10FFFF}0-9]++"
+WORD = r"[a-z\x{80}-\x{10FFFF}A-Z0-9]++"
 _RUNS = "array<struct<place:int,h:bigint>>"
 
 
@@ -115,7 +116,7 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
     ids = named.groupBy("h", "g").agg(F.array_sort(F.collect_set("item_id")).alias("ids"))
     found = spans.join(ids, ["h", "g"], "left")
     # Only ids and counts of the texts meet their hits.
-    out = docs.select("doc_id", "h", "g", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("n_words")).join(found, ["h", "g"], "left")
+    out = docs.select("doc_id", "h", "g", (F.size(F.split(F.coalesce("text", F.lit("")), WORD, -1)) - 1).cast("long").alias("n_words")).join(found, ["h", "g"], "left")
     covered = F.size(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["end"] - 1)))))
     ids = F.coalesce("ids", F.array().cast("array<string>"))
     out = out.select("doc_id", "n_words", F.when(F.col("spans").isNull(), 0).otherwise(covered).cast("long").alias("n_hit"), F.size(ids).cast("long").alias("n_items"), F.sha2(F.concat_ws(",", ids), 256).alias("items_sha256"), "spans")
