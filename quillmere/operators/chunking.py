@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 from functools import partial
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -33,14 +33,29 @@ def words(text: str) -> int:
     return len(text.split())
 
 
-def chunk_fixed(docs: DataFrame, key: str, size: int = FIXED[0], overlap: int = FIXED[1]) -> DataFrame:
-    """Windows of size tokens, overlap tokens in common; the window that reaches the end is the last."""
+def _fixed(name: str, size: int, overlap: int) -> Column:
+    """The windows of the token array _t as structs. They are cut token by token, as slice copies the whole array each time."""
     step = max(size - overlap, 1)
-    d = docs.select(key, F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^\s]+"), F.lit(0)).alias("_t"))
     last = F.when(F.size("_t") > size, F.ceil((F.size("_t") - size) / step)).otherwise(0).cast("int")
-    d = d.where(F.size("_t") > 0).select(key, "_t", F.explode(F.sequence(F.lit(0), last)).alias("chunk_index"))
-    own = F.slice("_t", F.col("chunk_index") * step + 1, F.lit(size))
-    return d.select(key, "chunk_index", F.array_join(own, " ").alias("text"), F.size(own).alias("token_count"))
+    count = lambda i: F.least(F.lit(size), F.size("_t") - i * step)
+    text = lambda i: F.array_join(F.transform(F.sequence(i * step, i * step + count(i) - 1), lambda j: F.get("_t", j)), " ")
+    return F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(F.lit(name).alias("strategy"), i.alias("chunk_index"), text(i).alias("text"), count(i).alias("token_count")))
+
+
+def chunk_fixed_all(docs: DataFrame, key: str, sizes: dict[str, tuple[int, int]]) -> DataFrame:
+    """(strategy, key, chunk_index, text, token_count) of several sizes {strategy: (size, overlap)}: a text is cut into tokens once for all.
+
+    Windows are cut before they become rows, so that no row carries the tokens of the whole text; explode_outer, as an inner
+    explode, or a filter on the tokens, makes Spark tokenise again."""
+    d = docs.select(key, F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^\s]+"), F.lit(0)).alias("_t"))
+    own = F.concat(*(_fixed(name, *x) for name, x in sizes.items()))
+    d = d.select(key, F.explode_outer(F.when(F.size("_t") > 0, own)).alias("_w")).where("_w is not null")
+    return d.select("_w.strategy", key, "_w.chunk_index", "_w.text", "_w.token_count")
+
+
+def chunk_fixed(docs: DataFrame, key: str, size: int = FIXED[0], overlap: int = FIXED[1]) -> DataFrame:
+    """Windows of size tokens, overlap tokens in common; the window that reaches the end is the last."""
+    return chunk_fixed_all(docs, key, {"fixed": (size, overlap)}).drop("strategy")
 
 
 def split_recursive(text: str, most: int, separators: tuple[str, ...] = SEPARATORS) -> list[str]:

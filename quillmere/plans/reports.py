@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,8 +82,7 @@ def evaluation_by_model(spark: SparkSession, sf: str) -> DataFrame:
 def chunk_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Chunks and tokens of each strategy over one collection."""
     d = table(spark, sf, "documents").select("doc_id", "text")
-    parts = [chunking.chunk_fixed(d, "doc_id", *x).select(F.lit(name).alias("strategy"), "token_count") for name, x in CHUNKINGS.items()]
-    return reduce(DataFrame.unionByName, parts).groupBy("strategy").agg(F.count("*").alias("n_chunks"), F.sum("token_count").alias("n_tokens"))
+    return chunking.chunk_fixed_all(d, "doc_id", CHUNKINGS).groupBy("strategy").agg(F.count("*").alias("n_chunks"), F.sum("token_count").alias("n_tokens"))
 
 
 def retrieval_histograms(spark: SparkSession, sf: str) -> DataFrame:
