@@ -75,3 +75,44 @@ def test_windows_do_not_carry_the_text(spark):
     plan = c._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract_all") == 1
     assert "Generate explode" in plan and "_t#" not in plan.split("Generate explode")[0]
+
+
+def test_alike_scan_equals_join(spark, monkeypatch):
+    """Several blocks a group, ties, other widths, nulls, a norm of 0 and groups that one side lacks."""
+    monkeypatch.setattr(scan, "BLOCK", (7, 10))
+    rng = random.Random(5)
+    vector = lambda n=4: [rng.uniform(-1, 1) for _ in range(n)]
+    same = vector()
+    c = [(k, k % 3, vector()) for k in range(120)] + [(200 + k, 1, same) for k in range(9)] + [(300, 0, vector(3)), (301, 1, None), (302, None, same), (303, 7, same)]
+    q = [(k, k % 3, vector()) for k in range(40)] + [(50, 1, same), (51, 0, vector(3)), (52, 2, vector(3)), (53, 1, None), (54, None, same), (55, 8, same)]
+    d, q = spark.createDataFrame(c, "entry_id long, prompt_version int, d_vec array<float>"), spark.createDataFrame(q, "query_id long, prompt_version int, q_vec array<float>")
+    cos = F.round(search._dot(F.col("q_vec"), F.col("d_vec")) / F.sqrt(search._dot(F.col("q_vec"), F.col("q_vec")) * search._dot(F.col("d_vec"), F.col("d_vec"))), 6)
+    met = q.join(d, "prompt_version").where(F.size("q_vec") == F.size("d_vec")).select("query_id", "entry_id", cos.alias("score"))
+    for k in (1, 5):
+        want = search.top_k(met, k, "query_id", "entry_id")
+        assert rows(scan.alike_top_k(q, d, "query_id", "entry_id", "prompt_version", k).select(*want.columns)) == rows(want)
+    zero = spark.createDataFrame([(1, 1, [0.0] * 4)], d.schema)
+    got = search.cache_lookup(q, d.where("prompt_version <> 1").union(zero), "query_id", "entry_id")
+    assert {r.query_id for r in got.collect()} == {r.query_id for r in q.collect()} and not got.where("query_id = 50 and hit").count()
+
+
+def test_distinct_terms_need_no_exchange(spark):
+    for shared in (False, True):
+        d, _ = corpus(spark, 100, shared)
+        table = index.terms_of(index.token_table(d, "doc_id", by=("lang",))).select("lang", "term")
+        got = index.distinct_terms(d, "doc_id", by=("lang",))
+        assert rows(got.select("lang", "term")) == rows(table)
+        assert shared or "Aggregate" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_overlap_by_scan_equals_prefix_index(spark, monkeypatch):
+    from quillmere.operators import citations
+
+    rng = random.Random(6)
+    words = [f"w{k}" for k in range(40)]
+    chunks = spark.createDataFrame([(f"s{k % 4}", k, f"c{k}", " ".join(rng.choices(words, k=rng.randint(0, 12)))) for k in range(200)] + [("s1", 900, "c900", None)], "document_id string, seq long, chunk_id string, text string")
+    asked = spark.createDataFrame([(k, k % 2, f"s{k % 5}", " ".join(rng.sample(words, 5))) for k in range(40)] + [(90, 0, "s1", "")], "question_id long, group_no long, document_id string, ground_truth string")
+    got = [rows(citations.best_overlap(asked, chunks, ["question_id", "group_no"], least)) for least in (0.2, 0.8)]
+    monkeypatch.setattr(scan, "LIMIT", 0)
+    assert got == [rows(citations.best_overlap(asked, chunks, ["question_id", "group_no"], least)) for least in (0.2, 0.8)]
+    assert got[0]
