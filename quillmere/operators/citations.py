@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import QUOTE_CHARS, preview, tokens
 from ..sources.stored import spread, stored
+from . import scan
 from .index import terms_of, token_table
 
 # How sections are written, and the least lexical overlap.
@@ -36,12 +39,31 @@ def chunk_section(section: Column) -> Column:
     return F.struct(part(1).alias("dieu"), part(2).alias("lo"), F.coalesce(part(3), part(2)).alias("hi"))
 
 
+def _scanned_overlap(terms: DataFrame, chunks: DataFrame, key: list[str]) -> DataFrame:
+    """(document_id, key..., seq, chunk_id, score): of each task the chunk of the document with the largest share of the n terms of each key."""
+    rows = terms.select(*key, "document_id", "n", "term").toArrow()
+    words = rows["term"].combine_chunks().dictionary_encode()
+    place = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    of: dict[str, list[int]] = {}
+    for i, d in enumerate(rows["document_id"].to_pylist()):
+        of.setdefault(d, []).append(i)
+    sets = {}
+    for d, i in of.items():
+        own = rows.take(pa.array(i))
+        ids, number, _, _ = scan.numbered(own, key)
+        n = np.zeros(len(ids))
+        n[number] = own["n"].to_numpy()
+        sets[(d,)] = (scan.Asked(number, place[i], np.ones(len(i))), ids, n)
+    table = scan.counted(chunks, ["document_id", "seq", "chunk_id"], words.dictionary)
+    return scan.scanned(table, ["document_id"], ["seq", "chunk_id"], sets, 1, None, [terms.schema[c] for c in key])
+
+
 def best_overlap(asked: DataFrame, chunks: DataFrame, key: list[str], least: float) -> DataFrame:
     """asked (key..., document_id, ground_truth), chunks (document_id, chunk_id, seq, text) -> (key..., chunk_id, score) of the chunk of
     the document that holds the largest share of the distinct ground-truth tokens, first in order on a tie, if the share is least
     (over 0) or more.
 
-    A prefix index: of n tokens, c must be in a chunk, so it holds one of the n - c + 1 that are rarest in the document. Those
+    Up to scan.LIMIT tokens go to the chunks, and the best of each task are ranked. More of them take a prefix index: of n tokens, c must be in a chunk, so it holds one of the n - c + 1 that are rarest in the document. Those
     alone meet the chunks' tokens; the others can add one each, which bounds a chunk's count, and only chunks
     whose bound reaches both c and the best count so far meet the rest. Jobs run when this is called; chunks are tokenised once, and
     only those of documents that are asked for."""
@@ -51,6 +73,10 @@ def best_overlap(asked: DataFrame, chunks: DataFrame, key: list[str], least: flo
     terms = terms.select(*key, "document_id", F.size("_t").alias("n"), F.explode_outer("_t").alias("term")).where("term is not null")
     terms = stored(terms.withColumn("c", F.greatest(F.lit(1), F.ceil(F.col("n") * least - 1e-9))), "ground-truth")
     mine = spread(chunks.select("document_id", "seq", "chunk_id", "text")).join(terms.select("document_id").distinct(), "document_id", "left_semi")
+    if terms.count() <= scan.LIMIT:
+        found = stored(_scanned_overlap(terms, mine, key), "overlaps")
+        best = found.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("score"), "seq")))
+        return best.where((F.col("_n") == 1) & (F.col("score") >= least)).select(*key, "chunk_id", "score")
     have = terms_of(token_table(mine, "chunk_id", by=("document_id", "seq"), wanted=terms.select("term").distinct()))
     have = stored(have.select("document_id", "seq", "chunk_id", "term"), "chunk-tokens")
     often = have.groupBy("document_id", "term").agg(F.count("*").alias("often"))
