@@ -36,3 +36,31 @@ def test_plan_has_no_python(spark):
     docs = spark.createDataFrame(list(enumerate(FIXED)), "doc_id long, text string")
     assert "Python" not in sections.parent_child(docs, "doc_id")._jdf.queryExecution().executedPlan().toString()
     assert sections.structure_aware(docs.where(F.lit(False)), "doc_id").count() == 0
+
+
+def test_one_pass_over_each_text(spark):
+    """No text is exchanged, and no step of the work is written out more than once in the plan."""
+    docs = spark.createDataFrame(list(enumerate(FIXED)), "doc_id long, text string")
+    for how in (sections.structure_aware, sections.parent_child):
+        query = how(docs, "doc_id")._jdf.queryExecution()
+        assert "Exchange" not in query.executedPlan().toString(), how
+        plan = query.optimizedPlan().toString()
+        # A count for bodies and one for clauses; an article's pattern marks it, and gives its number and title.
+        assert plan.count(r"(?U)\S+") <= 2 and plan.count(sections.CLAUSE) == 1 and plan.count(sections.CHAPTER) == 1 and plan.count(sections.ARTICLE) == 3, how
+
+
+def test_ends_and_long_articles(spark):
+    """White space of all kinds at the ends of bodies, clauses and titles, many short clauses and many chapters, as the map has them."""
+    blank = " \t\xa0\u1680\u2003\u202f\u3000 "
+    texts = [
+        f"Chương I\n{blank}Một{blank}\nĐiều 1. Hai{blank}\n1. a{blank}\n\n2. b c{blank}\n{blank}\nĐiều 2. Ba{blank}",
+        "Điều 1. Dài\n" + "\n".join(f"{k % 90}. x y" for k in range(2000)),
+        "\n".join(f"Chương X{'I' * (k % 4)}\n\n  Phần {k}\nĐiều {k}. a\n" + ("1. b\n2. c" if k % 3 else "") for k in range(400)),
+        "Điều 1. Một\nChương I\nChương II\nHai\nĐiều 2. Ba\nĐiều 3. Bốn\nChương III",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for how, name, most in ((sections.parent_child, "parent_child", {}), (sections.structure_aware, "structure_aware", {"most": 5}), (sections.structure_aware, "structure_aware", {"most": 50})):
+        for i, t in enumerate(texts):
+            got = how(docs.where(F.col("doc_id") == i), "doc_id", **most).orderBy("chunk_index").collect()
+            assert [(r.text, r.section, r.heading, r.asDict().get("parent_index")) for r in got] == chunking.STRATEGIES[name](t, **most), (name, i)
+            assert [(r.chunk_index, r.token_count) for r in got] == [(k, chunking.words(r.text)) for k, r in enumerate(got)]
