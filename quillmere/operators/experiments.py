@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..sources.stored import stored
-from . import metrics, scan, search
+from . import metrics, scan, search, windows
 
 MODES = ("cheap", "balanced", "strong", "auto")
 SEED_CATEGORIES = ("multi_hop", "ambiguous")
@@ -27,15 +27,22 @@ def retrieval_grid(configs: list[dict], query: str, doc: str, dense: DataFrame,
     return reduce(DataFrame.unionByName, map(run, configs))
 
 
-def compare_corpora(texts: DataFrame, questions: DataFrame, groups: DataFrame, k: int = 5, by: tuple[str, ...] = ("config_id",), unicode: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+def compare_corpora(texts: DataFrame, questions: DataFrame, groups: DataFrame, k: int = 5, by: tuple[str, ...] = ("config_id",)) -> tuple[DataFrame, DataFrame, DataFrame]:
     """One retrieval over several corpora, such as the chunkings of one collection: texts (by..., chunk_id, document_id, text), questions
     (question_id, text), groups (question_id, group_no, chunk_id) where chunk_id is a document.
 
     Returns ranked (by..., question_id, chunk_id, document_id, score, rank), means (by..., n, recall, hit, mrr, ndcg) and misses (by..., question_id,
     best), the questions with groups of which no document is among the k best, with the document ranked first. Terms, statistics and ranks are keyed by corpus,
-    so a corpus more is rows more, not a job more; each text is tokenised once. A document found by several chunks counts at its best rank.
-    unicode is False for texts known to be composed."""
-    best, runs = scan.sparse_corpora(texts, "chunk_id", questions, "question_id", k, by=by, unicode=unicode, carry=("document_id",))
+    so a corpus more is rows more, not a job more; each text is tokenised once. A document found by several chunks counts at its best rank."""
+    return _compared(*scan.sparse_corpora(texts, "chunk_id", questions, "question_id", k, by=by, carry=("document_id",)), groups, k, by)
+
+
+def compare_windows(documents: DataFrame, sizes: dict[str, tuple[int, int]], questions: DataFrame, groups: DataFrame, k: int = 5) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """compare_corpora of windows of words of the documents (document_id, text); sizes has the (size, overlap) of each config_id. No window is made a row."""
+    return _compared(*windows.top_windows(documents, "document_id", sizes, questions, "question_id", k), groups, k, ("config_id",))
+
+
+def _compared(best: DataFrame, runs: DataFrame, groups: DataFrame, k: int, by: tuple[str, ...]) -> tuple[DataFrame, DataFrame, DataFrame]:
     ranked = stored(best.select(*by, "question_id", "chunk_id", "document_id", "score", "rank"), "ranked")
     runs = stored(runs, "corpora")
     pair = F.to_json(F.struct(*by, "question_id"), {"ignoreNullFields": "false"})

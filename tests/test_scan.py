@@ -1,10 +1,12 @@
 """Scans without an exchange of pairs give the rows of the joins."""
 
 import random
+import sys
 
 import pytest
 from pyspark.sql import functions as F
 
+from quillmere.functions import text as T
 from quillmere.operators import chunking, index, scan, search
 
 
@@ -116,3 +118,71 @@ def test_overlap_by_scan_equals_prefix_index(spark, monkeypatch):
     monkeypatch.setattr(scan, "LIMIT", 0)
     assert got == [rows(citations.best_overlap(asked, chunks, ["question_id", "group_no"], least)) for least in (0.2, 0.8)]
     assert got[0]
+
+
+def test_places_are_tokens(spark, monkeypatch):
+    """Tokens and words of odd texts, a text at a time and many together, are those of Spark's expressions."""
+    from quillmere.functions import places
+
+    rng = random.Random(7)
+    texts = ["".join(rng.choices("ab_é9 \t\n\x0b\xa0-.—Σσİßǅ½\u0301e中\u1ec7𝒳", k=rng.randint(0, 30))) for _ in range(400)] + [None, "", " ", "\n", "a" * 300]
+    d = spark.createDataFrame(list(enumerate(texts)), "n int, text string").withColumn("c", T.composed(F.coalesce("text", F.lit(""))))
+    words = F.transform(F.regexp_extract_all("c", F.lit(r"[^\s]+"), F.lit(0)), lambda w: T.tokens(w, unicode=False))
+    want = [r[0] for r in d.orderBy("n").select(words).collect()]
+    terms = sorted({t for words in want[:200] for w in words for t in w})
+    for chars in (1, 150, 1_000_000):
+        monkeypatch.setattr(places, "CHARS", chars)
+        got = []
+        for first, end, f in places.Places(terms).find(texts):
+            size, bounds = iter(f.sizes.tolist()), [0, *f.tokens.cumsum().tolist()]
+            for i in range(end - first):
+                own = slice(bounds[i], bounds[i + 1])
+                assert set(f.text[own].tolist()) <= {i}
+                got.append(([next(size) for _ in range(f.words[i])], list(zip(f.place[own].tolist(), f.word[own].tolist(), strict=True))))
+        assert got == [([len(w) for w in words], [(terms.index(t) if t in terms else -1, j) for j, w in enumerate(words) for t in w]) for words in want]
+
+
+@pytest.mark.parametrize("shared", [False, True])
+def test_windows_equal_rows_of_windows(spark, monkeypatch, shared):
+    """Ties, words of several tokens or none, overlaps of many windows, texts that share a key, and few sums at a time."""
+    from quillmere.operators import windows
+
+    rng = random.Random(8)
+    common, rare = [f"w{k}" for k in range(30)], [f"r{k}" for k in range(200)]
+    word = lambda: rng.choice(["{}", "{}", "{}.", "{}-" + rng.choice(rare), "—"]).format(rng.choice(common + rare[:50]))
+    texts = [(k, " ".join(word() for _ in range(rng.choice([0, 1, 5, 9, 10, 11, 40, 150])))) for k in range(200)] + [(300 + k, "w1 w2 r3 w1") for k in range(30)] + [(400, None), (401, "... !"), (402, "É é W1\tW1\n r5")]
+    if shared:
+        texts += [(3, "w1 r1 r2"), (4, texts[4][1]), (5, ""), (301, "w1")]
+    d = spark.createDataFrame(texts, "document_id long, text string").repartition(3)
+    q = spark.createDataFrame([(k, " ".join(rng.sample(rare, 3) + rng.sample(common, 6) + ["w1"] * (k % 3))) for k in range(25)] + [(98, "nothing known"), (99, "w1 w2 r3"), (100, ""), (99, "w1 é")], "question_id long, text string")
+    sizes = {"a": (10, 2), "b": (4, 0), "c": (40, 39), "d": (3, 1)}
+    columns = ["config_id", "question_id", "chunk_id", "document_id", "score", "rank"]
+    chunks = chunking.chunk_fixed_all(d, "document_id", sizes).select(F.col("strategy").alias("config_id"), F.format_string("%d_%d", "document_id", "chunk_index").alias("chunk_id"), "document_id", "text")
+    for k in (1, 5, 10_000):
+        want, _ = scan.sparse_corpora(chunks, "chunk_id", q, "question_id", k, by=("config_id",), carry=("document_id",))
+        want = rows(want.select(*columns).distinct())
+        for first, cells, share in ((1 << 13, 2_000_000, 0.5), (50, 100, 0.9)):
+            for module, name, value in ((windows, "FIRST", first), (windows, "SHARE", share), (scan, "CELLS", cells)):
+                monkeypatch.setattr(module, name, value)
+            found, corpora = windows.top_windows(d, "document_id", sizes, q, "question_id", k)
+            assert rows(found.select(*columns)) == want and rows(corpora) == rows(chunks.select("config_id").distinct())
+    assert windows.top_windows(d.limit(0), "document_id", sizes, q, "question_id")[0].count() == 0 == windows.top_windows(d, "document_id", sizes, q.limit(0), "question_id")[0].count()
+
+
+def test_chunkings_make_no_row_of_a_window(spark, folder, monkeypatch):
+    """Work of the chunkings goes by documents: before, each of their windows was a text with a row of its own."""
+    from quillmere.plans import QUERIES
+    from quillmere.sources import stored
+
+    made = []
+
+    def counted(df, name):
+        out = stored.stored(df, name)
+        made.append(out.count())
+        return out
+
+    for name, module in list(sys.modules.items()):
+        if name.startswith("quillmere.operators.") and hasattr(module, "stored"):
+            monkeypatch.setattr(module, "stored", counted)
+    QUERIES["chunkings_ranked"](spark, folder)
+    assert made and max(made) < sum(r.n_chunks for r in QUERIES["chunk_counts"](spark, folder).collect())
