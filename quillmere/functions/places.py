@@ -1,6 +1,7 @@
 """Tokens of whole batches of texts as places in a list of terms, with NumPy on the characters: no string is made for a token.
 
-The tokens are those of `text.tokens`: composed, lower case, runs of letters, digits and `_`; words are runs without white space, as `chunking` cuts them."""
+The tokens are those of `text.tokens`: composed, lower case, runs of letters, digits and `_`; words are runs without white space, as `chunking` cuts them.
+Letters are those of Python's Unicode: an older Java lacks the latest, so terms to be found come from `words`."""
 
 from __future__ import annotations
 
@@ -11,6 +12,9 @@ from collections.abc import Iterator
 from functools import cache, lru_cache
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 #: Characters that are looked at together (or one longer text).
 CHARS = 1_000_000
@@ -33,6 +37,13 @@ def _form(text: str | None) -> str:
     return (text if text.isascii() else unicodedata.normalize("NFC", text)).lower()
 
 
+@F.arrow_udf(ArrayType(StringType()))
+def words(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """The tokens of a few texts, such as questions, as strings; none of null."""
+    for x in batches:
+        yield pa.array([re.findall(r"\w+", _form(t)) for t in x.to_pylist()], pa.list_(pa.string()))
+
+
 def _points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 

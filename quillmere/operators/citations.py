@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import QUOTE_CHARS, preview, tokens
+from ..functions.places import words
+from ..functions.text import QUOTE_CHARS, preview
 from ..sources.stored import spread, stored
 from . import scan
 from .index import terms_of, token_table
@@ -42,8 +43,8 @@ def chunk_section(section: Column) -> Column:
 def _scanned_overlap(terms: DataFrame, chunks: DataFrame, key: list[str]) -> DataFrame:
     """(document_id, key..., seq, chunk_id, score): of each task the chunk of the document with the largest share of the n terms of each key."""
     rows = terms.select(*key, "document_id", "n", "term").toArrow()
-    words = rows["term"].combine_chunks().dictionary_encode()
-    place = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    coded = rows["term"].combine_chunks().dictionary_encode()
+    place = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     of: dict[str, list[int]] = {}
     for i, d in enumerate(rows["document_id"].to_pylist()):
         of.setdefault(d, []).append(i)
@@ -54,7 +55,7 @@ def _scanned_overlap(terms: DataFrame, chunks: DataFrame, key: list[str]) -> Dat
         n = np.zeros(len(ids))
         n[number] = own["n"].to_numpy()
         sets[(d,)] = (scan.Asked(number, place[i], np.ones(len(i))), ids, n)
-    table = scan.counted(chunks, ["document_id", "seq", "chunk_id"], words.dictionary)
+    table = scan.counted(chunks, ["document_id", "seq", "chunk_id"], coded.dictionary)
     return scan.scanned(table, ["document_id"], ["seq", "chunk_id"], sets, 1, None, [terms.schema[c] for c in key])
 
 
@@ -69,7 +70,7 @@ def best_overlap(asked: DataFrame, chunks: DataFrame, key: list[str], least: flo
     only those of documents that are asked for."""
     if least <= 0:
         raise ValueError("least must be over 0")
-    terms = asked.select(*key, "document_id", F.array_distinct(tokens(F.coalesce("ground_truth", F.lit("")))).alias("_t"))
+    terms = asked.select(*key, "document_id", F.array_distinct(words(F.col("ground_truth"))).alias("_t"))
     terms = terms.select(*key, "document_id", F.size("_t").alias("n"), F.explode_outer("_t").alias("term")).where("term is not null")
     terms = stored(terms.withColumn("c", F.greatest(F.lit(1), F.ceil(F.col("n") * least - 1e-9))), "ground-truth")
     mine = spread(chunks.select("document_id", "seq", "chunk_id", "text")).join(terms.select("document_id").distinct(), "document_id", "left_semi")

@@ -26,6 +26,8 @@ from . import chunking, index, scan, search
 FIRST, RUN = 1 << 13, 1 << 16
 #: The part of a query's k-th best score that the terms left for later may add at most (below 1): less of it leaves fewer windows to score, and more terms to meet.
 SHARE = 0.5
+#: Of a text the number of words, the places of its known tokens and the words that hold them, and the words of no token or several and how many those have.
+_COLUMNS = ("words", "terms", "at", "odd", "sizes")
 #: Places of counts that are not those of a term.
 _WINDOWS, _LENGTH = -1, -2
 
@@ -39,8 +41,13 @@ def _placed(batches: Iterator[pa.RecordBatch], known: Places) -> Iterator[pa.Rec
         for first, end, f in known.find(b.column(1).to_pylist()):
             have = np.flatnonzero(f.place >= 0)
             have = have[np.lexsort((f.place[have], f.text[have]))]
-            counts = np.cumsum(np.bincount(f.text[have], minlength=end - first))
-            yield pa.RecordBatch.from_arrays([b.column(0).slice(first, end - first), _lists(counts, f.place[have]), _lists(counts, f.word[have]), _lists(np.cumsum(f.words), f.sizes)], names=[b.schema.names[0], "terms", "at", "sizes"])
+            own = np.cumsum(np.bincount(f.text[have], minlength=end - first))
+            odd = np.flatnonzero(f.sizes != 1)
+            last = np.cumsum(f.words)
+            text = np.searchsorted(last, odd, side="right")
+            odds = np.cumsum(np.bincount(text, minlength=end - first))
+            columns = [b.column(0).slice(first, end - first), pa.array(f.words.astype(np.int32)), _lists(own, f.place[have]), _lists(own, f.word[have]), _lists(odds, odd - (last - f.words)[text]), _lists(odds, f.sizes[odd])]
+            yield pa.RecordBatch.from_arrays(columns, names=[b.schema.names[0], *_COLUMNS])
 
 
 class _Texts:
@@ -49,10 +56,13 @@ class _Texts:
     def __init__(self, b: pa.RecordBatch) -> None:
         length = lambda x: pc.list_value_length(x).to_numpy(zero_copy_only=False).astype(np.int64)
         flat = lambda x: x.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-        _, terms, at, sizes = b.columns
-        self.known, self.words = length(terms), length(sizes)
-        self.text, self.place, self.word = np.repeat(np.arange(len(b)), self.known), flat(terms), flat(at)
-        self.base, self.before = np.cumsum(self.words) - self.words, np.r_[0, np.cumsum(flat(sizes))]
+        _, words, terms, at, odd, sizes = b.columns
+        self.words = words.to_numpy(zero_copy_only=False).astype(np.int64)
+        self.text, self.place, self.word = np.repeat(np.arange(len(b)), length(terms)), flat(terms), flat(at)
+        self.base = np.cumsum(self.words) - self.words
+        tokens = np.ones(self.words.sum(), np.int64)
+        tokens[np.repeat(self.base, length(odd)) + flat(odd)] = flat(sizes)
+        self.before = np.r_[0, np.cumsum(tokens)]
 
 
 class _Cut:
@@ -82,8 +92,7 @@ class _Cut:
 def _counts(batches: Iterator[pa.RecordBatch], shapes: list[tuple[int, int]], terms: int) -> Iterator[pa.RecordBatch]:
     """(corpus, place, n): windows that hold each term, and under _WINDOWS and _LENGTH their number and the sum of their lengths."""
     found, whole = np.zeros((len(shapes), terms), np.int64), np.zeros((len(shapes), 2), np.int64)
-    for b in batches:
-        t = _Texts(b)
+    for t in (_Texts(part) for b in batches for part in _runs(b, RUN)):
         again = np.r_[False, (t.text[1:] == t.text[:-1]) & (t.place[1:] == t.place[:-1])] if len(t.text) else np.zeros(0, bool)
         for c, shape in enumerate(shapes):
             cut = _Cut(t, *shape)
@@ -98,6 +107,15 @@ def _counts(batches: Iterator[pa.RecordBatch], shapes: list[tuple[int, int]], te
         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), c, np.int32)), pa.array(places.astype(np.int32)), pa.array(n)], names=["corpus", "place", "n"])
 
 
+def _cuts(cost: np.ndarray, windows: np.ndarray | None = None) -> Iterator[tuple[int, int]]:
+    """(first, end) of runs that cost about scan.CELLS together; none parts the rows of a window."""
+    run = np.cumsum(cost)
+    cuts = np.searchsorted(run, np.arange(scan.CELLS, run[-1], scan.CELLS)) if len(run) else np.zeros(0, np.int64)
+    cuts = cuts if windows is None else np.searchsorted(windows, windows[cuts])
+    cuts = np.unique(np.r_[0, cuts, len(cost)])
+    return zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)
+
+
 class _Corpus:
     """The queries' terms against the windows of one chunking, and the best so far."""
 
@@ -114,7 +132,7 @@ class _Corpus:
         return self.idf[place] * (tf * (index.K1 + 1.0)) / (tf + index.K1 * (1.0 - index.B + index.B * dl / self.avgdl))
 
     def candidates(self, texts: _Texts, best: scan.Best, n: int) -> Iterator[tuple[_Cut, np.ndarray, np.ndarray, np.ndarray]]:
-        """(cut, windows, queries, scores) of the pairs that may be among the best, scan.CELLS sums at a time."""
+        """(cut, windows, queries, scores) of the pairs that may be among the best, about scan.CELLS sums at a time."""
         bar = np.maximum(best.least, 0.0) * (1 - 1e-9) - 1e-6
         matters = self.most >= SHARE * bar[self.number]
         rest, late = np.zeros(n), np.flatnonzero(~matters)
@@ -133,10 +151,7 @@ class _Corpus:
         windows, place = pairs // max(1, len(self.idf)), pairs % max(1, len(self.idf))
         text, _, begin, end = cut.bounds(windows)
         w = self.weights(place, tf, cut.lengths(text, begin, end))
-        cost = np.cumsum(times[place])
-        cuts = np.searchsorted(cost, np.arange(scan.CELLS, cost[-1], scan.CELLS)) if len(cost) else []
-        cuts = np.unique(np.r_[0, np.searchsorted(windows, windows[cuts]) if len(cuts) else [], len(windows)]).astype(np.int64)  # no window is parted
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        for a, b in _cuts(times[place], windows):
             t = times[place[a:b]]
             row = early[spans(start[place[a:b]], t)]
             cell, at = np.unique(np.repeat(windows[a:b], t) * n + self.number[row], return_inverse=True)
@@ -144,9 +159,12 @@ class _Corpus:
             near = s + rest[cell % n] >= bar[cell % n]
             cell, s = cell[near], s[near]
             found, q = cell // n, cell % n
-            yield cut, found, q, s + self._late(cut, found, q, late[spans(late_start[q], np.diff(late_start)[q])], np.diff(late_start)[q])
+            t = np.diff(late_start)[q]
+            for x, y in _cuts(t):
+                more = self._late(cut, found[x:y], late[spans(late_start[q[x:y]], t[x:y])], t[x:y])
+                yield cut, found[x:y], q[x:y], s[x:y] + more
 
-    def _late(self, cut: _Cut, windows: np.ndarray, q: np.ndarray, row: np.ndarray, times: np.ndarray) -> np.ndarray:
+    def _late(self, cut: _Cut, windows: np.ndarray, row: np.ndarray, times: np.ndarray) -> np.ndarray:
         """The sums of the rows, times[i] of them for the i-th window: each term is counted between the window's first word and end."""
         t = cut.texts
         terms, width = np.int64(max(1, len(self.idf))), np.int64(t.words.max(initial=0) + 1)
@@ -163,7 +181,7 @@ class _Corpus:
 
 def _runs(b: pa.RecordBatch, seen: int) -> Iterator[pa.RecordBatch]:
     """The rows of a batch in runs of as many known tokens as were seen before, between FIRST and RUN, or one text."""
-    size = np.cumsum(pc.list_value_length(b.column(1)).to_numpy(zero_copy_only=False).astype(np.int64))
+    size = np.cumsum(pc.list_value_length(b.column(2)).to_numpy(zero_copy_only=False).astype(np.int64))
     a, done = 0, 0
     while a < len(b):
         end = max(a + 1, int(np.searchsorted(size, done + min(RUN, max(FIRST, seen + done)), side="right")))
@@ -203,7 +221,7 @@ def top_windows(docs: DataFrame, key: str, sizes: dict[str, tuple[int, int]], qu
         name = F.concat_ws("_", F.coalesce(F.col("document_id").cast("string"), F.lit("null")), "chunk_index")
         return chunking.chunk_fixed_all(d, "document_id", sizes).select(F.col("strategy").alias(by), name.alias("chunk_id"), "document_id", "text")
 
-    asked = stored(index.term_counts(queries, query), "asked")
+    asked = scan.asked_terms(queries, query)
     same = F.xxhash64("document_id")
     several = stored(docs.groupBy(same.alias("_h")).agg(F.count("*").alias("n")).where("n > 1").select("_h"), "several")
     shared = several.count() > 0
@@ -213,8 +231,7 @@ def top_windows(docs: DataFrame, key: str, sizes: dict[str, tuple[int, int]], qu
         return scan.sparse_corpora(chunks(docs), "chunk_id", queries, query, k, by=(by,), carry=("document_id",))
     rows = asked.toArrow()
     ids, number, terms, place = scan.numbered(rows, [query])
-    lists = ArrayType(IntegerType())
-    out = StructType([docs.schema["document_id"], *(StructField(c, lists) for c in ("terms", "at", "sizes"))])
+    out = StructType([docs.schema["document_id"], *(StructField(c, IntegerType() if c == "words" else ArrayType(IntegerType())) for c in _COLUMNS)])
     table = stored(spread(once).mapInArrow(partial(_placed, known=Places(terms.to_pylist())), out), "places")
     shapes = [(size, max(size - overlap, 1)) for size, overlap in sizes.values()]
     totals = table.mapInArrow(partial(_counts, shapes=shapes, terms=len(terms)), "corpus int, place int, n long").groupBy("corpus", "place").agg(F.sum("n").alias("n")).collect()
